@@ -24,11 +24,11 @@ LITERAL_START = f"^{_WS}*(?:[\\[\\(\\{{'\"0-9+.-]|True|False|None)"
 
 
 def _as_int(c: Column) -> Column:
-    return F.try_cast(F.regexp_replace(py_strip(c), "_", ""), "decimal(38,0)")
+    return F.regexp_replace(py_strip(c), "_", "").try_cast("decimal(38,0)")
 
 
 def _as_double(c: Column) -> Column:
-    return F.try_cast(F.regexp_replace(py_strip(c), "_", ""), "double")
+    return F.regexp_replace(py_strip(c), "_", "").try_cast("double")
 
 
 def _as_number_list(c: Column) -> Column:

@@ -170,3 +170,303 @@ def multi_run_scores(spark, sf_dir):
     parts = [SU.SUITES[name].report(rows, by=["run_id"]).select(F.lit(name).alias("suite"), "*")
              for name in ("hallucination", "object_probe")]
     return parts[0].unionByName(parts[1])
+
+
+# ---------------------------------------------------------------------------
+# Two questions per picture
+
+from evalspark.functions import signs as S  # noqa: E402
+from evalspark.operators import windows as W  # noqa: E402
+
+_TASK_DIM_SQL = "(VALUES " + ", ".join(
+    f"({Q.q(task)}, {Q.q(cat)})" for cat, tasks in M.TASK_CATEGORIES.items() for task in tasks
+) + ") AS dim(task, eval_type)"
+
+_D2_SIGN = f"""s AS (SELECT *, {Q.token_sign('verdict', 'ground_truth')} AS sign,
+                     {Q.ternary('ground_truth')} AS g, {Q.ternary('verdict', True)} AS p FROM d2)"""
+
+
+def _perception_rows(spark, sf_dir) -> DataFrame:
+    return SU.PERCEPTION.score_rows(D.d2_pairs(_t(spark, sf_dir)))
+
+
+_TERNARY_SQL = FX.with_fixtures(f""", {_D2_SIGN}
+    SELECT subset, n, TP, FN, FP, TN, other_num, bad_label, {Q.ratio('hits', 'n')} AS acc,
+           {Q.ratio('TP', 'TP + FP', '0.0')} AS precision, {Q.ratio('TP', 'TP + FN', '0.0')} AS recall
+    FROM (SELECT subset, count(*) AS n,
+            CAST(sum(CASE WHEN g = p THEN 1 ELSE 0 END) AS BIGINT) AS hits,
+            CAST(sum(CASE WHEN p <> -1 AND g = 1 AND p = 1 THEN 1 ELSE 0 END) AS BIGINT) AS TP,
+            CAST(sum(CASE WHEN p <> -1 AND g = 1 AND p = 0 THEN 1 ELSE 0 END) AS BIGINT) AS FN,
+            CAST(sum(CASE WHEN p <> -1 AND g = 0 AND p = 1 THEN 1 ELSE 0 END) AS BIGINT) AS FP,
+            CAST(sum(CASE WHEN p <> -1 AND g = 0 AND p = 0 THEN 1 ELSE 0 END) AS BIGINT) AS TN,
+            CAST(sum(CASE WHEN p = -1 THEN 1 ELSE 0 END) AS BIGINT) AS other_num,
+            CAST(sum(CASE WHEN g IS NULL OR p IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS bad_label
+          FROM s GROUP BY subset)""", d2=FX.D2)
+
+
+@register("ternary_confusion", _TERNARY_SQL)
+def ternary_confusion(spark, sf_dir):
+    """A5 + S10: yes/no/unclear confusion per task (acc over all rows)."""
+    return M.ternary_confusion(D.d2_pairs(_t(spark, sf_dir)), "subset", "ground_truth", "verdict")
+
+
+_PLUS_CORE = f"""pg AS (SELECT subset, picture_name, coalesce(sum(sign), 0) AS s, count(*) AS r
+                 FROM s WHERE picture_name IS NOT NULL GROUP BY subset, picture_name)"""
+
+
+@register("plus_accuracy", FX.with_fixtures(f""", {_D2_SIGN}, {_PLUS_CORE}
+    SELECT subset, plus_groups, n, groups, {Q.ratio('plus_groups', 'n')} AS acc_plus
+    FROM (SELECT subset, CAST(sum(CASE WHEN s = 2 THEN 1 ELSE 0 END) AS BIGINT) AS plus_groups,
+                 CAST(sum(r) AS BIGINT) AS n, count(*) AS groups FROM pg GROUP BY subset)""", d2=FX.D2))
+def plus_accuracy(spark, sf_dir):
+    """Pictures with exactly two correct answers, divided by the row count."""
+    return M.plus_accuracy(_perception_rows(spark, sf_dir), "subset", "picture_name", "sign")
+
+
+_TASK_SCORE_CTE = f""", {_D2_SIGN},
+    pg AS (SELECT subset, picture_name, count(*) AS r, coalesce(sum(sign), 0) AS s,
+              sum(CASE WHEN g = p THEN 1 ELSE 0 END) AS hits,
+              sum(CASE WHEN p <> -1 AND g = 1 AND p = 1 THEN 1 ELSE 0 END) AS TP,
+              sum(CASE WHEN p <> -1 AND g = 1 AND p = 0 THEN 1 ELSE 0 END) AS FN,
+              sum(CASE WHEN p <> -1 AND g = 0 AND p = 1 THEN 1 ELSE 0 END) AS FP,
+              sum(CASE WHEN p <> -1 AND g = 0 AND p = 0 THEN 1 ELSE 0 END) AS TN,
+              sum(CASE WHEN p = -1 THEN 1 ELSE 0 END) AS other_num
+           FROM s GROUP BY subset, picture_name),
+    tt AS (SELECT subset, CAST(sum(r) AS BIGINT) AS n, count(*) AS groups,
+              CAST(sum(CASE WHEN picture_name IS NOT NULL AND s = 2 THEN 1 ELSE 0 END) AS BIGINT) AS plus_groups,
+              CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(TP) AS BIGINT) AS TP, CAST(sum(FN) AS BIGINT) AS FN,
+              CAST(sum(FP) AS BIGINT) AS FP, CAST(sum(TN) AS BIGINT) AS TN, CAST(sum(other_num) AS BIGINT) AS other_num
+           FROM pg GROUP BY subset),
+    ts AS (SELECT subset, n, groups, plus_groups, TP, FN, FP, TN, other_num,
+              {Q.ratio('hits', 'n')} AS acc, {Q.ratio('TP', 'TP + FP', '0.0')} AS precision,
+              {Q.ratio('TP', 'TP + FN', '0.0')} AS recall, {Q.ratio('plus_groups', 'n')} AS acc_plus,
+              {Q.ratio('hits', 'n')} * 100 + {Q.ratio('plus_groups', 'n')} * 100 AS score
+           FROM tt)"""
+
+
+@register("task_score", FX.with_fixtures(f"{_TASK_SCORE_CTE} SELECT * FROM ts", d2=FX.D2))
+def task_score(spark, sf_dir):
+    """A5-A7 in one scan: per-task confusion, acc_plus and score = 100*acc + 100*acc_plus."""
+    return M.task_scores(_perception_rows(spark, sf_dir), "subset", "picture_name",
+                         "ground_truth", "verdict", "sign")
+
+
+_ROLLUP_SQL = f"""{_TASK_SCORE_CTE},
+    j AS (SELECT dim.eval_type, ts.subset, ts.score FROM ts JOIN {_TASK_DIM_SQL} ON ts.subset = dim.task)"""
+
+
+@register("category_total_rollup", FX.with_fixtures(f"""{_ROLLUP_SQL}
+    SELECT eval_type, subset, round(score, 9) AS score, 'task' AS level FROM j
+    UNION ALL SELECT eval_type, NULL AS subset, round(sum(score), 9) AS score, 'category' AS level
+    FROM j GROUP BY eval_type""", d2=FX.D2))
+def category_total_rollup(spark, sf_dir):
+    """A8 + J5: task scores and category totals in one ``rollup``."""
+    scores = task_score(spark, sf_dir)
+    dim = M.task_dimension(spark)
+    out = M.category_rollup(scores, "subset", dim, "score")
+    return out.withColumn("score", F.round("score", 9)).select("eval_type", "subset", "score", "level")
+
+
+@register("suite_perception", FX.with_fixtures(f"""{_ROLLUP_SQL}
+    SELECT 'task_score' AS metric_group, subset AS metric, round(score, 9) AS value FROM j
+    UNION ALL SELECT 'category_total' AS metric_group, concat(eval_type, '_total') AS metric,
+           round(sum(score), 9) AS value FROM j GROUP BY eval_type""", d2=FX.D2))
+def suite_perception(spark, sf_dir):
+    """perception/cognition suite (S2 sign, A5-A8) in the long layout."""
+    out = SU.PERCEPTION.report(D.d2_pairs(_t(spark, sf_dir)))
+    return out.withColumn("value", F.round("value", 9))
+
+
+@register("task_rows", FX.with_fixtures(f"""
+    SELECT d2.subset, dim.eval_type, count(*) AS n_rows
+    FROM d2 JOIN {_TASK_DIM_SQL} ON d2.subset = dim.task GROUP BY d2.subset, dim.eval_type""", d2=FX.D2))
+def task_rows(spark, sf_dir):
+    """P5 + J5: one grouped pass over all tasks (no per-task filter) with categories."""
+    rows = D.d2_pairs(_t(spark, sf_dir)).select("subset")
+    tagged = M.with_task_category(rows, "subset", M.task_dimension(spark).withColumnRenamed("task", "task"))
+    return tagged.groupBy("subset", "eval_type").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_PAIR_SIGN = f"s AS (SELECT *, {Q.contains_sign('choice_verdict', 'correct_answer')} AS sign FROM d2)"
+_PAIR_SQL = f""", {_PAIR_SIGN},
+    pr AS (SELECT floor(item_no / 2) AS pair, count(*) AS r,
+                  sum(CASE WHEN sign = 1 THEN 1 ELSE 0 END) AS ones FROM s GROUP BY floor(item_no / 2)),
+    pa AS (SELECT CAST(sum(CASE WHEN r = 2 AND ones = 2 THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+                  CAST(sum(r) AS DOUBLE) / 2.0 AS total FROM pr)"""
+
+
+@register("pair_accuracy", FX.with_fixtures(f"""{_PAIR_SQL}
+    SELECT correct, total, {Q.ratio('correct', 'total')} AS accuracy FROM pa""", d2=FX.D2))
+def pair_accuracy(spark, sf_dir):
+    """A11 + S3: consecutive pairs (0,1), (2,3)... both correct; total = rows / 2."""
+    rows = SU.PAIRED_CHOICE.score_rows(D.d2_pairs(_t(spark, sf_dir)), verdict="choice_verdict")
+    return M.pair_accuracy(rows, "item_no", "sign")
+
+
+@register("suite_paired_choice", FX.with_fixtures(f"""{_PAIR_SQL},
+    pm AS (SELECT correct, total, {Q.ratio('correct', 'total')} AS accuracy FROM pa)
+    {Q.unpivot('pm', '', ['correct', 'total', 'accuracy'], 'pairs')}""", d2=FX.D2))
+def suite_paired_choice(spark, sf_dir):
+    """Paired-choice suite (S3 containment sign, A11 pairs) in the long layout."""
+    return SU.PAIRED_CHOICE.report(D.d2_pairs(_t(spark, sf_dir)), verdict="choice_verdict")
+
+
+@register("all_correct_groups", FX.with_fixtures(f""", {_D2_SIGN},
+    grp AS (SELECT category, subcategory, subset, picture_name, count(*) AS r, coalesce(sum(sign), 0) AS s
+            FROM s WHERE category IS NOT NULL AND subcategory IS NOT NULL AND subset IS NOT NULL
+              AND picture_name IS NOT NULL
+            GROUP BY category, subcategory, subset, picture_name)
+    SELECT CAST(sum(CASE WHEN s = r THEN 1 ELSE 0 END) AS BIGINT) AS correct_groups, count(*) AS groups,
+           {Q.ratio('sum(CASE WHEN s = r THEN 1 ELSE 0 END)', 'count(*)')} AS group_accuracy FROM grp""",
+    d2=FX.D2))
+def all_correct_groups(spark, sf_dir):
+    """Share of (category, subcategory, set, figure) groups answered fully right."""
+    return M.all_correct_groups(_perception_rows(spark, sf_dir),
+                                ["category", "subcategory", "subset", "picture_name"], "sign")
+
+
+@register("row_numbering", FX.with_fixtures("""
+    SELECT item_no, subset, row_number() OVER (PARTITION BY subset ORDER BY item_no) - 1 AS position
+    FROM d2""", d2=FX.D2))
+def row_numbering(spark, sf_dir):
+    """Dense 0-based positions per task without one task per group."""
+    rows = D.d2_pairs(_t(spark, sf_dir)).select("item_no", "subset")
+    return W.dense_positions(rows, "item_no", ["subset"]).select("item_no", "subset", "position")
+
+
+# ---------------------------------------------------------------------------
+# D3: options
+
+from evalspark.functions import answers as AN  # noqa: E402
+from evalspark.functions import text as TX  # noqa: E402
+
+_LETTERS = Q.q(AN.OPTION_LETTERS)
+_D3_DIST = "list_transform(choices, lambda c: levenshtein(answer_text, c))"
+
+
+@register("nearest_option", FX.with_fixtures(f"""
+    SELECT item_no, answer_text,
+           CASE WHEN len(choices) > 0 THEN substr({_LETTERS}, list_position({_D3_DIST}, list_min({_D3_DIST})), 1) END
+             AS nearest
+    FROM d3""", d3=FX.D3))
+def nearest_option(spark, sf_dir):
+    """Letter of the closest choice by edit distance, first on ties."""
+    rows = D.d3_options(_t(spark, sf_dir))
+    return rows.select("item_no", "answer_text", AN.nearest_option("answer_text", "choices").alias("nearest"))
+
+
+@register("argmin_first", FX.with_fixtures(f"""
+    SELECT item_no, list_min({_D3_DIST}) AS min_distance,
+           CAST(list_position({_D3_DIST}, list_min({_D3_DIST})) AS INTEGER) AS argmin
+    FROM d3""", d3=FX.D3))
+def argmin_first(spark, sf_dir):
+    """Position of the smallest distance, the first one on ties."""
+    rows = D.d3_options(_t(spark, sf_dir))
+    dist = AN.edit_distances("answer_text", "choices")
+    return rows.select("item_no", F.array_min(dist).alias("min_distance"),
+                       AN.argmin_first(dist).alias("argmin"))
+
+
+@register("option_block", FX.with_fixtures(f"""
+    SELECT item_no, array_to_string(list_transform(choices,
+             lambda c, i: concat(substr({_LETTERS}, i, 1), '. ', c, chr(10))), '') AS block
+    FROM d3""", d3=FX.D3))
+def option_block(spark, sf_dir):
+    """The lettered option block shown to the judge."""
+    rows = D.d3_options(_t(spark, sf_dir))
+    return rows.select("item_no", AN.option_block("choices").alias("block"))
+
+
+@register("paren_answer", FX.with_fixtures("""
+    SELECT item_no, concat('(', lower(answer_letter), ')') AS answer FROM d3""", d3=FX.D3))
+def paren_answer(spark, sf_dir):
+    """Letter answer -> '(a)'."""
+    rows = D.d3_options(_t(spark, sf_dir))
+    return rows.select("item_no", TX.paren_letter("answer_letter").alias("answer"))
+
+
+_D3_SIGN = f"""s AS (SELECT *, {Q.contains_sign('verdict', "concat('(', lower(answer_letter), ')')")} AS sign FROM d3)"""
+
+
+@register("suite_lettered_choice", FX.with_fixtures(f""", {_D3_SIGN},
+    o AS (SELECT CAST(sum(sign) AS DOUBLE) AS correct, CAST(count(*) AS DOUBLE) AS total,
+                 {Q.ratio('sum(sign)', 'count(*)')} AS accuracy FROM s)
+    {Q.unpivot('o', '', ['correct', 'total', 'accuracy'], 'overall')}
+    UNION ALL SELECT 'category' AS metric_group, question_type AS metric, {Q.ratio('sum(sign)', 'count(*)')} AS value
+    FROM s WHERE question_type IS NOT NULL GROUP BY question_type""", d3=FX.D3))
+def suite_lettered_choice(spark, sf_dir):
+    """Lettered-choice suite (S8 answers, S3 sign, A1 + A2 by question type)."""
+    return SU.LETTERED_CHOICE.report(D.d3_options(_t(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Numeric and mixed answers
+
+@register("numeric_sign", FX.with_fixtures(f"""
+    SELECT item_no, {Q.numeric_sign('verdict', 'answer')} AS sign FROM d4""", d4=FX.D4))
+def numeric_sign(spark, sf_dir):
+    """Typed numeric comparison (int / float / list; text answers never score)."""
+    from evalspark.functions.literals import score_numeric
+    rows = D.d4_numeric(_t(spark, sf_dir)).select("item_no", "answer", "verdict")
+    return score_numeric(rows, "verdict", "answer", "sign").select("item_no", "sign")
+
+
+_D4_ROUTED = f"""(CASE WHEN question_type = 'multi_choice' THEN {Q.token_sign('verdict', 'answer')}
+                  ELSE {Q.numeric_sign('verdict', 'answer')} END)"""
+
+
+@register("mixed_router", FX.with_fixtures(f"""
+    SELECT item_no, question_type, {_D4_ROUTED} AS sign FROM d4""", d4=FX.D4))
+def mixed_router(spark, sf_dir):
+    """Choice rows -> token sign, other rows -> numeric sign."""
+    rows = D.d4_numeric(_t(spark, sf_dir))
+    scored = SU.MATH_MIXED.score_rows(rows)
+    return scored.select("item_no", "question_type", "sign")
+
+
+@register("suite_math_mixed", FX.with_fixtures(f""",
+    s AS (SELECT *, {_D4_ROUTED} AS sign FROM d4),
+    o AS (SELECT CAST(sum(sign) AS DOUBLE) AS correct, CAST(count(*) AS DOUBLE) AS total,
+                 {Q.ratio('sum(sign)', 'count(*)')} AS accuracy FROM s)
+    {Q.unpivot('o', '', ['correct', 'total', 'accuracy'], 'overall')}""", d4=FX.D4))
+def suite_math_mixed(spark, sf_dir):
+    """Mixed math suite (S11/S23 answers and signs, A1; A9 when metadata exists)."""
+    return SU.MATH_MIXED.report(D.d4_numeric(_t(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Skills metadata
+
+_D5_SKILLS = f"""sk AS (SELECT item_no, sign,
+    CAST(json_extract(replace(metadata, chr(39), '"'), '$.skills') AS VARCHAR[]) AS skills FROM d5)"""
+
+
+def _skill_rows(spark, sf_dir) -> DataFrame:
+    from evalspark.functions.literals import parse_skills
+    return parse_skills(D.d5_skills(_t(spark, sf_dir)), "metadata", "skills")
+
+
+@register("skill_accuracy", FX.with_fixtures(f""", {_D5_SKILLS},
+    ex AS (SELECT sign, unnest(list_distinct(skills)) AS skill FROM sk)
+    SELECT skill, CAST(sum(sign) AS BIGINT) AS correct, count(*) AS total,
+           {Q.ratio('sum(sign)', 'count(*)')} AS accuracy FROM ex GROUP BY skill""", d5=FX.D5))
+def skill_accuracy(spark, sf_dir):
+    """Accuracy per skill, each row counted once per distinct skill."""
+    return M.multilabel_accuracy(_skill_rows(spark, sf_dir), "skills", "sign", (), "skill")
+
+
+@register("distinct_skills", FX.with_fixtures(f""", {_D5_SKILLS}
+    SELECT DISTINCT unnest(skills) AS skill FROM sk""", d5=FX.D5))
+def distinct_skills(spark, sf_dir):
+    """The set of skills over all rows."""
+    return M.distinct_labels(_skill_rows(spark, sf_dir), "skills", "skill")
+
+
+@register("extract_skills", FX.with_fixtures(f""", {_D5_SKILLS}
+    SELECT item_no, array_to_string(skills, '|') AS skills_text, len(skills) AS n_skills FROM sk""",
+    d5=FX.D5))
+def extract_skills(spark, sf_dir):
+    """S14 (+S13 fallback): skills list from dict-literal metadata text."""
+    rows = _skill_rows(spark, sf_dir)
+    return rows.select("item_no", F.array_join("skills", "|").alias("skills_text"),
+                       F.size("skills").alias("n_skills"))
