@@ -470,3 +470,373 @@ def extract_skills(spark, sf_dir):
     rows = _skill_rows(spark, sf_dir)
     return rows.select("item_no", F.array_join("skills", "|").alias("skills_text"),
                        F.size("skills").alias("n_skills"))
+
+
+# ---------------------------------------------------------------------------
+# Chain generations
+
+from evalspark.functions import chains as CH  # noqa: E402
+
+_PARSED = f"""c AS (SELECT item_id, attempt, {Q.parse_steps('generation')} AS steps,
+                      {Q.parse_steps(Q.refusal('generation', CH.REFUSAL_PHRASES, CH.FALLBACK_CHAIN))} AS chain,
+                      CAST(coalesce({' OR '.join(f"contains(generation, {Q.q(p)})" for p in CH.REFUSAL_PHRASES)}, false) AS INTEGER) AS refused
+               FROM d6)"""
+_FIRST = f""", {_PARSED},
+    fv AS (SELECT item_id, arg_min(chain, attempt) FILTER (WHERE chain IS NOT NULL AND attempt <= 3) AS chain,
+                  min(attempt) FILTER (WHERE chain IS NOT NULL AND attempt <= 3) AS chosen_attempt,
+                  count(*) AS attempts
+           FROM c GROUP BY item_id)"""
+
+
+def _chains(spark, sf_dir) -> DataFrame:
+    rows = D.d6_generations(_t(spark, sf_dir))
+    return rows.select("item_id", "attempt", CH.parse_steps("generation").alias("steps"),
+                       CH.parse_steps(CH.refusal_fallback("generation")).alias("chain"),
+                       CH.is_refusal("generation").cast("int").alias("refused"))
+
+
+def _first_chains(spark, sf_dir) -> DataFrame:
+    return W.first_valid_attempt(_chains(spark, sf_dir), "item_id", "attempt", "chain", 3, "chain")
+
+
+@register("chain_steps", FX.with_fixtures(f""", {_PARSED}
+    SELECT item_id, attempt, len(steps) AS n_steps, array_to_string(steps, chr(10)) AS steps_text,
+           CASE WHEN steps IS NULL THEN 'error' ELSE 'ok' END AS status FROM c""", d6=FX.D6))
+def chain_steps(spark, sf_dir):
+    """Generation text -> step lines (marker/colon rule, blank lines dropped)."""
+    c = _chains(spark, sf_dir)
+    return c.select("item_id", "attempt", F.size("steps").alias("n_steps"),
+                    F.array_join("steps", "\n").alias("steps_text"), CH.chain_status("steps").alias("status"))
+
+
+@register("refusal_fallback", FX.with_fixtures(f""", {_PARSED}
+    SELECT item_id, attempt, refused, len(chain) AS n_steps FROM c""", d6=FX.D6))
+def refusal_fallback(spark, sf_dir):
+    """Refusals replaced by the fallback chain before parsing."""
+    return _chains(spark, sf_dir).select("item_id", "attempt", "refused", F.size("chain").alias("n_steps"))
+
+
+@register("first_attempt", FX.with_fixtures(f"""{_FIRST}
+    SELECT item_id, chosen_attempt, attempts, CASE WHEN chosen_attempt IS NULL THEN 'exhausted' ELSE 'ok' END AS status,
+           len(chain) AS n_steps FROM fv""", d6=FX.D6))
+def first_attempt(spark, sf_dir):
+    """First valid generation of at most three; none -> 'exhausted'."""
+    fv = _first_chains(spark, sf_dir)
+    return fv.select("item_id", "chosen_attempt", "attempts", "status", F.size("chain").alias("n_steps"))
+
+
+@register("chain_merge", FX.with_fixtures(f"""{_FIRST}
+    SELECT item_id, {Q.context_prompt('chain', CH.CONTEXT_HEADER + CH.CONTEXT_STEP_LABEL)} AS context,
+           {Q.last_instruction('chain', CH.LAST_STEP_PREFIX)} AS last_instruction FROM fv""", d6=FX.D6))
+def chain_merge(spark, sf_dir):
+    """Chain -> numbered context prompt (steps 1..n-1) and final instruction (step n)."""
+    fv = _first_chains(spark, sf_dir)
+    return fv.select("item_id", CH.context_prompt("chain").alias("context"),
+                     CH.last_instruction("chain").alias("last_instruction"))
+
+
+@register("step_numbering", FX.with_fixtures(f"""{_FIRST}
+    SELECT item_id, CAST(generate_subscripts(chain, 1) AS INTEGER) AS step_no, unnest(chain) AS step
+    FROM fv WHERE chain IS NOT NULL""", d6=FX.D6))
+def step_numbering(spark, sf_dir):
+    """One row per chain step with its 1-based number."""
+    fv = _first_chains(spark, sf_dir).filter(F.col("chain").isNotNull())
+    return W.number_steps(fv, "chain", ["item_id"])
+
+
+@register("reusable_chain", FX.with_fixtures(f""", {_PARSED}
+    SELECT item_id, attempt, CAST(coalesce(len(steps) > 0 AND NOT list_bool_or(list_transform(steps, lambda x: x IS NULL)), false) AS INTEGER) AS reusable
+    FROM c""", d6=FX.D6))
+def reusable_chain(spark, sf_dir):
+    """Stored chain usable as is (non-empty, no null step)."""
+    c = _chains(spark, sf_dir)
+    return c.select("item_id", "attempt", CH.reusable("steps").cast("int").alias("reusable"))
+
+
+@register("structured_chain", FX.with_fixtures(f""", {_PARSED}
+    SELECT item_id, attempt, len(steps) AS n_steps, array_to_string(steps, chr(10)) AS steps_text FROM c""",
+    d6=FX.D6))
+def structured_chain(spark, sf_dir):
+    """Chain carried as ``{"inference_instruction": [...]}`` JSON and decoded back."""
+    c = _chains(spark, sf_dir).select("item_id", "attempt", CH.encode_structured("steps").alias("js"))
+    dec = c.select("item_id", "attempt", CH.decode_structured("js").alias("steps"))
+    return dec.select("item_id", "attempt", F.size("steps").alias("n_steps"),
+                      F.array_join("steps", "\n").alias("steps_text"))
+
+
+@register("first_element", FX.with_fixtures(f"""{_FIRST}
+    SELECT item_id, chain[1] AS first_step FROM fv""", d6=FX.D6))
+def first_element(spark, sf_dir):
+    """First step of each item's chosen chain."""
+    fv = _first_chains(spark, sf_dir)
+    return fv.select("item_id", W.nth("chain", 1).alias("first_step"))
+
+
+# ---------------------------------------------------------------------------
+# Step responses per item
+
+from evalspark.functions import prompts as PR  # noqa: E402
+from evalspark.operators import joins as J  # noqa: E402
+from evalspark.plans import modes as MO  # noqa: E402
+
+
+def _d7(spark, sf_dir) -> DataFrame:
+    return D.d7_steps(_t(spark, sf_dir))
+
+
+def _items(d7: DataFrame) -> DataFrame:
+    return d7.filter(F.col("step") == 1).select("item_id", "prompt", "image", "already_done")
+
+
+def _last_responses(d7: DataFrame) -> DataFrame:
+    return d7.groupBy("item_id").agg(F.max_by("response", "step").alias("response"))
+
+
+def _step_responses(d7: DataFrame, k: int) -> DataFrame:
+    return d7.filter(F.col("step") == k).select("item_id", "response")
+
+
+def _ready_chains(d7: DataFrame) -> DataFrame:
+    """Chain per item = its step texts in step order (bounded by chain length)."""
+    s = d7.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("step", "response"))).alias("s"))
+    return s.select("item_id", F.transform("s", lambda x: x["response"]).alias("chain"))
+
+
+_D7_BASE = """items AS (SELECT item_id, prompt, image, already_done FROM d7 WHERE step = 1),
+    lastr AS (SELECT item_id, arg_max(response, step) AS response FROM d7 GROUP BY item_id),
+    step1 AS (SELECT item_id, response FROM d7 WHERE step = 1),
+    ready AS (SELECT item_id, list(response ORDER BY step) AS chain FROM d7 GROUP BY item_id)"""
+_TRANSCRIPT = """tr AS (SELECT item_id, step, response, pos, max(pos) OVER (PARTITION BY item_id) AS last_pos,
+          coalesce(string_agg(line, '') OVER (PARTITION BY item_id ORDER BY step
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS transcript
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY step) AS pos,
+                 concat('step', CAST(row_number() OVER (PARTITION BY item_id ORDER BY step) AS VARCHAR), ':',
+                        coalesce(response, ''), chr(10)) AS line FROM d7))"""
+
+
+@register("running_transcript", FX.with_fixtures(f""", {_TRANSCRIPT}
+    SELECT item_id, step, transcript FROM tr""", d7=FX.D7))
+def running_transcript(spark, sf_dir):
+    """Transcript of earlier step responses before each step."""
+    d7 = _d7(spark, sf_dir).select("item_id", "step", "response")
+    return W.running_transcript(d7, "item_id", "step", "response").select("item_id", "step", "transcript")
+
+
+def _multi_turn(spark, sf_dir) -> DataFrame:
+    d7 = _d7(spark, sf_dir)
+    steps = d7.select("item_id", "step", F.col("response").alias("text"), "response")
+    return MO.multi_turn_recorded(steps, _items(d7), "item_id", "step", "text", "response")
+
+
+@register("step_prompt", FX.with_fixtures(f""", {_TRANSCRIPT}
+    SELECT item_id, step, {Q.fill(PR.STEP_TEMPLATE, step='response', answers='transcript')} AS step_prompt
+    FROM tr WHERE pos < last_pos""", d7=FX.D7))
+def step_prompt(spark, sf_dir):
+    """S19 + M5: step prompt (step text + transcript so far) for every non-final step."""
+    mt = _multi_turn(spark, sf_dir)
+    return mt.filter(~F.col("is_last")).select("item_id", "step", "step_prompt")
+
+
+@register("final_prompt", FX.with_fixtures(f""", {_TRANSCRIPT}
+    SELECT tr.item_id, {Q.fill(PR.FINAL_TEMPLATE, question='d.prompt', extracted_info='tr.transcript', output_format='tr.response')} AS final_prompt
+    FROM tr JOIN (SELECT item_id, prompt FROM d7 WHERE step = 1) d ON tr.item_id = d.item_id
+    WHERE tr.pos = tr.last_pos""", d7=FX.D7))
+def final_prompt(spark, sf_dir):
+    """S18 + M5: final prompt from question, full transcript and the last step."""
+    mt = _multi_turn(spark, sf_dir)
+    return mt.filter(F.col("is_last")).select("item_id", "final_prompt")
+
+
+@register("prefix_prompt", FX.with_fixtures(f"""
+    SELECT item_id, concat({Q.q(PR.STEPWISE_PREFIX)}, prompt) AS prompt FROM d7 WHERE step = 1""", d7=FX.D7))
+def prefix_prompt(spark, sf_dir):
+    """S20 + M2: step-by-step prefix prepended to the question."""
+    items = _items(_d7(spark, sf_dir))
+    return items.select("item_id", PR.prefixed_prompt("prompt").alias("prompt"))
+
+
+@register("mode_direct", FX.with_fixtures(f""", {_D7_BASE}
+    SELECT i.item_id, i.prompt, r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
+    FROM items i LEFT JOIN lastr r ON i.item_id = r.item_id
+    WHERE i.item_id NOT IN (SELECT item_id FROM items WHERE already_done = 1)""", d7=FX.D7))
+def mode_direct(spark, sf_dir):
+    """M1 + J3 + J6: pending items -> request payload -> recorded response by key."""
+    d7 = _d7(spark, sf_dir)
+    items = _items(d7)
+    out = MO.direct(items, _last_responses(d7), done=items.filter(F.col("already_done") == 1))
+    return out.select("item_id", "prompt", "response", "missing")
+
+
+_MODE_CHAIN_SQL = f""", {_D7_BASE}, {_PARSED},
+    fvc AS (SELECT item_id, arg_min(chain, attempt) FILTER (WHERE chain IS NOT NULL AND attempt <= 3) AS chain
+            FROM c GROUP BY item_id),
+    st AS (SELECT i.item_id, i.prompt, f.chain, s1.response AS intermediate_response,
+                  {Q.last_instruction('f.chain', CH.LAST_STEP_PREFIX)} AS output_format
+           FROM items i JOIN fvc f ON i.item_id = f.item_id LEFT JOIN step1 s1 ON i.item_id = s1.item_id)
+    SELECT st.item_id, len(st.chain) AS n_steps, st.intermediate_response,
+           {Q.fill(PR.FINAL_TEMPLATE, question='st.prompt', extracted_info='st.intermediate_response', output_format='st.output_format')} AS final_prompt,
+           r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
+    FROM st LEFT JOIN lastr r ON st.item_id = r.item_id"""
+
+
+@register("mode_chain", FX.with_fixtures(_MODE_CHAIN_SQL, d7=FX.D7, d6=FX.D6))
+def mode_chain(spark, sf_dir):
+    """M3 (+M7 stage): generated chains -> extract stage -> final stage, joined by key."""
+    t = _t(spark, sf_dir)
+    d7 = _d7(spark, sf_dir)
+    chains = MO.parse_generations(D.d6_generations(t))
+    out = MO.answer_with_chain(_items(d7), chains, _step_responses(d7, 1), _last_responses(d7))
+    return out.select("item_id", F.size("chain").alias("n_steps"), "intermediate_response",
+                      "final_prompt", "response", "missing")
+
+
+@register("mode_ready", FX.with_fixtures(f""", {_D7_BASE},
+    st AS (SELECT i.item_id, i.prompt, rd.chain, s1.response AS intermediate_response,
+                  {Q.last_instruction('rd.chain', CH.LAST_STEP_PREFIX)} AS output_format
+           FROM items i JOIN ready rd ON i.item_id = rd.item_id LEFT JOIN step1 s1 ON i.item_id = s1.item_id)
+    SELECT st.item_id, len(st.chain) AS n_steps, st.intermediate_response,
+           {Q.fill(PR.FINAL_TEMPLATE, question='st.prompt', extracted_info='st.intermediate_response', output_format='st.output_format')} AS final_prompt,
+           r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
+    FROM st LEFT JOIN lastr r ON st.item_id = r.item_id""", d7=FX.D7))
+def mode_ready(spark, sf_dir):
+    """M4: supplied chains -> extract stage -> final stage (two calls per item)."""
+    d7 = _d7(spark, sf_dir)
+    out = MO.answer_with_chain(_items(d7), _ready_chains(d7), _step_responses(d7, 1), _last_responses(d7))
+    return out.select("item_id", F.size("chain").alias("n_steps"), "intermediate_response",
+                      "final_prompt", "response", "missing")
+
+
+@register("mode_exchange", FX.with_fixtures(f""", {_D7_BASE},
+    other AS (SELECT item_id, response AS other_intermediate_response FROM d7 WHERE step = 2),
+    st AS (SELECT i.item_id, i.prompt, rd.chain, o.other_intermediate_response AS info
+           FROM items i JOIN ready rd ON i.item_id = rd.item_id LEFT JOIN other o ON i.item_id = o.item_id)
+    SELECT st.item_id, st.info AS exchange_text,
+           {Q.fill(PR.FINAL_TEMPLATE, question='st.prompt', extracted_info='st.info', output_format=Q.last_instruction('st.chain', CH.LAST_STEP_PREFIX))} AS final_prompt,
+           r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
+    FROM st LEFT JOIN lastr r ON st.item_id = r.item_id""", d7=FX.D7))
+def mode_exchange(spark, sf_dir):
+    """M6 + J2: another run's intermediate responses feed this run's final prompt."""
+    d7 = _d7(spark, sf_dir)
+    other = _step_responses(d7, 2).withColumnRenamed("response", "other_intermediate_response")
+    out = MO.exchange(_items(d7), _ready_chains(d7), other, _last_responses(d7))
+    return out.select("item_id", F.element_at("exchange_info", 1).alias("exchange_text"),
+                      "final_prompt", "response", "missing")
+
+
+@register("resume_pending", FX.with_fixtures(f""", {_D7_BASE}
+    SELECT item_id, prompt FROM items WHERE item_id NOT IN (SELECT item_id FROM items WHERE already_done = 1)""",
+    d7=FX.D7))
+def resume_pending(spark, sf_dir):
+    """Items still to run, by anti-join with the finished ones."""
+    items = _items(_d7(spark, sf_dir))
+    return J.pending(items, items.filter(F.col("already_done") == 1)).select("item_id", "prompt")
+
+
+_FILL_SQL = f""", {_D7_BASE}, {_PARSED},
+    fvc AS (SELECT item_id, arg_min(chain, attempt) FILTER (WHERE chain IS NOT NULL AND attempt <= 3) AS chain
+            FROM c GROUP BY item_id)"""
+_REUSABLE = "coalesce(len({0}) > 0 AND NOT list_bool_or(list_transform({0}, lambda x: x IS NULL)), false)"
+
+
+@register("fill_missing_chain", FX.with_fixtures(f"""{_FILL_SQL},
+    base AS (SELECT i.item_id, CASE WHEN i.already_done = 1 THEN rd.chain END AS old, f.chain AS new
+             FROM items i LEFT JOIN ready rd ON i.item_id = rd.item_id LEFT JOIN fvc f ON i.item_id = f.item_id)
+    SELECT item_id,
+           CASE WHEN {_REUSABLE.format('old')} THEN 'existing' WHEN new IS NOT NULL THEN 'generated' ELSE 'none' END AS chain_source,
+           len(CASE WHEN {_REUSABLE.format('old')} THEN old ELSE new END) AS n_steps
+    FROM base""", d7=FX.D7, d6=FX.D6))
+def fill_missing_chain(spark, sf_dir):
+    """Keep reusable stored chains, fill the others from generated ones."""
+    d7 = _d7(spark, sf_dir)
+    items = _items(d7).join(_ready_chains(d7), "item_id", "left").withColumn(
+        "old", F.when(F.col("already_done") == 1, F.col("chain")))
+    gen = MO.parse_generations(D.d6_generations(_t(spark, sf_dir)))
+    out = J.fill_missing(items.drop("chain"), gen, "item_id", "old", "chain", "chain")
+    return out.select("item_id", "chain_source", F.size("chain").alias("n_steps"))
+
+
+@register("enrich_chain", FX.with_fixtures(f"""{_FILL_SQL},
+    base AS (SELECT f.item_id, rd.chain AS old, f.chain AS new FROM fvc f LEFT JOIN ready rd ON f.item_id = rd.item_id)
+    SELECT item_id,
+           CASE WHEN {_REUSABLE.format('old')} THEN 'existing' WHEN new IS NOT NULL THEN 'generated' ELSE 'none' END AS chain_source,
+           len(CASE WHEN {_REUSABLE.format('old')} THEN old ELSE new END) AS n_steps
+    FROM base""", d7=FX.D7, d6=FX.D6))
+def enrich_chain(spark, sf_dir):
+    """M9 (+P6, S28, J4): give every benchmark item a chain, generating only the gaps."""
+    d7 = _d7(spark, sf_dir)
+    gen = MO.parse_generations(D.d6_generations(_t(spark, sf_dir)))
+    base = gen.select("item_id").join(_ready_chains(d7).withColumnRenamed("chain", "old"), "item_id", "left")
+    out = J.fill_missing(base, gen, "item_id", "old", "chain", "chain")
+    return out.select("item_id", "chain_source", F.size("chain").alias("n_steps"))
+
+
+@register("missing_chain", FX.with_fixtures(f"""{_FILL_SQL}
+    SELECT item_id FROM fvc WHERE chain IS NULL OR len(chain) = 0""", d7=FX.D7, d6=FX.D6))
+def missing_chain(spark, sf_dir):
+    """Items whose chain is absent or empty after generation."""
+    gen = MO.parse_generations(D.d6_generations(_t(spark, sf_dir)))
+    return gen.filter(J.missing_chain(gen, "chain")).select("item_id")
+
+
+@register("append_results", FX.with_fixtures(f""", {_D7_BASE}
+    SELECT item_id, prompt, NULL AS response, NULL AS missing, 'prior' AS batch FROM items WHERE already_done = 1
+    UNION ALL
+    SELECT i.item_id, i.prompt, r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing, 'new' AS batch
+    FROM items i LEFT JOIN lastr r ON i.item_id = r.item_id
+    WHERE i.item_id NOT IN (SELECT item_id FROM items WHERE already_done = 1)""", d7=FX.D7))
+def append_results(spark, sf_dir):
+    """New results appended to prior ones by column name (absent columns null)."""
+    d7 = _d7(spark, sf_dir)
+    items = _items(d7)
+    prior = items.filter(F.col("already_done") == 1).select("item_id", "prompt", F.lit("prior").alias("batch"))
+    new = (MO.direct(items, _last_responses(d7), done=items.filter(F.col("already_done") == 1))
+           .select("item_id", "prompt", "response", "missing", F.lit("new").alias("batch")))
+    return J.append(prior, new)
+
+
+@register("completeness", FX.with_fixtures("""
+    SELECT e.expected, coalesce(a.actual, 0) AS actual, CASE WHEN e.expected = coalesce(a.actual, 0) THEN 1 ELSE 0 END AS complete
+    FROM (SELECT count(DISTINCT item_id) AS expected FROM d7) e,
+         (SELECT count(DISTINCT item_id) AS actual FROM d7 WHERE role = 'assistant') a""", d7=FX.D7))
+def completeness(spark, sf_dir):
+    """Expected items vs items that have a stored result."""
+    d7 = _d7(spark, sf_dir)
+    return J.completeness(d7.select("item_id"), d7.filter(F.col("role") == "assistant"), "item_id")
+
+
+@register("project_no_image", FX.with_fixtures("""
+    SELECT item_id, step, role, response, prompt, already_done FROM d7""", d7=FX.D7))
+def project_no_image(spark, sf_dir):
+    """Result rows without the image column."""
+    return J.drop_heavy(_d7(spark, sf_dir))
+
+
+def _positions(spark, sf_dir) -> DataFrame:
+    items = _items(_d7(spark, sf_dir)).select("item_id")
+    return W.dense_positions(items, "item_id")
+
+
+_POS_SQL = """, pos AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS position FROM d7 WHERE step = 1)"""
+
+
+@register("slice_from", FX.with_fixtures(f"""{_POS_SQL}
+    SELECT item_id, position FROM pos
+    WHERE position >= (SELECT count(*) FROM d7 WHERE step = 1 AND already_done = 1)""", d7=FX.D7))
+def slice_from(spark, sf_dir):
+    """The tail after as many rows as are already done (dense order key)."""
+    items = _items(_d7(spark, sf_dir))
+    return J.slice_after_done(_positions(spark, sf_dir), "position", items.filter(F.col("already_done") == 1))
+
+
+@register("point_lookup", FX.with_fixtures("""
+    SELECT item_id, prompt, image FROM d7 WHERE step = 1 AND item_id = 7""", d7=FX.D7))
+def point_lookup(spark, sf_dir):
+    """One item's prompt and image by key (filter pushed to the scan)."""
+    return J.lookup(_items(_d7(spark, sf_dir)), "item_id", 7)
+
+
+@register("batch_ids", FX.with_fixtures(f"""{_POS_SQL}
+    SELECT item_id, position, CAST(floor(position / 16) AS BIGINT) AS batch_id FROM pos""", d7=FX.D7))
+def batch_ids(spark, sf_dir):
+    """Batches of 16 consecutive items."""
+    return J.batch_ids(_positions(spark, sf_dir), "position", 16)

@@ -77,3 +77,42 @@ def unpivot(src: str, by: str, cols: list[str], group: str) -> str:
     return "\n    UNION ALL ".join(
         f"SELECT {lead}{q(group)} AS metric_group, {q(c)} AS metric, CAST({c} AS DOUBLE) AS value FROM {src}"
         for c in cols)
+
+
+# Fixed values mirrored from evalspark.functions.chains for the oracle side.
+def parse_steps(t: str) -> str:
+    """S15 in DuckDB: marker -> drop to first ':' and delete colons; strip; split; drop blank."""
+    body = (f"(CASE WHEN contains(lower({t}), 'reasoning steps') OR contains(lower({t}), 'step-by-step reasoning') "
+            f"THEN replace(regexp_extract({t}, '^[^:]*:(.*)$', 1, 's'), ':', '') ELSE {t} END)")
+    lines = f"string_split({py_strip(body)}, chr(10))"
+    kept = f"list_filter({lines}, lambda x: NOT regexp_matches(x, {q('^' + WS + '*$')}))"
+    return f"(CASE WHEN len({kept}) > 0 THEN {kept} END)"
+
+
+def refusal(t: str, phrases, fallback: str) -> str:
+    cond = " OR ".join(f"contains({t}, {q(p)})" for p in phrases)
+    return f"(CASE WHEN coalesce({cond}, false) THEN {q(fallback)} ELSE {t} END)"
+
+
+def context_prompt(chain: str, header: str) -> str:
+    body = (f"array_to_string(list_transform({chain}[1:len({chain}) - 1], "
+            f"lambda x, i: concat(CAST(i AS VARCHAR), '. ', x, chr(10))), '')")
+    return f"(CASE WHEN len({chain}) > 0 THEN concat({q(header)}, {body}) END)"
+
+
+def last_instruction(chain: str, prefix: str) -> str:
+    return f"(CASE WHEN len({chain}) > 0 THEN concat({q(prefix)}, {chain}[-1]) END)"
+
+
+def fill(template: str, **values: str) -> str:
+    """Template with {name} slots -> concat of literals and expressions (nulls -> '')."""
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = []
+    for i, p in enumerate(parts):
+        if i % 2 == 0:
+            if p:
+                pieces.append(q(p))
+        else:
+            pieces.append(f"coalesce(CAST({values[p]} AS VARCHAR), '')")
+    return f"concat({', '.join(pieces)})"
