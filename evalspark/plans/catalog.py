@@ -840,3 +840,166 @@ def point_lookup(spark, sf_dir):
 def batch_ids(spark, sf_dir):
     """Batches of 16 consecutive items."""
     return J.batch_ids(_positions(spark, sf_dir), "position", 16)
+
+
+# ---------------------------------------------------------------------------
+# Judge inputs
+
+from evalspark.functions import literals as LI  # noqa: E402
+
+_KINDS = list(PR.JUDGE_TEMPLATES)
+
+
+def _sql_case(kind: str, values: dict[str, str]) -> str:
+    return "(CASE " + " ".join(f"WHEN {kind} = {Q.q(k)} THEN {v}" for k, v in values.items()) + " END)"
+
+
+_SQL_REQUEST = _sql_case("kind", {k: Q.fill(t, response="response", answer="answer", choices="''")
+                                  for k, t in PR.JUDGE_TEMPLATES.items()})
+_SQL_INSTR = _sql_case("kind", {k: Q.q(v) for k, v in PR.JUDGE_INSTRUCTIONS.items()})
+_SQL_COMPOSED = Q.fill(PR.JUDGE_TEMPLATES["free_answer"], answer="answer", response="response")
+_SQL_MAXREP = f"list_max(map_values(list_histogram(string_split({{0}}, ' '))))"
+_D8_GUARD = f"""g AS (SELECT *, {_SQL_MAXREP.format(_SQL_COMPOSED)} AS max_repeat FROM d8)"""
+
+
+def _d8_guarded(spark, sf_dir) -> DataFrame:
+    d8 = D.d8_judge(_t(spark, sf_dir))
+    composed = PR.fill(PR.JUDGE_TEMPLATES["free_answer"], answer="answer", response="response")
+    return (d8.withColumn("max_repeat", M.max_word_count(composed))
+              .withColumn("guarded", (F.col("kind") == "free_answer") & (F.col("max_repeat") > PR.REPEAT_LIMIT)))
+
+
+@register("judge_requests", FX.with_fixtures(f""", {_D8_GUARD}
+    SELECT item_no, kind, {_SQL_INSTR} AS instruction, {_SQL_REQUEST} AS request
+    FROM g WHERE NOT (kind = 'free_answer' AND max_repeat > {PR.REPEAT_LIMIT})""", d8=FX.D8))
+def judge_requests(spark, sf_dir):
+    """S21 (+S22): one judge request per row by kind; guarded rows need no call."""
+    g = _d8_guarded(spark, sf_dir).filter(~F.col("guarded"))
+    return g.select("item_no", "kind", PR.judge_instruction("kind").alias("instruction"),
+                    PR.judge_text("kind", F.col("response"), F.col("answer"), F.lit("")).alias("request"))
+
+
+@register("judge_pass", FX.with_fixtures(f""", {_D8_GUARD},
+    v AS (SELECT item_no, kind, answer,
+                 CASE WHEN kind = 'free_answer' AND max_repeat > {PR.REPEAT_LIMIT} THEN 'unclear' ELSE verdict END AS verdict
+          FROM g)
+    SELECT item_no, kind, verdict,
+           CASE WHEN kind IN ('yes_no', 'choice') THEN {Q.token_sign('verdict', 'answer')}
+                WHEN kind = 'number' THEN {Q.numeric_sign('verdict', 'answer')}
+                ELSE CAST(coalesce(verdict = 'correct', false) AS INTEGER) END AS sign
+    FROM v""", d8=FX.D8))
+def judge_pass(spark, sf_dir):
+    """Verdict for every row (guard or recorded judge output) and its sign by kind."""
+    g = _d8_guarded(spark, sf_dir)
+    v = g.select("item_no", "kind", "answer",
+                 F.when(F.col("guarded"), F.lit("unclear")).otherwise(F.col("verdict")).alias("verdict"))
+    token = v.filter(F.col("kind").isin("yes_no", "choice")).withColumn("sign", S.token_sign("verdict", "answer"))
+    number = LI.score_numeric(v.filter(F.col("kind") == "number"), "verdict", "answer", "sign")
+    free = v.filter(~F.col("kind").isin("yes_no", "choice", "number")).withColumn("sign", S.exact_sign("verdict"))
+    return token.unionByName(number).unionByName(free).select("item_no", "kind", "verdict", "sign")
+
+
+@register("repetition_guard", FX.with_fixtures(f""", {_D8_GUARD}
+    SELECT item_no, max_repeat, CAST(kind = 'free_answer' AND max_repeat > {PR.REPEAT_LIMIT} AS INTEGER) AS guarded
+    FROM g""", d8=FX.D8))
+def repetition_guard(spark, sf_dir):
+    """Largest word repeat in the composed free-answer text; > 10 -> 'unclear'."""
+    g = _d8_guarded(spark, sf_dir)
+    return g.select("item_no", "max_repeat", F.col("guarded").cast("int").alias("guarded"))
+
+
+@register("word_frequency", FX.with_fixtures(f"""
+    SELECT item_no, {_SQL_MAXREP.format('response')} AS max_count FROM d8""", d8=FX.D8))
+def word_frequency(spark, sf_dir):
+    """Most frequent space-separated word count per whole response."""
+    d8 = D.d8_judge(_t(spark, sf_dir))
+    return d8.select("item_no", M.max_word_count("response").alias("max_count"))
+
+
+@register("exact_verdict", FX.with_fixtures("""
+    SELECT item_no, CAST(coalesce(verdict = 'correct', false) AS INTEGER) AS sign FROM d8""", d8=FX.D8))
+def exact_verdict(spark, sf_dir):
+    """Free-answer sign, verdict exactly 'correct' (case-sensitive)."""
+    d8 = D.d8_judge(_t(spark, sf_dir))
+    return d8.select("item_no", S.exact_sign("verdict").alias("sign"))
+
+
+# ---------------------------------------------------------------------------
+# Request payloads
+
+_SQL_MEDIA = """(CASE WHEN starts_with(hex(from_base64(image)), 'FFD8FF') THEN 'image/jpeg'
+     WHEN starts_with(hex(from_base64(image)), '89504E470D0A1A0A') THEN 'image/png'
+     WHEN starts_with(hex(from_base64(image)), '474946383761') OR starts_with(hex(from_base64(image)), '474946383961') THEN 'image/gif'
+     WHEN starts_with(hex(from_base64(image)), '52494646') AND substr(hex(from_base64(image)), 17, 8) = '57454250' THEN 'image/webp' END)"""
+_SQL_SYS = """CASE WHEN system_text IS NOT NULL THEN concat('{"role":"system","content":', to_json(system_text), '},') ELSE '' END"""
+_SQL_PARTS = f"""concat('[', {_SQL_SYS}, '{{"role":"user","content":[{{"type":"text","text":', to_json(query), '}}',
+    CASE WHEN image IS NOT NULL THEN concat(',{{"type":"image_url","image_url":{{"url":', to_json(concat('data:image/jpeg;base64,', image)), '}}}}') ELSE '' END,
+    ']}}]')"""
+_SQL_FLAT = """concat('{', CASE WHEN system_text IS NOT NULL THEN concat('"system":', to_json(system_text), ',') ELSE '' END,
+    '"prompt":', to_json(query), ',"images":', CASE WHEN image IS NULL THEN '[]' ELSE concat('[', to_json(image), ']') END, '}')"""
+_SQL_MEDIA_PAYLOAD = f"""concat('[', {_SQL_SYS}, '{{"role":"user","content":[',
+    CASE WHEN image IS NOT NULL THEN concat('{{"type":"image","source":{{"type":"base64",',
+        CASE WHEN {_SQL_MEDIA} IS NOT NULL THEN concat('"media_type":', to_json({_SQL_MEDIA}), ',') ELSE '' END,
+        '"data":', to_json(image), '}}}},') ELSE '' END,
+    '{{"type":"text","text":', to_json(query), '}}]}}]')"""
+
+
+@register("chat_payload", FX.with_fixtures(f"""
+    SELECT item_id, {_SQL_PARTS} AS payload_parts, {_SQL_FLAT} AS payload_flat,
+           {_SQL_MEDIA_PAYLOAD} AS payload_media FROM d9""", d9=FX.D9))
+def chat_payload(spark, sf_dir):
+    """The three chat payload layouts as JSON text (absent system message dropped)."""
+    d9 = D.d9_payloads(_t(spark, sf_dir))
+    return d9.select("item_id",
+                     PR.payload_parts("system_text", "query", "image").alias("payload_parts"),
+                     PR.payload_flat("system_text", "query", "image").alias("payload_flat"),
+                     PR.payload_media("system_text", "query", "image").alias("payload_media"))
+
+
+@register("media_type", FX.with_fixtures(f"""
+    SELECT item_id, {_SQL_MEDIA} AS media_type FROM d9""", d9=FX.D9))
+def media_type(spark, sf_dir):
+    """Image media type from its leading bytes."""
+    d9 = D.d9_payloads(_t(spark, sf_dir))
+    return d9.select("item_id", PR.media_type("image").alias("media_type"))
+
+
+@register("base64_canonical", FX.with_fixtures("""
+    SELECT item_id, to_base64(from_base64(image)) AS canonical FROM d9""", d9=FX.D9))
+def base64_canonical(spark, sf_dir):
+    """base64 text decoded and re-encoded without line breaks."""
+    d9 = D.d9_payloads(_t(spark, sf_dir))
+    return d9.select("item_id", PR.canonical_base64("image").alias("canonical"))
+
+
+# ---------------------------------------------------------------------------
+# Run metadata from result file names (D1 rows spread over files)
+
+from evalspark.sources import files as FI  # noqa: E402
+
+_MODE_ALT = "|".join(FI.MODE_NAMES)
+_MODE_CASE_SQL = ("(CASE CAST(item_no % 6 AS INTEGER) "
+                  + " ".join(f"WHEN {i} THEN {Q.q(m)}" for i, m in enumerate(FI.MODE_NAMES)) + " END)")
+
+
+@register("run_metadata", FX.with_fixtures(f""",
+    f AS (SELECT concat('m_', subcategory, '_', coalesce(subset, 'all'), '_',
+                        {_MODE_CASE_SQL},
+                        '_result.tsv') AS file_name FROM d1),
+    p AS (SELECT file_name, count(*) AS n_rows,
+                 regexp_extract(file_name, '_({_MODE_ALT})_result\\.tsv$', 1) AS mode,
+                 regexp_replace(file_name, '_({_MODE_ALT})_result\\.tsv$', '') AS rest
+          FROM f GROUP BY file_name)
+    SELECT file_name, n_rows, mode, regexp_extract(rest, '^(.*)_[^_]*$', 1) AS model,
+           regexp_extract(rest, '_([^_]*)$', 1) AS bench,
+           regexp_extract(file_name, '^(.*)\\.[^.]*$', 1) AS run_stem,
+           split_part(file_name, '.', 1) AS bench_stem
+    FROM p""", d1=FX.D1))
+def run_metadata(spark, sf_dir):
+    """Per result file, its row count and the model, benchmark and mode in its name."""
+    d1 = D.d1_yes_no(_t(spark, sf_dir))
+    modes = F.element_at(F.array(*[F.lit(m) for m in FI.MODE_NAMES]), (F.col("item_no") % 6 + 1).cast("int"))
+    named = d1.select(F.concat(F.lit("m_"), "subcategory", F.lit("_"), F.coalesce("subset", F.lit("all")),
+                               F.lit("_"), modes, F.lit("_result.tsv")).alias("file_name"))
+    per_file = named.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    return FI.run_metadata(per_file, "file_name")
