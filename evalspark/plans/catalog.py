@@ -1003,3 +1003,48 @@ def run_metadata(spark, sf_dir):
                                F.lit("_"), modes, F.lit("_result.tsv")).alias("file_name"))
     per_file = named.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_rows"))
     return FI.run_metadata(per_file, "file_name")
+
+
+# ---------------------------------------------------------------------------
+# Restartable incremental scoring and response collection (streaming)
+
+from evalspark.streaming import incremental as INC  # noqa: E402
+
+
+def _table_stream(spark, sf_dir: str, name: str) -> DataFrame:
+    schema = _t(spark, sf_dir).table(name).schema
+    return INC.read_stream(spark, sf_dir, schema, "parquet", pathGlobFilter=f"{name}.parquet")
+
+
+@register("incremental_scoring", FX.with_fixtures(f""", {_D1_SIGN}
+    SELECT item_no, run_id, verdict, sign FROM s""", d1=FX.D1))
+def incremental_scoring(spark, sf_dir):
+    """Documents as a file stream, scored and appended with a checkpoint.
+
+    A second run over the same checkpoint adds no rows (tested); the
+    returned frame reads the scored output back.
+    """
+    run = INC.new_run_folder(spark, "incremental-scoring")
+    t = _t(spark, sf_dir)
+    docs = _table_stream(spark, sf_dir, "documents")
+
+    def score(stream):
+        return (SU.HALLUCINATION.score_rows(D.d1_yes_no(t, documents=stream))
+                .select("item_no", "run_id", "verdict", "sign"))
+
+    INC.score_stream(docs, score, f"{run}/out", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/out")
+
+
+@register("response_collection", FX.with_fixtures("""
+    SELECT i.item_id AS request_id, i.prompt, c.text AS response
+    FROM (SELECT item_id, prompt FROM d7 WHERE step = 1) i
+    JOIN conversations c ON c.conv_id = i.item_id AND c.turn = 0""", d7=FX.D7))
+def response_collection(spark, sf_dir):
+    """Response files streamed in and attached to the request table by key."""
+    run = INC.new_run_folder(spark, "response-collection")
+    requests = _items(_d7(spark, sf_dir)).select(F.col("item_id").alias("request_id"), "prompt")
+    stream = (_table_stream(spark, sf_dir, "conversations").filter(F.col("turn") == 0)
+              .select(F.col("conv_id").alias("request_id"), F.col("text").alias("response")))
+    INC.collect_responses(stream, requests, f"{run}/responses", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/responses").select("request_id", "prompt", "response")

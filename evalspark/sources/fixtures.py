@@ -23,9 +23,14 @@ def _case(*pairs: tuple[Column, object], otherwise: object) -> Column:
     return expr.otherwise(other)
 
 
-def d1_yes_no(t: Tables) -> DataFrame:
-    """One yes/no verdict per labelled document, four runs, null subsets."""
-    d = t.documents.select("doc_id", "lang", "source", "n_chars")
+def d1_yes_no(t: Tables, documents: DataFrame | None = None) -> DataFrame:
+    """One yes/no verdict per labelled document, four runs, null subsets.
+
+    ``documents`` may be a stream of the documents table (I1); the labels
+    side is then a static table joined to each micro-batch.
+    """
+    docs = documents if documents is not None else t.documents
+    d = docs.select("doc_id", "lang", "source", "n_chars")
     lab = t.labels.select("doc_id", "quality")
     n = F.col("n_chars")
     return d.join(lab, "doc_id").select(
