@@ -1,23 +1,25 @@
 """Python-literal text (S13, S14, F3) with a JVM fast path.
 
 Literal text such as ``['a', 'b']`` or ``{'skills': [...]}`` is parsed
-with ``from_json`` (single quotes allowed). Only rows the fast path
-cannot decide are sent, as a separate narrow branch, through an
-Arrow-batched pandas UDF running ``ast.literal_eval``; the branch is
-unioned back, so Python never sees the rows the JVM already handled.
+with ``from_json`` (single quotes allowed). Rows the fast path cannot
+decide are evaluated by an Arrow-batched pandas UDF running
+``ast.literal_eval``; the UDF gets a mask and does no work on the rows
+the JVM already handled.
 """
 
 from __future__ import annotations
 
 import ast
 import json
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark import cloudpickle
 from pyspark.sql import types as T
 
-from evalspark.functions.signs import numeric_sign
+from evalspark.functions.signs import may_need_python, numeric_sign
 from evalspark.functions.text import col_
 
 SKILLS_SCHEMA = "struct<skills:array<string>>"
@@ -50,16 +52,20 @@ def python_numeric_sign(verdict, answer) -> int:
 
 
 @F.pandas_udf(T.IntegerType())
-def literal_equal_sign(verdict: pd.Series, answer: pd.Series) -> pd.Series:
-    """the S4 rule in Python, for rows the JVM fast path left undecided."""
-    return pd.Series([python_numeric_sign(v, a) for v, a in zip(verdict, answer)], dtype="int32")
+def literal_equal_sign(verdict: pd.Series, answer: pd.Series, need: pd.Series) -> pd.Series:
+    """the S4 rule in Python, computed only where ``need`` is true (else null)."""
+    return pd.Series([python_numeric_sign(v, a) if n else None
+                      for v, a, n in zip(verdict, answer, need)], dtype="Int32")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def literal_string_list(text: pd.Series) -> pd.Series:
-    """list/tuple literal -> list of str; anything else -> null."""
+def literal_string_list(text: pd.Series, need: pd.Series) -> pd.Series:
+    """list/tuple literal -> list of str; anything else -> null (only where ``need``)."""
     out = []
-    for t in text:
+    for t, n in zip(text, need):
+        if not n:
+            out.append(None)
+            continue
         try:
             v = _literal(t)
             out.append([None if x is None else str(x) for x in v]
@@ -70,10 +76,13 @@ def literal_string_list(text: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def literal_skills(text: pd.Series) -> pd.Series:
-    """dict literal -> its 'skills' list as str; anything else -> null."""
+def literal_skills(text: pd.Series, need: pd.Series) -> pd.Series:
+    """dict literal -> its 'skills' list as str; anything else -> null (only where ``need``)."""
     out = []
-    for t in text:
+    for t, n in zip(text, need):
+        if not n:
+            out.append(None)
+            continue
         try:
             v = _literal(t)
             s = v.get("skills") if isinstance(v, dict) else None
@@ -98,31 +107,39 @@ def skills(metadata: str | Column) -> Column:
 
 
 def with_fallback(df: DataFrame, out: str, fast: Column, slow) -> DataFrame:
-    """Add ``out`` = ``fast``; rows where it is null get ``slow`` (a pandas UDF call).
+    """Add ``out`` = ``fast``, or ``slow(need)`` where the fast path gave null.
 
-    Two narrow branches over the same input, unioned: no shuffle, and the
-    Python worker only receives the undecided rows.
+    ``slow`` takes the mask column and is an Arrow-batched pandas UDF that
+    only evaluates masked rows; one pass, no shuffle, no second scan.
     """
-    base = df.withColumn(out, fast)
-    done = base.filter(F.col(out).isNotNull())
-    pending = base.filter(F.col(out).isNull()).withColumn(out, slow)
-    return done.unionByName(pending)
+    f = F.col("_fast")
+    return (df.withColumn("_fast", fast)
+              .withColumn(out, F.coalesce(f, slow(f.isNull())))
+              .drop("_fast"))
 
 
 def score_numeric(df: DataFrame, verdict: str, answer: str, out: str = "sign") -> DataFrame:
-    """S4 for a table: JVM rules first, Python literal equality for the rest."""
-    return with_fallback(df, out, numeric_sign(verdict, answer),
-                         literal_equal_sign(F.col(verdict), F.col(answer)))
+    """S4 for a table in one pass: JVM rules, Python only for undecided rows.
+
+    The JVM rule decides int / float / number-list / text answers. The
+    (short) verdict and answer strings travel in Arrow batches to one
+    pandas UDF, which evaluates the Python literal rule only on rows the
+    JVM left null (tuples, quoted strings, nested lists, ...).
+    """
+    fast = F.col("_fast")
+    return (df.withColumn("_fast", numeric_sign(verdict, answer))
+              .withColumn(out, F.coalesce(fast, literal_equal_sign(F.col(verdict), F.col(answer), fast.isNull())))
+              .drop("_fast"))
 
 
 def parse_string_list(df: DataFrame, text: str, out: str) -> DataFrame:
     """S13 for a table: ``from_json`` then ``ast.literal_eval`` for the rest."""
-    return with_fallback(df, out, string_list(text), literal_string_list(F.col(text)))
+    return with_fallback(df, out, string_list(text), lambda need: literal_string_list(F.col(text), need))
 
 
 def parse_skills(df: DataFrame, metadata: str, out: str = "skills") -> DataFrame:
     """S14 for a table: fast path, Python literal fallback for the rest."""
-    return with_fallback(df, out, skills(metadata), literal_skills(F.col(metadata)))
+    return with_fallback(df, out, skills(metadata), lambda need: literal_skills(F.col(metadata), need))
 
 
 def to_text(c: str | Column) -> Column:
@@ -132,3 +149,8 @@ def to_text(c: str | Column) -> Column:
 
 def json_text(value) -> str:
     return json.dumps(value, ensure_ascii=False)
+
+
+# Ship this module's Python functions by value, so executors need no
+# installed copy of the package to run the pandas UDFs.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

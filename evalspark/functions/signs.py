@@ -67,19 +67,19 @@ def answer_kind(answer: str | Column) -> Column:
 
 
 def numeric_sign(verdict: str | Column, answer: str | Column) -> Column:
-    """S4 fast path: int / float / number-list answers; null for 'literal' rows.
+    """S4 fast path; null only where Python must decide (see ``may_need_python``).
 
-    int answer: the verdict must match the integer grammar and be equal.
-    float answer: the verdict must parse as a float and be equal (NaN never
-    equals NaN). number list: element-wise equality with order. Text
-    answers score 0. Rows whose answer is some other Python literal give
-    null here and are decided by ``literals.literal_equal_sign``.
+    The answer's type picks the rule, tested in order (each test runs at
+    most once per row): int grammar -> the verdict must match the integer
+    grammar and be equal; float grammar -> the verdict must parse as a
+    float and be equal (NaN never equals NaN); number list -> element-wise
+    equality in order; other literal-looking text -> null; text -> 0.
     """
     v, a = col_(verdict), col_(answer)
-    kind = answer_kind(a)
     vi, ai = _as_int(v), _as_int(a)
     int_sign = (F.when(~F.coalesce(v.rlike(INT_PATTERN), F.lit(False)), F.lit(0))
-                .when(vi.isNull() | ai.isNull(), F.lit(None))   # beyond 38 digits
+                .when(ai.isNull(), F.lit(None))                 # answer beyond 38 digits
+                .when(vi.isNull(), F.lit(0))                    # verdict beyond 38 digits: differs
                 .otherwise((vi == ai).cast("int")))
     vd, ad = _as_double(v), _as_double(a)
     float_eq = v.rlike(FLOAT_PATTERN) & (vd == ad) & ~F.isnan(ad)
@@ -87,12 +87,28 @@ def numeric_sign(verdict: str | Column, answer: str | Column) -> Column:
     list_sign = (F.when(~F.coalesce(v.rlike(LIST_PATTERN), F.lit(False)), F.lit(0))
                  .when(~_is_number_list(vl), F.lit(None))       # other literal: Python decides
                  .otherwise(((vl == al) & ~F.exists(al, lambda x: F.isnan(x))).cast("int")))
-    sign = (F.when(a.isNull() | v.isNull(), F.lit(0))
-            .when(kind == "int", int_sign)
-            .when(kind == "float", F.coalesce(float_eq, F.lit(False)).cast("int"))
-            .when(kind == "list", list_sign)
-            .when(kind == "text", F.lit(0)))
-    return sign
+    return (F.when(a.isNull() | v.isNull(), F.lit(0))
+            .when(a.rlike(INT_PATTERN), int_sign)
+            .when(a.rlike(FLOAT_PATTERN), F.coalesce(float_eq, F.lit(False)).cast("int"))
+            .when(a.rlike(LIST_PATTERN) & _is_number_list(al), list_sign)
+            .when(a.rlike(LITERAL_START), F.lit(None).cast("int"))
+            .otherwise(F.lit(0)))
+
+
+def may_need_python(verdict: str | Column, answer: str | Column) -> Column:
+    """Superset of the rows ``numeric_sign`` leaves null, tested without the full rule.
+
+    Literal-looking answers that are not numbers or number lists, number-list
+    answers whose verdict is a list of something else, and integers too long
+    for decimal(38, 0).
+    """
+    v, a = col_(verdict), col_(answer)
+    numeric = a.rlike(INT_PATTERN) | a.rlike(FLOAT_PATTERN)
+    number_list = a.rlike(LIST_PATTERN) & _is_number_list(_as_number_list(a))
+    literal_like = a.rlike(LITERAL_START) & ~numeric & ~number_list
+    odd_verdict = number_list & v.rlike(LIST_PATTERN) & ~_is_number_list(_as_number_list(v))
+    huge_int = a.rlike(INT_PATTERN) & (F.length(a) > 38)
+    return F.coalesce(literal_like | odd_verdict | huge_int, F.lit(False))
 
 
 def routed_sign(question_type: str | Column, verdict: str | Column, answer: str | Column,

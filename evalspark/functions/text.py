@@ -12,6 +12,11 @@ VERDICT_STRIP_CHARS = ".()[],:;!*#{}"
 PY_WHITESPACE = ("[\\t\\n\\x{0B}\\x{0C}\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}"
                  "\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
 
+# The same whitespace set as literal characters, for char-set trimming.
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                       + "".join(chr(c) for c in range(0x2000, 0x200B))
+                       + "\u2028\u2029\u202f\u205f\u3000")
+
 # Ternary label words and their codes.
 TERNARY_LABELS = {"yes": 1, "no": 0, "unclear": -1}
 
@@ -21,8 +26,12 @@ def col_(c: str | Column) -> Column:
 
 
 def py_strip(c: str | Column) -> Column:
-    """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(col_(c), f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
+    """Python ``str.strip()``: remove leading and trailing Unicode whitespace.
+
+    A character-set trim touches only the ends of the text, unlike a
+    ``\\s+$`` regex that is retried at every position of a long text.
+    """
+    return F.trim(col_(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def verdict_tokens(verdict: str | Column) -> Column:

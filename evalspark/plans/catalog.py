@@ -893,10 +893,11 @@ def judge_pass(spark, sf_dir):
     g = _d8_guarded(spark, sf_dir)
     v = g.select("item_no", "kind", "answer",
                  F.when(F.col("guarded"), F.lit("unclear")).otherwise(F.col("verdict")).alias("verdict"))
-    token = v.filter(F.col("kind").isin("yes_no", "choice")).withColumn("sign", S.token_sign("verdict", "answer"))
-    number = LI.score_numeric(v.filter(F.col("kind") == "number"), "verdict", "answer", "sign")
-    free = v.filter(~F.col("kind").isin("yes_no", "choice", "number")).withColumn("sign", S.exact_sign("verdict"))
-    return token.unionByName(number).unionByName(free).select("item_no", "kind", "verdict", "sign")
+    num = LI.score_numeric(v, "verdict", "answer", "_num")
+    sign = (F.when(F.col("kind").isin("yes_no", "choice"), S.token_sign("verdict", "answer"))
+            .when(F.col("kind") == "number", F.col("_num"))
+            .otherwise(S.exact_sign("verdict")))
+    return num.select("item_no", "kind", "verdict", sign.alias("sign"))
 
 
 @register("repetition_guard", FX.with_fixtures(f""", {_D8_GUARD}

@@ -10,9 +10,11 @@ so a lost executor never repeats finished calls.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,7 @@ def persist_to(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Write responses once (W1) and read them back, cutting the lineage."""
     df.write.mode(mode).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+# Ship this module's functions by value: executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,7 @@ correctness check compares two separate formulations.
 """
 
 from evalspark.functions.signs import FLOAT_PATTERN, INT_PATTERN, LIST_PATTERN
-from evalspark.functions.text import PY_WHITESPACE, VERDICT_STRIP_CHARS
+from evalspark.functions.text import PY_WHITESPACE, PY_WHITESPACE_CHARS, VERDICT_STRIP_CHARS
 
 WS = PY_WHITESPACE
 
@@ -28,8 +28,11 @@ def contains_sign(v: str, a: str) -> str:
     return f"CAST(coalesce(contains(lower({v}), {a}), false) AS INTEGER)"
 
 
+WS_CHARS_SQL = "(" + " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE_CHARS) + ")"
+
+
 def py_strip(x: str) -> str:
-    return f"regexp_replace({x}, {q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+    return f"trim({x}, {WS_CHARS_SQL})"
 
 
 def says_yes(x: str) -> str:

@@ -2,8 +2,10 @@
 
 A ``Suite`` is data, not a class hierarchy: a column expression for the
 answer, a sign rule, and a metric builder. Users override any of them by
-passing their own callables (``dataclasses.replace(suite, answer=...)``);
-all stay Catalyst expressions, so no UDF is involved.
+passing their own callables (``dataclasses.replace(suite, answer=...)``).
+Everything is a Catalyst expression except the Python-literal fallback of
+the numeric rule (an Arrow-batched pandas UDF that only works on rows the
+JVM rule cannot decide).
 """
 
 from __future__ import annotations
@@ -157,10 +159,10 @@ def _math_answer(df: DataFrame) -> Column:
 
 
 def _math_sign(df: DataFrame, verdict: str, answer: str) -> DataFrame:
-    choice_rows = df.filter(F.col("question_type") == "multi_choice").withColumn(
-        "sign", S.token_sign(verdict, answer))
-    other_rows = df.filter(~(F.col("question_type") == "multi_choice") | F.col("question_type").isNull())
-    return choice_rows.unionByName(L.score_numeric(other_rows, verdict, answer, "sign"))
+    num = L.score_numeric(df, verdict, answer, "_num")
+    return (num.withColumn("sign", F.when(F.col("question_type") == "multi_choice",
+                                          S.token_sign(verdict, answer)).otherwise(F.col("_num")))
+               .drop("_num"))
 
 
 MATH_MIXED = Suite(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.sources.tables import Tables
+from evalspark.sources.tables import Tables, ensure_parallelism
 
 
 def _case(*pairs: tuple[Column, object], otherwise: object) -> Column:
@@ -94,7 +94,7 @@ def d3_options(t: Tables) -> DataFrame:
 
 def d4_numeric(t: Tables) -> DataFrame:
     """Numeric, list, text and letter answers with near-miss verdicts."""
-    e = t.events.select("event_id", "user_id", "event_type", "value")
+    e = ensure_parallelism(t.events.select("event_id", "user_id", "event_type", "value"), "event_id")
     et = F.col("event_type")
     eid = F.col("event_id")
     money = F.col("value").cast("decimal(10,2)").cast("string")
@@ -138,7 +138,7 @@ def d5_skills(t: Tables) -> DataFrame:
 
 def d6_generations(t: Tables) -> DataFrame:
     """Three chain generations per item, from whole document texts."""
-    d = t.documents.select("doc_id", "text", "n_chars")
+    d = ensure_parallelism(t.documents.select("doc_id", "text", "n_chars"), "doc_id")
     did = F.col("doc_id")
     gen = _case(
         (F.col("n_chars") % 4 == 0, F.lit(" \n ")),
@@ -169,7 +169,7 @@ def d7_steps(t: Tables) -> DataFrame:
 
 def d8_judge(t: Tables) -> DataFrame:
     """Judge inputs: whole document texts as responses, repetitive rows."""
-    d = t.documents.select("doc_id", "text", "lang", "n_chars")
+    d = ensure_parallelism(t.documents.select("doc_id", "text", "lang", "n_chars"), "doc_id")
     did = F.col("doc_id")
     return d.select(
         did.alias("item_no"),

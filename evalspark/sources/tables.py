@@ -32,3 +32,18 @@ class Tables:
     @cached_property
     def names(self) -> tuple[str, ...]:
         return TABLE_NAMES
+
+
+def ensure_parallelism(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-split input before CPU-heavy per-row text work.
+
+    A large input already arrives in many splits and is returned as is
+    (no shuffle). Only an input with fewer partitions than the cluster's
+    default parallelism (e.g. one big row group) is hash-partitioned on
+    its row key, which is unique, so no partition gets more than its share.
+    """
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
