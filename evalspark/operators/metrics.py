@@ -254,3 +254,48 @@ def max_word_count(text: str | Column, sep: str = " ") -> Column:
         return F.struct(w.alias("prev"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
     return F.aggregate(words, init, step, lambda acc: acc["best"])
+
+
+def summary_long(df: DataFrame, by: Sequence[str] = (), sign: str = "sign", category: str | None = None,
+                 truth: str | Column | None = None, pred: str | Column | None = None) -> DataFrame:
+    """A1 + A2 + A3/A4 + A13 in one scan: a single grouping-sets aggregate.
+
+    Grouping sets ``(by)`` and ``(by, category)`` share one partial
+    aggregate and one shuffle; each result row is then exploded into the
+    long layout ``(by..., metric_group, metric, value)``. Rows with a null
+    category count in the overall level only.
+    """
+    by = _keys(by)
+    aggs = [F.coalesce(F.sum(sign), F.lit(0)).cast("bigint").alias("correct"),
+            F.count(F.lit(1)).alias("total")]
+    if truth is not None:
+        t, p = col_(truth), col_(pred)
+        aggs += [_count_if((t == 1) & (p == 1)).alias("tp"), _count_if((t != 1) & (p == 1)).alias("fp"),
+                 _count_if((t == 1) & (p != 1)).alias("fn"), _count_if(p == 1).alias("predicted_yes")]
+    if category:
+        grouped = df.groupingSets([by, [*by, category]], *by, category)
+        agg = grouped.agg(*aggs, F.grouping(category).alias("_top"))
+    else:
+        agg = df.groupBy(*by).agg(*aggs, F.lit(1).alias("_top"))
+
+    def row(group: str, metric: Column, value: Column) -> Column:
+        return F.struct(F.lit(group).alias("metric_group"), metric.cast("string").alias("metric"),
+                        value.cast("double").alias("value"))
+
+    correct, total = F.col("correct"), F.col("total")
+    acc = _ratio(correct, total)
+    top = [row("overall", F.lit("correct"), correct), row("overall", F.lit("total"), total),
+           row("overall", F.lit("accuracy"), acc)]
+    if truth is not None:
+        tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+        top += [row("binary", F.lit("precision"), _ratio(tp, tp + fp, 0.0)),
+                row("binary", F.lit("recall"), _ratio(tp, tp + fn, 0.0)),
+                row("binary", F.lit("f1"), _ratio(2 * tp, 2 * tp + fp + fn, 0.0)),
+                row("binary", F.lit("yes_rate"), _ratio(F.col("predicted_yes"), total))]
+    rows = F.array(*top)
+    keep = F.col("_top") == 1
+    if category:
+        rows = F.when(keep, rows).otherwise(F.array(row("category", F.col(category), acc)))
+        keep = keep | F.col(category).isNotNull()
+    return (agg.filter(keep).select(*by, F.explode(rows).alias("m"))
+               .select(*by, "m.metric_group", "m.metric", "m.value"))

@@ -75,6 +75,14 @@ def prf_long(truth: Callable[[], Column], pred: Callable[[], Column]) -> MetricF
     return build
 
 
+def summary(category: str | None = None, truth: Callable[[], Column] | None = None,
+            pred: Callable[[], Column] | None = None) -> MetricFn:
+    """Overall, per-category and binary metrics from one grouping-sets aggregate."""
+    def build(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        return M.summary_long(df, by, "sign", category, truth() if truth else None, pred() if pred else None)
+    return build
+
+
 def combine(*builders: MetricFn) -> MetricFn:
     def build(df: DataFrame, by: Sequence[str]) -> DataFrame:
         parts = [b(df, by) for b in builders]
@@ -118,8 +126,7 @@ HALLUCINATION = Suite(
     name="hallucination",
     answer=lambda df: X.yes_no_answer("gt_answer"),
     sign=_column_sign(S.token_sign),
-    metrics=combine(overall_long, category_accuracy_long("subcategory"),
-                    prf_long(lambda: F.col("gt_answer"), lambda: X.says_yes("verdict"))),
+    metrics=summary("subcategory", lambda: F.col("gt_answer"), lambda: X.says_yes("verdict")),
     required=("gt_answer",),
 )
 
@@ -127,8 +134,7 @@ OBJECT_PROBE = Suite(
     name="object_probe",
     answer=lambda df: X.lower_strip("ground_truth"),
     sign=_column_sign(S.token_sign),
-    metrics=combine(overall_long, category_accuracy_long("subset"),
-                    prf_long(lambda: X.says_yes("ground_truth"), lambda: X.says_yes("verdict"))),
+    metrics=summary("subset", lambda: X.says_yes("ground_truth"), lambda: X.says_yes("verdict")),
     required=("ground_truth",),
 )
 
@@ -144,7 +150,7 @@ LETTERED_CHOICE = Suite(
     name="lettered_choice",
     answer=lambda df: X.paren_letter("answer_letter"),
     sign=_column_sign(S.contains_sign),
-    metrics=combine(overall_long, category_accuracy_long("question_type")),
+    metrics=summary("question_type"),
     kind="choice",
     choices=lambda df: F.col("choices_text"),
     required=("answer_letter",),
