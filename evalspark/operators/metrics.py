@@ -63,10 +63,11 @@ def binary_prf(df: DataFrame, truth: str | Column, pred: str | Column,
                 _count_if(p == 1).alias("predicted_yes"),
                 F.count(F.lit(1)).alias("total")))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return (out.withColumn("precision", _ratio(tp, tp + fp, 0.0))
-               .withColumn("recall", _ratio(tp, tp + fn, 0.0))
-               .withColumn("f1", _ratio(2 * tp, 2 * tp + fp + fn, 0.0))
-               .withColumn("yes_rate", _ratio(F.col("predicted_yes"), F.col("total"))))
+    return out.withColumns({
+        "precision": _ratio(tp, tp + fp, 0.0),
+        "recall": _ratio(tp, tp + fn, 0.0),
+        "f1": _ratio(2 * tp, 2 * tp + fp + fn, 0.0),
+        "yes_rate": _ratio(F.col("predicted_yes"), F.col("total"))})
 
 
 def ternary_confusion(df: DataFrame, task: str, truth: str, pred: str,
@@ -89,10 +90,10 @@ def ternary_confusion(df: DataFrame, task: str, truth: str, pred: str,
                 _count_if(p == -1).alias("other_num"),
                 _count_if(g.isNull() | p.isNull()).alias("bad_label")))
     tp, fp, fn = F.col("TP"), F.col("FP"), F.col("FN")
-    return (out.withColumn("acc", _ratio(F.col("hits"), F.col("n")))
-               .withColumn("precision", _ratio(tp, tp + fp, 0.0))
-               .withColumn("recall", _ratio(tp, tp + fn, 0.0))
-               .drop("hits"))
+    return out.withColumns({
+        "acc": _ratio(F.col("hits"), F.col("n")),
+        "precision": _ratio(tp, tp + fp, 0.0),
+        "recall": _ratio(tp, tp + fn, 0.0)}).drop("hits")
 
 
 def plus_accuracy(df: DataFrame, task: str, group: str, sign: str = "sign",
@@ -137,12 +138,13 @@ def task_scores(df: DataFrame, task: str, group: str, truth: str, pred: str,
                 *summed))
     tp, fp, fn = F.col("TP"), F.col("FP"), F.col("FN")
     den = F.col("n") if denominator == "rows" else F.col("groups")
-    return (out.withColumn("acc", _ratio(F.col("hits"), F.col("n")))
-               .withColumn("precision", _ratio(tp, tp + fp, 0.0))
-               .withColumn("recall", _ratio(tp, tp + fn, 0.0))
-               .withColumn("acc_plus", _ratio(F.col("plus_groups"), den))
-               .withColumn("score", F.col("acc") * 100 + F.col("acc_plus") * 100)
-               .drop("hits"))
+    acc, acc_plus = _ratio(F.col("hits"), F.col("n")), _ratio(F.col("plus_groups"), den)
+    return out.withColumns({
+        "acc": acc,
+        "precision": _ratio(tp, tp + fp, 0.0),
+        "recall": _ratio(tp, tp + fn, 0.0),
+        "acc_plus": acc_plus,
+        "score": acc * 100 + acc_plus * 100}).drop("hits")
 
 
 def task_dimension(spark, categories: dict[str, list[str]] | None = None) -> DataFrame:
@@ -170,8 +172,8 @@ def category_rollup(scores: DataFrame, task: str, dim: DataFrame, score: str = "
               .agg(F.sum(score).alias("score"), F.grouping_id().alias("_gid")))
     # only the two lowest levels are wanted: (.., eval_type, task) and (.., eval_type)
     rolled = rolled.filter(F.col("_gid") <= 1)
-    return (rolled.withColumn("level", F.when(F.col("_gid") == 0, F.lit("task")).otherwise(F.lit("category")))
-            .drop("_gid"))
+    return rolled.withColumn("level", F.when(F.col("_gid") == 0, F.lit("task"))
+                             .otherwise(F.lit("category"))).drop("_gid")
 
 
 def multilabel_accuracy(df: DataFrame, labels: str, sign: str = "sign",

@@ -10,6 +10,11 @@ TABLE_NAMES = ("region nation customer supplier part orders lineitem events docu
                "embeddings pages benchmark labels conversations").split()
 
 
+# One scan DataFrame per (session, path): the input tables are static, so
+# the file listing and footer read are done once, not once per query.
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
 class Tables:
     """Lazy parquet readers: ``Tables(spark, dir).documents`` etc.
 
@@ -22,7 +27,12 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark), path)
+        df = _SCANS.get(key)
+        if df is None or df.sparkSession is not self.spark:
+            df = _SCANS[key] = self.spark.read.parquet(path)
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
@@ -44,6 +54,18 @@ def ensure_parallelism(df: DataFrame, key: str, min_partitions: int | None = Non
     """
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if _input_partitions(df) >= target:
         return df
     return df.repartition(target, key)
+
+
+_PARTS: dict[str, int] = {}
+
+
+def _input_partitions(df: DataFrame) -> int:
+    """Partition count of a (narrow) scan, remembered per input file set."""
+    files = ",".join(sorted(df.inputFiles()))
+    n = _PARTS.get(files)
+    if n is None:
+        n = _PARTS[files] = df.rdd.getNumPartitions()
+    return n
