@@ -85,7 +85,7 @@ def summary(category: str | None = None, truth: Callable[[], Column] | None = No
 
 def combine(*builders: MetricFn) -> MetricFn:
     def build(df: DataFrame, by: Sequence[str]) -> DataFrame:
-        parts = [b(df, by) for b in builders]
+        parts = [p for p in (b(df, by) for b in builders) if p is not None]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -112,9 +112,9 @@ def pair_long(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return M.to_long(wide, by, ["correct", "total", "accuracy"], "pairs")
 
 
-def skill_long(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def skill_long(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
     if "metadata" not in df.columns:
-        return overall_long(df, by).limit(0)
+        return None                      # no skills to report
     parsed = L.parse_skills(df.select(*by, "sign", "metadata"), "metadata", "skills")
     per_skill = M.multilabel_accuracy(parsed, "skills", "sign", by, "skill")
     return M.category_long(per_skill, by, "skill", group="skill")

@@ -59,13 +59,13 @@ def ensure_parallelism(df: DataFrame, key: str, min_partitions: int | None = Non
     return df.repartition(target, key)
 
 
-_PARTS: dict[str, int] = {}
+_PARTS: dict[int, int] = {}
 
 
 def _input_partitions(df: DataFrame) -> int:
-    """Partition count of a (narrow) scan, remembered per input file set."""
-    files = ",".join(sorted(df.inputFiles()))
-    n = _PARTS.get(files)
+    """Partition count of a (narrow) scan, remembered per plan (no file listing)."""
+    key = df.semanticHash()
+    n = _PARTS.get(key)
     if n is None:
-        n = _PARTS[files] = df.rdd.getNumPartitions()
+        n = _PARTS[key] = df.rdd.getNumPartitions()
     return n

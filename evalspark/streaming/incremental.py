@@ -57,24 +57,19 @@ def collect_responses(responses: DataFrame, requests: DataFrame, target: str, ch
                       key: str = "request_id") -> int:
     """Attach newly arriving response files to the static request table.
 
-    Each micro-batch is de-duplicated on the key, joined to the requests,
-    and anti-joined against what the target already holds, so a replayed
-    batch after a failure never writes a response twice.
+    Duplicate keys are dropped by the stream itself (state partitioned by
+    key, so it is spread over the cluster), and each micro-batch writes
+    its own ``epoch=<id>`` folder with overwrite: a batch replayed after
+    a failure rewrites the same folder, so nothing is written twice and
+    the target is never re-read.
     """
-    spark = requests.sparkSession
-    written = {"rows": 0}
+    deduped = responses.dropDuplicates([key])
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        fresh = batch.dropDuplicates([key]).join(requests, key, "inner")
-        try:
-            have = spark.read.parquet(target).select(key)
-            fresh = fresh.join(have, key, "left_anti")
-        except Exception:  # target not created yet
-            pass
-        fresh.write.mode("append").parquet(target)
-
-    q = (responses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        (batch.join(requests, key, "inner")
+              .write.mode("overwrite").parquet(f"{target}/epoch={epoch_id}"))
+
+    q = (deduped.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    written["rows"] = sum(p.get("numInputRows", 0) for p in q.recentProgress)
-    return written["rows"]
+    return sum(p.get("numInputRows", 0) for p in q.recentProgress)
