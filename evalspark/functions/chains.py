@@ -29,6 +29,8 @@ CONTEXT_HEADER = ("Look at the picture and carry out each numbered step below, "
                   "reporting what you find for every step.\n")
 CONTEXT_STEP_LABEL = "reasoning step\n"
 LAST_STEP_PREFIX = "Give the final answer as follows: "
+CHAIN_INSTRUCTION = ("Write the steps needed to answer the question from a picture, one step per "
+                     "line, after the words 'Reasoning steps:'.")
 
 CHAIN_SCHEMA = "struct<inference_instruction:array<string>>"
 

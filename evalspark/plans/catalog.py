@@ -1049,3 +1049,56 @@ def response_collection(spark, sf_dir):
               .select(F.col("conv_id").alias("request_id"), F.col("text").alias("response")))
     INC.collect_responses(stream, requests, f"{run}/responses", f"{run}/checkpoint")
     return spark.read.parquet(f"{run}/responses").select("request_id", "prompt", "response")
+
+
+
+# ---------------------------------------------------------------------------
+# Remaining modes: M2 stepwise, M7/M8 chain requests, M8 visual chain with structured fallback
+
+@register("mode_stepwise", FX.with_fixtures(f""", {_D7_BASE}
+    SELECT i.item_id, concat({Q.q(PR.STEPWISE_PREFIX)}, i.prompt) AS prompt, r.response,
+           CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
+    FROM items i LEFT JOIN lastr r ON i.item_id = r.item_id
+    WHERE i.item_id NOT IN (SELECT item_id FROM items WHERE already_done = 1)""", d7=FX.D7))
+def mode_stepwise(spark, sf_dir):
+    """M2: the direct mode on step-by-step prefixed prompts."""
+    d7 = _d7(spark, sf_dir)
+    items = _items(d7)
+    out = MO.stepwise(items, _last_responses(d7), done=items.filter(F.col("already_done") == 1))
+    return out.select("item_id", "prompt", "response", "missing")
+
+
+_SQL_CHAIN_SYS = "concat('{\"role\":\"system\",\"content\":', to_json(" + Q.q(CH.CHAIN_INSTRUCTION) + "), '},')"
+
+
+@register("chain_requests", FX.with_fixtures(f"""
+    SELECT item_id,
+           concat('[', {_SQL_CHAIN_SYS}, '{{"role":"user","content":[{{"type":"text","text":', to_json(prompt), '}}]}}]') AS payload_text,
+           concat('[', {_SQL_CHAIN_SYS}, '{{"role":"user","content":[{{"type":"text","text":', to_json(prompt), '}}',
+                  CASE WHEN image IS NOT NULL THEN concat(',{{"type":"image_url","image_url":{{"url":', to_json(concat('data:image/jpeg;base64,', image)), '}}}}') ELSE '' END,
+                  ']}}]') AS payload_visual
+    FROM d7 WHERE step = 1""", d7=FX.D7))
+def chain_requests(spark, sf_dir):
+    """M7 / M8: chain-generation request payloads, without and with the image."""
+    items = _items(_d7(spark, sf_dir))
+    plain = MO.chain_requests(items, with_image=False, instruction=CH.CHAIN_INSTRUCTION)
+    visual = MO.chain_requests(items, with_image=True, instruction=CH.CHAIN_INSTRUCTION)
+    return (plain.withColumnRenamed("payload", "payload_text")
+                 .join(visual.withColumnRenamed("payload", "payload_visual"), "item_id"))
+
+
+@register("visual_chain", FX.with_fixtures(f""",
+    a1 AS (SELECT item_id, {Q.parse_steps(Q.refusal('generation', CH.REFUSAL_PHRASES, CH.FALLBACK_CHAIN))} AS rules
+           FROM d6 WHERE attempt = 1),
+    a2 AS (SELECT item_id, string_split(generation, chr(10)) AS st FROM d6 WHERE attempt = 2)
+    SELECT a1.item_id, len(coalesce(a1.rules, a2.st)) AS n_steps,
+           CASE WHEN a1.rules IS NOT NULL THEN 'rules' WHEN a2.st IS NOT NULL THEN 'structured' ELSE 'none' END AS chain_source
+    FROM a1 LEFT JOIN a2 ON a1.item_id = a2.item_id""", d6=FX.D6))
+def visual_chain(spark, sf_dir):
+    """M8 + S26: one chain try from the image; on a failed parse use the structured response."""
+    d6 = D.d6_generations(_t(spark, sf_dir))
+    first = d6.filter(F.col("attempt") == 1).select("item_id", "generation")
+    structured = d6.filter(F.col("attempt") == 2).select(
+        "item_id", CH.encode_structured(F.split("generation", "\n", -1)).alias("structured"))
+    out = MO.visual_chain(first, structured)
+    return out.select("item_id", F.size("chain").alias("n_steps"), "chain_source")

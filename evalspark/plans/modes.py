@@ -91,6 +91,19 @@ def parse_generations(generations: DataFrame, key: str = "item_id", attempt: str
     return W.first_valid_attempt(parsed, key, attempt, "chain", max_attempts, "chain")
 
 
+def visual_chain(first_generations: DataFrame, structured_responses: DataFrame, key: str = "item_id",
+                 text: str = "generation", structured: str = "structured") -> DataFrame:
+    """M8: chain from the image in one try; a failed parse falls back to the
+    structured-output response ``{"inference_instruction": [...]}`` (S26)."""
+    parsed = first_generations.select(key, CH.parse_steps(CH.refusal_fallback(text)).alias("_rules"))
+    joined = J.attach_responses(parsed, structured_responses, key, response=structured, out="_structured")
+    dec = CH.decode_structured("_structured")
+    return joined.select(
+        key, F.coalesce(F.col("_rules"), dec).alias("chain"),
+        F.when(F.col("_rules").isNotNull(), F.lit("rules")).when(dec.isNotNull(), F.lit("structured"))
+        .otherwise(F.lit("none")).alias("chain_source"))
+
+
 def answer_with_chain(items: DataFrame, chains: DataFrame, extract_responses: DataFrame,
                       final_responses: DataFrame, key: str = "item_id") -> DataFrame:
     """M3/M4 from the merge on: context request -> extracted info -> final request -> answer."""
