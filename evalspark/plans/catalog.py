@@ -356,7 +356,7 @@ def nearest_option(spark, sf_dir):
 
 
 @register("argmin_first", FX.with_fixtures(f"""
-    SELECT item_no, list_min({_D3_DIST}) AS min_distance,
+    SELECT item_no, CAST(list_min({_D3_DIST}) AS INTEGER) AS min_distance,
            CAST(list_position({_D3_DIST}, list_min({_D3_DIST})) AS INTEGER) AS argmin
     FROM d3""", d3=FX.D3))
 def argmin_first(spark, sf_dir):
@@ -463,7 +463,7 @@ def distinct_skills(spark, sf_dir):
 
 
 @register("extract_skills", FX.with_fixtures(f""", {_D5_SKILLS}
-    SELECT item_no, array_to_string(skills, '|') AS skills_text, len(skills) AS n_skills FROM sk""",
+    SELECT item_no, array_to_string(skills, '|') AS skills_text, CAST(len(skills) AS INTEGER) AS n_skills FROM sk""",
     d5=FX.D5))
 def extract_skills(spark, sf_dir):
     """S14 (+S13 fallback): skills list from dict-literal metadata text."""
@@ -500,7 +500,7 @@ def _first_chains(spark, sf_dir) -> DataFrame:
 
 
 @register("chain_steps", FX.with_fixtures(f""", {_PARSED}
-    SELECT item_id, attempt, len(steps) AS n_steps, array_to_string(steps, chr(10)) AS steps_text,
+    SELECT item_id, attempt, CAST(len(steps) AS INTEGER) AS n_steps, array_to_string(steps, chr(10)) AS steps_text,
            CASE WHEN steps IS NULL THEN 'error' ELSE 'ok' END AS status FROM c""", d6=FX.D6))
 def chain_steps(spark, sf_dir):
     """Generation text -> step lines (marker/colon rule, blank lines dropped)."""
@@ -510,7 +510,7 @@ def chain_steps(spark, sf_dir):
 
 
 @register("refusal_fallback", FX.with_fixtures(f""", {_PARSED}
-    SELECT item_id, attempt, refused, len(chain) AS n_steps FROM c""", d6=FX.D6))
+    SELECT item_id, attempt, refused, CAST(len(chain) AS INTEGER) AS n_steps FROM c""", d6=FX.D6))
 def refusal_fallback(spark, sf_dir):
     """Refusals replaced by the fallback chain before parsing."""
     return _chains(spark, sf_dir).select("item_id", "attempt", "refused", F.size("chain").alias("n_steps"))
@@ -518,7 +518,7 @@ def refusal_fallback(spark, sf_dir):
 
 @register("first_attempt", FX.with_fixtures(f"""{_FIRST}
     SELECT item_id, chosen_attempt, attempts, CASE WHEN chosen_attempt IS NULL THEN 'exhausted' ELSE 'ok' END AS status,
-           len(chain) AS n_steps FROM fv""", d6=FX.D6))
+           CAST(len(chain) AS INTEGER) AS n_steps FROM fv""", d6=FX.D6))
 def first_attempt(spark, sf_dir):
     """First valid generation of at most three; none -> 'exhausted'."""
     fv = _first_chains(spark, sf_dir)
@@ -554,7 +554,7 @@ def reusable_chain(spark, sf_dir):
 
 
 @register("structured_chain", FX.with_fixtures(f""", {_PARSED}
-    SELECT item_id, attempt, len(steps) AS n_steps, array_to_string(steps, chr(10)) AS steps_text FROM c""",
+    SELECT item_id, attempt, CAST(len(steps) AS INTEGER) AS n_steps, array_to_string(steps, chr(10)) AS steps_text FROM c""",
     d6=FX.D6))
 def structured_chain(spark, sf_dir):
     """Chain carried as ``{"inference_instruction": [...]}`` JSON and decoded back."""
@@ -673,7 +673,7 @@ _MODE_CHAIN_SQL = f""", {_D7_BASE}, {_PARSED},
     st AS (SELECT i.item_id, i.prompt, f.chain, s1.response AS intermediate_response,
                   {Q.last_instruction('f.chain', CH.LAST_STEP_PREFIX)} AS output_format
            FROM items i JOIN fvc f ON i.item_id = f.item_id LEFT JOIN step1 s1 ON i.item_id = s1.item_id)
-    SELECT st.item_id, len(st.chain) AS n_steps, st.intermediate_response,
+    SELECT st.item_id, CAST(len(st.chain) AS INTEGER) AS n_steps, st.intermediate_response,
            {Q.fill(PR.FINAL_TEMPLATE, question='st.prompt', extracted_info='st.intermediate_response', output_format='st.output_format')} AS final_prompt,
            r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
     FROM st LEFT JOIN lastr r ON st.item_id = r.item_id"""
@@ -694,7 +694,7 @@ def mode_chain(spark, sf_dir):
     st AS (SELECT i.item_id, i.prompt, rd.chain, s1.response AS intermediate_response,
                   {Q.last_instruction('rd.chain', CH.LAST_STEP_PREFIX)} AS output_format
            FROM items i JOIN ready rd ON i.item_id = rd.item_id LEFT JOIN step1 s1 ON i.item_id = s1.item_id)
-    SELECT st.item_id, len(st.chain) AS n_steps, st.intermediate_response,
+    SELECT st.item_id, CAST(len(st.chain) AS INTEGER) AS n_steps, st.intermediate_response,
            {Q.fill(PR.FINAL_TEMPLATE, question='st.prompt', extracted_info='st.intermediate_response', output_format='st.output_format')} AS final_prompt,
            r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
     FROM st LEFT JOIN lastr r ON st.item_id = r.item_id""", d7=FX.D7))
@@ -743,7 +743,7 @@ _REUSABLE = "coalesce(len({0}) > 0 AND NOT list_bool_or(list_transform({0}, lamb
              FROM items i LEFT JOIN ready rd ON i.item_id = rd.item_id LEFT JOIN fvc f ON i.item_id = f.item_id)
     SELECT item_id,
            CASE WHEN {_REUSABLE.format('old')} THEN 'existing' WHEN new IS NOT NULL THEN 'generated' ELSE 'none' END AS chain_source,
-           len(CASE WHEN {_REUSABLE.format('old')} THEN old ELSE new END) AS n_steps
+           CAST(len(CASE WHEN {_REUSABLE.format('old')} THEN old ELSE new END) AS INTEGER) AS n_steps
     FROM base""", d7=FX.D7, d6=FX.D6))
 def fill_missing_chain(spark, sf_dir):
     """Keep reusable stored chains, fill the others from generated ones."""
@@ -759,7 +759,7 @@ def fill_missing_chain(spark, sf_dir):
     base AS (SELECT f.item_id, rd.chain AS old, f.chain AS new FROM fvc f LEFT JOIN ready rd ON f.item_id = rd.item_id)
     SELECT item_id,
            CASE WHEN {_REUSABLE.format('old')} THEN 'existing' WHEN new IS NOT NULL THEN 'generated' ELSE 'none' END AS chain_source,
-           len(CASE WHEN {_REUSABLE.format('old')} THEN old ELSE new END) AS n_steps
+           CAST(len(CASE WHEN {_REUSABLE.format('old')} THEN old ELSE new END) AS INTEGER) AS n_steps
     FROM base""", d7=FX.D7, d6=FX.D6))
 def enrich_chain(spark, sf_dir):
     """M9 (+P6, S28, J4): give every benchmark item a chain, generating only the gaps."""
@@ -858,7 +858,7 @@ _SQL_REQUEST = _sql_case("kind", {k: Q.fill(t, response="response", answer="answ
                                   for k, t in PR.JUDGE_TEMPLATES.items()})
 _SQL_INSTR = _sql_case("kind", {k: Q.q(v) for k, v in PR.JUDGE_INSTRUCTIONS.items()})
 _SQL_COMPOSED = Q.fill(PR.JUDGE_TEMPLATES["free_answer"], answer="answer", response="response")
-_SQL_MAXREP = f"list_max(map_values(list_histogram(string_split({{0}}, ' '))))"
+_SQL_MAXREP = f"CAST(list_max(map_values(list_histogram(string_split({{0}}, ' ')))) AS INTEGER)"
 _D8_GUARD = f"""g AS (SELECT *, {_SQL_MAXREP.format(_SQL_COMPOSED)} AS max_repeat FROM d8)"""
 
 
@@ -1091,7 +1091,7 @@ def chain_requests(spark, sf_dir):
     a1 AS (SELECT item_id, {Q.parse_steps(Q.refusal('generation', CH.REFUSAL_PHRASES, CH.FALLBACK_CHAIN))} AS rules
            FROM d6 WHERE attempt = 1),
     a2 AS (SELECT item_id, string_split(generation, chr(10)) AS st FROM d6 WHERE attempt = 2)
-    SELECT a1.item_id, len(coalesce(a1.rules, a2.st)) AS n_steps,
+    SELECT a1.item_id, CAST(len(coalesce(a1.rules, a2.st)) AS INTEGER) AS n_steps,
            CASE WHEN a1.rules IS NOT NULL THEN 'rules' WHEN a2.st IS NOT NULL THEN 'structured' ELSE 'none' END AS chain_source
     FROM a1 LEFT JOIN a2 ON a1.item_id = a2.item_id""", d6=FX.D6))
 def visual_chain(spark, sf_dir):
