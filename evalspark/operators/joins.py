@@ -91,12 +91,11 @@ def slice_from(df: DataFrame, position: str, start: int) -> DataFrame:
 def slice_after_done(df: DataFrame, position: str, done: DataFrame) -> DataFrame:
     """P2 as a resume cut: skip as many leading rows as ``done`` holds.
 
-    The count is a one-row aggregate joined on a constant key, so it is
-    never collected to the driver.
+    The count is a scalar subquery: computed once by the cluster and used
+    as a literal in the filter (no join, nothing collected by our code).
     """
-    n = done.agg(F.count(F.lit(1)).alias("_start")).withColumn("_k", F.lit(1))
-    return (df.withColumn("_k", F.lit(1)).join(n, "_k", "inner")
-              .filter(F.col(position) >= F.col("_start")).drop("_k", "_start"))
+    start = done.agg(F.count(F.lit(1))).scalar()
+    return df.filter(F.col(position) >= start)
 
 
 def lookup(df: DataFrame, key: str, value, cols: Sequence[str] = ("prompt", "image")) -> DataFrame:
@@ -121,13 +120,15 @@ def completeness(expected: DataFrame, actual: DataFrame, key: str | Sequence[str
                  by: Sequence[str] = ()) -> DataFrame:
     """Distinct expected keys vs distinct keys present in the results."""
     k = _keys(key)
-    e = expected.select(*by, *k).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("expected"))
-    a = (actual.select(*by, *k).distinct().join(expected.select(*by, *k).distinct(), [*by, *k], "left_semi")
-         .groupBy(*by).agg(F.count(F.lit(1)).alias("actual")))
+    keys = expected.select(*by, *k).distinct()
+    e = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("expected"))
+    got = actual.select(*by, *k).distinct().join(keys, [*by, *k], "left_semi")
     if by:
+        a = got.groupBy(*by).agg(F.count(F.lit(1)).alias("actual"))
         out = e.join(a, list(by), "left")
     else:
-        # two one-row global aggregates: put them side by side on a constant key
-        out = e.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-    return (out.withColumn("actual", F.coalesce(F.col("actual"), F.lit(0)))
-               .withColumn("complete", (F.col("expected") == F.col("actual")).cast("int")))
+        # two global counts: the second one as a scalar subquery
+        out = e.withColumn("actual", got.agg(F.count(F.lit(1))).scalar())
+    return out.withColumns({
+        "actual": F.coalesce(F.col("actual"), F.lit(0)),
+        "complete": (F.col("expected") == F.coalesce(F.col("actual"), F.lit(0))).cast("int")})
