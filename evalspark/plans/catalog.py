@@ -869,12 +869,21 @@ def _d8_guarded(spark, sf_dir) -> DataFrame:
               .withColumn("guarded", (F.col("kind") == "free_answer") & (F.col("max_repeat") > PR.REPEAT_LIMIT)))
 
 
+def _d8_guard_only(spark, sf_dir) -> DataFrame:
+    """The guard flag alone: the word count is evaluated for free-answer rows only."""
+    d8 = D.d8_judge(_t(spark, sf_dir))
+    composed = PR.fill(PR.JUDGE_TEMPLATES["free_answer"], answer="answer", response="response")
+    guarded = (F.when(F.col("kind") == "free_answer", PR.repetition_guard(composed))
+                .otherwise(F.lit(False)))
+    return d8.withColumn("guarded", guarded)
+
+
 @register("judge_requests", FX.with_fixtures(f""", {_D8_GUARD}
     SELECT item_no, kind, {_SQL_INSTR} AS instruction, {_SQL_REQUEST} AS request
     FROM g WHERE NOT (kind = 'free_answer' AND max_repeat > {PR.REPEAT_LIMIT})""", d8=FX.D8))
 def judge_requests(spark, sf_dir):
     """S21 (+S22): one judge request per row by kind; guarded rows need no call."""
-    g = _d8_guarded(spark, sf_dir).filter(~F.col("guarded"))
+    g = _d8_guard_only(spark, sf_dir).filter(~F.col("guarded"))
     return g.select("item_no", "kind", PR.judge_instruction("kind").alias("instruction"),
                     PR.judge_text("kind", F.col("response"), F.col("answer"), F.lit("")).alias("request"))
 
@@ -890,7 +899,7 @@ def judge_requests(spark, sf_dir):
     FROM v""", d8=FX.D8))
 def judge_pass(spark, sf_dir):
     """Verdict for every row (guard or recorded judge output) and its sign by kind."""
-    g = _d8_guarded(spark, sf_dir)
+    g = _d8_guard_only(spark, sf_dir)
     v = g.select("item_no", "kind", "answer",
                  F.when(F.col("guarded"), F.lit("unclear")).otherwise(F.col("verdict")).alias("verdict"))
     num = LI.score_numeric(v, "verdict", "answer", "_num")
