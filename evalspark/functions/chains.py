@@ -67,12 +67,20 @@ def parse_steps(text: str | Column) -> Column:
     stripped, split on newlines, and blank lines are removed; lines keep
     their inner indentation.
     """
-    t = col_(text)
-    after_first_colon = F.regexp_replace(F.regexp_extract(t, "(?s)^[^:]*:(.*)$", 1), ":", "")
-    body = F.when(has_marker(t), after_first_colon).otherwise(t)
-    lines = F.split(py_strip(body), "\n", -1)
-    kept = F.filter(lines, lambda x: ~x.rlike(f"^{PY_WHITESPACE}*$"))
-    return F.when(F.size(kept) > 0, kept)
+    def parse(t: Column) -> Column:
+        after_first_colon = F.regexp_replace(F.regexp_extract(t, "(?s)^[^:]*:(.*)$", 1), ":", "")
+        body = F.when(has_marker(t), after_first_colon).otherwise(t)
+        lines = F.split(py_strip(body), "\n", -1)
+        return F.filter(lines, lambda x: ~x.rlike(f"^{PY_WHITESPACE}*$"))
+
+    # The text and the parsed lines are each bound once, so a whole text is
+    # scanned once per row rather than once per reference in the expression.
+    return _let(_let(col_(text), parse), lambda kept: F.when(F.size(kept) > 0, kept))
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once (bound as a lambda variable)."""
+    return F.try_element_at(F.transform(F.array(value), fn), F.lit(1))
 
 
 def chain_status(steps: str | Column) -> Column:
