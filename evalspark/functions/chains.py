@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import PY_WHITESPACE, col_, py_strip
+from evalspark.functions.text import PY_WHITESPACE, col_, let, py_strip
 
 # Markers that switch on colon removal (compared lower-case),
 # and the refusal phrases (compared case-sensitively).
@@ -75,12 +75,7 @@ def parse_steps(text: str | Column) -> Column:
 
     # The text and the parsed lines are each bound once, so a whole text is
     # scanned once per row rather than once per reference in the expression.
-    return _let(_let(col_(text), parse), lambda kept: F.when(F.size(kept) > 0, kept))
-
-
-def _let(value: Column, fn) -> Column:
-    """``fn(value)`` with ``value`` evaluated once (bound as a lambda variable)."""
-    return F.try_element_at(F.transform(F.array(value), fn), F.lit(1))
+    return let(let(col_(text), parse), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def chain_status(steps: str | Column) -> Column:

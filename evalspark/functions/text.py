@@ -25,6 +25,16 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once per row (bound as a lambda variable).
+
+    Catalyst does not share a heavy sub-expression that appears several
+    times inside one expression (e.g. a parse used in a size check and in
+    the result); binding it through a one-element ``transform`` does.
+    """
+    return F.try_element_at(F.transform(F.array(value), fn), F.lit(1))
+
+
 def py_strip(c: str | Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing Unicode whitespace.
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import col_, ternary_label
+from evalspark.functions.text import col_, let, ternary_label
 
 # Task names of the perception/cognition suite by category.
 TASK_CATEGORIES = {
@@ -244,18 +244,19 @@ def wide_sheet(long: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> D
 def max_word_count(text: str | Column, sep: str = " ") -> Column:
     """Largest count of one word among ``text.split(sep)`` (per row, no shuffle).
 
-    Sorting the words puts equal ones next to each other; one fold then
-    finds the longest run. O(n log n) per row on the JVM, whole text.
+    Sorting the words puts equal ones next to each other; the indexes where
+    a new word starts give every run length as the gap to the next start
+    (or to the end). O(n log n) per row on the JVM, whole text, and no
+    per-word object is built.
     """
-    words = F.array_sort(F.split(col_(text), sep, -1))
-    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"),
-                    F.lit(0).alias("best"))
-
-    def step(acc, w):
-        run = F.when(acc["prev"] == w, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(w.alias("prev"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-    return F.aggregate(words, init, step, lambda acc: acc["best"])
+    def longest(words: Column) -> Column:
+        starts = F.filter(
+            F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)),
+            lambda i: i.isNotNull())
+        return let(starts, lambda s: F.array_max(F.transform(
+            s, lambda b, j: F.coalesce(F.get(s, j + 1), F.size(words)) - b)))
+
+    return let(F.array_sort(F.split(col_(text), sep, -1)), longest)
 
 
 def summary_long(df: DataFrame, by: Sequence[str] = (), sign: str = "sign", category: str | None = None,
