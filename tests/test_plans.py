@@ -73,3 +73,16 @@ def test_dense_positions_on_skewed_group(spark):
     parts = (df.repartitionByRange(16, "g", "id").withColumn("p", F.spark_partition_id())
              .filter(F.col("g") == "hot").select("p").distinct().count())
     assert parts > 1
+
+
+@pytest.mark.parametrize("name", ["chain_steps", "mode_chain"])
+def test_chain_text_parsed_once_per_row(spark, name):
+    # the whole-text regex of the step parser appears once, not once per reference
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    assert plan.count("regexp_extract(") == 1
+
+
+def test_judge_guard_counts_words_for_free_answers_only(spark):
+    plan = _plan(E.queries()["judge_pass"](spark, SF_SMALL))
+    guard = plan[plan.index("array_sort(") - 200:plan.index("array_sort(")]
+    assert "free_answer" in guard
