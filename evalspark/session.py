@@ -35,10 +35,38 @@ def get_spark(master: str | None = None, app: str = "evalspark",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.master.startswith("local"):
+        size_shuffles(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def size_shuffles(spark: SparkSession, advisory: str = "256m") -> dict[str, str]:
+    """Shuffle sizing for a cluster, applied only to settings nobody has made.
+
+    Shuffles start twice as wide as the cluster's task slots (at least
+    ``spark.sql.shuffle.partitions``), so a shuffle of a large input is
+    never squeezed into the 200-partition default. AQE then merges small
+    partitions up to ``advisory`` bytes and splits skewed ones, so a
+    shuffle of any size ends in partitions of about that size. Returns
+    the settings it made.
+    """
+    conf = spark.conf
+    launch = spark.sparkContext.getConf()
+    slots = spark.sparkContext.defaultParallelism
+    base = int(conf.get("spark.sql.shuffle.partitions"))
+    wanted = {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(base, 2 * slots)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory,
+    }
+    made = {}
+    for key, value in wanted.items():
+        if conf.get(key, None) is None and not launch.contains(key):
+            conf.set(key, value)
+            made[key] = value
+    return made
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, honouring ``spark.checkpoint.dir``.
 

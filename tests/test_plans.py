@@ -86,3 +86,18 @@ def test_judge_guard_counts_words_for_free_answers_only(spark):
     plan = _plan(E.queries()["judge_pass"](spark, SF_SMALL))
     guard = plan[plan.index("array_sort(") - 200:plan.index("array_sort(")]
     assert "free_answer" in guard
+
+
+def test_cluster_shuffle_sizing_keeps_explicit_settings(spark):
+    from evalspark.session import size_shuffles
+    init = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(advisory, "64m")
+    try:
+        made = size_shuffles(spark)
+        assert spark.conf.get(advisory) == "64m" and advisory not in made
+        slots = spark.sparkContext.defaultParallelism
+        assert int(made[init]) == max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * slots)
+    finally:
+        spark.conf.unset(init)
+        spark.conf.unset(advisory)
