@@ -165,11 +165,9 @@ def score_sheet_wide(spark, sf_dir):
     SELECT 'hallucination' AS suite, * FROM ({_HALLU_LONG_SQL})
     UNION ALL SELECT 'object_probe' AS suite, * FROM ({_PROBE_LONG_SQL})""")
 def multi_run_scores(spark, sf_dir):
-    """Two suites for all runs in one job; ``suite`` and ``run_id`` are keys."""
+    """Two suites for all runs in one job (one scan, one shuffle); ``suite`` and ``run_id`` are keys."""
     rows = D.d1_yes_no(_t(spark, sf_dir))
-    parts = [SU.SUITES[name].report(rows, by=["run_id"]).select(F.lit(name).alias("suite"), "*")
-             for name in ("hallucination", "object_probe")]
-    return parts[0].unionByName(parts[1])
+    return SU.multi_report([SU.HALLUCINATION, SU.OBJECT_PROBE], rows, by=["run_id"])
 
 
 # ---------------------------------------------------------------------------

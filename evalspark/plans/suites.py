@@ -75,12 +75,21 @@ def prf_long(truth: Callable[[], Column], pred: Callable[[], Column]) -> MetricF
     return build
 
 
+@dataclass(frozen=True)
+class Summary:
+    """Overall, per-category and binary metrics from one grouping-sets aggregate."""
+    category: str | None = None
+    truth: Callable[[], Column] | None = None
+    pred: Callable[[], Column] | None = None
+
+    def __call__(self, df: DataFrame, by: Sequence[str]) -> DataFrame:
+        return M.summary_long(df, by, "sign", self.category,
+                              self.truth() if self.truth else None, self.pred() if self.pred else None)
+
+
 def summary(category: str | None = None, truth: Callable[[], Column] | None = None,
             pred: Callable[[], Column] | None = None) -> MetricFn:
-    """Overall, per-category and binary metrics from one grouping-sets aggregate."""
-    def build(df: DataFrame, by: Sequence[str]) -> DataFrame:
-        return M.summary_long(df, by, "sign", category, truth() if truth else None, pred() if pred else None)
-    return build
+    return Summary(category, truth, pred)
 
 
 def combine(*builders: MetricFn) -> MetricFn:
@@ -192,3 +201,38 @@ PAIRED_CHOICE = Suite(
 
 SUITES = {s.name: s for s in (HALLUCINATION, PERCEPTION, OBJECT_PROBE, LETTERED_CHOICE,
                                MATH_MIXED, PAIRED_CHOICE)}
+
+
+def multi_report(suites: Sequence[Suite], df: DataFrame, verdict: str = "verdict",
+                 by: Sequence[str] = ()) -> DataFrame:
+    """Several suites over the same rows in one job, ``suite`` as the first key.
+
+    Suites whose metrics are a category + binary summary are scored in
+    place on each row, stacked with ``inline`` (one struct per suite) and
+    aggregated by one grouping-sets aggregate: one scan and one shuffle for
+    all of them. Any other suite runs its own report and is unioned.
+    """
+    by = list(by)
+    shared = [s for s in suites if isinstance(s.metrics, Summary)
+              and s.metrics.category and s.metrics.truth and s.metrics.pred]
+    parts = []
+    if shared:
+        scored, entries = df, []
+        for i, suite in enumerate(shared):
+            spec = suite.metrics
+            scored = suite.score_rows(scored, verdict).withColumnRenamed("sign", f"_sign{i}")
+            entries.append(F.struct(
+                F.lit(suite.name).alias("suite"),
+                F.col(spec.category).cast("string").alias("category"),
+                F.col(f"_sign{i}").cast("int").alias("sign"),
+                spec.truth().cast("int").alias("truth"),
+                spec.pred().cast("int").alias("pred")))
+        stacked = scored.select(*by, F.inline(F.array(*entries)))
+        parts.append(M.summary_long(stacked, ["suite", *by], "sign", "category", "truth", "pred"))
+    for suite in suites:
+        if suite not in shared:
+            parts.append(suite.report(df, verdict, by).select(F.lit(suite.name).alias("suite"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
