@@ -70,10 +70,12 @@ def dense_positions(df: DataFrame, order: str, by: Sequence[str] = (),
     checkpointed to the reliable checkpoint folder so the ids are fixed
     even if tasks are re-run.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(by)
-    ranged = df.repartitionByRange(n, *keys, order).sortWithinPartitions(*keys, order)
+    # Without an explicit count the range shuffle is sized by AQE (initial
+    # partition number, then adjacent ranges merged up to the advisory
+    # size), so partition order still follows (by, order).
+    ranged = (df.repartitionByRange(num_partitions, *keys, order) if num_partitions
+              else df.repartitionByRange(*keys, order)).sortWithinPartitions(*keys, order)
     tagged = (ranged.withColumn("_pid", F.spark_partition_id())
                     .withColumn("_local", F.monotonically_increasing_id()
                                 - F.shiftleft(F.spark_partition_id().cast("long"), 33)))

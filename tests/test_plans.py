@@ -75,6 +75,30 @@ def test_dense_positions_on_skewed_group(spark):
     assert parts > 1
 
 
+def test_dense_positions_sized_by_aqe(spark):
+    # no explicit count: AQE starts wide and merges adjacent ranges; positions stay dense
+    from evalspark.operators.windows import dense_positions
+    init = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(init, "64")
+    spark.conf.set(advisory, "16k")
+    try:
+        df = (spark.range(0, 20000).repartition(7)
+              .withColumn("g", F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 3).cast("string")))))
+        out = dense_positions(df, "id", ["g"])
+        rows = out.select("g", "id", "position").collect()
+    finally:
+        spark.conf.unset(init)
+        spark.conf.unset(advisory)
+    by_group = {}
+    for r in rows:
+        by_group.setdefault(r.g, []).append((r.id, r.position))
+    assert sum(len(v) for v in by_group.values()) == 20000
+    for pairs in by_group.values():
+        pairs.sort()
+        assert [p for _, p in pairs] == list(range(len(pairs)))
+
+
 @pytest.mark.parametrize("name", ["chain_steps", "mode_chain"])
 def test_chain_text_parsed_once_per_row(spark, name):
     # the whole-text regex of the step parser appears once, not once per reference
