@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import bpe, token_count
+from evalspark.llm import bpe, lang_id, simhash, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +23,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text: 4-word shingles, 4 bits."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, seed=42, radius=4)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every whole text under the piece vocabulary."""
     return token_count.token_counts(_table(spark, sf_dir, "documents"),
                                     public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the other folds."""
+    return lang_id.identify(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
