@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import bpe, lang_id, simhash, token_count
+from evalspark.llm import bpe, chat, lang_id, simhash, token_count, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written as archives and read back in byte ranges."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rendered text per conversation that no other one continues."""
+    return chat.chat_texts(_table(spark, sf_dir, "conversations"))
+
+
+#: The contract's rules: host, path, action.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url under the rules."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole text: 4-word shingles, 4 bits."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, seed=42, radius=4)
@@ -42,9 +63,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
+    "op3_chat": op3_chat,
+    "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op9_language_id": op9_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
+    "op3_chat": chat.ORACLE,
+    "op4_url_filter": url_filter.ORACLE,
+}
