@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import bpe, chat, lang_id, simhash, token_count, url_filter, warc
+from evalspark.llm import bpe, chat, lang_id, simhash, suffix_dedup, token_count, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every whole text keeps after the 50-byte strings of smaller ids go."""
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from the other folds."""
     return lang_id.identify(_table(spark, sf_dir, "documents")).select(
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
 }
 
