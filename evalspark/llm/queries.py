@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import bpe, chat, lang_id, simhash, suffix_dedup, token_count, url_filter, warc
+from evalspark.llm import bpe, chat, decontam, lang_id, simhash, suffix_dedup, token_count, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the similarity."""
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every whole text keeps after the 50-byte strings of smaller ids go."""
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
 }
