@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.graph import without
+
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 23
@@ -123,4 +125,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of the documents that match no item."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, matches(docs, benchmark).select("doc_id").distinct())

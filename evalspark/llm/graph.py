@@ -29,6 +29,18 @@ def drop_written(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Ids (8 bytes each) sent to every task by ``without``; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among ``ids``; null ids stay."""
+    gone, _ = written(ids, "dropped-ids")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (smallest node reachable) for the nodes of the
     links ``a``, ``b`` (bigint). Links with a null end or of a node to itself

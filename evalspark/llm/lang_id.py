@@ -37,7 +37,7 @@ from evalspark.llm.graph import drop_written, written
 DIMS = 1 << 13
 CLUSTERS = 4
 PER_LANGUAGE = 400
-MARGIN = 0.5
+MARGIN = 0.25
 PIECE_CHARS = 1 << 20
 #: ASCII characters other than letters count as one space a run.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -181,3 +181,9 @@ def identify(docs: DataFrame) -> DataFrame:
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     return classify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")),
                     model).drop("text")
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """All columns of the documents that are not rejected."""
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    return classify(docs, model).where("not rejected").select(*docs.columns)

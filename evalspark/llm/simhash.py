@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.graph import Forest, components, written
+from evalspark.llm.graph import Forest, components, without, written
 
 BLOCK_ROWS = 8192
 SLAB_ROWS = 1 << 16
@@ -249,3 +249,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int
         "fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """All columns of one document of each component, that with the smallest
+    doc_id. Rows without a doc_id stay, and so do all rows of an id that stays."""
+    return without(docs, near_duplicates(docs, width, seed, radius).where("doc_id <> component_id").select("doc_id"))

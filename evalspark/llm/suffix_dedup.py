@@ -31,8 +31,8 @@ shares sends each bucket one row a pack.
 Defined results: a null or empty text has 0 bytes and loses nothing; a row
 with a null doc_id loses nothing and takes nothing from others; rows with
 equal doc_ids take nothing from each other; bytes left that are no UTF-8 are
-kept in ``kept`` (binary), their text holds U+FFFD there; other columns are
-not carried.
+kept in ``kept`` (binary) and left out of the text of ``deduplicated``; other
+columns are carried, and those named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -43,11 +43,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc as ipc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from evalspark.llm.graph import written
 from evalspark.llm.warc import _at
@@ -98,10 +101,10 @@ class Pack:
     def __init__(self, path: str, width: int):
         store, where = _at(path)
         with store.open_input_file(where) as f, ipc.open_file(f) as reader:
-            table = reader.read_all()
+            self.table = reader.read_all()
         self.width = width
-        self.ids = table.column("doc_id").to_pylist()
-        self.texts: list[bytes] = table.column("text").to_pylist()
+        self.ids = self.table.column("doc_id").to_pylist()
+        self.texts: list[bytes] = self.table.column("text").to_pylist()
         self.numbers = np.array([NOBODY if i is None else i for i in self.ids], np.int64)
         #: trigger, document, first place and number of strings of each run
         self.runs = [np.concatenate(c) for c in zip(*self._runs())]
@@ -229,34 +232,38 @@ def _raw(blob: bytes) -> bytes:
 
 
 def write_packs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
-    """Files of whole documents; returns path and n_bytes of each."""
+    """Files of whole documents with their columns; returns path and n_bytes of each.
+
+    ``docs``: doc_id (bigint), text (binary, never null) and any other columns.
+    """
     folder = scratch_path(docs.sparkSession, f"packs-{uuid.uuid4().hex}")
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
-    def save(rows: list[tuple]) -> pa.RecordBatch:
+    def save(parts: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
         store, top = _at(folder)
         store.create_dir(top, recursive=True)
         name = f"{uuid.uuid4().hex}.arrow"
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         with store.open_output_stream(f"{top}/{name}") as out, ipc.new_file(
-                out, schema, options=ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_batch(batch)
-        return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_bytes": [sum(len(r[1]) for r in rows)]})
+                out, parts[0].schema, options=ipc.IpcWriteOptions(compression="zstd")) as writer:
+            for part in parts:
+                writer.write_batch(part)
+        return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_bytes": [size]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        parts, size = [], 0
         for batch in batches:
-            for row in zip(batch.column(0), batch.column(1)):
-                rows.append((row[0].as_py(), row[1].as_py()))
-                size += len(rows[-1][1])
+            begin = 0
+            lengths = pc.binary_length(batch.column(batch.schema.get_field_index("text")))
+            for i, n in enumerate(lengths.to_pylist()):
+                size += n
                 if size >= pack_bytes:
-                    yield save(rows)
-                    rows, size = [], 0
-        if rows:
-            yield save(rows)
+                    yield save([*parts, batch.slice(begin, i + 1 - begin)], size)
+                    parts, size, begin = [], 0, i + 1
+            if begin < batch.num_rows:
+                parts.append(batch.slice(begin))
+        if parts:
+            yield save(parts, size)
 
-    return written(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(
-        run, "path string, n_bytes long"), "pack-list")[0]
+    return written(docs.mapInArrow(run, "path string, n_bytes long"), "pack-list")[0]
 
 
 def shared_triggers(packs: DataFrame, buckets: int, width: int, hot_packs: int = HOT_PACKS) -> DataFrame:
@@ -324,11 +331,14 @@ def _shared(rows: pd.DataFrame, buckets: int, pack: Pack) -> tuple[np.ndarray, n
 
 def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
             hot_packs: int = HOT_PACKS) -> DataFrame:
-    """doc_id, n_bytes, spans (begin, end of the removed runs), kept (binary)."""
+    """All columns but text, and n_bytes, spans (begin, end of the removed runs),
+    kept (the bytes that stay) of every document."""
     if width < GRAM + 8:
         raise ValueError("the width must leave room for several grams")
     spark = docs.sparkSession
-    packs = write_packs(docs, pack_bytes)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_bytes", "spans", "kept")]
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *others)
+    packs = write_packs(rows, pack_bytes)
     total = packs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     slots = 2 * spark.sparkContext.defaultParallelism
@@ -384,45 +394,58 @@ def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
         sent, "path string, bucket int, trigger binary, size binary, first binary, body binary").groupBy(
         "bucket").applyInPandas(ranked, "path string, bucket int, least binary")
 
-    def removed(key: tuple, names: pd.DataFrame, shared: pd.DataFrame, least: pd.DataFrame) -> Iterator[tuple]:
-        pack = Pack(key[0], width)
-        cover = [None] * len(pack.texts)
-        if len(shared):
-            bucket, _, bodies, _, where = pack.phrases(*_shared(shared, buckets, pack), buckets)
-            strings = np.array([len(b) - width + 1 for b in bodies])
-            start = np.zeros(len(bodies), np.int64)
-            values, at = [], 0
-            for b, blob in zip(least["bucket"], least["least"]):
-                own = np.flatnonzero(bucket == b)
-                start[own] = at + np.cumsum(strings[own]) - strings[own]
-                values.append(np.frombuffer(_raw(blob), np.int64))
-                at += len(values[-1])
-            value = np.concatenate(values)
-            for n, doc, place, count in where.tolist():
-                if pack.ids[doc] is None:
-                    continue
-                gone = np.flatnonzero(value[start[n]:start[n] + count] < pack.ids[doc]) + place
-                if len(gone):
-                    if cover[doc] is None:
-                        cover[doc] = np.zeros(len(pack.texts[doc]) + 1, np.int32)
-                    np.add.at(cover[doc], gone, 1)
-                    np.add.at(cover[doc], gone + width, -1)
-        for doc_id, text, change in zip(pack.ids, pack.texts, cover):
-            spans = np.zeros((0, 2), np.int64)
-            if change is not None:
-                out = np.cumsum(change[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
-                spans = edge.reshape(-1, 2)
-                text_kept = np.frombuffer(text, np.uint8)[~out].tobytes()
-            yield (doc_id, len(text), [{"begin": int(a), "end": int(b)} for a, b in spans],
-                   text if change is None else text_kept)
-
-    schema = "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
-
-    def finished(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        shared = rows[rows["kind"] == 1].rename(columns={"a": "low", "b": "hot"})
-        least = rows[rows["kind"] == 2].rename(columns={"a": "least"})
-        return pd.DataFrame(list(removed(key, rows, shared, least)), columns=["doc_id", "n_bytes", "spans", "kept"])
+    def covered(pack: Pack, shared: pd.DataFrame, least: pd.DataFrame) -> list[np.ndarray | None]:
+        """For each document, how many of the strings to remove begin or end at each place."""
+        change: list[np.ndarray | None] = [None] * len(pack.texts)
+        if not len(shared):
+            return change
+        bucket, _, bodies, _, where = pack.phrases(*_shared(shared, buckets, pack), buckets)
+        strings = np.array([len(b) - width + 1 for b in bodies], np.int64)
+        start = np.zeros(len(bodies), np.int64)
+        values, at = [np.zeros(0, np.int64)], 0
+        for b, blob in zip(least["bucket"], least["least"]):
+            own = np.flatnonzero(bucket == b)
+            start[own] = at + np.cumsum(strings[own]) - strings[own]
+            values.append(np.frombuffer(_raw(blob), np.int64))
+            at += len(values[-1])
+        value = np.concatenate(values)
+        for n, doc, place, count in where.tolist():
+            if pack.ids[doc] is None:
+                continue
+            gone = np.flatnonzero(value[start[n]:start[n] + count] < pack.ids[doc]) + place
+            if len(gone):
+                if change[doc] is None:
+                    change[doc] = np.zeros(len(pack.texts[doc]) + 1, np.int32)
+                np.add.at(change[doc], gone, 1)
+                np.add.at(change[doc], gone + width, -1)
+        return change
+
+    def finished(key: tuple, group: pa.Table) -> pa.Table:
+        pack, group = Pack(key[0].as_py(), width), group.to_pandas()
+        shared = group[group["kind"] == 1].rename(columns={"a": "low", "b": "hot"})
+        least = group[group["kind"] == 2].rename(columns={"a": "least"})
+        spans, kept = [], []
+        for text, change in zip(pack.texts, covered(pack, shared, least)):
+            if change is None:
+                spans.append([])
+                kept.append(text)
+                continue
+            out = np.cumsum(change[:-1]) > 0
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]]))).reshape(-1, 2)
+            spans.append([{"begin": a, "end": b} for a, b in edge.tolist()])
+            kept.append(np.frombuffer(text, np.uint8)[~out].tobytes())
+        span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        result = pack.table.drop_columns(["text"])
+        for name, values, kind in (("n_bytes", [len(t) for t in pack.texts], pa.int64()),
+                                   ("spans", spans, span), ("kept", kept, pa.binary())):
+            result = result.append_column(name, pa.array(values, kind))
+        return result.combine_chunks()
+
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.StructType([
+            T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("kept", T.BinaryType())])
 
     # One group a pack: its name, its shared triggers, the answers to its phrases.
     parts = spread.select("path", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("a"),
@@ -430,12 +453,28 @@ def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
         found.select("path", F.lit(1).alias("kind"), "bucket", F.col("low").alias("a"), F.col("hot").alias("b"))
     ).unionByName(answers.select("path", F.lit(2).alias("kind"), "bucket", F.col("least").alias("a"),
                                  F.lit(None).cast("binary").alias("b")))
-    return parts.groupBy("path").applyInPandas(finished, schema)
+    return parts.groupBy("path").applyInArrow(finished, schema)
 
 
 def digests(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
             hot_packs: int = HOT_PACKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is kept."""
-    return repeats(docs, width, pack_bytes, hot_packs).select(
+    return repeats(docs.select("doc_id", "text"), width, pack_bytes, hot_packs).select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The columns of ``docs`` with the texts that stay; a character that a
+    removed run begins or ends inside of goes with it. n_chars, if there is
+    one, is the new length."""
+    @pandas_udf("string")
+    def whole_characters(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+
+    rows = repeats(docs, width).withColumn("text", F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(
+        whole_characters(F.when(F.size("spans") > 0, F.col("kept")))))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(
+            F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*docs.columns)
