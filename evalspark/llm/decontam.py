@@ -126,3 +126,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of the documents that match no item."""
     return without(docs, matches(docs, benchmark).select("doc_id").distinct())
+
+
+#: Every window of every pair that shares a shingle, without fingerprints.
+ORACLE = f"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(lower("text"), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w
+  from documents where doc_id is not null and "text" is not null),
+i as (
+  select item_id, list_filter(regexp_split_to_array(lower("text"), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w
+  from benchmark where item_id is not null and "text" is not null),
+ds as (select doc_id, w, unnest(range(1, len(w) - {SHINGLE} + 2)) as p from d),
+its as (select item_id, len(w) as n, array_to_string(w[p:p + {SHINGLE - 1}], ' ') as s
+        from (select item_id, w, unnest(range(1, len(w) - {SHINGLE} + 2)) as p from i)),
+ic as (select item_id, n, s, count(*) as c from its group by all),
+c as (
+  select distinct ds.doc_id, ic.item_id, ic.n from ds
+  join ic on ic.s = array_to_string(ds.w[ds.p:ds.p + {SHINGLE - 1}], ' ')),
+wd as (
+  select doc_id, item_id, n, w, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) as b
+  from c join d using (doc_id)),
+ws as (
+  select doc_id, item_id, n, b, array_to_string(w[q:q + {SHINGLE - 1}], ' ') as s
+  from (select *, unnest(range(b, least(b + n - 1, len(w)) - {SHINGLE} + 2)) as q from wd)),
+wc as (select doc_id, item_id, n, b, s, count(*) as c from ws group by all),
+m as (
+  select wc.doc_id, wc.item_id, wc.n, wc.b, sum(wc.c) as windows, sum(least(wc.c, coalesce(ic.c, 0))) as shared
+  from wc left join ic on ic.item_id = wc.item_id and ic.s = wc.s group by all)
+select doc_id, item_id, max(shared::double / (windows + n - {SHINGLE - 1} - shared)::double) as similarity
+from m group by all having max(shared::double / (windows + n - {SHINGLE - 1} - shared)::double) >= {THRESHOLD}
+"""

@@ -281,3 +281,21 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: Every pair compared; the whole SQL, as the query, is exact at these sizes.
+ORACLE = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true)
+    and list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+n as (select a, count(*) as n_links from l group by a),
+c as (select a, min(b) as low from r group by a)
+select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+from embeddings left join n on n.a = vec_id left join c on c.a = vec_id
+"""

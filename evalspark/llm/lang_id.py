@@ -186,4 +186,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def recognised(docs: DataFrame) -> DataFrame:
     """All columns of the documents that are not rejected."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return classify(docs, model).where("not rejected").select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.drop("text").columns).alias("row"))
+    return classify(rows, model).where("not rejected").select(
+        *(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

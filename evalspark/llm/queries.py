@@ -93,4 +93,6 @@ ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op3_chat": chat.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
+    "op7_decontamination": decontam.ORACLE,
+    "op10_embedding_dedup": hnsw.ORACLE,
 }

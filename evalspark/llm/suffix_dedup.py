@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 import pyarrow.ipc as ipc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -466,15 +466,25 @@ def digests(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The columns of ``docs`` with the texts that stay; a character that a
-    removed run begins or ends inside of goes with it. n_chars, if there is
-    one, is the new length."""
+    removed run begins or ends inside of goes with it, and a null text comes
+    back empty. n_chars, if there is one, is the new length of a text that
+    was cut."""
     @pandas_udf("string")
     def whole_characters(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
 
-    rows = repeats(docs, width).withColumn("text", F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(
-        whole_characters(F.when(F.size("spans") > 0, F.col("kept")))))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*rest) if rest else F.lit(None).cast("string")
+    rows = repeats(docs.select("doc_id", "text", row.alias("row")), width)
+    whole = F.size("spans") == 0
+    text = F.when(whole, F.col("kept").cast("string")).otherwise(whole_characters(F.when(~whole, F.col("kept"))))
+
+    def column(name: str) -> Column:
+        if name in ("doc_id", "text"):
+            return F.col(name)
+        if name == "n_chars":
+            size = F.length("text").cast(docs.schema[name].dataType)
+            return F.when(whole, F.col("row")[name]).otherwise(size).alias(name)
+        return F.col("row")[name].alias(name)
+
+    return rows.withColumn("text", text).select(*map(column, docs.columns))
