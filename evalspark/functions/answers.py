@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import col_
 
-# Option letters, in order.
-OPTION_LETTERS = "ABCDEFGHIJKLMNO"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Labels of up to this many letters: 26 + 26^2 + ... options, over 300 million.
+LABEL_LETTERS = 6
 
 
 def edit_distances(answer: str | Column, choices: str | Column) -> Column:
@@ -24,10 +25,18 @@ def argmin_first(values: str | Column) -> Column:
 
 
 def option_letter(position: str | Column) -> Column:
-    """1-based position -> A..O; null beyond the last letter."""
-    p = col_(position)
-    return F.when((p >= 1) & (p <= len(OPTION_LETTERS)),
-                  F.substring(F.lit(OPTION_LETTERS), p, 1))
+    """1-based position -> A..Z, AA, AB, ...; null for no position."""
+    p = col_(position).cast("long")
+    expr, before = None, 0
+    for n in range(1, LABEL_LETTERS + 1):
+        rest = p - F.lit(1 + before)
+        digits = [F.substring(F.lit(LETTERS), ((F.floor(rest / F.lit(26 ** (n - 1 - k))) % 26) + 1).cast("int"), F.lit(1))
+                  for k in range(n)]
+        before += 26 ** n
+        fits = (p >= 1) & (p <= before)
+        label = F.concat(*digits)
+        expr = F.when(fits, label) if expr is None else expr.when(fits, label)
+    return expr
 
 
 def nearest_option(answer: str | Column, choices: str | Column) -> Column:
@@ -38,7 +47,7 @@ def nearest_option(answer: str | Column, choices: str | Column) -> Column:
 def option_block(choices: str | Column) -> Column:
     """``A. x\\nB. y\\n`` (trailing newline kept)."""
     lines = F.transform(col_(choices), lambda c, i: F.concat(
-        F.substring(F.lit(OPTION_LETTERS), i + 1, 1), F.lit(". "), c, F.lit("\n")))
+        option_letter(i + 1), F.lit(". "), c, F.lit("\n")))
     return F.array_join(lines, "")
 
 

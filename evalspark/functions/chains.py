@@ -27,7 +27,7 @@ FALLBACK_CHAIN = (
 )
 CONTEXT_HEADER = ("Look at the picture and carry out each numbered step below, "
                   "reporting what you find for every step.\n")
-CONTEXT_STEP_LABEL = "reasoning step\n"
+CONTEXT_STEP_LABEL = "Steps:\n"
 LAST_STEP_PREFIX = "Give the final answer as follows: "
 CHAIN_INSTRUCTION = ("Write the steps needed to answer the question from a picture, one step per "
                      "line, after the words 'Reasoning steps:'.")
@@ -101,8 +101,14 @@ def last_instruction(chain: str | Column, prefix: str = LAST_STEP_PREFIX) -> Col
 
 
 def decode_structured(text: str | Column) -> Column:
-    """``{"inference_instruction": [...]}`` JSON -> the step array."""
-    return F.from_json(col_(text), CHAIN_SCHEMA).getField("inference_instruction")
+    """``{"inference_instruction": [...]}`` JSON -> the step array.
+
+    The text is read as a value inside an object whose last field must be
+    reached, so text after the JSON (or a second value) gives null.
+    """
+    wrapped = F.concat(F.lit('{"value":'), col_(text), F.lit(',"end of text":true}'))
+    whole = F.from_json(wrapped, f"struct<value:{CHAIN_SCHEMA},`end of text`:boolean>")
+    return F.when(whole.getField("end of text"), whole.getField("value").getField("inference_instruction"))
 
 
 def encode_structured(steps: str | Column) -> Column:

@@ -34,12 +34,12 @@ JUDGE_INSTRUCTIONS = {
                     "'incorrect' or 'unclear'."),
 }
 
-# Judge request layouts. The free-answer layout is also the
-# text the repetition guard counts words in, so it must stay as written.
+# Own layouts, but for the last one.
 JUDGE_TEMPLATES = {
-    "yes_no": "Response:{response}",
-    "choice": "Choices:{choices}\nResponse:{response}",
-    "number": "response:{response}Extracted answer:",
+    "yes_no": "Text to read:\n{response}",
+    "choice": "Options on offer:\n{choices}Text to read:\n{response}",
+    "number": "Text to read:\n{response}\nIts number or list:",
+    # Fixed value: the repetition guard counts words in this layout.
     "free_answer": "Real Answer:{answer},Response:{response}",
 }
 REPEAT_LIMIT = 10
@@ -108,7 +108,7 @@ def repetition_guard(text, limit: int = REPEAT_LIMIT) -> Column:
 
 def media_type(image_b64) -> Column:
     """Media type from the leading bytes of base64 image text (null if unknown)."""
-    raw = F.try_to_binary(col_(image_b64), F.lit("base64"))
+    raw = F.try_to_binary(F.substring(col_(image_b64), 1, 24), F.lit("base64"))   # 24 characters: 18 bytes
     head = F.hex(F.substring(raw, 1, 16))
     expr = None
     for sig, mt in IMAGE_SIGNATURES:
@@ -125,7 +125,7 @@ def canonical_base64(text) -> Column:
 
 
 def _system_message(system) -> Column:
-    return F.when(col_(system).isNotNull(), F.struct(
+    return F.when(col_(system).isNotNull() & (col_(system) != ""), F.struct(
         F.lit("system").alias("role"), col_(system).alias("content")))
 
 

@@ -18,7 +18,15 @@ _DIGITS = "[0-9](?:_?[0-9])*"
 INT_PATTERN = f"^{_WS}*[+-]?{_DIGITS}{_WS}*$"
 FLOAT_PATTERN = (f"^{_WS}*[+-]?(?:(?:(?:{_DIGITS})?\\.{_DIGITS}|{_DIGITS}\\.?)"
                  f"(?:[eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan)){_WS}*$")
-LIST_PATTERN = f"(?s)^{_WS}*\\[.*\\]{_WS}*$"
+# A whole list of plain numbers, which JSON and Python read alike: no leading
+# zeros, no infinities, and at most 15 digits before the point, so that a
+# double holds every integer exactly. Anything else is left to Python.
+_NUMBER = "-?(?:0|[1-9][0-9]{0,14})(?:\\.[0-9]{1,15})?(?:[eE][+-]?[0-9]{1,2})?"
+NUMBER_LIST_PATTERN = f"^[ \\t]*\\[ *+(?:{_NUMBER}(?: *+, *+{_NUMBER})*+)?+ *+\\] *+$"
+# Only such a text can be a Python list.
+LIST_START = f"^{_WS}*[\\[\\(]"
+# Longer texts go to Python: long repetitions overflow the regex engine's stack.
+FAST_CHARS = 4000
 # A Python literal starts with one of these (anything else is a name or junk).
 LITERAL_START = f"^{_WS}*(?:[\\[\\(\\{{'\"0-9+.-]|True|False|None)"
 
@@ -35,8 +43,8 @@ def _as_number_list(c: Column) -> Column:
     return F.from_json(c, "array<double>")
 
 
-def _is_number_list(parsed: Column) -> Column:
-    return parsed.isNotNull() & ~F.exists(parsed, lambda x: x.isNull())
+def _is_number_list(text: Column) -> Column:
+    return F.coalesce((F.length(text) <= FAST_CHARS) & text.rlike(NUMBER_LIST_PATTERN), F.lit(False))
 
 
 def token_sign(verdict: str | Column, answer: str | Column) -> Column:
@@ -61,18 +69,18 @@ def answer_kind(answer: str | Column) -> Column:
     a = col_(answer)
     return (F.when(a.rlike(INT_PATTERN), F.lit("int"))
             .when(a.rlike(FLOAT_PATTERN), F.lit("float"))
-            .when(a.rlike(LIST_PATTERN) & _is_number_list(_as_number_list(a)), F.lit("list"))
+            .when(_is_number_list(a), F.lit("list"))
             .when(a.rlike(LITERAL_START), F.lit("literal"))
             .otherwise(F.lit("text")))
 
 
 def numeric_sign(verdict: str | Column, answer: str | Column) -> Column:
-    """S4 fast path; null only where Python must decide (see ``may_need_python``).
+    """S4 fast path; null only where Python must decide.
 
     The answer's type picks the rule, tested in order (each test runs at
     most once per row): int grammar -> the verdict must match the integer
     grammar and be equal; float grammar -> the verdict must parse as a
-    float and be equal (NaN never equals NaN); number list -> element-wise
+    float and be equal (NaN never equals NaN); whole number list -> element-wise
     equality in order; other literal-looking text -> null; text -> 0.
     """
     v, a = col_(verdict), col_(answer)
@@ -84,35 +92,12 @@ def numeric_sign(verdict: str | Column, answer: str | Column) -> Column:
     vd, ad = _as_double(v), _as_double(a)
     float_eq = v.rlike(FLOAT_PATTERN) & (vd == ad) & ~F.isnan(ad)
     vl, al = _as_number_list(v), _as_number_list(a)
-    list_sign = (F.when(~F.coalesce(v.rlike(LIST_PATTERN), F.lit(False)), F.lit(0))
-                 .when(~_is_number_list(vl), F.lit(None))       # other literal: Python decides
-                 .otherwise(((vl == al) & ~F.exists(al, lambda x: F.isnan(x))).cast("int")))
+    list_sign = (F.when(_is_number_list(v), (vl == al).cast("int"))
+                 .when(v.rlike(LIST_START), F.lit(None))        # other literal: Python decides
+                 .otherwise(F.lit(0)))
     return (F.when(a.isNull() | v.isNull(), F.lit(0))
             .when(a.rlike(INT_PATTERN), int_sign)
             .when(a.rlike(FLOAT_PATTERN), F.coalesce(float_eq, F.lit(False)).cast("int"))
-            .when(a.rlike(LIST_PATTERN) & _is_number_list(al), list_sign)
+            .when(_is_number_list(a), list_sign)
             .when(a.rlike(LITERAL_START), F.lit(None).cast("int"))
             .otherwise(F.lit(0)))
-
-
-def may_need_python(verdict: str | Column, answer: str | Column) -> Column:
-    """Superset of the rows ``numeric_sign`` leaves null, tested without the full rule.
-
-    Literal-looking answers that are not numbers or number lists, number-list
-    answers whose verdict is a list of something else, and integers too long
-    for decimal(38, 0).
-    """
-    v, a = col_(verdict), col_(answer)
-    numeric = a.rlike(INT_PATTERN) | a.rlike(FLOAT_PATTERN)
-    number_list = a.rlike(LIST_PATTERN) & _is_number_list(_as_number_list(a))
-    literal_like = a.rlike(LITERAL_START) & ~numeric & ~number_list
-    odd_verdict = number_list & v.rlike(LIST_PATTERN) & ~_is_number_list(_as_number_list(v))
-    huge_int = a.rlike(INT_PATTERN) & (F.length(a) > 38)
-    return F.coalesce(literal_like | odd_verdict | huge_int, F.lit(False))
-
-
-def routed_sign(question_type: str | Column, verdict: str | Column, answer: str | Column,
-                choice_type: str = "multi_choice") -> Column:
-    """Choice questions use the token sign, all others the numeric sign."""
-    return (F.when(col_(question_type) == choice_type, token_sign(verdict, answer))
-            .otherwise(numeric_sign(verdict, answer)))

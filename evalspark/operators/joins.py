@@ -22,6 +22,24 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def one_per_key(df: DataFrame, key: str | Sequence[str], order: str | None = None,
+                count: str | None = None) -> DataFrame:
+    """One row per key, the same on every run: the latest by ``order``, among
+    equals (or without an order) the row whose other values are smallest.
+    ``count`` names a column for the number of rows that the key had."""
+    k = _keys(key)
+    rest = [c for c in df.columns if c not in k]
+    row = F.struct(*rest) if rest else F.struct(F.lit(None).alias("_"))
+    if order:
+        latest = df.groupBy(*k).agg(F.max(order).alias("_latest"), F.count(F.lit(1)).alias("_n"))
+        df = df.join(latest, k).where(F.col(order).eqNullSafe(F.col("_latest")))
+        out = df.groupBy(*k).agg(F.min(row).alias("_r"), F.max("_n").alias("_n"))
+    else:
+        out = df.groupBy(*k).agg(F.min(row).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    return out.select(*k, *(F.col("_r")[c].alias(c) for c in rest),
+                      *([F.col("_n").alias(count)] if count else []))
+
+
 def align(responses: DataFrame, items: DataFrame, key: str | Sequence[str] = "item_id") -> DataFrame:
     """Responses next to their items (inner equi-join, never positional)."""
     return responses.join(items, _keys(key), "inner")
@@ -33,15 +51,16 @@ def exchange_columns(df: DataFrame, pattern: str = "intermediate_response") -> l
 
 
 def attach_exchange(items: DataFrame, other: DataFrame, key: str | Sequence[str] = "item_id",
-                    pattern: str = "intermediate_response", out: str = "exchange_info") -> DataFrame:
+                    pattern: str = "intermediate_response", out: str = "exchange_info",
+                    order: str | None = None) -> DataFrame:
     """Another run's intermediate responses as an array column (left join)."""
     cols = exchange_columns(other, pattern)
     if not cols:
         raise ValueError(f"no column containing {pattern!r}")
     k = _keys(key)
-    right = other.select(*k, F.array(*[F.col(c).cast("string") for c in cols]).alias(out))
-    right = right.dropDuplicates(k)
-    return items.join(right, k, "left")
+    right = other.select(*k, F.array(*[F.col(c).cast("string") for c in cols]).alias(out),
+                         *([order] if order else []))
+    return items.join(one_per_key(right, k, order).select(*k, out), k, "left")
 
 
 def pending(items: DataFrame, done: DataFrame, key: str | Sequence[str] = "item_id") -> DataFrame:
@@ -51,10 +70,11 @@ def pending(items: DataFrame, done: DataFrame, key: str | Sequence[str] = "item_
 
 
 def fill_missing(items: DataFrame, generated: DataFrame, key: str | Sequence[str],
-                 old: str, new: str, out: str = "chain") -> DataFrame:
+                 old: str, new: str, out: str = "chain", order: str | None = None) -> DataFrame:
     """Keep a reusable existing value, otherwise take the generated one."""
     k = _keys(key)
-    right = generated.select(*k, F.col(new).alias("_new")).dropDuplicates(k)
+    right = generated.select(*k, F.col(new).alias("_new"), *([order] if order else []))
+    right = one_per_key(right, k, order).select(*k, "_new")
     joined = items.join(right, k, "left")
     keep = reusable(F.col(old))
     return (joined.withColumn(out, F.when(keep, F.col(old)).otherwise(F.col("_new")))
@@ -65,10 +85,16 @@ def fill_missing(items: DataFrame, generated: DataFrame, key: str | Sequence[str
 
 
 def attach_responses(requests: DataFrame, responses: DataFrame, key: str | Sequence[str] = "request_id",
-                     response: str = "response", out: str = "response") -> DataFrame:
-    """The model call as a join with a response table; ``missing`` flags gaps."""
+                     response: str = "response", out: str = "response", order: str | None = None) -> DataFrame:
+    """The model call as a join with a response table; ``missing`` flags gaps.
+
+    A response table with an ``error`` column keeps it. Of several
+    responses to a request the one of ``one_per_key`` is taken.
+    """
     k = _keys(key)
-    right = responses.select(*k, F.col(response).alias(out)).dropDuplicates(k)
+    kept = ["error"] if "error" in responses.columns and "error" not in requests.columns else []
+    right = responses.select(*k, F.col(response).alias(out), *kept, *([order] if order else []))
+    right = one_per_key(right, k, order).select(*k, out, *kept)
     return (requests.join(right, k, "left")
                     .withColumn("missing", F.col(out).isNull().cast("int")))
 
@@ -107,7 +133,8 @@ def batch_ids(df: DataFrame, position: str, size: int, out: str = "batch_id") ->
     """Fixed-size batches from a dense 0-based position."""
     if size < 1:
         raise ValueError("batch size must be positive")
-    return df.withColumn(out, F.floor(F.col(position) / size).cast("long"))
+    p = F.col(position).cast("long")
+    return df.withColumn(out, F.expr(f"`{position}` div {int(size)}L") if size > 1 else p)
 
 
 def missing_chain(df: DataFrame, chain: str) -> Column:

@@ -98,15 +98,15 @@ def ternary_confusion(df: DataFrame, task: str, truth: str, pred: str,
 
 def plus_accuracy(df: DataFrame, task: str, group: str, sign: str = "sign",
                   by: Sequence[str] = (), denominator: str = "rows") -> DataFrame:
-    """Groups (pictures) with exactly two correct rows, over rows (or groups)."""
+    """Groups (pictures) with exactly two correct rows, over all rows of the
+    task (or its groups). Rows without a group count as rows, never as a group."""
     keys = [*_keys(by), task]
-    per_group = (df.filter(F.col(group).isNotNull())
-                 .groupBy(*keys, group)
+    per_group = (df.groupBy(*keys, group)
                  .agg(F.coalesce(F.sum(sign), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("r")))
     out = (per_group.groupBy(*keys)
-           .agg(_count_if(F.col("s") == 2).alias("plus_groups"),
+           .agg(_count_if(F.col(group).isNotNull() & (F.col("s") == 2)).alias("plus_groups"),
                 F.sum("r").cast("bigint").alias("n"),
-                F.count(F.lit(1)).alias("groups")))
+                F.count(group).alias("groups")))
     den = F.col("n") if denominator == "rows" else F.col("groups")
     return out.withColumn("acc_plus", _ratio(F.col("plus_groups"), den))
 
@@ -133,7 +133,7 @@ def task_scores(df: DataFrame, task: str, group: str, truth: str, pred: str,
     summed = [F.sum(c).cast("bigint").alias(c) for c in ("hits", "TP", "FN", "FP", "TN", "other_num")]
     out = (per_group.groupBy(*keys)
            .agg(F.sum("r").cast("bigint").alias("n"),
-                F.count(F.lit(1)).alias("groups"),
+                F.count(group).alias("groups"),
                 _count_if(F.col(group).isNotNull() & (F.col("s") == 2)).alias("plus_groups"),
                 *summed))
     tp, fp, fn = F.col("TP"), F.col("FP"), F.col("FN")
@@ -197,7 +197,7 @@ def pair_accuracy(df: DataFrame, position: str, sign: str = "sign",
     0 correct and 0.5 to the total.
     """
     keys = _keys(by)
-    pairs = (df.groupBy(*keys, F.floor(F.col(position) / 2).alias("_pair"))
+    pairs = (df.groupBy(*keys, F.expr(f"`{position}` div 2L").alias("_pair"))
              .agg(F.count(F.lit(1)).alias("r"), _count_if(F.col(sign) == 1).alias("ones")))
     out = (pairs.groupBy(*keys)
            .agg(_count_if((F.col("r") == 2) & (F.col("ones") == 2)).alias("correct"),
@@ -256,7 +256,7 @@ def max_word_count(text: str | Column, sep: str = " ") -> Column:
         return let(starts, lambda s: F.array_max(F.transform(
             s, lambda b, j: F.coalesce(F.get(s, j + 1), F.size(words)) - b)))
 
-    return let(F.array_sort(F.split(col_(text), sep, -1)), longest)
+    return let(F.sort_array(F.split(col_(text), sep, -1)), longest)
 
 
 def summary_long(df: DataFrame, by: Sequence[str] = (), sign: str = "sign", category: str | None = None,

@@ -86,9 +86,14 @@ def dense_positions(df: DataFrame, order: str, by: Sequence[str] = (),
     w = Window.partitionBy(*keys).orderBy("_pid") if keys else Window.orderBy("_pid")
     seg = seg.withColumn("_offset", F.coalesce(
         F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = tagged.join(seg.select("_pid", *keys, "_start", "_offset"), ["_pid", *keys])
-    return (joined.withColumn(out, F.col("_offset") + F.col("_local") - F.col("_start"))
-                  .drop("_pid", "_local", "_start", "_offset"))
+    seg = seg.select(F.col("_pid").alias("_seg"), *(F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)),
+                     "_start", "_offset")
+    same = F.col("_pid") == F.col("_seg")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_by{i}"))       # rows of a null group stay
+    return (tagged.join(seg, same)
+                  .withColumn(out, F.col("_offset") + F.col("_local") - F.col("_start"))
+                  .select(*df.columns, out))
 
 
 def first_by(df: DataFrame, item: str, order: str, value: str, out: str) -> DataFrame:

@@ -338,7 +338,7 @@ def row_numbering(spark, sf_dir):
 from evalspark.functions import answers as AN  # noqa: E402
 from evalspark.functions import text as TX  # noqa: E402
 
-_LETTERS = Q.q(AN.OPTION_LETTERS)
+_LETTERS = Q.q("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _D3_DIST = "list_transform(choices, lambda c: levenshtein(answer_text, c))"
 
 
@@ -900,7 +900,7 @@ def judge_pass(spark, sf_dir):
     g = _d8_guard_only(spark, sf_dir)
     v = g.select("item_no", "kind", "answer",
                  F.when(F.col("guarded"), F.lit("unclear")).otherwise(F.col("verdict")).alias("verdict"))
-    num = LI.score_numeric(v, "verdict", "answer", "_num")
+    num = LI.score_numeric(v, "verdict", "answer", "_num", only=F.col("kind") == "number")
     sign = (F.when(F.col("kind").isin("yes_no", "choice"), S.token_sign("verdict", "answer"))
             .when(F.col("kind") == "number", F.col("_num"))
             .otherwise(S.exact_sign("verdict")))

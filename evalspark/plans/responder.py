@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RESPONSE_SCHEMA = "request_id long, response string, error string"
+RESPONSE_FIELDS = "response string, error string"
 
 
 def make_responder(call: Callable[[str], str], parallelism: int | None = None,
@@ -33,13 +33,14 @@ def make_responder(call: Callable[[str], str], parallelism: int | None = None,
                 except Exception as e:  # errors are data, not response text
                     out.append(None)
                     err.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"request_id": pdf[key].astype("int64"), "response": out, "error": err})
+            yield pd.DataFrame({"request_id": pdf[key], "response": out, "error": err})
 
     def respond(requests: DataFrame) -> DataFrame:
-        req = requests.select(F.col(key).cast("long").alias(key), F.col(query).alias(query))
+        req = requests.select(F.col(key).alias(key), F.col(query).alias(query))
         if parallelism:
             req = req.repartition(parallelism, key)
-        return req.mapInPandas(run, RESPONSE_SCHEMA)
+        kind = requests.schema[key].dataType.simpleString()          # any id type
+        return req.mapInPandas(run, f"request_id {kind}, {RESPONSE_FIELDS}")
 
     return respond
 

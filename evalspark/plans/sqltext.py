@@ -4,7 +4,13 @@ These restate the scoring rules independently of the Spark code so the
 correctness check compares two separate formulations.
 """
 
-from evalspark.functions.signs import FLOAT_PATTERN, INT_PATTERN, LIST_PATTERN
+# The oracle's own grammars, written from the rule: whole text, ASCII digits,
+# single underscores between digits, white space at both ends.
+_SP = "[\\t-\\r\\x1c-\\x1f \\x85\\xa0]*"
+INT_PATTERN = f"^{_SP}[-+]?\\d+(_\\d+)*{_SP}$"
+FLOAT_PATTERN = (f"^{_SP}[-+]?((\\d+(_\\d+)*)(\\.(\\d+(_\\d+)*)?)?|\\.\\d+(_\\d+)*)([eE][-+]?\\d+(_\\d+)*)?{_SP}$"
+                 f"|^{_SP}[-+]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN]){_SP}$")
+LIST_PATTERN = "^[ \\t]*\\[[ ]*([-0-9.eE+]+([ ]*,[ ]*[-0-9.eE+]+)*)?[ ]*\\][ ]*$"
 from evalspark.functions.text import PY_WHITESPACE, PY_WHITESPACE_CHARS, VERDICT_STRIP_CHARS
 
 WS = PY_WHITESPACE

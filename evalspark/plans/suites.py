@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.functions import answers as A
 from evalspark.functions import literals as L
@@ -167,16 +168,28 @@ LETTERED_CHOICE = Suite(
 
 
 def _math_answer(df: DataFrame) -> Column:
-    choices = F.col("choices") if "choices" in df.columns else F.lit(None).cast("array<string>")
-    return (F.when(F.col("question_type") == "multi_choice",
-                   F.coalesce(A.nearest_option("answer", choices), F.col("answer")))
+    """Option label for choice questions; a row without choices keeps its answer
+    and is marked ``no_choices`` by the sign rule."""
+    choices = _choice_list(df)
+    return (F.when((F.col("question_type") == "multi_choice") & (F.size(choices) > 0),
+                   A.nearest_option("answer", choices))
             .otherwise(F.col("answer")))
 
 
+def _choice_list(df: DataFrame) -> Column:
+    """The choices as an array, whether stored as one or as list-literal text."""
+    if "choices" not in df.columns:
+        return F.lit(None).cast("array<string>")
+    if isinstance(df.schema["choices"].dataType, T.StringType):
+        return L.full_string_list("choices")
+    return F.col("choices")
+
+
 def _math_sign(df: DataFrame, verdict: str, answer: str) -> DataFrame:
-    num = L.score_numeric(df, verdict, answer, "_num")
-    return (num.withColumn("sign", F.when(F.col("question_type") == "multi_choice",
-                                          S.token_sign(verdict, answer)).otherwise(F.col("_num")))
+    choice = F.col("question_type") == "multi_choice"
+    num = L.score_numeric(df, verdict, answer, "_num", only=~F.coalesce(choice, F.lit(False)))
+    return (num.withColumn("sign", F.when(choice, S.token_sign(verdict, answer)).otherwise(F.col("_num")))
+               .withColumn("no_choices", (choice & ~F.coalesce(F.size(_choice_list(df)) > 0, F.lit(False))).cast("int"))
                .drop("_num"))
 
 
@@ -186,7 +199,7 @@ MATH_MIXED = Suite(
     sign=_math_sign,
     metrics=combine(overall_long, skill_long),
     kind="mixed",
-    choices=lambda df: A.option_block("choices"),
+    choices=lambda df: A.option_block(_choice_list(df)),
     required=("question_type", "answer"),
 )
 
@@ -217,10 +230,13 @@ def multi_report(suites: Sequence[Suite], df: DataFrame, verdict: str = "verdict
               and s.metrics.category and s.metrics.truth and s.metrics.pred]
     parts = []
     if shared:
-        scored, entries = df, []
+        scored = df.withColumn("_answer", F.col("answer")) if "answer" in df.columns else df
+        entries = []
         for i, suite in enumerate(shared):
             spec = suite.metrics
             scored = suite.score_rows(scored, verdict).withColumnRenamed("sign", f"_sign{i}")
+            # the next suite's rule reads the table's own answer, if there is one
+            scored = scored.drop("answer") if "answer" not in df.columns else scored.withColumn("answer", F.col("_answer"))
             entries.append(F.struct(
                 F.lit(suite.name).alias("suite"),
                 F.col(spec.category).cast("string").alias("category"),

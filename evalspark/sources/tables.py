@@ -10,11 +10,6 @@ TABLE_NAMES = ("region nation customer supplier part orders lineitem events docu
                "embeddings pages benchmark labels conversations").split()
 
 
-# One scan DataFrame per (session, path): the input tables are static, so
-# the file listing and footer read are done once, not once per query.
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-
-
 class Tables:
     """Lazy parquet readers: ``Tables(spark, dir).documents`` etc.
 
@@ -25,13 +20,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        # Scans live as long as this object, one query: files added later are
+        # seen by the next one.
+        self._scans: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        key = (id(self.spark), path)
-        df = _SCANS.get(key)
-        if df is None or df.sparkSession is not self.spark:
-            df = _SCANS[key] = self.spark.read.parquet(path)
+        df = self._scans.get(name)
+        if df is None:
+            df = self._scans[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return df
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -42,30 +38,3 @@ class Tables:
     @cached_property
     def names(self) -> tuple[str, ...]:
         return TABLE_NAMES
-
-
-def ensure_parallelism(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Spread an under-split input before CPU-heavy per-row text work.
-
-    A large input already arrives in many splits and is returned as is
-    (no shuffle). Only an input with fewer partitions than the cluster's
-    default parallelism (e.g. one big row group) is hash-partitioned on
-    its row key, which is unique, so no partition gets more than its share.
-    """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if _input_partitions(df) >= target:
-        return df
-    return df.repartition(target, key)
-
-
-_PARTS: dict[int, int] = {}
-
-
-def _input_partitions(df: DataFrame) -> int:
-    """Partition count of a (narrow) scan, remembered per plan (no file listing)."""
-    key = df.semanticHash()
-    n = _PARTS.get(key)
-    if n is None:
-        n = _PARTS[key] = df.rdd.getNumPartitions()
-    return n

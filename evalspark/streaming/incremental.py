@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.operators.joins import one_per_key
 from evalspark.session import scratch_path
 
 
@@ -28,18 +29,30 @@ def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out
                  checkpoint: str, partition_by: tuple[str, ...] = ()) -> int:
     """Apply a row-wise scoring function to a stream and append to parquet.
 
-    Returns the number of input rows processed by this run (0 when the
-    checkpoint says everything was already scored).
+    Returns the number of rows that this run appended (0 when the checkpoint
+    says everything was already scored), counted in the target itself, so
+    it is exact for any number of micro-batches.
     """
+    spark = stream.sparkSession
+    before = _rows(spark, out_path)
     scored = score(stream)
     w = (scored.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True))
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.start()
-    q.awaitTermination()
-    return sum(p.get("numInputRows", 0) for p in q.recentProgress)
+    w.start().awaitTermination()
+    return _rows(spark, out_path) - before
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _rows(spark: SparkSession, path: str) -> int:
+    """Rows of a parquet folder (from its footers), 0 if there is none yet."""
+    return spark.read.parquet(path).count() if _exists(spark, path) else 0
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
@@ -57,19 +70,24 @@ def collect_responses(responses: DataFrame, requests: DataFrame, target: str, ch
                       key: str = "request_id") -> int:
     """Attach newly arriving response files to the static request table.
 
-    Duplicate keys are dropped by the stream itself (state partitioned by
-    key, so it is spread over the cluster), and each micro-batch writes
-    its own ``epoch=<id>`` folder with overwrite: a batch replayed after
-    a failure rewrites the same folder, so nothing is written twice and
-    the target is never re-read.
+    Each micro-batch keeps one row per key (``one_per_key``), leaves out the
+    keys that earlier batches wrote (an anti-join on the target's key
+    column), and writes its own ``epoch=<id>`` folder with overwrite: a
+    batch replayed after a failure rewrites the same folder, so nothing is
+    written twice. The stream keeps no state of its own. Returns the
+    number of rows that this run wrote.
     """
-    deduped = responses.dropDuplicates([key])
+    spark = responses.sparkSession
+    before = _rows(spark, target)
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        (batch.join(requests, key, "inner")
-              .write.mode("overwrite").parquet(f"{target}/epoch={epoch_id}"))
-
-    q = (deduped.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sum(p.get("numInputRows", 0) for p in q.recentProgress)
+        new = one_per_key(batch, key)
+        session = batch.sparkSession
+        if epoch_id and _exists(session, target):
+            done = session.read.parquet(target).where(F.col("epoch") < epoch_id)
+            new = new.join(done.select(key), key, "left_anti")
+        new.join(requests, key, "inner").write.mode("overwrite").parquet(f"{target}/epoch={epoch_id}")
+
+    (responses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+    return _rows(spark, target) - before

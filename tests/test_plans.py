@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from evalspark.plans import catalog
 from tests.conftest import SF_SMALL
 
 
@@ -30,7 +31,7 @@ def test_scoring_scan_is_pruned(spark):
     assert scan and all("text" not in line.split("ReadSchema:")[-1] for line in scan if "ReadSchema" in line)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"numeric_sign", "mixed_router", "suite_math_mixed",
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"numeric_sign", "mixed_router", "suite_math_mixed",
                                                                 "judge_pass", "skill_accuracy", "distinct_skills",
                                                                 "extract_skills", "incremental_scoring",
                                                                 "response_collection"}))
@@ -108,7 +109,7 @@ def test_chain_text_parsed_once_per_row(spark, name):
 
 def test_judge_guard_counts_words_for_free_answers_only(spark):
     plan = _plan(E.queries()["judge_pass"](spark, SF_SMALL))
-    guard = plan[plan.index("array_sort(") - 200:plan.index("array_sort(")]
+    guard = plan[plan.index("sort_array(") - 200:plan.index("sort_array(")]
     assert "free_answer" in guard
 
 
