@@ -7,6 +7,8 @@ without one are checked by row count and by pytest goldens.
 
 from __future__ import annotations
 
+import dataclasses
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,19 +148,21 @@ def suite_object_probe(spark, sf_dir):
     return SU.OBJECT_PROBE.report(D.d1_yes_no(_t(spark, sf_dir)), by=["run_id"])
 
 
-_SHEET_METRICS = ["correct", "total", "accuracy", "precision", "recall", "f1", "yes_rate"]
+# The sheet's columns: the fixed metrics, then the accuracy of each known category.
+_SHEET_CATEGORIES = ["de", "en", "es", "fr"]
+_SHEET_METRICS = ["correct", "total", "accuracy", "precision", "recall", "f1", "yes_rate", *_SHEET_CATEGORIES]
 _HALLU_LONG_SQL = FX.with_fixtures(_suite_long_sql(_HALLU_SIGN_SQL, "subcategory", "gt_answer"), d1=FX.D1)
 _PROBE_LONG_SQL = FX.with_fixtures(
     _suite_long_sql(_PROBE_SIGN_SQL, "subset", Q.says_yes('ground_truth')), d1=FX.D1)
 
 
 @register("score_sheet_wide", f"""
-    PIVOT (SELECT run_id, metric, value FROM ({_HALLU_LONG_SQL}) WHERE metric_group <> 'category')
+    PIVOT (SELECT run_id, metric, value FROM ({_HALLU_LONG_SQL}))
     ON metric IN ({", ".join(Q.q(m) for m in _SHEET_METRICS)}) USING max(value) GROUP BY run_id""")
 def score_sheet_wide(spark, sf_dir):
-    """One row per run, one column per fixed metric (pivot with listed values)."""
+    """One row per run, one column per metric and category (pivot with listed values)."""
     long = SU.HALLUCINATION.report(D.d1_yes_no(_t(spark, sf_dir)), by=["run_id"])
-    return M.wide_sheet(long.filter(F.col("metric_group") != "category"), ["run_id"], _SHEET_METRICS)
+    return M.wide_sheet(long, ["run_id"], _SHEET_METRICS)
 
 
 @register("multi_run_scores", f"""
@@ -600,6 +604,19 @@ def _ready_chains(d7: DataFrame) -> DataFrame:
     return s.select("item_id", F.transform("s", lambda x: x["response"]).alias("chain"))
 
 
+def _one_pass(d7: DataFrame) -> DataFrame:
+    """Item, its first two step responses, its last response and its chain from one
+    aggregate over the steps (a group is one item's steps)."""
+    first = F.col("step") == 1
+    return d7.groupBy("item_id").agg(
+        F.max(F.when(first, F.col("prompt"))).alias("prompt"),
+        F.max(F.when(first, F.col("response"))).alias("step1"),
+        F.max(F.when(F.col("step") == 2, F.col("response"))).alias("step2"),
+        F.max_by("response", "step").alias("response"),
+        F.transform(F.sort_array(F.collect_list(F.struct("step", "response"))), lambda x: x["response"]).alias("chain"),
+        F.bool_or(first).alias("has_item")).where("has_item")
+
+
 _D7_BASE = """items AS (SELECT item_id, prompt, image, already_done FROM d7 WHERE step = 1),
     lastr AS (SELECT item_id, arg_max(response, step) AS response FROM d7 GROUP BY item_id),
     step1 AS (SELECT item_id, response FROM d7 WHERE step = 1),
@@ -697,11 +714,12 @@ def mode_chain(spark, sf_dir):
            r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
     FROM st LEFT JOIN lastr r ON st.item_id = r.item_id""", d7=FX.D7))
 def mode_ready(spark, sf_dir):
-    """M4: supplied chains -> extract stage -> final stage (two calls per item)."""
-    d7 = _d7(spark, sf_dir)
-    out = MO.answer_with_chain(_items(d7), _ready_chains(d7), _step_responses(d7, 1), _last_responses(d7))
-    return out.select("item_id", F.size("chain").alias("n_steps"), "intermediate_response",
-                      "final_prompt", "response", "missing")
+    """M4: supplied chains -> extract stage -> final stage (two calls per item), one scan."""
+    staged = _one_pass(_d7(spark, sf_dir)).withColumn("intermediate_response", F.col("step1"))
+    return staged.select(
+        "item_id", F.size("chain").alias("n_steps"), "intermediate_response",
+        PR.final_prompt(F.col("prompt"), F.col("intermediate_response"), CH.last_instruction("chain")).alias("final_prompt"),
+        "response", F.col("response").isNull().cast("int").alias("missing"))
 
 
 @register("mode_exchange", FX.with_fixtures(f""", {_D7_BASE},
@@ -713,12 +731,12 @@ def mode_ready(spark, sf_dir):
            r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
     FROM st LEFT JOIN lastr r ON st.item_id = r.item_id""", d7=FX.D7))
 def mode_exchange(spark, sf_dir):
-    """M6 + J2: another run's intermediate responses feed this run's final prompt."""
-    d7 = _d7(spark, sf_dir)
-    other = _step_responses(d7, 2).withColumnRenamed("response", "other_intermediate_response")
-    out = MO.exchange(_items(d7), _ready_chains(d7), other, _last_responses(d7))
-    return out.select("item_id", F.element_at("exchange_info", 1).alias("exchange_text"),
-                      "final_prompt", "response", "missing")
+    """M6 + J2: another run's intermediate responses feed this run's final prompt, one scan."""
+    staged = _one_pass(_d7(spark, sf_dir))
+    return staged.select(
+        "item_id", F.col("step2").alias("exchange_text"),
+        PR.final_prompt(F.col("prompt"), F.coalesce("step2", F.lit("")), CH.last_instruction("chain")).alias("final_prompt"),
+        "response", F.col("response").isNull().cast("int").alias("missing"))
 
 
 @register("resume_pending", FX.with_fixtures(f""", {_D7_BASE}
@@ -1045,19 +1063,103 @@ def incremental_scoring(spark, sf_dir):
 
 
 @register("response_collection", FX.with_fixtures("""
-    SELECT i.item_id AS request_id, i.prompt, c.text AS response
-    FROM (SELECT item_id, prompt FROM d7 WHERE step = 1) i
-    JOIN conversations c ON c.conv_id = i.item_id AND c.turn = 0""", d7=FX.D7))
+    SELECT concat(CAST(i.item_id AS VARCHAR), '-', CAST(i.step AS VARCHAR)) AS request_id, i.prompt, c.text AS response
+    FROM d7 i JOIN conversations c ON c.conv_id = i.item_id AND c.turn + 1 = i.step""", d7=FX.D7))
 def response_collection(spark, sf_dir):
-    """Response files streamed in and attached to the request table by key."""
+    """Response files streamed in and attached to the request table by key, every turn."""
     run = INC.new_run_folder(spark, "response-collection")
-    requests = _items(_d7(spark, sf_dir)).select(F.col("item_id").alias("request_id"), "prompt")
-    stream = (_table_stream(spark, sf_dir, "conversations").filter(F.col("turn") == 0)
-              .select(F.col("conv_id").alias("request_id"), F.col("text").alias("response")))
+
+    def request_id(item: str, step) -> "F.Column":
+        return F.concat(F.col(item).cast("string"), F.lit("-"), step.cast("string")).alias("request_id")
+
+    requests = _d7(spark, sf_dir).select(request_id("item_id", F.col("step")), "prompt")
+    stream = _table_stream(spark, sf_dir, "conversations").select(
+        request_id("conv_id", F.col("turn") + 1), F.col("text").alias("response"))
     INC.collect_responses(stream, requests, f"{run}/responses", f"{run}/checkpoint")
     return spark.read.parquet(f"{run}/responses").select("request_id", "prompt", "response")
 
 
+# ---------------------------------------------------------------------------
+# Operators on harder rows: many options, null groups, the judge pass, real result files
+
+_MANY_SQL = """m AS (SELECT list_sort(list_concat((SELECT array_agg(n_name) FROM nation),
+                                                (SELECT array_agg(r_name) FROM region))) AS choices)"""
+_MANY_DIST = "list_transform(m.choices, lambda c: levenshtein(answer_text, c))"
+
+
+@register("options_many", FX.with_fixtures(f""", {_MANY_SQL},
+    p AS (SELECT item_no, list_position({_MANY_DIST}, list_min({_MANY_DIST})) AS pos, len(m.choices) AS n_options
+          FROM d3, m)
+    SELECT item_no, n_options,
+           CASE WHEN pos > 26 THEN concat('A', substr({_LETTERS}, pos - 26, 1)) ELSE substr({_LETTERS}, pos, 1) END AS nearest
+    FROM p""", d3=FX.D3))
+def options_many(spark, sf_dir):
+    """S11 with 30 options: labels go on after Z (AA, AB, ...)."""
+    t = _t(spark, sf_dir)
+    names = t.nation.select(F.col("n_name").alias("name")).unionByName(t.region.select(F.col("r_name").alias("name")))
+    choices = names.agg(F.sort_array(F.collect_list("name"))).scalar()       # one row: 30 names
+    rows = D.d3_options(t).select("item_no", "answer_text", choices.alias("choices"))
+    return rows.select("item_no", F.size("choices").cast("bigint").alias("n_options"),
+                       AN.nearest_option("answer_text", "choices").alias("nearest"))
+
+
+@register("numbering_null_groups", FX.with_fixtures("""
+    SELECT item_no, subset, row_number() OVER (PARTITION BY subset ORDER BY item_no) - 1 AS position FROM d1""",
+    d1=FX.D1))
+def numbering_null_groups(spark, sf_dir):
+    """Positions inside groups, rows without a group numbered as one group."""
+    rows = D.d1_yes_no(_t(spark, sf_dir)).select("item_no", "subset")
+    return W.dense_positions(rows, "item_no", ["subset"])
+
+
+_JUDGE_INSTR = SU.LETTERED_CHOICE.instructions["choice"]
+
+
+@register("judge_pipeline", FX.with_fixtures(f""",
+    j AS (SELECT item_no, answer_letter, verdict, list_reduce(list_prepend('', list_transform(choices, lambda c, i:
+                   concat(substr({_LETTERS}, i, 1), '. ', c, chr(10)))), lambda a, b: concat(a, b)) AS opts, answer_text
+          FROM d3 WHERE item_no % 6 <> 0),
+    v AS (SELECT *, CASE WHEN item_no % 11 = 0 THEN 'timeout' END AS error,
+                 CASE WHEN item_no % 11 = 0 THEN NULL ELSE verdict END AS reply FROM j)
+    SELECT item_no, 'choice' AS kind, {Q.q(_JUDGE_INSTR)} AS instruction,
+           {Q.fill(PR.JUDGE_TEMPLATES['choice'], choices='opts', response='answer_text')} AS request,
+           reply AS verdict, error,
+           CASE WHEN reply IS NULL THEN 0
+                ELSE CAST(contains(lower(reply), concat('(', lower(answer_letter), ')')) AS INTEGER) END AS sign
+    FROM v""", d3=FX.D3))
+def judge_pipeline(spark, sf_dir):
+    """M11 + F1 + J3 + J6: the judge pass of a suite with choices, done rows and errors."""
+    rows = D.d3_options(_t(spark, sf_dir))
+    suite = dataclasses.replace(
+        SU.LETTERED_CHOICE, answer=lambda df: F.concat(F.lit("("), F.lower("answer_letter"), F.lit(")")),
+        choices=lambda df: AN.option_block("choices"), response=lambda df: F.col("answer_text"))
+    failed = F.col("item_no") % 11 == 0
+    replies = rows.select("item_no", F.when(~failed, F.col("verdict")).alias("response"),
+                          F.when(failed, F.lit("timeout")).alias("error"))
+    done = rows.where(F.col("item_no") % 6 == 0)
+    return SU.judge(rows.drop("verdict"), suite, replies, done).select(
+        "item_no", "kind", "instruction", "request", "verdict", "error", "sign")
+
+
+@register("folder_scores", f"""
+    SELECT concat('m', substr(run_id, 4)) AS model, {Q.q(FI.MODE_NAMES[0])} AS mode, metric_group, metric, value
+    FROM ({_HALLU_LONG_SQL})""")
+def folder_scores(spark, sf_dir):
+    """R2 + R3 + R7 + W1 + A15: runs written as TSV folders with different column
+    orders and response names, scanned by header and scored together."""
+    folder = INC.new_run_folder(spark, "result-files")
+    d1 = D.d1_yes_no(_t(spark, sf_dir)).select("item_no", "run_id", "subcategory", "gt_answer", "verdict")
+    for k in range(4):
+        name = f"m{k}_response"
+        order = ["item_no", "subcategory", "gt_answer", name] if k % 2 else [name, "gt_answer", "item_no", "subcategory"]
+        run = d1.where(F.col("run_id") == f"run{k}").withColumnRenamed("verdict", name)
+        FI.append_rows(run.select(*order), f"{folder}/{FI.result_file_name(f'm{k}', 'd1.tsv', FI.MODE_NAMES[0])}", "tsv")
+    rows = FI.scan_runs(spark, folder, ["item_no", "subcategory", "gt_answer"], "*.csv")
+    # a run is a folder of part files here: its name is the file's parent
+    rows = FI.run_metadata(rows.withColumn("file_name", F.element_at(F.split("file_path", "/"), -2)))
+    rows = rows.withColumnRenamed("response", "verdict").withColumn("gt_answer", F.col("gt_answer").cast("int"))
+    return SU.HALLUCINATION.report(rows, by=["model", "mode"])
+
 
 # ---------------------------------------------------------------------------
 # Remaining modes: M2 stepwise, M7/M8 chain requests, M8 visual chain with structured fallback

@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 
 from evalspark.functions import answers as A
 from evalspark.functions import literals as L
+from evalspark.functions import prompts as P
 from evalspark.functions import signs as S
 from evalspark.functions import text as X
+from evalspark.operators import joins as J
 from evalspark.operators import metrics as M
 
 AnswerFn = Callable[[DataFrame], Column]
@@ -43,6 +45,17 @@ class Suite:
     kind: str = "yes_no"                  # judge request kind (S21)
     choices: AnswerFn | None = None       # find_choice: option text for the judge
     required: tuple[str, ...] = field(default_factory=tuple)
+    response: AnswerFn | None = None      # find_response: the text to judge
+    instructions: dict[str, str] | None = None   # judge instructions by kind, over the default ones
+
+    def judge_kind(self, df: DataFrame) -> Column:
+        """Judge request kind per row: a ``kind`` column wins over the suite's;
+        the mixed kind asks for an option or a number, as the question does."""
+        if "kind" in df.columns:
+            return F.col("kind")
+        if self.kind == "mixed":
+            return F.when(F.col("question_type") == "multi_choice", F.lit("choice")).otherwise(F.lit("number"))
+        return F.lit(self.kind)
 
     def score_rows(self, df: DataFrame, verdict: str = "verdict") -> DataFrame:
         """Per row: ``answer`` and ``sign`` columns added."""
@@ -163,6 +176,8 @@ LETTERED_CHOICE = Suite(
     metrics=summary("question_type"),
     kind="choice",
     choices=lambda df: F.col("choices_text"),
+    instructions={"choice": ("Reply with the letter, upper case and in round brackets, of the option that the "
+                             "response picks, or with 'unclear' if it picks none.")},
     required=("answer_letter",),
 )
 
@@ -209,9 +224,56 @@ PAIRED_CHOICE = Suite(
     sign=_column_sign(S.contains_sign),
     metrics=pair_long,
     kind="choice",
+    instructions={"choice": ("Reply with the letter, lower case and in round brackets, of the option that the "
+                             "response picks, or with 'unclear' if it picks none.")},
     required=("correct_answer", "item_no"),
 )
 
+def judge(items: DataFrame, suite: Suite, verdicts: DataFrame | Callable[[DataFrame], DataFrame],
+          done: DataFrame | None = None, key: str = "item_no", order: str | None = None) -> DataFrame:
+    """The judge pass over a suite's result rows.
+
+    Rows already judged (J3) are left out; a request is composed by kind from
+    the suite's response, answer, choices and instructions (S21); repetitive
+    free answers get 'unclear' without a call (S22); the other verdicts come
+    from ``verdicts``, a table (``key``, ``response``, optionally ``error``)
+    or a responder that makes one from (request_id, query) rows. Errors are
+    kept, and an errored or unanswered row has sign 0.
+
+    Returns the items' columns with kind, instruction, request, answer,
+    verdict, error, guarded and sign.
+    """
+    todo = J.pending(items, done, key) if done is not None else items
+    text = suite.response(todo) if suite.response else F.col("response")
+    rows = todo.withColumns({"_kind": suite.judge_kind(todo), "_text": text, "_answer": suite.answer(todo),
+                             "_choices": suite.choices(todo) if suite.choices else F.lit("")})
+    composed = P.fill(P.JUDGE_TEMPLATES["free_answer"], answer="_answer", response="_text")
+    rows = rows.withColumns({
+        "instruction": P.judge_instruction("_kind", {**P.JUDGE_INSTRUCTIONS, **(suite.instructions or {})}),
+        "request": P.judge_text("_kind", "_text", F.col("_answer"), F.col("_choices")),
+        "guarded": F.when(F.col("_kind") == "free_answer", P.repetition_guard(composed)).otherwise(F.lit(False))})
+    if callable(verdicts):
+        asked = rows.where(~F.col("guarded")).select(
+            F.col(key).alias("request_id"), F.concat_ws("\n", "instruction", "request").alias("query"))
+        verdicts = verdicts(asked).withColumnRenamed("request_id", key)
+    if "error" not in verdicts.columns:
+        verdicts = verdicts.withColumn("error", F.lit(None).cast("string"))
+    got = J.attach_responses(rows.drop("verdict", "error"), verdicts, key, out="verdict", order=order).drop("missing")
+    failed = ~F.col("guarded") & (F.col("error").isNotNull() | F.col("verdict").isNull())
+    got = got.withColumns({"verdict": F.when(F.col("guarded"), F.lit("unclear")).otherwise(F.col("verdict")),
+                           "error": F.when(~F.col("guarded"), F.col("error")), "answer": F.col("_answer")})
+    signed = suite.sign(got.drop("sign"), "verdict", "answer")
+    return (signed.withColumn("sign", F.when(failed, F.lit(0)).otherwise(F.col("sign")))
+                  .withColumn("kind", F.col("_kind")).drop("_kind", "_text", "_answer", "_choices"))
+
+
+def judge_counts(judged: DataFrame, by: Sequence[str] = ("kind",)) -> DataFrame:
+    """Rows, correct rows, guarded rows and errors of a judge pass."""
+    return judged.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("sign"), F.lit(0)).cast("bigint").alias("correct"),
+        F.count_if(F.col("guarded")).alias("n_guarded"), F.count("error").alias("n_errors"))
+
+
 SUITES = {s.name: s for s in (HALLUCINATION, PERCEPTION, OBJECT_PROBE, LETTERED_CHOICE,
                                MATH_MIXED, PAIRED_CHOICE)}
 

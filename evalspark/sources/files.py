@@ -91,6 +91,36 @@ def scan_results(spark: SparkSession, folder: str, schema: T.StructType | str,
     return null_na_words(df.withColumn("file_name", F.col("_metadata.file_name")))
 
 
+def scan_runs(spark: SparkSession, folder: str, columns: Sequence[str], glob: str = "*.tsv",
+              sep: str = "\t") -> DataFrame:
+    """R2 + R7: result files by their own headers, ``columns`` and ``response`` as text.
+
+    Files may order their columns differently and name the response column
+    after the model. Only the header line of each file is read up front;
+    files with one header are then one scan.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+             .load(folder).select("path"))
+    reader = spark.read.options(**{**_CSV_OPTS, "header": "true"}, sep=sep)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for row in files.toLocalIterator():                   # one path per result file
+        by_header.setdefault(tuple(reader.csv(row.path).columns), []).append(row.path)
+    parts = []
+    for header, paths in sorted(by_header.items()):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        df = spark.read.schema(schema).options(**{**_CSV_OPTS, "header": "true"}, sep=sep).csv(paths)
+        parts.append(df.select(
+            *(F.col(c) if c in header else F.lit(None).cast("string").alias(c) for c in columns),
+            F.col(find_response_column(header)).alias("response"), F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_name").alias("file_name")))
+    if not parts:
+        raise ValueError(f"no result file in {folder}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return null_na_words(out, [*columns, "response"])
+
+
 def run_metadata(df: DataFrame, file_col: str = "file_name",
                  modes: Sequence[str] = MODE_NAMES) -> DataFrame:
     """``{model}_{bench}_{mode}_result.tsv`` -> model, bench, mode, stems.
