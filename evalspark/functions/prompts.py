@@ -129,34 +129,42 @@ def _system_message(system) -> Column:
         F.lit("system").alias("role"), col_(system).alias("content")))
 
 
-def payload_parts(system, query, image, image_mime: str = "image/jpeg") -> Column:
-    """S24 layout 1: optional system message, then user text part then image part."""
-    text_part = F.to_json(F.struct(F.lit("text").alias("type"), col_(query).alias("text")))
-    image_part = F.to_json(F.struct(
-        F.lit("image_url").alias("type"),
-        F.struct(F.concat(F.lit(f"data:{image_mime};base64,"), col_(image)).alias("url")).alias("image_url")))
-    parts = F.array_compact(F.array(text_part, F.when(col_(image).isNotNull(), image_part)))
+def _images(image, many: bool) -> Column:
+    """Images of a request as an array without nulls, from one image or (``many``) an array."""
+    c = col_(image)
+    return F.array_compact(F.coalesce(c, F.array().cast("array<string>")) if many else F.array(c))
+
+
+def _messages(system, parts: Column) -> Column:
     user = F.concat(F.lit('{"role":"user","content":['), F.array_join(parts, ","), F.lit("]}"))
-    system_json = F.to_json(_system_message(system))
-    msgs = F.array_compact(F.array(system_json, user))
+    msgs = F.array_compact(F.array(F.to_json(_system_message(system)), user))
     return F.concat(F.lit("["), F.array_join(msgs, ","), F.lit("]"))
 
 
-def payload_flat(system, query, image) -> Column:
-    """S24 layout 2: one flat text plus a list of images."""
-    images = F.array_compact(F.array(col_(image)))
-    return F.to_json(F.struct(col_(system).alias("system"), col_(query).alias("prompt"),
-                              images.alias("images")))
+def _text_part(query) -> Column:
+    return F.to_json(F.struct(F.lit("text").alias("type"), col_(query).alias("text")))
+
+
+def payload_parts(system, query, image, image_mime: str = "image/jpeg", many: bool = False) -> Column:
+    """S24 layout 1: optional system message, then the user's text part and image parts."""
+    parts = F.transform(_images(image, many), lambda i: F.to_json(F.struct(
+        F.lit("image_url").alias("type"),
+        F.struct(F.concat(F.lit(f"data:{image_mime};base64,"), i).alias("url")).alias("image_url"))))
+    return _messages(system, F.concat(F.array(_text_part(query)), parts))
+
+
+def payload_flat(system, query, image, many: bool = False) -> Column:
+    """S24 layout 2: a list of one flat text, system text and query under their
+    labels (fixed values), followed by the images."""
+    s = col_(system)
+    text = F.concat(F.when(s.isNotNull() & (s != ""), F.concat(F.lit("system_prompt:\n"), s)).otherwise(F.lit("")),
+                    F.lit("\nquery:\n"), F.coalesce(col_(query), F.lit("")))
+    return F.to_json(F.concat(F.array(text), _images(image, many)))
 
 
-def payload_media(system, query, image) -> Column:
-    """S24 layout 3: image part (with detected media type) before the text part."""
-    image_part = F.to_json(F.struct(
+def payload_media(system, query, image, many: bool = False) -> Column:
+    """S24 layout 3: image parts (with detected media type) before the text part."""
+    parts = F.transform(_images(image, many), lambda i: F.to_json(F.struct(
         F.lit("image").alias("type"),
-        F.struct(F.lit("base64").alias("type"), media_type(image).alias("media_type"),
-                 col_(image).alias("data")).alias("source")))
-    text_part = F.to_json(F.struct(F.lit("text").alias("type"), col_(query).alias("text")))
-    parts = F.array_compact(F.array(F.when(col_(image).isNotNull(), image_part), text_part))
-    user = F.concat(F.lit('{"role":"user","content":['), F.array_join(parts, ","), F.lit("]}"))
-    msgs = F.array_compact(F.array(F.to_json(_system_message(system)), user))
-    return F.concat(F.lit("["), F.array_join(msgs, ","), F.lit("]"))
+        F.struct(F.lit("base64").alias("type"), media_type(i).alias("media_type"), i.alias("data")).alias("source"))))
+    return _messages(system, F.concat(parts, F.array(_text_part(query))))

@@ -261,11 +261,11 @@ def max_word_count(text: str | Column, sep: str = " ") -> Column:
 
 def summary_long(df: DataFrame, by: Sequence[str] = (), sign: str = "sign", category: str | None = None,
                  truth: str | Column | None = None, pred: str | Column | None = None) -> DataFrame:
-    """A1 + A2 + A3/A4 + A13 in one scan: a single grouping-sets aggregate.
+    """A1 + A2 + A3/A4 + A13 in one scan.
 
-    Grouping sets ``(by)`` and ``(by, category)`` share one partial
-    aggregate and one shuffle; each result row is then exploded into the
-    long layout ``(by..., metric_group, metric, value)``. Rows with a null
+    Rows are aggregated by ``(by, category)``; the grouping sets ``(by)`` and
+    ``(by, category)`` then run over those few rows, and each result row is
+    exploded into the long layout ``(by..., metric_group, metric, value)``. Rows with a null
     category count in the overall level only.
     """
     by = _keys(by)
@@ -276,8 +276,12 @@ def summary_long(df: DataFrame, by: Sequence[str] = (), sign: str = "sign", cate
         aggs += [_count_if((t == 1) & (p == 1)).alias("tp"), _count_if((t != 1) & (p == 1)).alias("fp"),
                  _count_if((t == 1) & (p != 1)).alias("fn"), _count_if(p == 1).alias("predicted_yes")]
     if category:
-        grouped = df.groupingSets([by, [*by, category]], *by, category)
-        agg = grouped.agg(*aggs, F.grouping(category).alias("_top"))
+        # Rows are aggregated once, by category; the overall level is summed
+        # from those few rows, so no input row is expanded.
+        sums = ["correct", "total", *(["tp", "fp", "fn", "predicted_yes"] if truth is not None else [])]
+        fine = df.groupBy(*by, category).agg(*aggs)
+        agg = fine.groupingSets([by, [*by, category]], *by, category).agg(
+            *(F.sum(c).alias(c) for c in sums), F.grouping(category).alias("_top"))
     else:
         agg = df.groupBy(*by).agg(*aggs, F.lit(1).alias("_top"))
 

@@ -957,12 +957,14 @@ _SQL_MEDIA = """(CASE WHEN starts_with(hex(from_base64(image)), 'FFD8FF') THEN '
      WHEN starts_with(hex(from_base64(image)), '89504E470D0A1A0A') THEN 'image/png'
      WHEN starts_with(hex(from_base64(image)), '474946383761') OR starts_with(hex(from_base64(image)), '474946383961') THEN 'image/gif'
      WHEN starts_with(hex(from_base64(image)), '52494646') AND substr(hex(from_base64(image)), 17, 8) = '57454250' THEN 'image/webp' END)"""
-_SQL_SYS = """CASE WHEN system_text IS NOT NULL THEN concat('{"role":"system","content":', to_json(system_text), '},') ELSE '' END"""
+_SQL_SYS = """CASE WHEN system_text <> '' THEN concat('{"role":"system","content":', to_json(system_text), '},') ELSE '' END"""
 _SQL_PARTS = f"""concat('[', {_SQL_SYS}, '{{"role":"user","content":[{{"type":"text","text":', to_json(query), '}}',
     CASE WHEN image IS NOT NULL THEN concat(',{{"type":"image_url","image_url":{{"url":', to_json(concat('data:image/jpeg;base64,', image)), '}}}}') ELSE '' END,
     ']}}]')"""
-_SQL_FLAT = """concat('{', CASE WHEN system_text IS NOT NULL THEN concat('"system":', to_json(system_text), ',') ELSE '' END,
-    '"prompt":', to_json(query), ',"images":', CASE WHEN image IS NULL THEN '[]' ELSE concat('[', to_json(image), ']') END, '}')"""
+_SQL_FLAT_TEXT = """to_json(concat(CASE WHEN system_text <> '' THEN concat('system_prompt:', chr(10), system_text) ELSE '' END,
+    chr(10), 'query:', chr(10), query))"""
+_SQL_FLAT = f"""concat('[', {_SQL_FLAT_TEXT}, CASE WHEN image IS NULL THEN '' ELSE concat(',', to_json(image)) END, ']')"""
+_SQL_TWO = f"""concat('[', {_SQL_FLAT_TEXT}, CASE WHEN image IS NULL THEN '' ELSE concat(',', to_json(image), ',', to_json(image)) END, ']')"""
 _SQL_MEDIA_PAYLOAD = f"""concat('[', {_SQL_SYS}, '{{"role":"user","content":[',
     CASE WHEN image IS NOT NULL THEN concat('{{"type":"image","source":{{"type":"base64",',
         CASE WHEN {_SQL_MEDIA} IS NOT NULL THEN concat('"media_type":', to_json({_SQL_MEDIA}), ',') ELSE '' END,
@@ -971,7 +973,7 @@ _SQL_MEDIA_PAYLOAD = f"""concat('[', {_SQL_SYS}, '{{"role":"user","content":[',
 
 
 @register("chat_payload", FX.with_fixtures(f"""
-    SELECT item_id, {_SQL_PARTS} AS payload_parts, {_SQL_FLAT} AS payload_flat,
+    SELECT item_id, {_SQL_PARTS} AS payload_parts, {_SQL_FLAT} AS payload_flat, {_SQL_TWO} AS payload_two,
            {_SQL_MEDIA_PAYLOAD} AS payload_media FROM d9""", d9=FX.D9))
 def chat_payload(spark, sf_dir):
     """The three chat payload layouts as JSON text (absent system message dropped)."""
@@ -979,6 +981,7 @@ def chat_payload(spark, sf_dir):
     return d9.select("item_id",
                      PR.payload_parts("system_text", "query", "image").alias("payload_parts"),
                      PR.payload_flat("system_text", "query", "image").alias("payload_flat"),
+                     PR.payload_flat("system_text", "query", F.array("image", "image"), many=True).alias("payload_two"),
                      PR.payload_media("system_text", "query", "image").alias("payload_media"))
 
 

@@ -84,9 +84,11 @@ FROM documents d
 """
 
 D9 = """
-SELECT p.page_id AS item_id, CASE WHEN p.page_id % 2 = 0 THEN 'You are a careful judge.' ELSE NULL END AS system_text,
+SELECT p.page_id AS item_id,
+       CASE p.page_id % 3 WHEN 0 THEN 'You are a careful judge.' WHEN 1 THEN '' ELSE NULL END AS system_text,
        p.url AS query,
-       CASE p.page_id % 4 WHEN 0 THEN '/9j/4AAQ' WHEN 1 THEN 'iVBORw0KGgo=' WHEN 2 THEN 'R0lGODlh' ELSE NULL END AS image
+       to_base64(unhex(CASE p.page_id % 5 WHEN 0 THEN 'FFD8FFE000104A464946' WHEN 1 THEN '89504E470D0A1A0A'
+                       WHEN 2 THEN '474946383961' WHEN 3 THEN '524946462400000057454250' ELSE NULL END) || encode(p.url)) AS image
 FROM pages p
 """
 

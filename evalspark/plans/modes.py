@@ -151,25 +151,28 @@ def multi_turn_live(items: DataFrame, responder: Responder, key: str = "item_id"
                     chain: str = "chain") -> DataFrame:
     """M5 with a live responder: one distributed job per step number.
 
-    Only the longest chain length (one number) reaches the driver. After
-    each step the carried table is checkpointed to the reliable folder,
-    which cuts lineage and keeps finished responses if executors are lost.
+    Only the longest chain length (one number) reaches the driver. Each
+    step carries the items that still have steps; those that are finished
+    stay where the step before wrote them. Every answer of the responder is
+    checkpointed to the reliable folder as it comes, so no later job or
+    lost executor calls the model again for it.
     """
-    state = items.select(key, "prompt", chain, F.lit("").alias("transcript"))
+    state = items.select(key, "prompt", chain, F.lit("").alias("transcript")).filter(F.size(chain) > 0)
     longest = state.agg(F.max(F.size(chain))).first()[0] or 0
+    finished = []
     for k in range(1, longest):
+        finished.append(state.filter(F.size(chain) <= k))
         active = state.filter(F.size(chain) > k)
         req = active.select(F.col(key).alias("request_id"),
                             PR.step_prompt(F.element_at(chain, k), F.col("transcript")).alias("query"))
         got = responder(req).select(F.col("request_id").alias(key), F.col("response").alias("_r"))
         line = F.concat(F.lit(f"step{k}:"), F.coalesce(F.col("_r"), F.lit("")), F.lit("\n"))
-        state = (state.join(got, key, "left")
-                      .withColumn("transcript", F.when(F.size(chain) > k, F.concat("transcript", line))
-                                  .otherwise(F.col("transcript")))
-                      .drop("_r")
-                      .checkpoint(eager=True))
-    final = state.filter(F.size(chain) > 0).select(
+        state = (active.join(got, key, "left").withColumn("transcript", F.concat("transcript", line))
+                       .drop("_r").checkpoint(eager=True))
+    for part in finished:
+        state = state.unionByName(part)
+    final = state.select(
         F.col(key).alias("request_id"), "transcript",
         PR.final_prompt(F.col("prompt"), F.col("transcript"), F.element_at(chain, -1)).alias("query"))
-    answers = responder(final.select("request_id", "query"))
+    answers = responder(final.select("request_id", "query")).checkpoint(eager=True)
     return final.join(answers, "request_id", "left").withColumnRenamed("request_id", key)

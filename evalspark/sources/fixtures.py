@@ -183,14 +183,18 @@ def d8_judge(t: Tables) -> DataFrame:
 
 
 def d9_payloads(t: Tables) -> DataFrame:
-    """Request rows with small image stubs (JPEG, PNG, GIF leading bytes)."""
+    """Request rows with images of the four types (leading bytes, then the url's
+    bytes), without an image, and with text, empty and null system texts."""
     p = t.pages.select("page_id", "url")
     pid = F.col("page_id")
+    head = _case((pid % 5 == 0, "FFD8FFE000104A464946"), (pid % 5 == 1, "89504E470D0A1A0A"),
+                 (pid % 5 == 2, "474946383961"), (pid % 5 == 3, "524946462400000057454250"),
+                 otherwise=F.lit(None).cast("string"))
+    image = F.regexp_replace(F.base64(F.concat(F.unhex(head), F.col("url").cast("binary"))), "[\\r\\n]", "")
     return p.select(
         pid.alias("item_id"),
-        F.when(pid % 2 == 0, F.lit("You are a careful judge.")).otherwise(
-            F.lit(None).cast("string")).alias("system_text"),
+        _case((pid % 3 == 0, "You are a careful judge."), (pid % 3 == 1, ""),
+              otherwise=F.lit(None).cast("string")).alias("system_text"),
         F.col("url").alias("query"),
-        _case((pid % 4 == 0, F.lit("/9j/4AAQ")), (pid % 4 == 1, F.lit("iVBORw0KGgo=")),
-              (pid % 4 == 2, F.lit("R0lGODlh")), otherwise=F.lit(None).cast("string")).alias("image"),
+        image.alias("image"),
     )
