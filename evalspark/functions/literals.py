@@ -71,7 +71,7 @@ def _skills_of_text(text: str) -> list | None:
     except Exception:
         return None
     found = v.get("skills") if isinstance(v, dict) else None
-    return [None if x is None else str(x) for x in found] if isinstance(found, (list, tuple)) else None
+    return [str(x) for x in found] if isinstance(found, (list, tuple)) else None
 
 
 @F.pandas_udf(T.IntegerType())

@@ -179,14 +179,22 @@ def category_rollup(scores: DataFrame, task: str, dim: DataFrame, score: str = "
 def multilabel_accuracy(df: DataFrame, labels: str, sign: str = "sign",
                         by: Sequence[str] = (), label_name: str = "skill") -> DataFrame:
     """Each row counts once for each distinct label it carries."""
-    exploded = df.select(*_keys(by), sign, F.explode(F.array_distinct(labels)).alias(label_name))
+    exploded = _labels_of(df, F.array_distinct(labels), label_name, [*_keys(by), sign])
     return accuracy(exploded, sign, [*_keys(by), label_name])
 
 
+def _labels_of(df: DataFrame, labels: Column, label_name: str, keep: Sequence[str]) -> DataFrame:
+    """One row per label. An outer explode and a filter on its result: a plain
+    explode has Catalyst infer a filter on the array, which would evaluate the
+    expression that makes the array (a literal parse) a second time."""
+    out = df.select(*keep, F.explode_outer(labels).alias(label_name))
+    return out.where(F.col(label_name).isNotNull())
+
+
 def distinct_labels(df: DataFrame, labels: str, label_name: str = "skill",
                     by: Sequence[str] = ()) -> DataFrame:
     """The distinct label set."""
-    return df.select(*_keys(by), F.explode(labels).alias(label_name)).distinct()
+    return _labels_of(df, F.col(labels), label_name, _keys(by)).distinct()
 
 
 def pair_accuracy(df: DataFrame, position: str, sign: str = "sign",

@@ -213,13 +213,13 @@ def ternary_confusion(spark, sf_dir):
 
 
 _PLUS_CORE = f"""pg AS (SELECT subset, picture_name, coalesce(sum(sign), 0) AS s, count(*) AS r
-                 FROM s WHERE picture_name IS NOT NULL GROUP BY subset, picture_name)"""
+                 FROM s GROUP BY subset, picture_name)"""
 
 
 @register("plus_accuracy", FX.with_fixtures(f""", {_D2_SIGN}, {_PLUS_CORE}
     SELECT subset, plus_groups, n, groups, {Q.ratio('plus_groups', 'n')} AS acc_plus
-    FROM (SELECT subset, CAST(sum(CASE WHEN s = 2 THEN 1 ELSE 0 END) AS BIGINT) AS plus_groups,
-                 CAST(sum(r) AS BIGINT) AS n, count(*) AS groups FROM pg GROUP BY subset)""", d2=FX.D2))
+    FROM (SELECT subset, CAST(sum(CASE WHEN picture_name IS NOT NULL AND s = 2 THEN 1 ELSE 0 END) AS BIGINT) AS plus_groups,
+                 CAST(sum(r) AS BIGINT) AS n, count(picture_name) AS groups FROM pg GROUP BY subset)""", d2=FX.D2))
 def plus_accuracy(spark, sf_dir):
     """Pictures with exactly two correct answers, divided by the row count."""
     return M.plus_accuracy(_perception_rows(spark, sf_dir), "subset", "picture_name", "sign")
@@ -234,7 +234,7 @@ _TASK_SCORE_CTE = f""", {_D2_SIGN},
               sum(CASE WHEN p <> -1 AND g = 0 AND p = 0 THEN 1 ELSE 0 END) AS TN,
               sum(CASE WHEN p = -1 THEN 1 ELSE 0 END) AS other_num
            FROM s GROUP BY subset, picture_name),
-    tt AS (SELECT subset, CAST(sum(r) AS BIGINT) AS n, count(*) AS groups,
+    tt AS (SELECT subset, CAST(sum(r) AS BIGINT) AS n, count(picture_name) AS groups,
               CAST(sum(CASE WHEN picture_name IS NOT NULL AND s = 2 THEN 1 ELSE 0 END) AS BIGINT) AS plus_groups,
               CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(TP) AS BIGINT) AS TP, CAST(sum(FN) AS BIGINT) AS FN,
               CAST(sum(FP) AS BIGINT) AS FP, CAST(sum(TN) AS BIGINT) AS TN, CAST(sum(other_num) AS BIGINT) AS other_num
@@ -318,7 +318,7 @@ def suite_paired_choice(spark, sf_dir):
             FROM s WHERE category IS NOT NULL AND subcategory IS NOT NULL AND subset IS NOT NULL
               AND picture_name IS NOT NULL
             GROUP BY category, subcategory, subset, picture_name)
-    SELECT CAST(sum(CASE WHEN s = r THEN 1 ELSE 0 END) AS BIGINT) AS correct_groups, count(*) AS groups,
+    SELECT CAST(sum(CASE WHEN s = r THEN 1 ELSE 0 END) AS BIGINT) AS correct_groups, count(picture_name) AS groups,
            {Q.ratio('sum(CASE WHEN s = r THEN 1 ELSE 0 END)', 'count(*)')} AS group_accuracy FROM grp""",
     d2=FX.D2))
 def all_correct_groups(spark, sf_dir):
@@ -404,6 +404,30 @@ def suite_lettered_choice(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Numeric and mixed answers
 
+# Verdict, answer and the sign that the rule gives, each held as text of its own.
+_LITERAL_CASES = [
+    ("[1], [2]", "[1]", 0), ("[1] and also [2]", "[1]", 0), ("[1]]", "[1]", 0), ("[1] [2]", "[1] [2]", 0),
+    ("[Infinity]", "[Infinity]", 0), ("[9007199254740992]", "[9007199254740993]", 0),
+    ("[9007199254740993]", "[9007199254740993]", 1), ("(1, 2)", "(1,2)", 1), ("(1, 2)", "[1, 2]", 0),
+    ("['a', 'b']", "['a','b']", 1), ("['a'] junk", "['a']", 0), ("[1, 2.0]", "[1.0, 2]", 1), ("[01]", "[1]", 0),
+    ("'x'", "'x'", 1), ("{'k': 1}", "{'k': 1.0}", 1), ("[1,]", "[1]", 1), ("7 ", "+7", 1), ("7.0", "7", 0),
+    ("1e1", "10.0", 1), ("about ten", "about ten", 0),
+]
+
+
+@register("numeric_sign_literals", f"""
+    SELECT event_id AS item_no, [{", ".join(str(c[2]) for c in _LITERAL_CASES)}][1 + event_id % {len(_LITERAL_CASES)}] AS sign
+    FROM events""")
+def numeric_sign_literals(spark, sf_dir):
+    """S4 on hard literals: each event gets one of the cases, whose sign the SQL states."""
+    events = _t(spark, sf_dir).events
+    k = (F.col("event_id") % len(_LITERAL_CASES) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in _LITERAL_CASES)), k)
+    rows = events.select(F.col("event_id").alias("item_no"), pick(0).alias("verdict"), pick(1).alias("answer"))
+    from evalspark.functions.literals import score_numeric
+    return score_numeric(rows, "verdict", "answer", "sign").select("item_no", "sign")
+
+
 @register("numeric_sign", FX.with_fixtures(f"""
     SELECT item_no, {Q.numeric_sign('verdict', 'answer')} AS sign FROM d4""", d4=FX.D4))
 def numeric_sign(spark, sf_dir):

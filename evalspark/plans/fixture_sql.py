@@ -15,7 +15,7 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """
 
 D2 = """
-SELECT 2 * x.doc_id + x.k AS item_no, x.doc_id AS picture_name,
+SELECT 2 * x.doc_id + x.k AS item_no, CASE WHEN x.doc_id % 23 <> 0 THEN x.doc_id END AS picture_name,
        CASE x.doc_id % 4 WHEN 0 THEN 'existence' WHEN 1 THEN 'count' WHEN 2 THEN 'OCR' ELSE 'code_reasoning' END AS subset,
        x.lang AS category, x.source AS subcategory,
        CASE WHEN (CASE WHEN x.k = 0 THEN x.quality ELSE x.toxic END) = 1 THEN 'Yes' ELSE 'No' END AS ground_truth,

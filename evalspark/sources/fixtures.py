@@ -56,7 +56,7 @@ def d2_pairs(t: Tables) -> DataFrame:
             .withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
             .select(
                 (2 * F.col("doc_id") + k).alias("item_no"),
-                F.col("doc_id").alias("picture_name"),
+                F.when(F.col("doc_id") % 23 != 0, F.col("doc_id")).alias("picture_name"),
                 _case((F.col("doc_id") % 4 == 0, "existence"), (F.col("doc_id") % 4 == 1, "count"),
                       (F.col("doc_id") % 4 == 2, "OCR"), otherwise="code_reasoning").alias("subset"),
                 F.col("lang").alias("category"),

@@ -43,3 +43,31 @@ def test_numeric_sign_property(spark, pairs):
     df = spark.createDataFrame(rows, "i int, v string, a string")
     got = {r.i: r.sign for r in L.score_numeric(df, "v", "a").collect()}
     assert [got[i] for i in range(len(rows))] == [L.python_numeric_sign(v, a) for _, v, a in rows]
+
+
+LISTS = st.recursive(
+    st.one_of(st.integers(-10**18, 10**18).map(str), st.sampled_from(["1.0", "-0", "1e3", "01", "inf", "None", "'a'", "\"b'\""])),
+    lambda x: st.tuples(st.sampled_from(["[]", "()", "[,]", "[ ]"]), st.lists(x, max_size=3)).map(
+        lambda t: t[0][0] + ", ".join(t[1]) + t[0][1:]), max_leaves=6)
+TAILS = st.sampled_from(["", "", "", " ", " junk", "]", ", [1]"])
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(LISTS, TAILS, LISTS, st.booleans()), min_size=1, max_size=25))
+def test_list_literals_as_in_python(spark, cases):
+    rows = [(i, v + t, (v + t) if same else a) for i, (v, t, a, same) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, v string, a string")
+    got = {r.i: r.sign for r in L.score_numeric(df, "v", "a").collect()}
+    assert [got[i] for i in range(len(rows))] == [L.python_numeric_sign(v, a) for _, v, a in rows]
+    lists = {r.i: r.s for r in L.parse_string_list(df, "v", "s").collect()}
+    assert [lists[i] for i in range(len(rows))] == [L._list_of_text(v) for _, v, _ in rows]
+
+
+def test_decided_rows_reach_python_as_nulls(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("1", "1"), ("[1, 2]", "[1,2]"), ("x", "text"), ("2.5", "2.50"), (None, "3")], "v string, a string")
+    assert df.where(S.numeric_sign("v", "a").isNull()).count() == 0
+    meta = spark.createDataFrame([("{'skills': ['a', 'b'], 'grade': 3}",), ("{}",), (None,)], "m string")
+    assert meta.where(~L.skills_decided("m")).count() == 0
+    plan = L.parse_skills(meta, "m").select(F.explode_outer("skills").alias("s")).where("s is not null").distinct()
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
