@@ -24,9 +24,10 @@ that trigger, while phrase borders follow the content.
    its smallest doc_id goes back to the packs along their parse.
 5. Each pack removes what its documents have from smaller ones.
 
-A trigger that stands in more than ``HOT_PACKS`` packs is dealt out by single
-strings instead, so a passage, line or document that a third of the corpus
-shares sends each bucket one row a pack.
+A trigger with more than ``HOT_RUNS`` runs is dealt out by single strings
+instead, each to the bucket of its own hash, so no group of one trigger holds
+more phrases than that, and a passage, line or document that a third of the
+corpus shares is sent once a pack.
 
 Defined results: a null or empty text has 0 bytes and loses nothing; a row
 with a null doc_id loses nothing and takes nothing from others; rows with
@@ -64,7 +65,7 @@ BUCKET_BYTES = 1 << 24
 SLAB_BYTES = 1 << 21
 LEAST_BUCKETS = 48
 MOST_STRINGS = 64
-HOT_PACKS = 64
+HOT_RUNS = 50_000
 NOBODY = np.iinfo(np.int64).max
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,6 +75,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _flat(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] numbers), start[1], ..."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _sorted_out(low: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as zipped differences, byte by byte."""
+    step = np.diff(low, prepend=np.uint32(0)).astype("<u4")
+    return _packed(step.view(np.uint8).reshape(-1, 4).T.tobytes())[0]
+
+
+def _sorted_in(blob: bytes) -> np.ndarray:
+    step = np.frombuffer(_raw(blob), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(step).view("<u4")[:, 0], dtype=np.uint32)
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Polynomial hash of the GRAM bytes from every place on, by doubling."""
     h, step, base = data.astype(np.uint64) + np.uint64(1), 1, 0x100000001B3
@@ -152,16 +169,15 @@ class Pack:
         at = np.array([p[1] for p in parts])[owner[begin]] + place[begin]
         return least[begin], doc.astype(np.int64), at.astype(np.int64), count.astype(np.int64)
 
-    def distinct_triggers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Mixed triggers, sorted, and whether each stands in several documents."""
+    def distinct_triggers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mixed triggers, sorted, whether each stands in several documents,
+        and the runs of each."""
         h = _mix(self.runs[0])
         order = np.lexsort((self.runs[1], h))
         h, doc = h[order], self.runs[1][order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        if not len(first):
-            return h, np.zeros(0, bool)
-        last = np.concatenate([first[1:], [len(h)]]) - 1
-        return h[first], doc[first] != doc[last]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[:len(h)])
+        last = np.concatenate([first[1:], [len(h)]])[:len(first)] - 1
+        return h[first], doc[first] != doc[last], last - first + 1
 
     def phrases(self, shared: np.ndarray, hot: np.ndarray, buckets: int):
         """Distinct phrases with a shared trigger, in an order of the pack's own.
@@ -170,56 +186,71 @@ class Pack:
         every occurrence: phrase, document, place, strings.
         """
         h = _mix(self.runs[0])
-        at = np.searchsorted(shared, h)
-        found = np.zeros(len(h), bool) if not len(shared) else shared[np.minimum(at, len(shared) - 1)] == h
+        at = np.minimum(np.searchsorted(shared, h), max(len(shared) - 1, 0))
+        found = np.flatnonzero(shared[at] == h) if len(shared) else np.zeros(0, np.int64)
+        key, doc, place, count = (c[found] for c in (h, *self.runs[1:]))
+        single = hot[at[found]]
+        pieces = np.where(single, count, 1)
+        place = _flat(place, pieces)
+        key, doc, single, count = (np.repeat(c, pieces) for c in (key, doc, single, np.where(single, 1, count)))
         known: dict[bytes, int] = {}
-        bucket, trigger, first, where = [], [], [], []
-        numbers, width, texts = self.numbers.tolist(), self.width, self.texts
-        for i in np.flatnonzero(found).tolist():
-            doc, place, count, key = (int(self.runs[1][i]), int(self.runs[2][i]), int(self.runs[3][i]), int(h[i]))
-            single = bool(hot[at[i]])
-            for k in range(place, place + count) if single else (place,):
-                body = texts[doc][k:k + width if single else k + count + width - 1]
-                n = known.get(body)
-                if n is None:
-                    n = known[body] = len(known)
-                    bucket.append((xxhash.xxh64_intdigest(body) if single else key >> 20) % buckets)
-                    trigger.append(key)
-                    first.append(numbers[doc])
-                elif numbers[doc] < first[n]:
-                    first[n] = numbers[doc]
-                where.append((n, doc, k, 1 if single else count))
-        return (np.array(bucket, np.int64), np.array(trigger, np.uint64), list(known),
-                np.array(first, np.int64), np.array(where, np.int64).reshape(-1, 4))
-
-
-def smallest_doc(phrases: list[bytes], first: np.ndarray, width: int) -> list[np.ndarray]:
-    """For every string of every distinct phrase the smallest doc_id that has it.
-
-    Ranks all suffixes of the phrases laid end to end to depth ``width``:
-    8 bytes as one number, then doubled; the last step overlaps.
+        texts = self.texts
+        phrase = np.array([known.setdefault(texts[d][a:b], len(known)) for d, a, b in zip(
+            doc.tolist(), place.tolist(), (place + count + (self.width - 1)).tolist())], np.int64)
+        bodies = list(known)
+        first = np.full(len(bodies), NOBODY)
+        np.minimum.at(first, phrase, self.numbers[doc])
+        trigger, alone = np.zeros(len(bodies), np.uint64), np.zeros(len(bodies), bool)
+        trigger[phrase], alone[phrase] = key, single
+        bucket = ((trigger >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        for n in np.flatnonzero(alone).tolist():
+            bucket[n] = xxhash.xxh64_intdigest(bodies[n]) % buckets
+        return bucket, trigger, bodies, first, (phrase, doc, place, count)
+
+
+def suffix_ranks(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Rank of the ``width`` bytes from each of the first n places, in order;
+    equal for equal strings. ``data`` goes on for 2 * width places at least.
+
+    The suffix array's prefix doubling: places are sorted by 8 bytes, read as
+    one number, and those that share a rank are sorted again by the rank of
+    what follows; the last step overlaps the one before.
     """
-    size = np.array([len(p) for p in phrases])
-    data = np.frombuffer(b"".join(phrases) + bytes(2 * width), np.uint8)
-    n = int(size.sum())
-    rank = np.zeros(n + width, np.uint64)
+    n += width
+    key = np.zeros(n, np.uint64)
     for k in range(8):
-        rank |= data[k:k + n + width].astype(np.uint64) << np.uint64(56 - 8 * k)
-    depth = 8
+        key |= data[k:k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
+    rank, depth, part, old = np.zeros(n, np.int64), 8, np.arange(n), np.zeros(n, np.int64)
     while True:
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        order = np.argsort(key)
+        key, part, old = key[order], part[order], old[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        index = np.arange(len(key))
+        begin = np.maximum.accumulate(np.where(new, index, 0))
+        rank[part] = old + begin - np.maximum.accumulate(np.where(group, index, 0))
         if depth == width:
-            break
+            return rank[:n - width]
         step = min(depth, width - depth)
-        rank = rank * np.uint64(len(rank) + 1) + np.concatenate([rank[step:], np.zeros(step, np.uint64)])
+        many = np.diff(np.concatenate([np.flatnonzero(new), [len(key)]]))
+        part = part[np.repeat(many > 1, many)]
+        old = rank[part]
+        key = old.astype(np.uint64) * np.uint64(n + 1) + rank[np.minimum(part + step, n - 1)].astype(np.uint64)
         depth += step
+        if not len(part):
+            return rank[:n - width]
+
+
+def smallest_doc(phrases: list[bytes], first: np.ndarray, width: int) -> np.ndarray:
+    """For every string of every distinct phrase, one phrase after the other,
+    the smallest doc_id that has it."""
+    size = np.array([len(p) for p in phrases])
+    rank = suffix_ranks(np.frombuffer(b"".join(phrases) + bytes(2 * width), np.uint8), int(size.sum()), width)
     strings = size - width + 1
-    at = np.repeat(np.cumsum(size) - size, strings) + np.arange(strings.sum()) - np.repeat(
-        np.cumsum(strings) - strings, strings)
-    own = rank[at].astype(np.int64)
+    own = rank[_flat(np.cumsum(size) - size, strings)]
     least = np.full(int(own.max()) + 1, NOBODY)
     np.minimum.at(least, own, np.repeat(first, strings))
-    return np.split(least[own], np.cumsum(strings)[:-1])
+    return least[own]
 
 
 def _packed(*arrays: np.ndarray | bytes) -> list[bytes]:
@@ -266,55 +297,48 @@ def write_packs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
     return written(docs.mapInArrow(run, "path string, n_bytes long"), "pack-list")[0]
 
 
-def shared_triggers(packs: DataFrame, buckets: int, width: int, hot_packs: int = HOT_PACKS) -> DataFrame:
+def shared_triggers(packs: DataFrame, buckets: int, width: int, hot_runs: int = HOT_RUNS) -> DataFrame:
     """path, bucket, low (packed 32-bit rests of triggers that stand in two
     documents or more, sorted), hot (packed booleans)."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                h, many = Pack(path, width).distinct_triggers()
-                part = (h >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(part, kind="stable")
+                h, many, runs = Pack(path, width).distinct_triggers()
+                part, low = (h >> np.uint64(32)) % np.uint64(buckets), h.astype(np.uint32)
+                order = np.lexsort((low, part))
                 edges = np.searchsorted(part[order], np.arange(buckets + 1))
-                low = h.astype(np.uint32)
-                cols = [[], [], [], []]
-                for b in range(buckets):
-                    own = order[edges[b]:edges[b + 1]]
-                    if len(own):
-                        for col, v in zip(cols, (path, b, low[own].tobytes(), np.packbits(many[own]).tobytes())):
-                            col.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0]), pa.array(cols[1], pa.int32()), *map(pa.array, cols[2:])],
-                        ["path", "bucket", "low", "many"])
+                # one byte each: several documents, and the next power of two above the runs
+                about = (many * 128 + np.ceil(np.log2(runs + 1))).astype(np.uint8)
+                rows = [(path, b, _sorted_out(low[own]), _packed(about[own])[0])
+                        for b in range(buckets) if len(own := order[edges[b]:edges[b + 1]])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                        zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary()))],
+                        ["path", "bucket", "low", "about"])
 
     def answered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lows = [np.frombuffer(x, np.uint32) for x in rows["low"]]
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[:len(x)] for m, x in zip(rows["many"], lows)])
+        lows = [_sorted_in(x) for x in rows["low"]]
+        about = np.concatenate([np.frombuffer(_raw(x), np.uint8) for x in rows["about"]])
         value, back, packs_with = np.unique(np.concatenate(lows), return_inverse=True, return_counts=True)
-        several = packs_with > 1
-        several |= np.bincount(back, many, len(value)) > 0
-        edges = np.cumsum([len(x) for x in lows])[:-1]
+        several = (packs_with > 1) | (np.bincount(back, about >= 128, len(value)) > 0)
+        hot = np.bincount(back, np.exp2(about % 128), len(value)) > 2 * hot_runs
         out = []
-        for path, low, own in zip(rows["path"], lows, np.split(back, edges)):
-            keep = several[own]
-            if keep.any():
-                low, own = low[keep], own[keep]
-                order = np.argsort(low)
-                # two triggers of one pack may share their 32 bits
-                low, once = np.unique(low[order], return_index=True)
-                out.append((path, key[0], low.tobytes(), (packs_with[own[order][once]] > hot_packs).tobytes()))
+        for path, low, own in zip(rows["path"], lows, np.split(back, np.cumsum([len(x) for x in lows])[:-1])):
+            # two triggers of one pack may share their 32 bits
+            low, once = np.unique(low[several[own]], return_index=True)
+            if len(low):
+                out.append((path, key[0], _sorted_out(low), np.packbits(hot[own[several[own]][once]]).tobytes()))
         return pd.DataFrame(out, columns=["path", "bucket", "low", "hot"])
 
-    rows = packs.select("path").mapInArrow(sent, "path string, bucket int, low binary, many binary")
+    rows = packs.select("path").mapInArrow(sent, "path string, bucket int, low binary, about binary")
     return written(rows.groupBy("bucket").applyInPandas(
         answered, "path string, bucket int, low binary, hot binary"), "shared-triggers")[0]
 
 
 def _shared(rows: pd.DataFrame, buckets: int, pack: Pack) -> tuple[np.ndarray, np.ndarray]:
     """The pack's mixed triggers that are shared, sorted, and which are hot."""
-    h, _ = pack.distinct_triggers()
+    h, _, _ = pack.distinct_triggers()
     part = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     low = h.astype(np.uint32)
     keep, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
@@ -322,7 +346,8 @@ def _shared(rows: pd.DataFrame, buckets: int, pack: Pack) -> tuple[np.ndarray, n
     edges = np.searchsorted(part[order], np.arange(buckets + 1))
     for b, lows, hots in zip(rows["bucket"], rows["low"], rows["hot"]):
         own = order[edges[b]:edges[b + 1]]
-        lows, hots = np.frombuffer(lows, np.uint32), np.frombuffer(hots, bool)
+        lows = _sorted_in(lows)
+        hots = np.unpackbits(np.frombuffer(hots, np.uint8))[:len(lows)].astype(bool)
         at = np.minimum(np.searchsorted(lows, low[own]), len(lows) - 1)
         same = lows[at] == low[own]
         keep[own], hot[own] = same, same & hots[at]
@@ -330,7 +355,7 @@ def _shared(rows: pd.DataFrame, buckets: int, pack: Pack) -> tuple[np.ndarray, n
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
-            hot_packs: int = HOT_PACKS) -> DataFrame:
+            hot_runs: int = HOT_RUNS) -> DataFrame:
     """All columns but text, and n_bytes, spans (begin, end of the removed runs),
     kept (the bytes that stay) of every document."""
     if width < GRAM + 8:
@@ -343,14 +368,18 @@ def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     slots = 2 * spark.sparkContext.defaultParallelism
     spread = packs.repartition(max(slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = shared_triggers(spread, buckets, width, hot_packs)
+    found = shared_triggers(spread, buckets, width, hot_runs)
 
     def sent(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         pack = Pack(key[0], width)
         bucket, trigger, bodies, first, _ = pack.phrases(*_shared(rows, buckets, pack), buckets)
         out = []
-        for b in np.unique(bucket).tolist():
-            own = np.flatnonzero(bucket == b)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            own = order[edges[b]:edges[b + 1]]
+            if not len(own):
+                continue
             texts = [bodies[i] for i in own]
             out.append((key[0], b, *_packed(trigger[own], np.array([len(t) for t in texts], np.uint32),
                                             first[own], b"".join(texts))))
@@ -360,84 +389,86 @@ def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
         known: dict[bytes, int] = {}
         trigger: list[int] = []
         first: list[int] = []
-        parse: list[list[int]] = []
+        parse: list[np.ndarray] = []
         for row in rows.itertuples():
             size, body = np.frombuffer(_raw(row.size), np.uint32), _raw(row.body)
             edges = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).tolist()
-            own = []
-            for t, f, a, b in zip(np.frombuffer(_raw(row.trigger), np.uint64).tolist(),
-                                  np.frombuffer(_raw(row.first), np.int64).tolist(), edges, edges[1:]):
-                n = known.setdefault(body[a:b], len(known))
-                if n == len(first):
-                    first.append(f)
-                    trigger.append(t)
-                elif f < first[n]:
-                    first[n] = f
-                own.append(n)
+            own = np.array([known.setdefault(body[a:b], len(known)) for a, b in zip(edges, edges[1:])], np.int64)
             parse.append(own)
+            grown = len(known) - len(first)
+            first += [NOBODY] * grown
+            trigger += [0] * grown
+            for n, t, f in zip(own.tolist(), np.frombuffer(_raw(row.trigger), np.uint64).tolist(),
+                               np.frombuffer(_raw(row.first), np.int64).tolist()):
+                trigger[n] = t
+                if f < first[n]:
+                    first[n] = f
         bodies, firsts = list(known), np.array(first, np.int64)
-        order = np.argsort(np.array(trigger, np.uint64), kind="stable").tolist()
-        least: list[np.ndarray] = [None] * len(bodies)  # type: ignore[list-item]
+        known.clear()
+        strings = np.array([len(b) for b in bodies]) - width + 1
+        start = np.cumsum(strings) - strings
+        least = np.zeros(int(strings.sum()), np.int64)
+        order = np.argsort(np.array(trigger, np.uint64), kind="stable")
         slab: list[int] = []
         held = 0
-        for k, i in enumerate(order):
+        turn = order.tolist()
+        for k, i in enumerate(turn):
             slab.append(i)
             held += len(bodies[i])
-            if k + 1 == len(order) or held >= SLAB_BYTES and trigger[order[k + 1]] != trigger[i]:
-                for j, m in zip(slab, smallest_doc([bodies[j] for j in slab], firsts[slab], width)):
-                    least[j] = m
+            if k + 1 == len(turn) or held >= SLAB_BYTES and trigger[turn[k + 1]] != trigger[i]:
+                least[_flat(start[slab], strings[slab])] = smallest_doc([bodies[j] for j in slab], firsts[slab], width)
                 slab, held = [], 0
-        return pd.DataFrame([(row.path, key[0], _packed(np.concatenate([least[n] for n in own]))[0])
-                             for row, own in zip(rows.itertuples(), parse)], columns=["path", "bucket", "least"])
+        return pd.DataFrame([(path, key[0], _packed(least[_flat(start[own], strings[own])])[0])
+                             for path, own in zip(rows["path"], parse)], columns=["path", "bucket", "least"])
 
     answers = found.groupBy("path").applyInPandas(
         sent, "path string, bucket int, trigger binary, size binary, first binary, body binary").groupBy(
         "bucket").applyInPandas(ranked, "path string, bucket int, least binary")
 
-    def covered(pack: Pack, shared: pd.DataFrame, least: pd.DataFrame) -> list[np.ndarray | None]:
-        """For each document, how many of the strings to remove begin or end at each place."""
-        change: list[np.ndarray | None] = [None] * len(pack.texts)
-        if not len(shared):
-            return change
-        bucket, _, bodies, _, where = pack.phrases(*_shared(shared, buckets, pack), buckets)
-        strings = np.array([len(b) - width + 1 for b in bodies], np.int64)
-        start = np.zeros(len(bodies), np.int64)
-        values, at = [np.zeros(0, np.int64)], 0
-        for b, blob in zip(least["bucket"], least["least"]):
-            own = np.flatnonzero(bucket == b)
-            start[own] = at + np.cumsum(strings[own]) - strings[own]
-            values.append(np.frombuffer(_raw(blob), np.int64))
-            at += len(values[-1])
-        value = np.concatenate(values)
-        for n, doc, place, count in where.tolist():
-            if pack.ids[doc] is None:
-                continue
-            gone = np.flatnonzero(value[start[n]:start[n] + count] < pack.ids[doc]) + place
-            if len(gone):
-                if change[doc] is None:
-                    change[doc] = np.zeros(len(pack.texts[doc]) + 1, np.int32)
-                np.add.at(change[doc], gone, 1)
-                np.add.at(change[doc], gone + width, -1)
-        return change
+    def covered(pack: Pack, begin: np.ndarray, shared: pd.DataFrame, least: pd.DataFrame) -> np.ndarray:
+        """Whether each byte goes, over the pack's texts laid end to end."""
+        starts = np.zeros(int(begin[-1]) + 1, np.int32)
+        if len(shared):
+            bucket, _, bodies, _, (phrase, doc, place, count) = pack.phrases(
+                *_shared(shared, buckets, pack), buckets)
+            strings = np.array([len(b) for b in bodies], np.int64) - width + 1
+            start = np.zeros(len(bodies), np.int64)
+            values, at = [np.zeros(0, np.int64)], 0
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b, blob in zip(least["bucket"], least["least"]):
+                own = order[edges[b]:edges[b + 1]]
+                start[own] = at + np.cumsum(strings[own]) - strings[own]
+                values.append(np.frombuffer(_raw(blob), np.int64))
+                at += len(values[-1])
+            known = np.array([i is not None for i in pack.ids])
+            doc_of = np.repeat(doc, count)
+            gone = (np.concatenate(values)[_flat(start[phrase], count)] < pack.numbers[doc_of]) & known[doc_of]
+            starts[(_flat(place, count) + begin[doc_of])[gone]] = 1
+        upto = np.cumsum(starts)
+        upto[width:] -= upto[:-width].copy()
+        return upto[:-1] > 0
 
     def finished(key: tuple, group: pa.Table) -> pa.Table:
         pack, group = Pack(key[0].as_py(), width), group.to_pandas()
         shared = group[group["kind"] == 1].rename(columns={"a": "low", "b": "hot"})
         least = group[group["kind"] == 2].rename(columns={"a": "least"})
+        sizes = np.array([len(t) for t in pack.texts], np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        out = covered(pack, begin, shared, least)
         spans, kept = [], []
-        for text, change in zip(pack.texts, covered(pack, shared, least)):
-            if change is None:
+        for text, a, b in zip(pack.texts, begin.tolist(), begin.tolist()[1:]):
+            own = out[a:b]
+            if own.any():
+                edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                spans.append([{"begin": x, "end": y} for x, y in edge.tolist()])
+                text = np.frombuffer(text, np.uint8)[~own].tobytes()
+            else:
                 spans.append([])
-                kept.append(text)
-                continue
-            out = np.cumsum(change[:-1]) > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]]))).reshape(-1, 2)
-            spans.append([{"begin": a, "end": b} for a, b in edge.tolist()])
-            kept.append(np.frombuffer(text, np.uint8)[~out].tobytes())
+            kept.append(text)
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         result = pack.table.drop_columns(["text"])
-        for name, values, kind in (("n_bytes", [len(t) for t in pack.texts], pa.int64()),
-                                   ("spans", spans, span), ("kept", kept, pa.binary())):
+        for name, values, kind in (("n_bytes", sizes, pa.int64()), ("spans", spans, span), ("kept", kept, pa.binary())):
             result = result.append_column(name, pa.array(values, kind))
         return result.combine_chunks()
 
@@ -457,9 +488,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
 
 
 def digests(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
-            hot_packs: int = HOT_PACKS) -> DataFrame:
+            hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is kept."""
-    return repeats(docs.select("doc_id", "text"), width, pack_bytes, hot_packs).select(
+    return repeats(docs.select("doc_id", "text"), width, pack_bytes, hot_runs).select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
