@@ -13,8 +13,8 @@ Defined results: a null text counts as empty (no ids, decoded to ''); a
 special token's string inside a text is that token; any other column
 passes through, and a column named like an output column is replaced.
 Every row is encoded on its own, so repeated rows, ties and row order do
-not matter. Memory per worker is one Arrow batch, the vocabulary and a
-word cache of ``CACHE_WORDS`` entries, which is emptied when full.
+not matter. Memory per worker is one Arrow batch, the vocabulary and
+caches of about ``CACHE_WORDS`` entries, which are emptied when full.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,9 @@ SPLIT = regex.compile(
 
 #: Distinct words remembered per worker; when there are more, the cache is
 #: emptied before the next chunk.
-CACHE_WORDS = 500_000
-#: Characters of text whose new words are encoded together.
-CHUNK_CHARS = 1 << 24
+CACHE_WORDS = 200_000
+#: Bytes of text (or of ids) handled together: their new words form one trie.
+CHUNK_BYTES = 1 << 22
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -130,7 +131,7 @@ class Bpe:
         key = (left, right)
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 4 * CACHE_WORDS:
+            if len(self.apart) > CACHE_WORDS:
                 self.apart.clear()
             known, rank = True, self.rank
             for a, made_a, taken_a in self.spine(left, 0):
@@ -207,18 +208,9 @@ class Bpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit) of each text."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            end, held = at, 0
-            while end < len(texts) and held < CHUNK_CHARS:
-                held += len(texts[end] or "")
-                end += 1
-            self._learn(texts[at:end])
-            known = self.cache.__getitem__
-            out += [b"".join(map(known, self.words(t))) if t else b"" for t in texts[at:end]]
-            at = end
-        return out
+        self._learn(texts)
+        known = self.cache.__getitem__
+        return [b"".join(map(known, self.words(t))) if t else b"" for t in texts]
 
     def _learn(self, texts: list[str | None]) -> None:
         """Encodes the words of the texts that the cache does not hold."""
@@ -242,6 +234,20 @@ def _loaded(path: str) -> Bpe:
     return Bpe.load(path)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches in which a string or binary column has about ``size`` bytes."""
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+        begin = held = 0
+        for i, n in enumerate(lengths):
+            held += n or 0
+            if held >= size:
+                yield batch.slice(begin, i + 1 - begin)
+                begin, held = i + 1, 0
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
+
 def _replace(batch: pa.RecordBatch, new: dict[str, pa.Array], drop: tuple[str, ...]) -> pa.RecordBatch:
     cols = {n: c for n, c in zip(batch.schema.names, batch.columns) if n not in drop and n not in new}
     return pa.RecordBatch.from_pydict(cols | new)
@@ -258,7 +264,7 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", keep_text: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocab_path)
-        for batch in batches:
+        for batch in _chunks(batches, text, CHUNK_BYTES):
             packed = bpe.encode_batch(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield _replace(batch, {"ids": pa.array(packed, pa.binary()),
                                    "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())}, drop)
@@ -272,7 +278,7 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", into: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocab_path)
-        for batch in batches:
+        for batch in _chunks(batches, ids, CHUNK_BYTES):
             packed = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             yield _replace(batch, {into: pa.array([bpe.decode(p) for p in packed], pa.string())}, ())
 
