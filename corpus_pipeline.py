@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import bpe, decontam, lang_id, simhash, suffix_dedup
-from evalspark.llm.graph import written
+from evalspark.llm.graph import clear, made, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    others = made()
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, {*others, path})  # what only this stage needed
     return docs

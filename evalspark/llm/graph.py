@@ -11,13 +11,34 @@ from pyspark.sql import functions as F
 from evalspark.session import scratch_path
 
 
+#: Folders that ``new_folder`` made in this process and ``clear`` has not removed.
+_MADE: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    _MADE.append(path)
+    return path
+
+
+def made() -> set[str]:
+    return set(_MADE)
+
+
+def clear(spark: SparkSession, keep: set[str]) -> None:
+    """Removes the folders made so far but those to keep, once their readers are done."""
+    for path in made() - keep:
+        drop_written(spark, path)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows of ``df`` from a Parquet table in the shared checkpoint folder.
 
     Cuts the lineage: a lost executor costs a read, not a new computation.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -27,6 +48,8 @@ def drop_written(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _MADE:
+        _MADE.remove(path)
 
 
 #: Ids (8 bytes each) sent to every task by ``without``; more are joined by a shuffle.

@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.graph import Forest, components, written
+from evalspark.llm.graph import Forest, components, new_folder, written
 from evalspark.llm.warc import _at
-from evalspark.session import scratch_path
 
 SHARDS = 6
 SHARD_ROWS = 200_000
@@ -213,7 +212,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     dim = F.size("embedding").cast("long")
     nodes = nodes.withColumn("node", F.xxhash64("embedding")).withColumn(
         "shard", dim * shards + F.pmod("node", F.lit(shards)))
-    folder = scratch_path(spark, f"graphs-{uuid.uuid4().hex}")
+    folder = new_folder(spark, "graphs")
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node", kind="stable")

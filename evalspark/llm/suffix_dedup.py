@@ -53,9 +53,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from evalspark.llm.graph import written
+from evalspark.llm.graph import new_folder, written
 from evalspark.llm.warc import _at
-from evalspark.session import scratch_path
 
 WIDTH = 50
 GRAM = 24
@@ -267,7 +266,7 @@ def write_packs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
 
     ``docs``: doc_id (bigint), text (binary, never null) and any other columns.
     """
-    folder = scratch_path(docs.sparkSession, f"packs-{uuid.uuid4().hex}")
+    folder = new_folder(docs.sparkSession, "packs")
 
     def save(parts: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
         store, top = _at(folder)

@@ -34,8 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.graph import written
-from evalspark.session import scratch_path
+from evalspark.llm.graph import new_folder, written
 
 MIN_REVISIT = 100
 SPLIT_BYTES = 1 << 23
@@ -98,7 +97,7 @@ def typed(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame) -> DataFrame:
     """Writes the archives; returns their manifest: path, length, records."""
-    folder = scratch_path(pages.sparkSession, f"warc-{uuid.uuid4().hex}")
+    folder = new_folder(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _at(folder)
