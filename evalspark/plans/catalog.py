@@ -1217,10 +1217,32 @@ _SQL_CHAIN_SYS = "concat('{\"role\":\"system\",\"content\":', to_json(" + Q.q(CH
 def chain_requests(spark, sf_dir):
     """M7 / M8: chain-generation request payloads, without and with the image."""
     items = _items(_d7(spark, sf_dir))
-    plain = MO.chain_requests(items, with_image=False, instruction=CH.CHAIN_INSTRUCTION)
-    visual = MO.chain_requests(items, with_image=True, instruction=CH.CHAIN_INSTRUCTION)
-    return (plain.withColumnRenamed("payload", "payload_text")
-                 .join(visual.withColumnRenamed("payload", "payload_visual"), "item_id"))
+    payload = lambda image: PR.payload_parts(F.lit(CH.CHAIN_INSTRUCTION), F.col("prompt"), image)
+    return items.select("item_id", payload(F.lit(None).cast("string")).alias("payload_text"),
+                        payload(F.col("image")).alias("payload_visual"))
+
+
+@register("mode_visual", FX.with_fixtures(f""", {_D7_BASE},
+    a1 AS (SELECT item_id, {Q.parse_steps(Q.refusal('generation', CH.REFUSAL_PHRASES, CH.FALLBACK_CHAIN))} AS rules
+           FROM d6 WHERE attempt = 1),
+    a2 AS (SELECT item_id, string_split(generation, chr(10)) AS st FROM d6 WHERE attempt = 2),
+    vc AS (SELECT a1.item_id, coalesce(a1.rules, a2.st) AS chain FROM a1 LEFT JOIN a2 ON a1.item_id = a2.item_id),
+    st AS (SELECT i.item_id, i.prompt, v.chain, s1.response AS intermediate_response,
+                  {Q.last_instruction('v.chain', CH.LAST_STEP_PREFIX)} AS output_format
+           FROM items i JOIN vc v ON i.item_id = v.item_id LEFT JOIN step1 s1 ON i.item_id = s1.item_id
+           WHERE v.chain IS NOT NULL)
+    SELECT st.item_id, CAST(len(st.chain) AS INTEGER) AS n_steps,
+           {Q.fill(PR.FINAL_TEMPLATE, question='st.prompt', extracted_info='st.intermediate_response', output_format='st.output_format')} AS final_prompt,
+           r.response
+    FROM st LEFT JOIN lastr r ON st.item_id = r.item_id""", d7=FX.D7, d6=FX.D6))
+def mode_visual(spark, sf_dir):
+    """M8: a chain from the image (with the structured fallback), then the answer stages."""
+    d6, d7 = D.d6_generations(_t(spark, sf_dir)), _d7(spark, sf_dir)
+    first = d6.filter(F.col("attempt") == 1).select("item_id", "generation")
+    structured = d6.filter(F.col("attempt") == 2).select(
+        "item_id", CH.encode_structured(F.split("generation", "\n", -1)).alias("structured"))
+    out = MO.answer_with_visual_chain(_items(d7), first, structured, _step_responses(d7, 1), _last_responses(d7))
+    return out.select("item_id", F.size("chain").alias("n_steps"), "final_prompt", "response")
 
 
 @register("visual_chain", FX.with_fixtures(f""",

@@ -117,6 +117,15 @@ def answer_with_chain(items: DataFrame, chains: DataFrame, extract_responses: Da
     return J.attach_responses(final, final_responses, key)
 
 
+def answer_with_visual_chain(items: DataFrame, first_generations: DataFrame, structured_responses: DataFrame,
+                             extract_responses: DataFrame, final_responses: DataFrame,
+                             key: str = "item_id") -> DataFrame:
+    """M8 whole: a chain from the image, then both answer stages on it; items
+    whose chain failed in either form have no answer stage."""
+    chains = visual_chain(first_generations, structured_responses, key).where(F.col("chain").isNotNull())
+    return answer_with_chain(items, chains, extract_responses, final_responses, key)
+
+
 def exchange(items: DataFrame, chains: DataFrame, other_run: DataFrame, final_responses: DataFrame,
              key: str = "item_id") -> DataFrame:
     """M6: another run's extracted info + this chain's output format -> answer (one call)."""
