@@ -38,6 +38,7 @@ DIMS = 1 << 13
 CLUSTERS = 4
 PER_LANGUAGE = 400
 MARGIN = 0.25
+SPREAD = 1 << 40
 PIECE_CHARS = 1 << 20
 #: ASCII characters other than letters count as one space a run.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -114,10 +115,16 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, margin: float = M
     """Centroids from ``doc_id, text, lang`` rows; null ids, texts and labels are left out."""
     spark = labelled.sparkSession
     rows = labelled.where("doc_id is not null and text is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(
+    hashed = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("h")).distinct()
+    # Hashes are spread evenly, so the smallest per_language of a language lie
+    # below this share of them; only rows that do meet in the ranking.
+    share = hashed.groupBy("lang").count().select(
+        "lang", (F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count")) * SPREAD).alias("below"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = hashed.join(F.broadcast(share), "lang").where("h < below").withColumn("n", F.row_number().over(order)).where(
         F.col("n") <= per_language).select("doc_id", "lang")
-    # At most per_language ids for each language, so a broadcast spares the texts a shuffle.
+    # One row, and at most per_language ids, for each language: broadcasts of a
+    # known bound, which spare ids and texts a shuffle by language.
     picked = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy(
         "doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
