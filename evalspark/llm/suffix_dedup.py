@@ -51,7 +51,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from evalspark.llm.graph import new_folder, written
 from evalspark.llm.warc import _at
@@ -59,9 +58,9 @@ from evalspark.llm.warc import _at
 WIDTH = 50
 GRAM = 24
 PACK_BYTES = 1 << 22
-SEGMENT_BYTES = 1 << 22
-BUCKET_BYTES = 1 << 24
-SLAB_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 23
+SLAB_BYTES = 1 << 20
 LEAST_BUCKETS = 48
 MOST_STRINGS = 64
 HOT_RUNS = 50_000
@@ -354,9 +353,10 @@ def _shared(rows: pd.DataFrame, buckets: int, pack: Pack) -> tuple[np.ndarray, n
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
-            hot_runs: int = HOT_RUNS) -> DataFrame:
+            hot_runs: int = HOT_RUNS, as_text: bool = False) -> DataFrame:
     """All columns but text, and n_bytes, spans (begin, end of the removed runs),
-    kept (the bytes that stay) of every document."""
+    kept (the bytes that stay) of every document; ``as_text``: for kept, its
+    whole characters as text."""
     if width < GRAM + 8:
         raise ValueError("the width must leave room for several grams")
     spark = docs.sparkSession
@@ -465,9 +465,10 @@ def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
             else:
                 spans.append([])
             kept.append(text)
+        last = ("text", [k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else ("kept", kept, pa.binary())
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         result = pack.table.drop_columns(["text"])
-        for name, values, kind in (("n_bytes", sizes, pa.int64()), ("spans", spans, span), ("kept", kept, pa.binary())):
+        for name, values, kind in (("n_bytes", sizes, pa.int64()), ("spans", spans, span), last):
             result = result.append_column(name, pa.array(values, kind))
         return result.combine_chunks()
 
@@ -475,7 +476,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
         T.StructField("n_bytes", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([
             T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("kept", T.BinaryType())])
+        T.StructField("text", T.StringType()) if as_text else T.StructField("kept", T.BinaryType())])
 
     # One group a pack: its name, its shared triggers, the answers to its phrases.
     parts = spread.select("path", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("a"),
@@ -499,15 +500,10 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     removed run begins or ends inside of goes with it, and a null text comes
     back empty. n_chars, if there is one, is the new length of a text that
     was cut."""
-    @pandas_udf("string")
-    def whole_characters(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
-
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*rest) if rest else F.lit(None).cast("string")
-    rows = repeats(docs.select("doc_id", "text", row.alias("row")), width)
+    rows = repeats(docs.select("doc_id", "text", row.alias("row")), width, as_text=True)
     whole = F.size("spans") == 0
-    text = F.when(whole, F.col("kept").cast("string")).otherwise(whole_characters(F.when(~whole, F.col("kept"))))
 
     def column(name: str) -> Column:
         if name in ("doc_id", "text"):
@@ -517,4 +513,4 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             return F.when(whole, F.col("row")[name]).otherwise(size).alias(name)
         return F.col("row")[name].alias(name)
 
-    return rows.withColumn("text", text).select(*map(column, docs.columns))
+    return rows.select(*map(column, docs.columns))
