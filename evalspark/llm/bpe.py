@@ -286,8 +286,22 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", into: str = "decode
 
 
 def round_trip(docs: DataFrame, vocab_path: str, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids, decoded: each whole text encoded, then decoded."""
-    return decode(encode(docs.select(key, "text"), vocab_path, keep_text=False), vocab_path)
+    """key, ids, n_tokens, decoded: each whole text encoded, then decoded from
+    its ids, in one pass, so that a task needs one worker and one vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(vocab_path)
+        for batch in _chunks(batches, "text", CHUNK_BYTES):
+            packed = bpe.encode_batch(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(packed, pa.binary()),
+                 pa.array([len(p) // 4 for p in packed], pa.int64()),
+                 pa.array([bpe.decode(p) for p in packed], pa.string())], [key, "ids", "n_tokens", "decoded"])
+
+    rows = docs.select(key, "text")
+    return rows.mapInArrow(run, _schema(rows, [
+        T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
+        T.StructField("decoded", T.StringType())], ("text",)))
 
 
 def digests(docs: DataFrame, vocab_path: str) -> DataFrame:

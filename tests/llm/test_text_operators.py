@@ -53,6 +53,8 @@ def test_bpe_query_on_odd_texts(spark, library):
         key = (i, hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
         assert got[key] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
     assert bpe.digests(docs.limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
+    two = bpe.decode(bpe.encode(docs, tokenizer_path("byte_bpe_50k.json")), tokenizer_path("byte_bpe_50k.json"))
+    assert two.where("coalesce(text, '') <> decoded").count() == 0
     carried = bpe.encode(docs.withColumn("ids", F.lit(1)), tokenizer_path("byte_bpe_50k.json"))
     assert carried.schema["ids"].dataType.simpleString() == "binary" and carried.count() == docs.count()
 
