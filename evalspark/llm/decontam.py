@@ -5,11 +5,13 @@ A document matches an item if one of its windows, as many words long as the
 item, has a weighted-shingle similarity of at least ``threshold`` to it: the
 sum of the smaller counts of each shingle over the sum of the larger ones.
 
-1. A window that similar shares a shingle with the item. Each shared shingle
-   (found by one scan of the documents against the items' shingles) puts the
-   item over the document so that the two shingles lie on each other; that
-   is the window. Equal windows are one row from here on, whatever number of
-   documents holds them.
+1. A window that similar shares shingles with the item, wherever they lie in
+   it: of n and m shingles at least threshold * (n + m) / (1 + threshold).
+   One scan finds the places of each document that hold a shingle of an item
+   of a size, and every window of that size with that many such places is
+   taken, at whatever offset. No other window can reach the threshold, so
+   this leaves none out. Equal windows are one row from here on, whatever
+   number of documents holds them.
 2. Windows and items get 64-bit SimHash fingerprints of their shingles.
    Fingerprints are cut into ``radius + 1`` blocks, and a window meets an
    item of its size in an index of (size, block, value): any two within the
@@ -88,21 +90,43 @@ def weighted_similarity(a: str, b: str) -> Column:
         size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s))))""").alias("shared")
 
 
+def candidates(texts: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, size, words of every window with as many places of shared
+    shingles as the threshold takes. A window belongs to its first such place,
+    whose row brings the words around it; a row of the result is one begin."""
+    start = F.greatest(F.lit(0), F.col("at") - F.col("size") + SHINGLE)
+    hits = positions(texts, "doc_id", "words", "key").join(seeds, "hash").select(
+        "doc_id", "key", "size", F.size("words").alias("n"), F.struct(
+            "at", start.alias("start"),
+            F.slice("words", start + 1, F.col("at") + F.col("size") - start).alias("around")).alias("hit"))
+    most = F.least("n", "size") + F.col("size") - 2 * (SHINGLE - 1)
+    held = hits.groupBy("doc_id", "key", "size", "n").agg(F.array_sort(F.collect_set("hit")).alias("hits")).withColumn(
+        "least", F.greatest(F.lit(1), F.ceil(most * (threshold / (1 + threshold)) - 1e-9).cast("int"))).where(
+        F.size("hits") >= F.col("least"))
+    spans = held.select("doc_id", "size", F.explode(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("hits") - F.col("least"))),
+        lambda i: F.struct(
+            F.get("hits", i).alias("hit"),
+            F.greatest(F.lit(0), F.coalesce(F.get("hits", i - 1)["at"] + 1, F.lit(0)),
+                       F.get("hits", i + F.col("least") - 1)["at"] - F.col("size") + SHINGLE).alias("first"),
+            F.least(F.get("hits", i)["at"], F.greatest(F.lit(0), F.col("n") - F.col("size"))).alias("last"))
+        )).alias("s")).where("s.first <= s.last")
+    return spans.select("doc_id", "size", "s", F.explode(F.sequence("s.first", "s.last")).alias("begin")).select(
+        "doc_id", "size", F.slice("s.hit.around", F.col("begin") - F.col("s.hit.start") + 1, F.col("size")).alias("words"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
             radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity of every document that holds a benchmark item."""
     items = benchmark.where("item_id is not null").select(
         "item_id", words(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE).distinct()
-    seeds = positions(items.withColumn("size", F.size("words")), "size").select(
-        "hash", "size", F.col("at").alias("item_at")).distinct()
+    seeds = positions(items.withColumn("size", F.size("words")), "size").select("hash", "size").distinct()
     if seeds.count() <= BROADCAST_SHINGLES:
         seeds = F.broadcast(seeds)
 
-    texts = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("words"))
-    placed = positions(texts, "doc_id", "words").join(seeds, "hash").withColumn("begin", F.greatest(
-        F.lit(0), F.least(F.col("at") - F.col("item_at"), F.size("words") - F.col("size"))))
-    windows = placed.select(
-        "doc_id", "size", F.slice("words", F.col("begin") + 1, F.col("size")).alias("words"))
+    texts = docs.where("doc_id is not null").select(
+        "doc_id", words(F.col("text")).alias("words"), F.xxhash64("text").alias("key"))
+    windows = candidates(texts, seeds, threshold)
     held = windows.withColumn("window", F.sha2(F.concat_ws(" ", "size", F.array_join("words", " ")), 256))
     held = held.groupBy("doc_id", "window").agg(F.first("size").alias("size"), F.first("words").alias("words"))
 

@@ -3,6 +3,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -101,6 +102,25 @@ def test_decontamination(spark):
     assert decontam.matches(docs.limit(0), bench).count() == decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_windows_at_every_offset(spark):
+    w = [f"{x}{i}" for i, x in enumerate(prose(60, 59).split())]
+    half = w[29:] + w[:29]
+    edges = ["one", *w[1:29], "two", "three", *w[29:-1], "four"]
+    around = lambda k, text: f"{prose(k, 40)} {' '.join(text)} {prose(k + 1, 40)}"
+    twice = [*w[:50], "x", *w[:50], *w[50:]]
+    rows = [(1, around(1, half)), (2, around(3, edges)), (3, " ".join(half)), (4, " ".join(w[3:])),
+            (5, around(5, twice)), (6, around(7, w[:30])), (9, around(9, half)), (7, around(11, w[:9] + w[20:29])),
+            (8, around(13, half) + " " + around(15, edges))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, " ".join(w)), (11, " ".join(w[:20])), (12, prose(61, 59))], "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    want = {(d, i): s for d, i, s in con.sql(decontam.ORACLE).fetchall()}
+    assert {(1, 10), (2, 10), (3, 10), (8, 10), (9, 10)} <= set(want)
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(docs, bench).collect()} == pytest.approx(want)
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_graph_finds_every_neighbour(seed):
     rng = np.random.default_rng(seed)
