@@ -6,10 +6,11 @@ frequency, at length 1. Each language is described by up to ``CLUSTERS``
 centroids from spherical k-means, and a text gets the language of the
 centroid with the largest cosine. A text is rejected if it has no letter,
 or if its cosine distance is too large: below ``margin`` times the lowest
-cosine that the fitting texts have with their own centroid.
+cosine that the fitting texts of that language have with their own centroid.
 
 Fitting uses a documented bound: at most ``per_language`` labelled texts of
-each language, those with the smallest hash of their id. Counting, document
+each language, those with the smallest hash of their id. Texts that are
+rejected for want of a letter are not fitted on. Counting, document
 frequencies and the clustering of each language run as Spark jobs; the
 driver holds one vector of document frequencies and the centroids.
 
@@ -71,12 +72,12 @@ def _unit(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages of the centroids, the centroids, idf and the lowest cosine kept."""
+    """Languages of the centroids, the centroids, idf and each one's lowest cosine kept."""
 
     langs: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    floor: float
+    floors: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         pred, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
@@ -87,7 +88,7 @@ class Model:
             best = cos.argmax(axis=1)
             for i, k, c in zip(part, best.tolist(), cos.max(axis=1).tolist()):
                 pred[i], score[i] = self.langs[k], min(max(c, 0.0), 1.0)
-                rejected[i] = c < self.floor
+                rejected[i] = c < self.floors[k]
         return pred, score, rejected
 
 
@@ -112,9 +113,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, margin: float = MARGIN) -> Model:
-    """Centroids from ``doc_id, text, lang`` rows; null ids, texts and labels are left out."""
+    """Centroids from ``doc_id, text, lang`` rows; null ids and labels and texts without a letter are left out."""
     spark = labelled.sparkSession
-    rows = labelled.where("doc_id is not null and text is not null and lang is not null")
+    rows = labelled.where("doc_id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     hashed = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("h")).distinct()
     # Hashes are spread evenly, so the smallest per_language of a language lie
     # below this share of them; only rows that do meet in the ranking.
@@ -131,6 +132,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, margin: float = M
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not LETTER.search(text):  # a letter of the JVM's Unicode version only
+                    continue
                 yield pa.RecordBatch.from_pydict(
                     {"lang": pa.array([lang]), "tf": pa.array([counts(text).astype("<f4").tobytes()])})
 
@@ -162,7 +165,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, margin: float = M
     return Model([r.lang for r in found],
                  np.stack([np.frombuffer(r.centroid, "<f4") for r in found]) if found
                  else np.zeros((0, DIMS), np.float32),
-                 idf, margin * min((r.floor for r in found), default=0.0))
+                 idf, margin * np.array([r.floor for r in found]))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

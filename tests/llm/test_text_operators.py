@@ -204,6 +204,23 @@ def test_language_id(spark):
     assert {r.lang_pred for r in unlabelled.select("lang_pred").collect()} == {"und"}
 
 
+def test_language_rejection_survives_odd_labelled_texts(spark):
+    words = {"aa": "kala mina sato rupi", "bb": "thorn wedge blick frust"}
+    rows = [(i, prose(i, 30, words["ab"[i % 2] * 2]), "ab"[i % 2] * 2) for i in range(90)]
+    unlearned = " ".join(chr(0x10D0 + i % 33) * (2 + i % 5) for i in range(400))
+    odd = [(200, "", "aa"), (201, "12 !? 3", "bb"), (202, "", "cc")]
+    docs = documents(spark, rows + odd)
+    model = lang_id.fit(docs)
+    assert set(model.langs) == {"aa", "bb"} and (model.floors > 0).all()
+    assert (np.linalg.norm(model.centroids, axis=1) > .99).all()
+    tried = documents(spark, [*rows, (300, unlearned, None)])
+    got = {r.doc_id: r.rejected for r in lang_id.classify(tried, model).collect()}
+    assert got == {i: i == 300 for i in got}
+    # a far-off text of one language leaves the floors of the others alone
+    low = lang_id.fit(documents(spark, rows + [(400 + i, unlearned[i * 9:] + "x" * i, "bb") for i in range(9)]))
+    assert {f for x, f in zip(low.langs, low.floors) if x == "aa"} != {f for x, f in zip(low.langs, low.floors) if x == "bb"}
+
+
 def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     judged = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
