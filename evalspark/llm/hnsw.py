@@ -4,9 +4,11 @@ Distinct vectors are dealt to shards by hash, and a task builds the layered
 graph of its shard: vectors come in waves, each wave is searched against the
 graph so far and against itself, and keeps diverse neighbours. Then every
 vector is searched in every shard. A beam that is full of links is doubled
-until it holds more than links; a few vectors of every batch are audited
+until it holds more than links; a share of the vectors of every batch is audited
 against the whole shard, and the beams of a batch are widened until the
-audited recall reaches ``RECALL``. Cosines are verified in double precision,
+audit finds ``RECALL`` of their ``NEAREST`` nearest other vectors, which exist
+however sparse links are, and of their links. A batch whose audit fails at
+``WIDEST`` is compared with every vector of the shard. Cosines are verified in double precision,
 a task returns link counts and a spanning forest of the links it found, and
 components are united from those.
 
@@ -44,7 +46,13 @@ BEAM = 24
 UPPER_BEAM = 4
 WAVE = 512
 VISITED = 1 << 25
-AUDITS = 12
+#: Vectors audited in a batch: one of AUDIT_SHARE, and AUDITS at least.
+AUDITS = 32
+AUDIT_SHARE = 32
+AUDIT_BYTES = 1 << 25
+NEAREST = 4
+#: Widest beam tried by an audit; wider ones cost more than the whole shard.
+WIDEST = 192
 RECALL = 0.99
 QUERY_ROWS = 4096
 
@@ -185,18 +193,41 @@ def _unit(vectors: list) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def links_in(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
-    """Verified links of unit vectors ``q`` (double) to the graph's vectors."""
-    audit = np.unique(np.linspace(0, len(q) - 1, AUDITS).astype(int))
-    truth = q[audit] @ exact.T >= least
-    beam, q32 = BEAM, q.astype(np.float32)
-    while True:
-        found = graph.within(q32, least - 1e-4, beam)
-        found = [own[np.einsum("jd,d->j", exact[own], v) >= least] for own, v in zip(found, q)]
-        got = sum(len(found[i]) for i in audit)
-        if got >= RECALL * truth.sum() or beam >= len(exact):
-            return found
+def audited_beam(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, least: float) -> int:
+    """The first beam whose audit passes, or 0; ``own``: places of ``q`` itself (-1: not there), which do not count."""
+    n = len(exact)
+    audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), max(AUDITS, len(q) // AUDIT_SHARE))).astype(int))
+    near, linked = [], []
+    for part in np.array_split(audit, -(-len(audit) * n * 8 // AUDIT_BYTES)):
+        sims = q[part] @ exact.T
+        here = own[part] >= 0
+        sims[here, own[part][here]] = -2
+        k = min(NEAREST, n)
+        best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        near += [row[s[row] > -2] for row, s in zip(best, sims)]
+        linked += [np.flatnonzero(s >= least) for s in sims]
+    q32, beam = q[audit].astype(np.float32), BEAM
+    wanted, links = sum(map(len, near)), sum(map(len, linked))
+    while beam <= WIDEST and beam < n:
+        ids, _ = graph.nearest(q32, beam)
+        met = sum(int(np.isin(x, y).sum()) for x, y in zip(near, ids))
+        if wanted and met >= RECALL * wanted:
+            found = graph.within(q32, least - 1e-4, beam)
+            if sum(int(np.isin(x, y).sum()) for x, y in zip(linked, found)) >= RECALL * links:
+                return beam
         beam *= 2
+    return 0
+
+
+def links_in(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """Verified links of unit vectors ``q`` (double) to the graph's vectors."""
+    beam = audited_beam(graph, exact, q, np.full(len(q), -1) if own is None else own, least)
+    if beam:
+        found = graph.within(q.astype(np.float32), least - 1e-4, beam)
+    else:
+        rows = max(1, AUDIT_BYTES // (8 * len(exact)))
+        found = [np.flatnonzero(s >= least - 1e-4) for i in range(0, len(q), rows) for s in q[i:i + rows] @ exact.T]
+    return [ids[np.einsum("jd,d->j", exact[ids], v) >= least] for ids, v in zip(found, q)]
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
@@ -251,10 +282,11 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
                     graph = Graph(held["exact"].astype(np.float32),
                                   [held[f"layer{h}"] for h in range(sum(k.startswith("layer") for k in held))], 0)
                 node = batch.column(1).slice(a, b - a).to_numpy()
-                found = links_in(graph, held["exact"], _unit(batch.column(2).slice(a, b - a).to_pylist()), least)
                 known = {v: i for i, v in enumerate(held["node"].tolist())}
                 name_of = np.concatenate([held["node"], node])
                 at = np.array([known.get(v, len(known) + i) for i, v in enumerate(node.tolist())])
+                found = links_in(graph, held["exact"], _unit(batch.column(2).slice(a, b - a).to_pylist()), least,
+                                 np.where(at < len(known), at, -1))
                 forest, count = Forest(len(name_of)), np.zeros(len(node), np.int64)
                 for i, own in enumerate(found):
                     own = own[own != at[i]]

@@ -134,6 +134,32 @@ def test_graph_finds_every_neighbour(seed):
     assert sum(map(len, got)) >= .99 * want.sum()
 
 
+def test_graph_audit_needs_evidence():
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    v, q = unit(rng.normal(size=(3000, 64))), rng.normal(size=(600, 64))
+    linked = np.setdiff1d(np.arange(5, 600, 10), np.linspace(0, 599, 12).astype(int))
+    q[linked] = 8 * v[linked] + .35 * rng.normal(size=(len(linked), 64))  # sparse links, none at twelve even places
+    q, graph = unit(q), hnsw.Graph.build(v.astype(np.float32))
+    graph.layers[0][:, 4:] = -1  # a beam of 24 misses some
+    want = q @ v.T >= .9
+    assert want.sum() == len(linked)
+    assert sum(map(len, graph.within(q.astype(np.float32), .9, hnsw.BEAM))) < .9 * len(linked)
+    got = hnsw.links_in(graph, v, q, .9)
+    assert sum(map(len, got)) >= .99 * len(linked) and all(want[i, x].all() for i, x in enumerate(got))
+
+
+def test_graph_audit_leaves_out_the_vectors_themselves():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(2000, 48))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph, places = hnsw.Graph.build(v.astype(np.float32)), np.arange(2000)
+    graph.layers[0][:] = -1  # finds next to nothing but itself
+    assert hnsw.audited_beam(graph, v, v, places, .9) == 0
+    assert hnsw.audited_beam(graph, v[:1], v[:1], places[:1], .9) == 0
+    assert [x.tolist() for x in hnsw.links_in(graph, v, v, .9, places)] == [[i] for i in places]
+
+
 def test_embedding_components(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(5, 16))
