@@ -11,7 +11,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import bpe, chat, decontam, hnsw, lang_id, simhash, suffix_dedup, token_count, url_filter, warc
+from evalspark.llm import (
+    bpe, centroids, chat, decontam, hnsw, lang_id, simhash, spelling, suffix_dedup, token_count, token_ids, url_filter, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every 64-component vector after five rounds from 40 seeds."""
+    return centroids.digests(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, read back from the files."""
+    return token_ids.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the corpus that occurs twice or more."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -87,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_token_ids": op12_token_ids,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -95,4 +114,5 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": url_filter.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op10_embedding_dedup": hnsw.ORACLE,
+    "op11_centroids": centroids.ORACLE,
 }
