@@ -17,8 +17,10 @@ of each partition, no more.
 
 Ids come from the tokenizers library. Its normalisation and split pattern
 never look across a space, so texts are cut at white space and each distinct
-piece is encoded once per chunk of texts, or taken from a bounded cache;
-``tests/llm`` holds this against whole texts.
+piece is encoded once per chunk of texts, or taken from a bounded cache.
+Plain pieces are split here and go to the library's BPE model, all others to
+the library whole; ``tests/llm`` holds both against whole texts. Between
+tasks ids of small vocabularies travel in 16 bits.
 
 Defined results: a null text is empty, so its document is the end id alone; null
 keys come first; documents of one key come in order of a hash of their ids,
@@ -29,7 +31,9 @@ table makes no file. A text without white space is encoded in one piece.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -43,12 +47,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.graph import new_folder, written
+from evalspark.llm.graph import drop_written, new_folder, written
 from evalspark.llm.warc import _at
 
-#: Characters of text handled together, and of the pieces remembered in a worker.
+#: Characters of text handled together; pieces remembered in a worker, twice at
+#: most; characters of a piece that is not remembered.
 CHUNK_CHARS = 1 << 21
-CACHE_CHARS = 1 << 25
+CACHE_PIECES = 300_000
+LONG_PIECE = 256
 #: Ids of a file and of a partition of files, at most, unless one document has more.
 FILE_IDS = 1 << 23
 PART_IDS = 1 << 26
@@ -63,27 +69,88 @@ KINDS = {8: "<u1", 16: "<u2", 32: "<u4"}
 MANIFEST = "part int, file int, path string, part_start long, n_docs long, n_ids long"
 
 
+#: Pieces of printable ASCII and Latin-1 letters are lower-cased and split here;
+#: what their split pattern finds goes to the library's BPE model as it is.
+PLAIN = r"[\x21-\x7eÀ-ÖØ-öø-ÿ]"
+#: The vocabulary's normalisation and split pattern that this holds for.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_alphabet() -> list[str]:
+    """Printable stand-ins of the 256 bytes: printable ones stand for
+    themselves, the others for the code points from 256 on."""
+    out, hidden = [], 256
+    for b in range(256):
+        shown = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out.append(chr(b if shown else hidden))
+        hidden += not shown
+    return out
+
+
 class Encoder:
-    """Ids of whole texts, by distinct pieces between white space."""
+    """Ids of whole texts, by distinct pieces between white space.
+
+    Two caches, of pieces and of what the split pattern finds in them; a full one
+    becomes the older half, from which what is still in use moves on.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.known_form = (
+            spec["normalizer"] == NORMALIZER and split.get("pattern", {}).get("Regex") == PATTERN
+            and split["behavior"] == "Removed" and split["invert"] and len(rest) == 1
+            and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"])
+        if not self.known_form and not _cuts_at_spaces(spec):
+            raise ValueError("texts of this vocabulary cannot be cut at white space")
+        # none of an added token's first character, and nothing long, unless this form is unknown
+        first = re.escape("".join({t["content"][:1] for t in spec["added_tokens"]}))
+        self.plain = re.compile(f"(?=[^{first}]+$){PLAIN}{{1,{LONG_PIECE}}}" if self.known_form and first else
+                                f"{PLAIN}{{1,{LONG_PIECE}}}" if self.known_form else "(?!)").fullmatch
+        self.letters = str.maketrans({chr(c): "".join(_byte_alphabet()[b] for b in chr(c).encode()) for c in range(128, 256)})
         self.known: dict[str, bytes] = {"": b""}
-        self.held = 0
+        self.older: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+        self.older_tokens: dict[str, bytes] = {}
+
+    def _token(self, token: str) -> bytes:
+        """Ids of one find of the split pattern."""
+        ids = self.tokens.get(token)
+        if ids is None:
+            ids = self.older_tokens.get(token)
+            if ids is None:
+                found = self.library.model.tokenize(token if token.isascii() else token.translate(self.letters))
+                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            self.tokens[token] = ids
+        return ids
 
     def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
-        if self.held + sum(map(len, new)) > CACHE_CHARS:
-            self.known, self.held = {"": b""}, 0
-            new = [p for p in pieces if p]
-        for piece, coded in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-            self.known[piece] = np.array(coded.ids, "<u4").tobytes()
-            self.held += len(piece) + 64
+        if len(self.known) > CACHE_PIECES:
+            self.older, self.known = self.known, {"": b""}
+        if len(self.tokens) > CACHE_PIECES:
+            self.older_tokens, self.tokens = self.tokens, {}
+        known, older, rest = self.known, self.older, []
+        plain, split, cached, token = self.plain, PLAIN_SPLIT.findall, self.tokens.get, self._token
+        for piece in pieces.difference(known):
+            ids = older.get(piece)
+            if ids is None:
+                if not plain(piece):
+                    rest.append(piece)
+                    continue
+                ids = b"".join([cached(t) or token(t) for t in split(piece.lower())])
+            known[piece] = ids
+        for piece, coded in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
+            known[piece] = struct.pack(f"<{len(coded.ids)}I", *coded.ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
@@ -92,9 +159,13 @@ class Encoder:
         size = 0
 
         def flush() -> None:
-            self._learn(set().union(*(p for _, p in group)))
-            for i, pieces in group:
-                out[i].append(b"".join(map(self.known.__getitem__, pieces)))
+            pieces = set().union(*(p for _, p in group))
+            self._learn(pieces)
+            for i, part in group:
+                out[i].append(b"".join(map(self.known.__getitem__, part)))
+            for piece in pieces:
+                if len(piece) > LONG_PIECE:
+                    del self.known[piece]
             group.clear()
 
         for i, text in enumerate(texts):
@@ -108,6 +179,12 @@ class Encoder:
         return [b"".join(parts) for parts in out]
 
 
+def _cuts_at_spaces(spec: dict) -> bool:
+    """Whether spaces are dropped before anything is merged, so that pieces are independent."""
+    kind = (spec.get("pre_tokenizer") or {}).get("type")
+    return spec.get("normalizer") is None and kind in ("Whitespace", "WhitespaceSplit")
+
+
 def _parts(text: str) -> Iterator[str]:
     """A text with plain spaces for line breaks and tabs, cut at spaces."""
     at = 0
@@ -127,18 +204,28 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def id_bits(vocab_path: str, end_id: int | None = None) -> int:
+    """16 if all ids of the vocabulary fit, else 32."""
+    with open(vocab_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]), end_id or 0])
+    return 16 if most < 1 << 16 else 32
+
+
 def encode(docs: DataFrame, vocab_path: str, end_id: int | None = None, key: str = "doc_id",
-           text: str = "text") -> DataFrame:
-    """key, ids (packed little-endian unsigned 32-bit), ``end_id`` after each document's."""
+           text: str = "text", bits: int = 32) -> DataFrame:
+    """key, ids (packed, little-endian, unsigned, of ``bits`` bits), ``end_id`` after each document's."""
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocab_path)
         for batch in batches:
             for at, n in _groups(batch.column(1)):
-                packed = encoder.encode(batch.column(1)[at:at + n].to_pylist())
+                packed = [p + tail for p in encoder.encode(batch.column(1)[at:at + n].to_pylist())]
+                if bits != 32:
+                    packed = [np.frombuffer(p, "<u4").astype(KINDS[bits]).tobytes() for p in packed]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at:at + n], pa.array([p + tail for p in packed], pa.binary())], [key, "ids"])
+                    [batch.column(0)[at:at + n], pa.array(packed, pa.binary())], [key, "ids"])
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, f"`{key}` long, ids binary")
 
@@ -158,7 +245,7 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
 def levels(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per level: chunks, continuation bitmap (bytes, lowest bit first), rank directory."""
     out = []
-    rest = ids.astype(np.uint32)
+    rest = ids.astype(np.uint32, copy=False)
     for i, width in enumerate(widths):
         chunk = (rest & np.uint32((1 << width) - 1)).astype(KINDS[width])
         if i + 1 == len(widths):
@@ -252,24 +339,24 @@ class TokenFile:
         return out
 
 
-def _write(store: fs.FileSystem, top: str, folder: str, rows: list[tuple[int | None, bytes]]) -> tuple[str, int]:
+def _write(store: fs.FileSystem, top: str, folder: str, rows: list[tuple[int | None, bytes]], bits: int) -> tuple[str, int]:
     name = f"{uuid.uuid4().hex}.ids"
-    counts = np.array([len(b) // 4 for _, b in rows])
-    ids = np.frombuffer(b"".join(b for _, b in rows), "<u4")
+    counts = np.array([len(b) * 8 // bits for _, b in rows])
+    ids = np.frombuffer(b"".join(b for _, b in rows), KINDS[bits])
     with store.open_output_stream(f"{top}/{name}", compression=None) as out:
         for part in pack([k for k, _ in rows], counts, ids):
             out.write(part)
     return f"{folder}/{name}", len(ids)
 
 
-def write_ids(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Writes the files of ``key, ids`` rows in ascending order of the key;
-    returns their manifest: part, file, path, start, n_docs, n_ids."""
+def write_ids(encoded: DataFrame, key: str = "doc_id", bits: int = 32) -> DataFrame:
+    """Writes the files of ``key, ids`` rows (ids of ``bits`` bits) in ascending order
+    of the key; returns their manifest: part, file, path, start, n_docs, n_ids."""
     spark = encoded.sparkSession
     folder = new_folder(spark, "token-ids")
-    rows, _ = written(encoded.select(
+    rows, scratch = written(encoded.select(
         F.col(key).alias("key"), F.xxhash64("ids").alias("tie"), "ids",
-        (F.octet_length("ids") / 4).cast("long").alias("n")), "encoded")
+        (F.octet_length("ids") * 8 / bits).cast("long").alias("n")), "encoded")
     total = rows.agg(F.sum("n")).first()[0] or 0
     slots = spark.sparkContext.defaultParallelism
     parts = max(1, ceil(total / PART_IDS), min(ceil(total / READ_IDS), 4 * slots))
@@ -283,7 +370,7 @@ def write_ids(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
 
         def flush() -> None:
             nonlocal start, size
-            path, n = _write(store, top, folder, held)
+            path, n = _write(store, top, folder, held, bits)
             done.append((part, len(done), path, start, len(held), n))
             start, size = start + n, 0
             held.clear()
@@ -291,7 +378,7 @@ def write_ids(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for k, ids in zip(*batch.columns):
                 held.append((k.as_py(), ids.as_py()))
-                size += len(held[-1][1]) // 4
+                size += len(held[-1][1]) * 8 // bits
                 if size >= FILE_IDS:
                     flush()
         if held:
@@ -303,6 +390,7 @@ def write_ids(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
 
     files, _ = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
         "key", "ids").mapInArrow(run, MANIFEST), "token-manifest")
+    drop_written(spark, scratch)
     sizes = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
     base = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "part int, base long")
@@ -379,5 +467,6 @@ def ids_at(manifest: DataFrame, positions: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame, vocab_path: str, end_id: int = 1) -> DataFrame:
     """doc_id, start, n_tokens and the CRC-32 of the ids of every document, read back from its files."""
-    return read_ids(write_ids(encode(docs, vocab_path, end_id))).select(
+    bits = id_bits(vocab_path, end_id)
+    return read_ids(write_ids(encode(docs, vocab_path, end_id, bits=bits), bits=bits)).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -21,7 +21,7 @@ def encoder():
 
 
 def whole(encoder, text):
-    return encoder.model.encode(text or "", add_special_tokens=False).ids
+    return encoder.library.encode(text or "", add_special_tokens=False).ids
 
 
 def unpacked(data):
@@ -30,7 +30,8 @@ def unpacked(data):
 
 ODD = ["", " ", "\n\n", "a  b\t c\r\nd", "don't we'll 12,5", "<|endoftext|>x <|startoftext|> <|endof text|>", "é ́e ́",
        " a  b\u0085c d\x1ce\x0bf", "İǅΣς ﬁ \U0001f600\U0001f468‍\U0001f469", "ᄀ ᅡ", "각",
-       "x" * 5000, "中文 กำ", "'s 's'S", "a" + "́" * 40]
+       "x" * 5000, "ß### ßß, Straße ÀÉÖØÞ×÷µª²½ naïve-Über!!", "a<|endoftext|>b<|", "don'tx 'Sx I'LL'VE", "\x7f \x00a \xa0\xadb",
+       "中文 กำ", "'s 's'S", "a" + "́" * 40]
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -48,7 +49,7 @@ def test_texts_as_the_library(texts):
 
 def test_long_texts_are_cut_and_the_cache_is_bounded(encoder, monkeypatch):
     monkeypatch.setattr(C, "CHUNK_CHARS", 64)
-    monkeypatch.setattr(C, "CACHE_CHARS", 2000)
+    monkeypatch.setattr(C, "CACHE_PIECES", 20)
     texts = [prose(i, 300) + "\n" + "y" * 200 + " " + prose(i, 5) for i in range(5)] + [None, "z" * 500]
     assert [unpacked(b) for b in encoder.encode(texts)] == [whole(encoder, t) for t in texts]
 
