@@ -49,6 +49,7 @@ from xxhash import xxh64_intdigest
 from evalspark.llm.graph import written
 
 SHORTEST, LONGEST = 2, 4
+ENDS = 2
 MAX_GRAMS = 200_000
 LEAST_LIMIT = 32
 #: Distinct words added up in a worker before they are passed on.
@@ -187,8 +188,11 @@ def entries(word: str, frequent: dict[str, int]) -> set[int]:
         if gram in chosen:
             first.setdefault(gram, p)
             last[gram] = p
-    contexts = [f"<{len(g)}{w[:p + len(g)]}" for g, p in first.items()]
-    contexts += [f">{len(g)}{w[p:]}" for g, p in last.items()]
+    tail, head, n = word[-ENDS:], word[:ENDS], max(len(word), ENDS)
+    contexts = [f"<{len(g)}{w[:p + len(g)]} {tail}" for g, p in first.items()]
+    contexts += [f">{len(g)}{w[p:]} {head}" for g, p in last.items()]
+    contexts += [f"{mark}{part}" for mark, part in (("b", word[:n - ENDS]), ("b", word[:n - ENDS + 1]),
+                                                    ("e", word[ENDS:]), ("e", word[ENDS - 1:]))]
     return {xxh64_intdigest(c) - (1 << 63) for c in contexts}
 
 
