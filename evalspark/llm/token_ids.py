@@ -8,23 +8,23 @@ id's next chunk is the number of marks before it, so any id is found by one
 chunk, one directory entry and at most 64 bytes of bitmap a level, without
 decoding a block, and a run of ids is one slice a level.
 
-Files hold documents in ascending order of their key: texts are encoded
-where they lie, packed ids are written as a table, then dealt by range and
-sorted. A partition writes files of up to ``FILE_IDS`` ids (or one longer
+Files hold documents in ascending order of their key. Ranges of keys are found
+first; texts are encoded where they lie, and packed ids are dealt by range and
+sorted. A range is written in files of up to ``FILE_IDS`` ids (or one longer
 document), whose names are unique to a task attempt; the manifest, a table that
-Spark commits, names those of the attempts that succeeded. The driver sees the number of ids
-of each partition, no more.
+Spark commits, names those of the attempts that succeeded. The driver sees the
+bounds of the ranges and the number of ids of each, no more.
 
 Ids come from the tokenizers library. Its normalisation and split pattern
-never look across a space, so texts are cut at white space and each distinct
-piece is encoded once per chunk of texts, or taken from a bounded cache.
-Plain pieces are split here and go to the library's BPE model, all others to
-the library whole; ``tests/llm`` holds both against whole texts. Between
-tasks ids of small vocabularies travel in 16 bits.
+never look across a space. Plain stretches of a text are therefore split here and
+what the pattern finds goes to the library's BPE model; a piece with anything else
+goes to the library whole. Both are remembered in bounded caches; ``tests/llm``
+holds them against whole texts. Between tasks ids of small vocabularies travel in
+16 bits.
 
 Defined results: a null text is empty, so its document is the end id alone; null
-keys come first; documents of one key come in order of a hash of their ids,
-which also lets a range of files begin inside a key with very many documents;
+keys come first; documents of one key come in order of a hash of their texts,
+by which a key with very many documents is dealt over several ranges;
 repeated rows are each a document; other columns are not written; an empty
 table makes no file. A text without white space is encoded in one piece.
 """
@@ -41,13 +41,15 @@ from functools import lru_cache
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalspark.llm.graph import drop_written, new_folder, written
+from evalspark.llm.graph import new_folder, written
 from evalspark.llm.warc import _at
 
 #: Characters of text handled together; pieces remembered in a worker, twice at
@@ -55,9 +57,11 @@ from evalspark.llm.warc import _at
 CHUNK_CHARS = 1 << 21
 CACHE_PIECES = 300_000
 LONG_PIECE = 256
-#: Ids of a file and of a partition of files, at most, unless one document has more.
+#: Ids of a file, at most, unless one document has more. Bytes of text of a range of
+#: keys on average, and ranges at most (beyond it they grow).
 FILE_IDS = 1 << 23
-PART_IDS = 1 << 26
+PART_BYTES = 1 << 27
+MAX_PARTS = 10_000
 #: Ids read and decoded together.
 READ_IDS = 1 << 20
 
@@ -69,14 +73,14 @@ KINDS = {8: "<u1", 16: "<u2", 32: "<u4"}
 MANIFEST = "part int, file int, path string, part_start long, n_docs long, n_ids long"
 
 
-#: Pieces of printable ASCII and Latin-1 letters are lower-cased and split here;
-#: what their split pattern finds goes to the library's BPE model as it is.
-PLAIN = r"[\x21-\x7eÀ-ÖØ-öø-ÿ]"
+#: Printable ASCII and Latin-1 letters: stretches of these are lower-cased and split
+#: here, and what the split pattern finds goes to the library's BPE model.
+PLAIN = r"\x20-\x7eÀ-ÖØ-öø-ÿ"
 #: The vocabulary's normalisation and split pattern that this holds for.
 NORMALIZER = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+")
 
 
 def _byte_alphabet() -> list[str]:
@@ -90,14 +94,32 @@ def _byte_alphabet() -> list[str]:
     return out
 
 
-class Encoder:
-    """Ids of whole texts, by distinct pieces between white space.
+class _Cache(dict):
+    """Packed ids by text. A full half becomes the older one, from which what is
+    still in use moves on; long texts are not remembered."""
 
-    Two caches, of pieces and of what the split pattern finds in them; a full one
-    becomes the older half, from which what is still in use moves on.
-    """
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
+        if len(text) <= LONG_PIECE:
+            self[text] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
 
-    def __init__(self, path: str):
+
+class Encoder:
+    """Packed ids of whole texts, by the pieces that are encoded apart from each other."""
+
+    def __init__(self, path: str, bits: int = 32):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -107,76 +129,49 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.known_form = (
+        known_form = (
             spec["normalizer"] == NORMALIZER and split.get("pattern", {}).get("Regex") == PATTERN
             and split["behavior"] == "Removed" and split["invert"] and len(rest) == 1
             and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"])
-        if not self.known_form and not _cuts_at_spaces(spec):
+        if not known_form and not _cuts_at_spaces(spec):
             raise ValueError("texts of this vocabulary cannot be cut at white space")
-        # none of an added token's first character, and nothing long, unless this form is unknown
+        # all but spaces is odd in an unknown form, as is the begin of an added token in the known one
         first = re.escape("".join({t["content"][:1] for t in spec["added_tokens"]}))
-        self.plain = re.compile(f"(?=[^{first}]+$){PLAIN}{{1,{LONG_PIECE}}}" if self.known_form and first else
-                                f"{PLAIN}{{1,{LONG_PIECE}}}" if self.known_form else "(?!)").fullmatch
+        self.odd = re.compile(f"[^{PLAIN}]" + (f"|[{first}]" if first else "") if known_form else "[^ ]").search
         self.letters = str.maketrans({chr(c): "".join(_byte_alphabet()[b] for b in chr(c).encode()) for c in range(128, 256)})
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-        self.older_tokens: dict[str, bytes] = {}
+        self.letter = {16: "H", 32: "I"}[bits]
+        self.tokens, self.pieces = _Cache(self._token), _Cache(self._piece)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def _token(self, token: str) -> bytes:
         """Ids of one find of the split pattern."""
-        ids = self.tokens.get(token)
-        if ids is None:
-            ids = self.older_tokens.get(token)
-            if ids is None:
-                found = self.library.model.tokenize(token if token.isascii() else token.translate(self.letters))
-                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            self.tokens[token] = ids
-        return ids
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > CACHE_PIECES:
-            self.older, self.known = self.known, {"": b""}
-        if len(self.tokens) > CACHE_PIECES:
-            self.older_tokens, self.tokens = self.tokens, {}
-        known, older, rest = self.known, self.older, []
-        plain, split, cached, token = self.plain, PLAIN_SPLIT.findall, self.tokens.get, self._token
-        for piece in pieces.difference(known):
-            ids = older.get(piece)
-            if ids is None:
-                if not plain(piece):
-                    rest.append(piece)
-                    continue
-                ids = b"".join([cached(t) or token(t) for t in split(piece.lower())])
-            known[piece] = ids
-        for piece, coded in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
-            known[piece] = struct.pack(f"<{len(coded.ids)}I", *coded.ids)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        group: list[tuple[int, list[str]]] = []
-        size = 0
-
-        def flush() -> None:
-            pieces = set().union(*(p for _, p in group))
-            self._learn(pieces)
-            for i, part in group:
-                out[i].append(b"".join(map(self.known.__getitem__, part)))
-            for piece in pieces:
-                if len(piece) > LONG_PIECE:
-                    del self.known[piece]
-            group.clear()
-
-        for i, text in enumerate(texts):
-            for part in _parts(text or ""):
-                group.append((i, part.split(" ")))
-                size += len(part)
-                if size >= CHUNK_CHARS:
-                    flush()
-                    size = 0
-        flush()
-        return [b"".join(parts) for parts in out]
+        return self._pack([t.id for t in self.library.model.tokenize(
+            token if token.isascii() else token.translate(self.letters))])
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of any text without spaces."""
+        return self._pack(self.library.encode(piece, add_special_tokens=False).ids)
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian ids of a text."""
+        out = []
+        for part in _parts(text or ""):
+            at = 0
+            while at < len(part):
+                odd = self.odd(part, at)
+                begin = len(part) if odd is None else max(at, part.rfind(" ", at, odd.start()) + 1)
+                out += map(self.tokens.__getitem__, PLAIN_SPLIT.findall(part[at:begin].lower()))
+                if odd is not None:
+                    end = part.find(" ", begin)
+                    end = len(part) if end < 0 else end
+                    out.append(self.pieces[part[begin:end]])
+                    begin = end
+                at = begin
+            self.tokens.trim()
+            self.pieces.trim()
+        return b"".join(out)
 
 
 def _cuts_at_spaces(spec: dict) -> bool:
@@ -200,8 +195,8 @@ def _parts(text: str) -> Iterator[str]:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, bits: int) -> Encoder:
+    return Encoder(path, bits)
 
 
 def id_bits(vocab_path: str, end_id: int | None = None) -> int:
@@ -212,29 +207,29 @@ def id_bits(vocab_path: str, end_id: int | None = None) -> int:
     return 16 if most < 1 << 16 else 32
 
 
-def encode(docs: DataFrame, vocab_path: str, end_id: int | None = None, key: str = "doc_id",
-           text: str = "text", bits: int = 32) -> DataFrame:
-    """key, ids (packed, little-endian, unsigned, of ``bits`` bits), ``end_id`` after each document's."""
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
+def encode(docs: DataFrame, vocab_path: str, end_id: int | None = None, bits: int = 32, text: str = "text") -> DataFrame:
+    """The rows with ``ids`` (packed, little-endian, unsigned, of ``bits`` bits; ``end_id``
+    after each document's) in place of the text."""
+    tail = b"" if end_id is None else struct.pack("<H" if bits == 16 else "<I", end_id)
+    others = [c for c in docs.columns if c not in (text, "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocab_path)
+        encoder = _encoder(vocab_path, bits)
         for batch in batches:
-            for at, n in _groups(batch.column(1)):
-                packed = [p + tail for p in encoder.encode(batch.column(1)[at:at + n].to_pylist())]
-                if bits != 32:
-                    packed = [np.frombuffer(p, "<u4").astype(KINDS[bits]).tobytes() for p in packed]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at:at + n], pa.array(packed, pa.binary())], [key, "ids"])
+            for at, n in _groups(batch.column(0)):
+                part = batch.slice(at, n)
+                packed = [encoder.encode(t.as_py()) + tail for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(packed, pa.binary())], [*others, "ids"])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, f"`{key}` long, ids binary")
+    rows = docs.select(text, *others)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("ids", T.BinaryType())]))
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Begin and length of runs of texts of about ``CHUNK_CHARS`` bytes."""
     begin = size = 0
-    for i, text in enumerate(texts):
-        size += 0 if not text.is_valid else text.as_buffer().size
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
         if size >= CHUNK_CHARS:
             yield begin, i + 1 - begin
             begin, size = i + 1, 0
@@ -349,52 +344,80 @@ def _write(store: fs.FileSystem, top: str, folder: str, rows: list[tuple[int | N
     return f"{folder}/{name}", len(ids)
 
 
-def write_ids(encoded: DataFrame, key: str = "doc_id", bits: int = 32) -> DataFrame:
-    """Writes the files of ``key, ids`` rows (ids of ``bits`` bits) in ascending order
-    of the key; returns their manifest: part, file, path, start, n_docs, n_ids."""
-    spark = encoded.sparkSession
+def ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text, tie, bucket: the range of keys that a document belongs to, in order.
+
+    Ranges hold about equal numbers of documents; a key with very many fills several,
+    among which its documents are dealt by ``tie``, a hash of their text, in order.
+    """
+    slots = docs.sparkSession.sparkContext.defaultParallelism
+    found = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
+    n = max(1, min(MAX_PARTS, max(ceil((found[0] or 0) / PART_BYTES), min(4 * slots, ceil((found[0] or 0) / READ_IDS)))))
+    bounds = docs.where(F.col(key).isNotNull()).agg(F.percentile_approx(
+        F.col(key), [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+    places = sorted(bounds or [])
+    rows = docs.select(F.col(key).cast("long").alias("key"), text, F.xxhash64(text).alias("tie"))
+    if not places:
+        return rows.withColumn("bucket", F.lit(0))
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(places, np.int64))  # MAX_PARTS at most
+
+    @F.pandas_udf(T.IntegerType())
+    def bucket(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        known = keys.notna().to_numpy()
+        k = keys.fillna(0).to_numpy().astype(np.int64)
+        low = np.searchsorted(shared.value, k, "left")
+        high = np.searchsorted(shared.value, k, "right")
+        share = (ties.to_numpy().astype(np.float64) + 2.0 ** 63) / 2.0 ** 64
+        inside = np.minimum(low + np.floor(share * (high - low + 1)), high).astype(np.int64)
+        return pd.Series(np.where(known, inside + 1, 0).astype(np.int32))
+
+    return rows.withColumn("bucket", bucket("key", "tie"))
+
+
+def write_ids(docs: DataFrame, vocab_path: str, end_id: int | None = None, key: str = "doc_id",
+              text: str = "text") -> DataFrame:
+    """Encodes the texts and writes their ids in ascending order of the key;
+    returns the files' manifest: part, file, path, start, n_docs, n_ids."""
+    spark = docs.sparkSession
     folder = new_folder(spark, "token-ids")
-    rows, scratch = written(encoded.select(
-        F.col(key).alias("key"), F.xxhash64("ids").alias("tie"), "ids",
-        (F.octet_length("ids") * 8 / bits).cast("long").alias("n")), "encoded")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    slots = spark.sparkContext.defaultParallelism
-    parts = max(1, ceil(total / PART_IDS), min(ceil(total / READ_IDS), 4 * slots))
-    order = [F.col("key").asc_nulls_first(), F.col("tie")]
+    bits = id_bits(vocab_path, end_id)
+    order = ["bucket", F.col("key").asc_nulls_first(), "tie"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _at(folder)
         store.create_dir(top, recursive=True)
-        part, done, start, size = TaskContext.get().partitionId(), [], 0, 0
+        part, done, start, size = None, [], 0, 0
         held: list[tuple[int | None, bytes]] = []
 
         def flush() -> None:
             nonlocal start, size
-            path, n = _write(store, top, folder, held, bits)
-            done.append((part, len(done), path, start, len(held), n))
-            start, size = start + n, 0
-            held.clear()
+            if held:
+                path, n = _write(store, top, folder, held, bits)
+                done.append((part, len(done), path, start, len(held), n))
+                start, size = start + n, 0
+                held.clear()
 
         for batch in batches:
-            for k, ids in zip(*batch.columns):
+            for bucket, k, ids in zip(*batch.columns):
+                if bucket.as_py() != part:
+                    flush()
+                    part, start = bucket.as_py(), 0
                 held.append((k.as_py(), ids.as_py()))
                 size += len(held[-1][1]) * 8 // bits
                 if size >= FILE_IDS:
                     flush()
-        if held:
-            flush()
+        flush()
         names = ["part", "file", "path", "part_start", "n_docs", "n_ids"]
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)] if done else
                                          [pa.array([], t) for t in kinds], names)
 
-    files, _ = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
-        "key", "ids").mapInArrow(run, MANIFEST), "token-manifest")
-    drop_written(spark, scratch)
+    dealt = encode(ranges(docs, key, text), vocab_path, end_id, bits, text).repartition("bucket").sortWithinPartitions(*order)
+    files, _ = written(dealt.select("bucket", "key", "ids").mapInArrow(run, MANIFEST), "token-manifest")
     sizes = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
     base = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "part int, base long")
-    return files.join(F.broadcast(base), "part").select(  # one row a partition
+    return files.join(F.broadcast(base), "part").select(  # one row a range
         "part", "file", "path", (F.col("base") + F.col("part_start")).alias("start"), "n_docs", "n_ids")
 
 
@@ -467,6 +490,5 @@ def ids_at(manifest: DataFrame, positions: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame, vocab_path: str, end_id: int = 1) -> DataFrame:
     """doc_id, start, n_tokens and the CRC-32 of the ids of every document, read back from its files."""
-    bits = id_bits(vocab_path, end_id)
-    return read_ids(write_ids(encode(docs, vocab_path, end_id, bits=bits), bits=bits)).select(
+    return read_ids(write_ids(docs, vocab_path, end_id)).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

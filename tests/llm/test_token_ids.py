@@ -36,22 +36,22 @@ ODD = ["", " ", "\n\n", "a  b\t c\r\nd", "don't we'll 12,5", "<|endoftext|>x <|s
 
 @pytest.mark.parametrize("text", ODD)
 def test_odd_texts_as_the_library(encoder, text):
-    assert unpacked(encoder.encode([text])[0]) == whole(encoder, text)
+    assert unpacked(encoder.encode(text)) == whole(encoder, text)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r'aAsStT19.,́Àİ가<|>"), st.characters(codec="utf-8")),
                         max_size=40), max_size=6))
 def test_texts_as_the_library(texts):
-    encoder = C._encoder(tokenizer_path(VOCAB))
-    assert [unpacked(b) for b in encoder.encode(texts)] == [whole(encoder, t) for t in texts]
+    encoder = C._encoder(tokenizer_path(VOCAB), 32)
+    assert [unpacked(encoder.encode(t)) for t in texts] == [whole(encoder, t) for t in texts]
 
 
 def test_long_texts_are_cut_and_the_cache_is_bounded(encoder, monkeypatch):
     monkeypatch.setattr(C, "CHUNK_CHARS", 64)
     monkeypatch.setattr(C, "CACHE_PIECES", 20)
     texts = [prose(i, 300) + "\n" + "y" * 200 + " " + prose(i, 5) for i in range(5)] + [None, "z" * 500]
-    assert [unpacked(b) for b in encoder.encode(texts)] == [whole(encoder, t) for t in texts]
+    assert [unpacked(encoder.encode(t)) for t in texts] == [whole(encoder, t) for t in texts]
 
 
 def opened(keys, counts, ids, widths=C.WIDTHS):
@@ -96,7 +96,7 @@ def test_files_hold_the_documents_in_order(spark, encoder, monkeypatch):
     monkeypatch.setattr(C, "FILE_IDS", 500)
     monkeypatch.setattr(C, "READ_IDS", 200)
     docs = rows(spark)
-    manifest = C.write_ids(C.encode(docs, tokenizer_path(VOCAB), 1)).cache()
+    manifest = C.write_ids(docs, tokenizer_path(VOCAB), 1).cache()
     assert manifest.count() > 3
     found = sorted(C.read_ids(manifest).collect(), key=lambda r: r.start)
     assert [r.start for r in found] == np.concatenate([[0], np.cumsum([r.n_tokens for r in found])])[:-1].tolist()
@@ -120,8 +120,21 @@ def test_digests(spark, encoder):
         [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in coded], "a long, b long, c long"))
 
 
+def test_a_key_with_most_documents_fills_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART_BYTES", 2000)
+    texts = [(7, prose(i, 40), "en") for i in range(200)] + [(i, prose(i, 40), "en") for i in range(0, 20)]
+    texts += [(None, prose(i, 40), "en") for i in range(10)]
+    docs = documents(spark, texts).repartition(4)
+    manifest = C.write_ids(docs, tokenizer_path(VOCAB), 1).cache()
+    assert manifest.select("part").distinct().count() > 10
+    found = sorted(C.read_ids(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] * 10 + sorted(i for i, *_ in texts if i is not None)
+    again = sorted(C.read_ids(C.write_ids(docs.repartition(3), tokenizer_path(VOCAB), 1)).collect(), key=lambda r: r.start)
+    assert [tuple(r) for r in found] == [tuple(r) for r in again]
+
+
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert C.digests(docs, tokenizer_path(VOCAB)).count() == 0
-    manifest = C.write_ids(C.encode(docs, tokenizer_path(VOCAB), 1))
+    manifest = C.write_ids(docs, tokenizer_path(VOCAB), 1)
     assert C.ids_at(manifest, spark.createDataFrame([(0,)], "position long")).count() == 0
