@@ -36,12 +36,11 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -207,11 +206,17 @@ def id_bits(vocab_path: str, end_id: int | None = None) -> int:
     return 16 if most < 1 << 16 else 32
 
 
-def encode(docs: DataFrame, vocab_path: str, end_id: int | None = None, bits: int = 32, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str, end_id: int | None = None, bits: int = 32, text: str = "text",
+           also: dict[str, Callable[[pa.RecordBatch], pa.Array]] | None = None, kinds: str = "") -> DataFrame:
     """The rows with ``ids`` (packed, little-endian, unsigned, of ``bits`` bits; ``end_id``
-    after each document's) in place of the text."""
+    after each document's) in place of the text.
+
+    ``also``: columns (of the types ``kinds``) made from a batch of the other columns in the
+    same pass, so that a task needs one worker.
+    """
     tail = b"" if end_id is None else struct.pack("<H" if bits == 16 else "<I", end_id)
     others = [c for c in docs.columns if c not in (text, "ids")]
+    made = also or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocab_path, bits)
@@ -219,10 +224,13 @@ def encode(docs: DataFrame, vocab_path: str, end_id: int | None = None, bits: in
             for at, n in _groups(batch.column(0)):
                 part = batch.slice(at, n)
                 packed = [encoder.encode(t.as_py()) + tail for t in part.column(0)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(packed, pa.binary())], [*others, "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], *(make(part) for make in made.values()), pa.array(packed, pa.binary())],
+                    [*others, *made, "ids"])
 
     rows = docs.select(text, *others)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("ids", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL(kinds or "x int").fields[:len(made)],
+                                              T.StructField("ids", T.BinaryType())]))
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -344,34 +352,27 @@ def _write(store: fs.FileSystem, top: str, folder: str, rows: list[tuple[int | N
     return f"{folder}/{name}", len(ids)
 
 
-def ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, tie, bucket: the range of keys that a document belongs to, in order.
-
-    Ranges hold about equal numbers of documents; a key with very many fills several,
-    among which its documents are dealt by ``tie``, a hash of their text, in order.
-    """
+def bounds(docs: DataFrame, key: str, text: str) -> list[int]:
+    """Keys that part the documents into ranges of about equal number, in order; a
+    key with very many documents is there several times."""
     slots = docs.sparkSession.sparkContext.defaultParallelism
-    found = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
-    n = max(1, min(MAX_PARTS, max(ceil((found[0] or 0) / PART_BYTES), min(4 * slots, ceil((found[0] or 0) / READ_IDS)))))
-    bounds = docs.where(F.col(key).isNotNull()).agg(F.percentile_approx(
-        F.col(key), [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
-    places = sorted(bounds or [])
-    rows = docs.select(F.col(key).cast("long").alias("key"), text, F.xxhash64(text).alias("tie"))
-    if not places:
-        return rows.withColumn("bucket", F.lit(0))
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(places, np.int64))  # MAX_PARTS at most
-
-    @F.pandas_udf(T.IntegerType())
-    def bucket(keys: pd.Series, ties: pd.Series) -> pd.Series:
-        known = keys.notna().to_numpy()
-        k = keys.fillna(0).to_numpy().astype(np.int64)
-        low = np.searchsorted(shared.value, k, "left")
-        high = np.searchsorted(shared.value, k, "right")
-        share = (ties.to_numpy().astype(np.float64) + 2.0 ** 63) / 2.0 ** 64
-        inside = np.minimum(low + np.floor(share * (high - low + 1)), high).astype(np.int64)
-        return pd.Series(np.where(known, inside + 1, 0).astype(np.int32))
-
-    return rows.withColumn("bucket", bucket("key", "tie"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(1, min(MAX_PARTS, max(ceil(size / PART_BYTES), min(4 * slots, ceil(size / READ_IDS)))))
+    if n == 1:
+        return []
+    return sorted(docs.where(F.col(key).isNotNull()).agg(F.percentile_approx(
+        F.col(key).cast("long"), [i / n for i in range(1, n)], 10 * n)).first()[0] or [])
+
+
+def bucket(places: np.ndarray, keys: pa.Array, ties: pa.Array) -> pa.Array:
+    """The range of each document; those of a key that fills several ranges are dealt
+    among them by ``ties``, a hash of their text, in order. Null keys are range 0."""
+    known = keys.is_valid().to_numpy(zero_copy_only=False)
+    k = keys.fill_null(0).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(places, k, "left"), np.searchsorted(places, k, "right")
+    share = (ties.to_numpy(zero_copy_only=False).astype(np.float64) + 2.0 ** 63) / 2.0 ** 64
+    inside = np.minimum(low + np.floor(share * (high - low + 1)), high)
+    return pa.array(np.where(known, inside + 1, 0).astype(np.int32))
 
 
 def write_ids(docs: DataFrame, vocab_path: str, end_id: int | None = None, key: str = "doc_id",
@@ -412,7 +413,11 @@ def write_ids(docs: DataFrame, vocab_path: str, end_id: int | None = None, key:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)] if done else
                                          [pa.array([], t) for t in kinds], names)
 
-    dealt = encode(ranges(docs, key, text), vocab_path, end_id, bits, text).repartition("bucket").sortWithinPartitions(*order)
+    rows = docs.select(text, F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"))
+    shared = spark.sparkContext.broadcast(np.array(bounds(docs, key, text), np.int64))  # MAX_PARTS at most
+    coded = encode(rows, vocab_path, end_id, bits, text, {
+        "bucket": lambda batch: bucket(shared.value, batch.column(1), batch.column(2))}, "bucket int")
+    dealt = coded.repartition("bucket").sortWithinPartitions(*order)
     files, _ = written(dealt.select("bucket", "key", "ids").mapInArrow(run, MANIFEST), "token-manifest")
     sizes = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
