@@ -38,9 +38,11 @@ def _literal(text):
 
 
 def python_numeric_sign(verdict, answer) -> int:
-    """Reference rule for one pair: answer typed by int, float, literal."""
+    """The rule for one pair: answer typed by int, float, literal. Integers have any
+    length: the interpreter's limit on their digits is no part of the rule."""
     if verdict is None or answer is None:
         return 0
+    sys.set_int_max_str_digits(0)
     try:
         target, parse = int(answer), int
     except ValueError:

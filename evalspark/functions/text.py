@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import sys
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters a verdict loses before tokenising, and the
@@ -21,6 +24,13 @@ PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
 TERNARY_LABELS = {"yes": 1, "no": 0, "unclear": -1}
 
 
+def decimal_digit_runs() -> list[int]:
+    """Code points of the zeros of Unicode's decimal digits, each followed by its
+    one to nine, in ascending order (the first is ASCII's)."""
+    return [c for c in range(sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) == 0
+            and unicodedata.category(chr(c)) == "Nd"]
+
+
 def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -35,6 +45,16 @@ def let(value: Column, fn) -> Column:
     return F.try_element_at(F.transform(F.array(value), fn), F.lit(1))
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once per row, whatever reads them.
+
+    Catalyst writes a column's expression out at every place that uses it if nothing
+    stands between; a one-row generator does.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def py_strip(c: str | Column) -> Column:
     """Python ``str.strip()``: remove leading and trailing Unicode whitespace.
 

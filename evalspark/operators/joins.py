@@ -32,7 +32,10 @@ def one_per_key(df: DataFrame, key: str | Sequence[str], order: str | None = Non
     row = F.struct(*rest) if rest else F.struct(F.lit(None).alias("_"))
     if order:
         latest = df.groupBy(*k).agg(F.max(order).alias("_latest"), F.count(F.lit(1)).alias("_n"))
-        df = df.join(latest, k).where(F.col(order).eqNullSafe(F.col("_latest")))
+        # null keys are a key like any other, with or without an order
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(k)]
+        latest = latest.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(k)), "_latest", "_n")
+        df = df.join(latest, [*same, F.col(order).eqNullSafe(F.col("_latest"))], "inner")
         out = df.groupBy(*k).agg(F.min(row).alias("_r"), F.max("_n").alias("_n"))
     else:
         out = df.groupBy(*k).agg(F.min(row).alias("_r"), F.count(F.lit(1)).alias("_n"))

@@ -183,6 +183,26 @@ def multilabel_accuracy(df: DataFrame, labels: str, sign: str = "sign",
     return accuracy(exploded, sign, [*_keys(by), label_name])
 
 
+def labelled_long(df: DataFrame, labels: str, sign: str = "sign", by: Sequence[str] = (),
+                  group: str = "skill") -> DataFrame:
+    """A1 + A9 + A13 in one scan: overall metrics and the accuracy of each label.
+
+    A row is expanded into one for the overall level and one for each
+    distinct label, which a partial aggregate takes in at once.
+    """
+    by = _keys(by)
+    level = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct(F.array_compact(labels)), F.array().cast("array<string>")))
+    agg = accuracy(df.select(*by, sign, F.posexplode(level).alias("_p", "_label")).select(
+        *by, sign, (F.col("_p") == 0).alias("_all"), "_label"), sign, [*by, "_all", "_label"])
+
+    def row(name: str, metric: Column, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("metric_group"), metric.alias("metric"), value.cast("double").alias("value"))
+
+    top = F.array(*(row("overall", F.lit(m), F.col(m)) for m in ("correct", "total", "accuracy")))
+    rows = F.when(F.col("_all"), top).otherwise(F.array(row(group, F.col("_label"), F.col("accuracy"))))
+    return agg.select(*by, F.explode(rows).alias("m")).select(*by, "m.metric_group", "m.metric", "m.value")
+
+
 def _labels_of(df: DataFrame, labels: Column, label_name: str, keep: Sequence[str]) -> DataFrame:
     """One row per label. An outer explode and a filter on its result: a plain
     explode has Catalyst infer a filter on the array, which would evaluate the

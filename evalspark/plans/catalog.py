@@ -340,6 +340,7 @@ def row_numbering(spark, sf_dir):
 # D3: options
 
 from evalspark.functions import answers as AN  # noqa: E402
+from evalspark.functions import prompts as PR  # noqa: E402
 from evalspark.functions import text as TX  # noqa: E402
 
 _LETTERS = Q.q("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -404,28 +405,21 @@ def suite_lettered_choice(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Numeric and mixed answers
 
-# Verdict, answer and the sign that the rule gives, each held as text of its own.
-_LITERAL_CASES = [
-    ("[1], [2]", "[1]", 0), ("[1] and also [2]", "[1]", 0), ("[1]]", "[1]", 0), ("[1] [2]", "[1] [2]", 0),
-    ("[Infinity]", "[Infinity]", 0), ("[9007199254740992]", "[9007199254740993]", 0),
-    ("[9007199254740993]", "[9007199254740993]", 1), ("(1, 2)", "(1,2)", 1), ("(1, 2)", "[1, 2]", 0),
-    ("['a', 'b']", "['a','b']", 1), ("['a'] junk", "['a']", 0), ("[1, 2.0]", "[1.0, 2]", 1), ("[01]", "[1]", 0),
-    ("'x'", "'x'", 1), ("{'k': 1}", "{'k': 1.0}", 1), ("[1,]", "[1]", 1), ("7 ", "+7", 1), ("7.0", "7", 0),
-    ("1e1", "10.0", 1), ("about ten", "about ten", 0),
-]
+_W = "(user_id + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)"
 
 
 @register("numeric_sign_literals", f"""
-    SELECT event_id AS item_no, [{", ".join(str(c[2]) for c in _LITERAL_CASES)}][1 + event_id % {len(_LITERAL_CASES)}] AS sign
+    SELECT event_id AS item_no, CAST(CASE
+        -- tuples, lists and dicts with the same elements are equal, a tuple and a list never are
+        WHEN event_id % 8 IN (0, 7) THEN coalesce({_W} = user_id AND value IS NOT NULL, false)
+        WHEN event_id % 8 IN (2, 3, 4) THEN {_W} = user_id
+        -- a bare word and two lists in a row are no such literal
+        ELSE false END AS INTEGER) AS sign
     FROM events""")
 def numeric_sign_literals(spark, sf_dir):
-    """S4 on hard literals: each event gets one of the cases, whose sign the SQL states."""
-    events = _t(spark, sf_dir).events
-    k = (F.col("event_id") % len(_LITERAL_CASES) + 1).cast("int")
-    pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in _LITERAL_CASES)), k)
-    rows = events.select(F.col("event_id").alias("item_no"), pick(0).alias("verdict"), pick(1).alias("answer"))
+    """S4 + F3: Python literals over a row's columns, in spellings that only Python decides."""
     from evalspark.functions.literals import score_numeric
-    return score_numeric(rows, "verdict", "answer", "sign").select("item_no", "sign")
+    return score_numeric(D.d4_literals(_t(spark, sf_dir)), "verdict", "answer", "sign").select("item_no", "sign")
 
 
 @register("numeric_sign", FX.with_fixtures(f"""
@@ -450,14 +444,41 @@ def mixed_router(spark, sf_dir):
     return scored.select("item_no", "question_type", "sign")
 
 
+_MATH_DIST = "list_transform(choices, lambda c: levenshtein(answer, c))"
+
+
 @register("suite_math_mixed", FX.with_fixtures(f""",
-    s AS (SELECT *, {_D4_ROUTED} AS sign FROM d4),
+    l AS (SELECT *, CASE WHEN question_type = 'multi_choice' AND len(choices) > 0
+                         THEN substr({_LETTERS}, list_position({_MATH_DIST}, list_min({_MATH_DIST})), 1)
+                         ELSE answer END AS label FROM m),
+    s AS (SELECT *, (CASE WHEN question_type = 'multi_choice' THEN {Q.token_sign('verdict', 'label')}
+                     ELSE {Q.numeric_sign('verdict', 'label')} END) AS sign FROM l),
     o AS (SELECT CAST(sum(sign) AS DOUBLE) AS correct, CAST(count(*) AS DOUBLE) AS total,
                  {Q.ratio('sum(sign)', 'count(*)')} AS accuracy FROM s)
-    {Q.unpivot('o', '', ['correct', 'total', 'accuracy'], 'overall')}""", d4=FX.D4))
+    {Q.unpivot('o', '', ['correct', 'total', 'accuracy'], 'overall')}
+    UNION ALL SELECT 'skill' AS metric_group, skill AS metric, {Q.ratio('sum(sign)', 'count(*)')} AS value
+    FROM (SELECT sign, unnest(list_distinct(skills)) AS skill FROM s) GROUP BY skill""", d4=FX.D4, m=FX.D4_MATH))
 def suite_math_mixed(spark, sf_dir):
-    """Mixed math suite (S11/S23 answers and signs, A1; A9 when metadata exists)."""
-    return SU.MATH_MIXED.report(D.d4_numeric(_t(spark, sf_dir)))
+    """Mixed math suite on stored rows: nearest option of literal choices (S11, S13),
+    routed signs (S23), overall and per skill of literal metadata (A1, A9, S14)."""
+    return SU.MATH_MIXED.report(D.d4_math(_t(spark, sf_dir)))
+
+
+@register("math_judge_requests", FX.with_fixtures(f""",
+    l AS (SELECT *, CASE WHEN question_type = 'multi_choice' THEN 'choice' ELSE 'number' END AS kind,
+                 coalesce(array_to_string(list_transform(choices, lambda c, i:
+                          concat(substr({_LETTERS}, i, 1), '. ', c, chr(10))), ''), '') AS opts FROM m)
+    SELECT item_no, kind, CASE WHEN kind = 'choice'
+             THEN {Q.fill(PR.JUDGE_TEMPLATES['choice'], choices='opts', response='verdict')}
+             ELSE {Q.fill(PR.JUDGE_TEMPLATES['number'], response='verdict')} END AS request,
+           CASE WHEN question_type = 'multi_choice' THEN {Q.token_sign('verdict', f"CASE WHEN len(choices) > 0 THEN substr({_LETTERS}, list_position({_MATH_DIST}, list_min({_MATH_DIST})), 1) ELSE answer END")}
+                ELSE {Q.numeric_sign('verdict', 'answer')} END AS sign
+    FROM l""", d4=FX.D4, m=FX.D4_MATH))
+def math_judge_requests(spark, sf_dir):
+    """M16 + M11: the mixed suite's judge pass: option blocks in choice requests (S12),
+    kinds by question, signs routed by kind."""
+    suite = dataclasses.replace(SU.MATH_MIXED, response=lambda df: F.col("verdict"))
+    return SU.judge(D.d4_math(_t(spark, sf_dir)), suite, "verdict").select("item_no", "kind", "request", "sign")
 
 
 # ---------------------------------------------------------------------------
@@ -601,9 +622,13 @@ def first_element(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Step responses per item
 
-from evalspark.functions import prompts as PR  # noqa: E402
 from evalspark.operators import joins as J  # noqa: E402
+from evalspark.plans import answers as ANS  # noqa: E402
 from evalspark.plans import modes as MO  # noqa: E402
+from evalspark.plans import responder as RS  # noqa: E402
+from evalspark.sources import keyed as KT  # noqa: E402
+from evalspark.sources import runs as RN  # noqa: E402
+from evalspark.streaming import incremental as INC  # noqa: E402
 
 
 def _d7(spark, sf_dir) -> DataFrame:
@@ -747,20 +772,91 @@ def mode_ready(spark, sf_dir):
 
 
 @register("mode_exchange", FX.with_fixtures(f""", {_D7_BASE},
-    other AS (SELECT item_id, response AS other_intermediate_response FROM d7 WHERE step = 2),
-    st AS (SELECT i.item_id, i.prompt, rd.chain, o.other_intermediate_response AS info
+    other AS (SELECT item_id, concat(response, chr(10), role) AS info FROM d7 WHERE step = 2 AND item_id % 7 <> 0),
+    st AS (SELECT i.item_id, i.prompt, rd.chain, o.info
            FROM items i JOIN ready rd ON i.item_id = rd.item_id LEFT JOIN other o ON i.item_id = o.item_id)
     SELECT st.item_id, st.info AS exchange_text,
            {Q.fill(PR.FINAL_TEMPLATE, question='st.prompt', extracted_info='st.info', output_format=Q.last_instruction('st.chain', CH.LAST_STEP_PREFIX))} AS final_prompt,
            r.response, CASE WHEN r.response IS NULL THEN 1 ELSE 0 END AS missing
     FROM st LEFT JOIN lastr r ON st.item_id = r.item_id""", d7=FX.D7))
 def mode_exchange(spark, sf_dir):
-    """M6 + J2: another run's intermediate responses feed this run's final prompt, one scan."""
-    staged = _one_pass(_d7(spark, sf_dir))
-    return staged.select(
-        "item_id", F.col("step2").alias("exchange_text"),
-        PR.final_prompt(F.col("prompt"), F.coalesce("step2", F.lit("")), CH.last_instruction("chain")).alias("final_prompt"),
-        "response", F.col("response").isNull().cast("int").alias("missing"))
+    """M6 + J2: another model's run, registered as a table of its own and resolved by its id,
+    feeds this run's final prompt. Some items are absent from it, some are there twice."""
+    d7 = _d7(spark, sf_dir)
+    second = d7.where((F.col("step") == 2) & (F.col("item_id") % 7 != 0))
+    info = second.select("item_id", F.lit(2).alias("try"), F.col("response").alias("m1_intermediate_response"),
+                         F.col("role").alias("m1_intermediate_response_role"), F.lit("unused").alias("m1_response"))
+    again = info.where(F.col("item_id") % 5 == 0).withColumns({"try": F.lit(1), "m1_intermediate_response": F.lit("draft")})
+    registry = RN.RunRegistry(spark, INC.new_run_folder(spark, "runs"))
+    other = registry.add(info.unionByName(again), "m1", "conversations", "ready_chain")
+    out = MO.exchange(_items(d7), _ready_chains(d7), registry.load(other), _last_responses(d7), order="try")
+    return out.select("item_id", F.array_join("exchange_info", "\n").alias("exchange_text"),
+                      "final_prompt", "response", "missing")
+
+
+@register("align_responses", FX.with_fixtures(f""", {_D7_BASE}
+    SELECT i.item_id, i.prompt, r.response FROM lastr r JOIN items i ON r.item_id = i.item_id""", d7=FX.D7))
+def align_responses(spark, sf_dir):
+    """Responses next to the items they answer, by key."""
+    d7 = _d7(spark, sf_dir)
+    return J.align(_last_responses(d7), _items(d7)).select("item_id", "prompt", "response")
+
+
+_KEYED_BUCKETS = 16
+
+
+@register("keyed_alignment", FX.with_fixtures(f""", {_D7_BASE}
+    SELECT i.item_id, i.prompt, r.response FROM lastr r JOIN items i ON r.item_id = i.item_id
+    WHERE i.item_id NOT IN (SELECT item_id FROM items WHERE already_done = 1)""", d7=FX.D7))
+def keyed_alignment(spark, sf_dir):
+    """J1 + J3 on tables bucketed by item: resume and align read them bucket by bucket, without a shuffle."""
+    d7 = _d7(spark, sf_dir)
+    folder = INC.new_run_folder(spark, "keyed")
+    name = "t_" + folder.rsplit("-", 1)[-1]
+
+    def keyed(df: DataFrame, part: str) -> DataFrame:
+        return KT.write_keyed(df, f"{name}_{part}", f"{folder}/{part}", "item_id", _KEYED_BUCKETS)
+
+    items = keyed(_items(d7).select("item_id", "prompt", "already_done"), "items")
+    responses = keyed(_last_responses(d7), "responses")
+    done = items.where("already_done = 1")
+    return J.align(responses, J.pending(items, done)).select("item_id", "prompt", "response")
+
+
+_SCRATCH_SQL = f""", {_D7_BASE},
+    g AS (SELECT item_id, attempt, {Q.parse_steps(Q.refusal('generation', CH.REFUSAL_PHRASES, CH.FALLBACK_CHAIN))} AS chain FROM d7g),
+    fvs AS (SELECT item_id, arg_min(chain, attempt) FILTER (WHERE chain IS NOT NULL) AS chain,
+                   min(attempt) FILTER (WHERE chain IS NOT NULL) AS chosen_attempt FROM g GROUP BY item_id),
+    sx AS (SELECT item_id, unnest(generate_series(1, len(chain) - 1)) AS step FROM fvs WHERE chain IS NOT NULL),
+    ts AS (SELECT sx.item_id, string_agg(concat('step', sx.step::VARCHAR, ':', coalesce(d7.response, ''), chr(10)), '' ORDER BY sx.step) AS transcript
+           FROM sx LEFT JOIN d7 ON d7.item_id = sx.item_id AND d7.step = sx.step GROUP BY sx.item_id)
+    SELECT i.item_id, CASE WHEN f.chain IS NULL THEN 'exhausted' ELSE 'ok' END AS status, f.chosen_attempt,
+           CASE WHEN f.chain IS NOT NULL THEN {Q.fill(PR.FINAL_TEMPLATE, question='i.prompt', extracted_info='t.transcript', output_format='f.chain[-1]')} END AS final_prompt,
+           CASE WHEN f.chain IS NOT NULL THEN r.response END AS response
+    FROM items i JOIN fvs f ON i.item_id = f.item_id LEFT JOIN ts t ON t.item_id = i.item_id
+    LEFT JOIN lastr r ON r.item_id = i.item_id"""
+
+
+@register("mode_multi_turn_scratch", FX.with_fixtures(_SCRATCH_SQL, d7=FX.D7, d7g=FX.D7_GENERATIONS))
+def mode_multi_turn_scratch(spark, sf_dir):
+    """M5 from scratch: chains are generated, asked step by step, stopped after the second
+    step and resumed from the stored answers."""
+    t = _t(spark, sf_dir)
+    d7 = _d7(spark, sf_dir)
+    chains = D.d7_generations(t).select(
+        MO.request_id("item_id", F.concat(F.lit("c"), F.col("attempt").cast("string"))).alias("request_id"),
+        F.col("generation").alias("response"))
+    told = d7.select(MO.request_id("item_id", F.concat(F.lit("s"), F.col("step").cast("string"))).alias("request_id"), "response")
+    told = told.unionByName(_last_responses(d7).select(MO.request_id("item_id", "f").alias("request_id"), "response"))
+    items = _items(d7).select("item_id", "prompt")
+    folder = INC.new_run_folder(spark, "answers")
+
+    def run(stop_after: int | None) -> DataFrame:
+        return MO.multi_turn_scratch(items, RS.recorded(chains), RS.recorded(told), ANS.AnswerTable(spark, folder),
+                                     stop_after=stop_after)
+
+    run(2)
+    return run(None).select("item_id", "status", "chosen_attempt", F.col("query").alias("final_prompt"), "response")
 
 
 @register("resume_pending", FX.with_fixtures(f""", {_D7_BASE}
@@ -885,8 +981,6 @@ def batch_ids(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Judge inputs
 
-from evalspark.functions import literals as LI  # noqa: E402
-
 _KINDS = list(PR.JUDGE_TEMPLATES)
 
 
@@ -894,7 +988,7 @@ def _sql_case(kind: str, values: dict[str, str]) -> str:
     return "(CASE " + " ".join(f"WHEN {kind} = {Q.q(k)} THEN {v}" for k, v in values.items()) + " END)"
 
 
-_SQL_REQUEST = _sql_case("kind", {k: Q.fill(t, response="response", answer="answer", choices="''")
+_SQL_REQUEST = _sql_case("kind", {k: Q.fill(t, response="response", answer="answer", choices="options")
                                   for k, t in PR.JUDGE_TEMPLATES.items()})
 _SQL_INSTR = _sql_case("kind", {k: Q.q(v) for k, v in PR.JUDGE_INSTRUCTIONS.items()})
 _SQL_COMPOSED = Q.fill(PR.JUDGE_TEMPLATES["free_answer"], answer="answer", response="response")
@@ -925,7 +1019,7 @@ def judge_requests(spark, sf_dir):
     """S21 (+S22): one judge request per row by kind; guarded rows need no call."""
     g = _d8_guard_only(spark, sf_dir).filter(~F.col("guarded"))
     return g.select("item_no", "kind", PR.judge_instruction("kind").alias("instruction"),
-                    PR.judge_text("kind", F.col("response"), F.col("answer"), F.lit("")).alias("request"))
+                    PR.judge_text("kind", F.col("response"), F.col("answer"), F.col("options")).alias("request"))
 
 
 @register("judge_pass", FX.with_fixtures(f""", {_D8_GUARD},
@@ -939,14 +1033,66 @@ def judge_requests(spark, sf_dir):
     FROM v""", d8=FX.D8))
 def judge_pass(spark, sf_dir):
     """Verdict for every row (guard or recorded judge output) and its sign by kind."""
-    g = _d8_guard_only(spark, sf_dir)
-    v = g.select("item_no", "kind", "answer",
-                 F.when(F.col("guarded"), F.lit("unclear")).otherwise(F.col("verdict")).alias("verdict"))
-    num = LI.score_numeric(v, "verdict", "answer", "_num", only=F.col("kind") == "number")
-    sign = (F.when(F.col("kind").isin("yes_no", "choice"), S.token_sign("verdict", "answer"))
-            .when(F.col("kind") == "number", F.col("_num"))
-            .otherwise(S.exact_sign("verdict")))
-    return num.select("item_no", "kind", "verdict", sign.alias("sign"))
+    return SU.judge(D.d8_judge(_t(spark, sf_dir)), SU.BY_KIND, "verdict").select("item_no", "kind", "verdict", "sign")
+
+
+_KIND_SIGN = f"""CASE WHEN kind = 'yes_no' THEN {Q.token_sign('verdict', 'answer')}
+                WHEN kind = 'choice' THEN {Q.contains_sign('verdict', 'answer')}
+                WHEN kind = 'number' THEN {Q.numeric_sign('verdict', 'answer')}
+                ELSE CAST(coalesce(verdict = 'correct', false) AS INTEGER) END"""
+
+
+@register("judge_all_kinds", FX.with_fixtures(f""", {_D8_GUARD},
+    v AS (SELECT item_no, kind, answer, {_SQL_REQUEST} AS request, item_no % 9 = 0 AS failed,
+                 coalesce(kind = 'free_answer' AND max_repeat > {PR.REPEAT_LIMIT}, false) AS guarded,
+                 CASE WHEN kind = 'free_answer' AND max_repeat > {PR.REPEAT_LIMIT} THEN 'unclear'
+                      WHEN item_no % 9 = 0 THEN NULL
+                      WHEN kind = 'choice' THEN concat('It is ', upper(answer), '!')
+                      WHEN kind = 'number' THEN concat(' +', (item_no % 100)::VARCHAR) ELSE verdict END AS verdict
+          FROM (SELECT * REPLACE (CASE WHEN kind = 'number' THEN (item_no % 50)::VARCHAR ELSE answer END AS answer) FROM g)
+          WHERE item_no % 6 <> 5)
+    SELECT item_no, kind, request, verdict, CASE WHEN failed AND NOT guarded THEN 'timeout' END AS error,
+           CASE WHEN failed AND NOT guarded THEN 0 ELSE coalesce({_KIND_SIGN}, 0) END AS sign
+    FROM v""", d8=FX.D8))
+def judge_all_kinds(spark, sf_dir):
+    """M11 + F1: one judge pass over yes/no, choice, number and free-answer rows; each has
+    its kind's rule (the suite's own for its kind), with replies, errors, guard and done rows."""
+    rows = D.d8_judge(_t(spark, sf_dir)).withColumn("answer", F.when(
+        F.col("kind") == "number", (F.col("item_no") % 50).cast("string")).otherwise(F.col("answer")))
+    failed, kind = F.col("item_no") % 9 == 0, F.col("kind")
+    reply = (F.when(kind == "choice", F.concat(F.lit("It is "), F.upper("answer"), F.lit("!")))
+             .when(kind == "number", F.concat(F.lit(" +"), (F.col("item_no") % 100).cast("string"))).otherwise(F.col("verdict")))
+    replies = rows.select("item_no", F.when(~failed, reply).alias("response"), F.when(failed, F.lit("timeout")).alias("error"))
+    suite = SU.Suite("choices_and_more", answer=lambda df: F.col("answer"), sign=SU._column_sign(S.contains_sign),
+                     metrics=SU.summary("kind"), kind="choice", choices=lambda df: F.col("options"))
+    return SU.judge(rows.drop("verdict"), suite, replies, done=rows.where("item_no % 6 = 5")).select(
+        "item_no", "kind", "request", "verdict", "error", "sign")
+
+
+def _length_judge(query: str) -> str:
+    """A stand-in for a judge model: its verdict follows from the length of the request."""
+    if len(query) % 3 == 0:
+        raise TimeoutError("no answer")
+    return "Yes." if len(query) % 3 == 1 else "no"
+
+
+@register("judge_live", FX.with_fixtures(f""",
+    r AS (SELECT item_no, CASE WHEN gt_answer = 1 THEN 'yes' ELSE 'no' END AS answer,
+                 length(concat({Q.q(PR.JUDGE_INSTRUCTIONS['yes_no'])}, chr(10), {Q.fill(PR.JUDGE_TEMPLATES['yes_no'], response='verdict')})) % 3 AS k
+          FROM d1)
+    SELECT item_no, CASE k WHEN 1 THEN 'Yes.' WHEN 2 THEN 'no' END AS verdict,
+           CASE k WHEN 0 THEN 'TimeoutError: no answer' END AS error,
+           CASE k WHEN 0 THEN 0 ELSE {Q.token_sign("CASE k WHEN 1 THEN 'Yes.' ELSE 'no' END", 'answer')} END AS sign
+    FROM r""", d1=FX.D1))
+def judge_live(spark, sf_dir):
+    """M11 + F2: a judge called once per row through stored answers: a first run judges some
+    rows and stops, the next one asks for the others only and reads the rest."""
+    rows = D.d1_yes_no(_t(spark, sf_dir)).withColumnRenamed("verdict", "response").select("item_no", "gt_answer", "response")
+    folder = INC.new_run_folder(spark, "answers")
+    judge = ANS.Call(_length_judge, parallelism=spark.sparkContext.defaultParallelism)
+    SU.judge(rows.where("item_no % 3 = 0"), SU.HALLUCINATION, judge, answers=ANS.AnswerTable(spark, folder))
+    return SU.judge(rows, SU.HALLUCINATION, judge, answers=ANS.AnswerTable(spark, folder)).select(
+        "item_no", "verdict", "error", "sign")
 
 
 @register("repetition_guard", FX.with_fixtures(f""", {_D8_GUARD}
@@ -1061,8 +1207,6 @@ def run_metadata(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Restartable incremental scoring and response collection (streaming)
 
-from evalspark.streaming import incremental as INC  # noqa: E402
-
 
 def _table_stream(spark, sf_dir: str, name: str) -> DataFrame:
     schema = _t(spark, sf_dir).table(name).schema

@@ -41,8 +41,13 @@ SELECT e.event_id AS item_no, CASE WHEN e.event_type = 'click' THEN 'multi_choic
        CASE WHEN e.event_type = 'click' THEN 'B'
             WHEN e.event_type = 'view' THEN CAST(CAST(e.value AS DECIMAL(10,2)) AS VARCHAR)
             WHEN e.event_type = 'error' THEN concat('[', CAST(e.user_id AS VARCHAR), ', ', CAST(e.event_id % 7 AS VARCHAR), ']')
+            WHEN e.event_type = 'signup' AND e.event_id % 24 = 5 THEN repeat(CAST(e.user_id AS VARCHAR), 20)
             WHEN e.event_type = 'signup' THEN CAST(e.user_id AS VARCHAR) ELSE 'about ten' END AS answer,
        CASE WHEN e.event_id % 5 = 0 THEN 'unclear'
+            WHEN e.event_type = 'signup' AND e.event_id % 48 = 5 THEN concat(' +00', repeat(CAST(e.user_id AS VARCHAR), 20))
+            WHEN e.event_type = 'signup' AND e.event_id % 48 = 29 THEN concat(repeat(CAST(e.user_id AS VARCHAR), 20), '1')
+            WHEN e.event_type = 'signup' AND e.event_id % 24 = 7 THEN repeat(CAST(e.user_id AS VARCHAR), 2000)
+            WHEN e.event_type = 'signup' AND e.event_id % 24 = 11 THEN translate(CAST(e.user_id AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩')
             WHEN e.event_type = 'click' THEN CASE e.event_id % 2 WHEN 0 THEN 'B.' ELSE 'a' END
             WHEN e.event_type = 'view' THEN concat(CAST(CAST(e.value AS DECIMAL(10,2)) AS VARCHAR), CASE e.event_id % 3 WHEN 0 THEN '0' WHEN 1 THEN '' ELSE 'd' END)
             WHEN e.event_type = 'error' THEN concat('[', CAST(e.user_id AS VARCHAR), ',', CAST(e.event_id % 7 AS VARCHAR), CASE e.event_id % 3 WHEN 0 THEN '.0]' ELSE ']' END)
@@ -51,6 +56,27 @@ SELECT e.event_id AS item_no, CASE WHEN e.event_type = 'click' THEN 'multi_choic
 FROM events e
 """
 
+# the options as a list, its literal text is the fixture's
+D4_MATH = """
+SELECT b.item_no, b.question_type, x.choices, x.skills, coalesce(x.option_answer, b.answer) AS answer,
+       coalesce(x.option_verdict, b.verdict) AS verdict
+FROM d4 b JOIN (
+  SELECT e.event_id AS item_no,
+         CASE WHEN e.event_type <> 'click' OR e.event_id % 11 = 0 THEN NULL
+              WHEN e.event_id % 13 = 0 THEN ['it''s ' || e.user_id::VARCHAR, 'user ' || e.user_id::VARCHAR]
+              ELSE ['user ' || e.user_id::VARCHAR, 'event ' || (e.event_id % 7)::VARCHAR,
+                    'value ' || coalesce(CAST(e.value AS DECIMAL(10,2))::VARCHAR, 'none')] END AS choices,
+         CASE WHEN e.event_type <> 'click' THEN NULL WHEN e.event_id % 3 = 0 THEN 'User ' || e.user_id::VARCHAR
+              WHEN e.event_id % 3 = 1 THEN 'event'
+              ELSE 'value: ' || coalesce(CAST(e.value AS DECIMAL(10,2))::VARCHAR, 'none') END AS option_answer,
+         CASE WHEN e.event_type <> 'click' THEN NULL WHEN e.event_id % 5 = 0 THEN 'unclear'
+              WHEN e.event_id % 4 = 0 THEN 'A.' WHEN e.event_id % 4 = 1 THEN '(b)' WHEN e.event_id % 4 = 2 THEN 'c'
+              ELSE 'B' END AS option_verdict,
+         CASE WHEN e.event_id % 17 = 0 THEN [e.event_type]
+              ELSE [e.event_type, 'parity ' || (e.event_id % 2)::VARCHAR] END AS skills
+  FROM events e) x ON b.item_no = x.item_no
+"""
+
 D5 = """
 SELECT d.doc_id AS item_no, CASE WHEN d.n_chars % 3 = 0 THEN 0 ELSE 1 END AS sign,
        concat('{', chr(39), 'skills', chr(39), ': [', chr(39), d.lang, chr(39), ', ', chr(39),
@@ -75,8 +101,20 @@ SELECT c.conv_id AS item_id, c.turn + 1 AS step, c.role, c.text AS response,
 FROM conversations c
 """
 
+D7_GENERATIONS = """
+SELECT c.item_id, k.attempt,
+       CASE WHEN (k.attempt = 1 AND c.item_id % 4 = 0) OR (k.attempt = 2 AND c.item_id % 8 = 0) OR c.item_id % 16 = 0
+            THEN concat(' ', chr(10), ' ')
+            WHEN k.attempt = 1 AND c.item_id % 5 = 0 THEN 'I cannot answer this.'
+            ELSE concat('Reasoning steps:', chr(10), array_to_string(list_transform(generate_series(1, c.n),
+                        lambda i: concat('Look at turn ', i::VARCHAR, ': who speaks')), chr(10))) END AS generation
+FROM (SELECT conv_id AS item_id, count(*) AS n FROM conversations GROUP BY conv_id) c,
+     (SELECT unnest([1, 2, 3]) AS attempt) k
+"""
+
 D8 = """
 SELECT d.doc_id AS item_no, d.lang AS answer,
+       concat('A. ', d.lang, chr(10), 'B. ', d.source, chr(10)) AS options,
        CASE d.doc_id % 4 WHEN 0 THEN 'free_answer' WHEN 1 THEN 'yes_no' WHEN 2 THEN 'choice' ELSE 'number' END AS kind,
        CASE WHEN d.doc_id % 10 = 0 THEN repeat('go ', 12) ELSE d.text END AS response,
        CASE d.n_chars % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'Correct' ELSE 'unclear' END AS verdict

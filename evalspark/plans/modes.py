@@ -3,10 +3,10 @@
 Each model call of a mode is one stage: build a request table with
 column expressions, then attach the response table by key (J6). The
 response table either holds recorded responses or is produced by a
-responder (``evalspark.plans.responder``). A stage never loops over
-rows on the driver; the multi-turn mode with a live responder loops
-over *step numbers* (bounded by the longest chain), each step one
-distributed job whose result is checkpointed.
+model through a table of stored answers (``evalspark.plans.answers``). A
+stage never loops over rows on the driver; the multi-turn mode with a model
+loops over *step numbers* (bounded by the longest chain), each step one
+distributed job that appends its answers to that table.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import chains as CH
 from evalspark.functions import prompts as PR
 from evalspark.operators import joins as J
 from evalspark.operators import windows as W
+from evalspark.plans.answers import AnswerTable, Call
+from evalspark.sources import shared
 
 Responder = Callable[[DataFrame], DataFrame]  # (request_id, ..., query) -> (request_id, response)
 
@@ -127,9 +129,10 @@ def answer_with_visual_chain(items: DataFrame, first_generations: DataFrame, str
 
 
 def exchange(items: DataFrame, chains: DataFrame, other_run: DataFrame, final_responses: DataFrame,
-             key: str = "item_id") -> DataFrame:
-    """M6: another run's extracted info + this chain's output format -> answer (one call)."""
-    staged = J.attach_exchange(items.join(chains.select(key, "chain"), key, "inner"), other_run, key)
+             key: str = "item_id", order: str | None = None) -> DataFrame:
+    """M6: another run's extracted info + this chain's output format -> answer (one call).
+    Of an item's rows in the other run the latest by ``order`` counts; an item without one has no info."""
+    staged = J.attach_exchange(items.join(chains.select(key, "chain"), key, "inner"), other_run, key, order=order)
     info = F.array_join(F.coalesce(F.col("exchange_info"), F.array().cast("array<string>")), "\n")
     final = staged.select(key, "prompt", "chain", F.col("exchange_info"),
                           PR.final_prompt(F.col("prompt"), info, CH.last_instruction("chain")).alias("final_prompt"))
@@ -156,32 +159,109 @@ def multi_turn_recorded(steps: DataFrame, items: DataFrame, key: str = "item_id"
         .alias("final_prompt"))
 
 
-def multi_turn_live(items: DataFrame, responder: Responder, key: str = "item_id",
-                    chain: str = "chain") -> DataFrame:
-    """M5 with a live responder: one distributed job per step number.
-
-    Only the longest chain length (one number) reaches the driver. Each
-    step carries the items that still have steps; those that are finished
-    stay where the step before wrote them. Every answer of the responder is
-    checkpointed to the reliable folder as it comes, so no later job or
-    lost executor calls the model again for it.
+def request_id(key: str, stage: str | Column) -> Column:
+    """Key of one model call of an item: the item's key, a slash and the stage."""
+    return F.concat(F.col(key).cast("string"), F.lit("/"), F.lit(stage) if isinstance(stage, str) else stage)
+
+
+def request_parts(request: str = "request_id") -> tuple[Column, Column, Column]:
+    """Item key (as text), kind of call (c chain, s step, f final) and number of a call's key."""
+    at = F.regexp_extract(F.col(request), "^(?s)(.*)/([csf])([0-9]*)$", 1)
+    number = F.regexp_extract(F.col(request), "/[csf]([0-9]*)$", 1).try_cast("int")
+    return at, F.regexp_extract(F.col(request), "/([csf])[0-9]*$", 1), number
+
+
+def generate_chains(items: DataFrame, model: Responder | Call, answers: AnswerTable, key: str = "item_id",
+                    max_attempts: int = 3, instruction: str = CH.CHAIN_INSTRUCTION) -> DataFrame:
+    """M7 with a model: up to ``max_attempts`` generations an item, each asked only
+    where those before failed to parse (N2, S15, S16).
+
+    Every attempt is one distributed job over the items still without a chain.
+    Returns key, chain, chosen_attempt, attempts, status.
+    """
+    def tried(upto: int) -> DataFrame:
+        calls = items.select(key, F.explode(F.array(*(F.lit(k) for k in range(1, upto + 1)))).alias("attempt"))
+        got = calls.withColumn("request_id", request_id(key, F.concat(F.lit("c"), F.col("attempt").cast("string")))).join(
+            answers.latest("string"), "request_id", "left")
+        parsed = got.withColumn("chain", CH.parse_steps(CH.refusal_fallback("response")))
+        return W.first_valid_attempt(parsed, key, "attempt", "chain", upto, "chain")
+
+    for k in range(1, max_attempts + 1):
+        todo = items if k == 1 else J.pending(items, tried(k - 1).where(F.col("chain").isNotNull()), key)
+        answers.ask(todo.select(request_id(key, f"c{k}").alias("request_id"),
+                                F.concat_ws("\n", F.lit(instruction), F.col("prompt")).alias("query")), model_of(model))
+    return tried(max_attempts)
+
+
+def transcripts(items: DataFrame, answers: AnswerTable, upto: int | None = None, key: str = "item_id",
+                chain: str = "chain") -> DataFrame:
+    """key, transcript: the answers to an item's steps so far (all but the last
+    step's, or the first ``upto``), as the answer table holds them."""
+    inner = F.slice(chain, 1, F.greatest(F.size(chain) - 1, F.lit(0)))
+    steps = items.select(key, F.posexplode(F.slice(inner, 1, upto) if upto is not None else inner).alias("p", "_")).select(
+        key, (F.col("p") + 1).alias("step"))
+    got = steps.withColumn("request_id", request_id(key, F.concat(F.lit("s"), F.col("step").cast("string")))).join(
+        answers.latest("string"), "request_id", "left")
+    line = F.concat(F.lit("step"), F.col("step").cast("string"), F.lit(":"), F.coalesce("response", F.lit("")), F.lit("\n"))
+    return got.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("step", line.alias("line")))).alias("t")).select(
+        key, F.array_join(F.transform("t", lambda x: x["line"]), "").alias("transcript"))
+
+
+def multi_turn(items: DataFrame, model: Responder | Call, answers: AnswerTable | None = None, key: str = "item_id",
+               chain: str = "chain", stop_after: int | None = None) -> DataFrame:
+    """M5 with a model: one distributed job per step number.
+
+    The state between steps is the answer table alone, to which each step
+    appends one row per item that still has steps; the transcript in a prompt
+    is read from it. So the plan does not grow with the steps, nothing answered
+    is asked again, and a run that stops (``stop_after`` steps, or by failing)
+    goes on where it stood when it is called again with the same table. Only
+    the longest chain's length (one number) reaches the driver.
+
+    Returns key, transcript, query, response, error; if stopped, the
+    transcript so far without a query and response.
     """
-    state = items.select(key, "prompt", chain, F.lit("").alias("transcript")).filter(F.size(chain) > 0)
-    longest = state.agg(F.max(F.size(chain))).first()[0] or 0
-    finished = []
+    table = answers or AnswerTable(items.sparkSession)
+    rows = items.select(key, "prompt", chain).filter(F.size(chain) > 0)
+    longest = rows.agg(F.max(F.size(chain))).first()[0] or 0
+
+    def so_far(upto: int | None) -> DataFrame:
+        active = rows if upto is None else rows.filter(F.size(chain) > upto + 1)
+        return active.join(transcripts(active, table, upto, key, chain), key, "left").withColumn(
+            "transcript", F.coalesce("transcript", F.lit("")))
+
     for k in range(1, longest):
-        finished.append(state.filter(F.size(chain) <= k))
-        active = state.filter(F.size(chain) > k)
-        req = active.select(F.col(key).alias("request_id"),
-                            PR.step_prompt(F.element_at(chain, k), F.col("transcript")).alias("query"))
-        got = responder(req).select(F.col("request_id").alias(key), F.col("response").alias("_r"))
-        line = F.concat(F.lit(f"step{k}:"), F.coalesce(F.col("_r"), F.lit("")), F.lit("\n"))
-        state = (active.join(got, key, "left").withColumn("transcript", F.concat("transcript", line))
-                       .drop("_r").checkpoint(eager=True))
-    for part in finished:
-        state = state.unionByName(part)
-    final = state.select(
-        F.col(key).alias("request_id"), "transcript",
-        PR.final_prompt(F.col("prompt"), F.col("transcript"), F.element_at(chain, -1)).alias("query"))
-    answers = responder(final.select("request_id", "query")).checkpoint(eager=True)
-    return final.join(answers, "request_id", "left").withColumnRenamed("request_id", key)
+        if stop_after is not None and k > stop_after:
+            return so_far(None).select(key, "transcript", *(F.lit(None).cast("string").alias(c)
+                                                            for c in ("query", "response", "error")))
+        active = so_far(k - 1)
+        table.ask(active.select(request_id(key, f"s{k}").alias("request_id"), PR.step_prompt(
+            F.element_at(chain, k), F.col("transcript")).alias("query")), model_of(model))
+    final = so_far(None).select(key, "transcript", request_id(key, "f").alias("request_id"), PR.final_prompt(
+        F.col("prompt"), F.col("transcript"), F.element_at(chain, -1)).alias("query"))
+    got = table.ask(final.select("request_id", "query"), model_of(model))
+    return final.join(got, "request_id", "left").drop("request_id")
+
+
+def multi_turn_live(items: DataFrame, responder: Responder, key: str = "item_id",
+                    chain: str = "chain", answers: AnswerTable | None = None) -> DataFrame:
+    """M5 on ready chains with a live responder."""
+    return multi_turn(items, responder, answers, key, chain)
+
+
+def multi_turn_scratch(items: DataFrame, chain_model: Responder | Call, model: Responder | Call,
+                       answers: AnswerTable, key: str = "item_id", stop_after: int | None = None) -> DataFrame:
+    """M5 from scratch: chains are generated, then asked step by step.
+
+    Both stages keep their answers in one table, so either resumes. Items
+    without a valid chain after all attempts stay, with status 'exhausted'.
+    """
+    chains = shared.stored(generate_chains(items, chain_model, answers, key), "chains")
+    ready = items.select(key, "prompt").join(chains.select(key, "chain"), key).where(F.col("chain").isNotNull())
+    told = multi_turn(ready, model, answers, key, "chain", stop_after)
+    return chains.join(told, key, "left")
+
+
+def model_of(model: Responder | Call) -> Responder | Call:
+    """The call behind a responder, if it has one."""
+    return getattr(model, "model", model)

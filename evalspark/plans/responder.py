@@ -4,8 +4,9 @@ The caller supplies ``call(query: str) -> str``. Requests are spread
 over ``parallelism`` partitions (the bound on concurrent calls), each
 partition handles Arrow batches of requests, and failures are kept as
 data in a separate ``error`` column instead of being mixed into the
-response text. Responses should be written to a table (``persist_to``)
-so a lost executor never repeats finished calls.
+response text. A responder is lazy: each action calls the model again. The
+stages that take one (``suites.judge``, ``modes.multi_turn``) therefore hand
+its call to an ``answers.AnswerTable``, which asks every request once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.plans.answers import Call
+
 RESPONSE_FIELDS = "response string, error string"
 
 
@@ -42,13 +45,18 @@ def make_responder(call: Callable[[str], str], parallelism: int | None = None,
         kind = requests.schema[key].dataType.simpleString()          # any id type
         return req.mapInPandas(run, f"request_id {kind}, {RESPONSE_FIELDS}")
 
+    respond.model = Call(call, parallelism)
     return respond
 
 
-def persist_to(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Write responses once (W1) and read them back, cutting the lineage."""
-    df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path)
+def recorded(answers: DataFrame, key: str = "request_id", response: str = "response") -> Callable[[DataFrame], DataFrame]:
+    """A responder that looks answers up in a table instead of calling a model."""
+    kept = answers.select(F.col(key).alias("request_id"), F.col(response).alias("response"))
+
+    def respond(requests: DataFrame) -> DataFrame:
+        return requests.select("request_id").join(kept, "request_id")
+
+    return respond
 
 
 # Ship this module's functions by value: executors need no installed package.

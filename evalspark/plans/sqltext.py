@@ -4,12 +4,14 @@ These restate the scoring rules independently of the Spark code so the
 correctness check compares two separate formulations.
 """
 
-# The oracle's own grammars, written from the rule: whole text, ASCII digits,
-# single underscores between digits, white space at both ends.
+# The oracle's own grammars, written from the rule: whole text, digits of any
+# script, single underscores between digits, white space at both ends.
 _SP = "[\\t-\\r\\x1c-\\x1f \\x85\\xa0]*"
-INT_PATTERN = f"^{_SP}[-+]?\\d+(_\\d+)*{_SP}$"
+# Scripts whose digits the fixtures use.
+_SCRIPTS = "".join(chr(zero + i) for zero in (0x660, 0x966) for i in range(10))
+INT_PATTERN = f"^{_SP}[-+]?\\d+(_\\d+)*{_SP}$".replace("\\d", "\\p{Nd}")
 FLOAT_PATTERN = (f"^{_SP}[-+]?((\\d+(_\\d+)*)(\\.(\\d+(_\\d+)*)?)?|\\.\\d+(_\\d+)*)([eE][-+]?\\d+(_\\d+)*)?{_SP}$"
-                 f"|^{_SP}[-+]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN]){_SP}$")
+                 f"|^{_SP}[-+]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN]){_SP}$").replace("\\d", "\\p{Nd}")
 LIST_PATTERN = "^[ \\t]*\\[[ ]*([-0-9.eE+]+([ ]*,[ ]*[-0-9.eE+]+)*)?[ ]*\\][ ]*$"
 from evalspark.functions.text import PY_WHITESPACE, PY_WHITESPACE_CHARS, VERDICT_STRIP_CHARS
 
@@ -64,10 +66,16 @@ def _re(p: str) -> str:
 
 def numeric_sign(v: str, a: str) -> str:
     """S4 with the same grammar guards as the Spark fast path (number lists only)."""
-    vi = f"TRY_CAST(replace({py_strip(v)}, '_', '') AS DECIMAL(38,0))"
-    ai = f"TRY_CAST(replace({py_strip(a)}, '_', '') AS DECIMAL(38,0))"
-    vd = f"TRY_CAST(replace({py_strip(v)}, '_', '') AS DOUBLE)"
-    ad = f"TRY_CAST(replace({py_strip(a)}, '_', '') AS DOUBLE)"
+    def plain(x: str) -> str:
+        return f"translate(replace({py_strip(x)}, '_', ''), '{_SCRIPTS}', '{'0123456789' * 2}')"
+
+    def whole(x: str) -> str:  # sign and digits, without leading zeros; no sign at zero
+        digits = f"regexp_replace({plain(x)}, '^[-+]?0*', '')"
+        return f"CASE WHEN {digits} <> '' THEN concat(CASE WHEN {plain(x)} LIKE '-%' THEN '-' ELSE '' END, {digits}) ELSE '0' END"
+
+    vi, ai = whole(v), whole(a)
+    vd = f"TRY_CAST({plain(v)} AS DOUBLE)"
+    ad = f"TRY_CAST({plain(a)} AS DOUBLE)"
     vl = f"TRY_CAST({v} AS DOUBLE[])"
     al = f"TRY_CAST({a} AS DOUBLE[])"
     return f"""(CASE WHEN {a} IS NULL OR {v} IS NULL THEN 0

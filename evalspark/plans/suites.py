@@ -24,6 +24,7 @@ from evalspark.functions import signs as S
 from evalspark.functions import text as X
 from evalspark.operators import joins as J
 from evalspark.operators import metrics as M
+from evalspark.plans.answers import AnswerTable, Call
 
 AnswerFn = Callable[[DataFrame], Column]
 SignFn = Callable[[DataFrame, str, str], DataFrame]
@@ -47,6 +48,25 @@ class Suite:
     required: tuple[str, ...] = field(default_factory=tuple)
     response: AnswerFn | None = None      # find_response: the text to judge
     instructions: dict[str, str] | None = None   # judge instructions by kind, over the default ones
+    prepare: Callable[[DataFrame], DataFrame] | None = None   # parses stored columns once, before anything reads them
+    rule: Callable[[Column, Column], Column] = S.token_sign   # yes/no and choice rows of other kinds than the suite's
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        return self.prepare(df) if self.prepare else df
+
+    def own_kinds(self) -> tuple[str, ...]:
+        return ("choice", "number") if self.kind == "mixed" else (self.kind,)
+
+    def sign_by_kind(self, df: DataFrame, verdict: str, answer: str, kind: str) -> DataFrame:
+        """Sign of rows that say their kind: the suite's rule for its own kinds, the
+        kind's rule for the others (S2/S3, S4, S5); an unknown kind has no sign."""
+        k, v, a = F.col(kind), F.col(verdict), F.col(answer)
+        own = k.isin(*self.own_kinds())
+        out = self.sign(df, verdict, answer).withColumnRenamed("sign", "_own")
+        out = L.score_numeric(out, verdict, answer, "_number", only=~own & (k == "number"))
+        return out.withColumn("sign", F.when(own, F.col("_own")).when(k.isin("yes_no", "choice"), self.rule(v, a))
+                              .when(k == "number", F.col("_number"))
+                              .when(k == "free_answer", S.exact_sign(v))).drop("_own", "_number")
 
     def judge_kind(self, df: DataFrame) -> Column:
         """Judge request kind per row: a ``kind`` column wins over the suite's;
@@ -62,6 +82,7 @@ class Suite:
         missing = [c for c in self.required if c not in df.columns]
         if missing:
             raise ValueError(f"suite {self.name} needs columns {missing}")
+        df = self.prepared(df)
         with_answer = df.withColumn("answer", self.answer(df))
         return self.sign(with_answer, verdict, "answer")
 
@@ -135,12 +156,12 @@ def pair_long(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return M.to_long(wide, by, ["correct", "total", "accuracy"], "pairs")
 
 
-def skill_long(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
+def skill_long(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """M16 metrics: overall, and per skill if the rows have metadata, in one aggregate."""
     if "metadata" not in df.columns:
-        return None                      # no skills to report
+        return overall_long(df, by)      # no skills to report
     parsed = L.parse_skills(df.select(*by, "sign", "metadata"), "metadata", "skills")
-    per_skill = M.multilabel_accuracy(parsed, "skills", "sign", by, "skill")
-    return M.category_long(per_skill, by, "skill", group="skill")
+    return M.labelled_long(parsed, "skills", "sign", by, "skill")
 
 
 # ---- the six suites ----------------------------------------------------------
@@ -173,6 +194,7 @@ LETTERED_CHOICE = Suite(
     name="lettered_choice",
     answer=lambda df: X.paren_letter("answer_letter"),
     sign=_column_sign(S.contains_sign),
+    rule=S.contains_sign,
     metrics=summary("question_type"),
     kind="choice",
     choices=lambda df: F.col("choices_text"),
@@ -191,29 +213,35 @@ def _math_answer(df: DataFrame) -> Column:
             .otherwise(F.col("answer")))
 
 
+def _math_prepare(df: DataFrame) -> DataFrame:
+    """List-literal choices as an array, parsed once for answers, requests and signs."""
+    df = df.withColumn("_stored_answer", F.col("answer"))
+    if "choices" in df.columns and isinstance(df.schema["choices"].dataType, T.StringType):
+        return L.parse_string_list(df, "choices", "choices")
+    return df
+
+
 def _choice_list(df: DataFrame) -> Column:
-    """The choices as an array, whether stored as one or as list-literal text."""
-    if "choices" not in df.columns:
-        return F.lit(None).cast("array<string>")
-    if isinstance(df.schema["choices"].dataType, T.StringType):
-        return L.full_string_list("choices")
-    return F.col("choices")
+    return F.col("choices") if "choices" in df.columns else F.lit(None).cast("array<string>")
 
 
 def _math_sign(df: DataFrame, verdict: str, answer: str) -> DataFrame:
     choice = F.col("question_type") == "multi_choice"
-    num = L.score_numeric(df, verdict, answer, "_num", only=~F.coalesce(choice, F.lit(False)))
+    # rows that are no choice have the answer as it was stored, a plain column
+    stored = "_stored_answer" if "_stored_answer" in df.columns else answer
+    num = L.score_numeric(df, verdict, stored, "_num", only=~F.coalesce(choice, F.lit(False)))
     return (num.withColumn("sign", F.when(choice, S.token_sign(verdict, answer)).otherwise(F.col("_num")))
                .withColumn("no_choices", (choice & ~F.coalesce(F.size(_choice_list(df)) > 0, F.lit(False))).cast("int"))
-               .drop("_num"))
+               .drop("_num", "_stored_answer"))
 
 
 MATH_MIXED = Suite(
     name="math_mixed",
     answer=_math_answer,
     sign=_math_sign,
-    metrics=combine(overall_long, skill_long),
+    metrics=skill_long,
     kind="mixed",
+    prepare=_math_prepare,
     choices=lambda df: A.option_block(_choice_list(df)),
     required=("question_type", "answer"),
 )
@@ -222,6 +250,7 @@ PAIRED_CHOICE = Suite(
     name="paired_choice",
     answer=lambda df: F.col("correct_answer"),
     sign=_column_sign(S.contains_sign),
+    rule=S.contains_sign,
     metrics=pair_long,
     kind="choice",
     instructions={"choice": ("Reply with the letter, lower case and in round brackets, of the option that the "
@@ -229,41 +258,67 @@ PAIRED_CHOICE = Suite(
     required=("correct_answer", "item_no"),
 )
 
-def judge(items: DataFrame, suite: Suite, verdicts: DataFrame | Callable[[DataFrame], DataFrame],
-          done: DataFrame | None = None, key: str = "item_no", order: str | None = None) -> DataFrame:
+#: Any rows that say their kind: a yes/no, choice, number or free answer each.
+BY_KIND = Suite(
+    name="by_kind",
+    answer=lambda df: F.col("answer"),
+    sign=_column_sign(S.token_sign),
+    metrics=summary("kind"),
+    required=("kind", "answer"),
+)
+
+
+def judge(items: DataFrame, suite: Suite, verdicts: DataFrame | str | Call | Callable[[DataFrame], DataFrame],
+          done: DataFrame | None = None, key: str = "item_no", order: str | None = None,
+          answers: AnswerTable | None = None) -> DataFrame:
     """The judge pass over a suite's result rows.
 
     Rows already judged (J3) are left out; a request is composed by kind from
     the suite's response, answer, choices and instructions (S21); repetitive
     free answers get 'unclear' without a call (S22); the other verdicts come
-    from ``verdicts``, a table (``key``, ``response``, optionally ``error``)
-    or a responder that makes one from (request_id, query) rows. Errors are
-    kept, and an errored or unanswered row has sign 0.
+    from ``verdicts``: a table (``key``, ``response``, optionally ``error``), the
+    name of a column of the items, or a model. A model (a ``Call`` or a
+    responder) is asked at once and through ``answers`` (a new table if none is
+    given), so every request is asked once whatever is done with the result.
+    The sign goes by the kind of a row where the items have a ``kind`` column,
+    else by the suite. Errors are kept; an errored, unanswered or unknown row has sign 0.
 
     Returns the items' columns with kind, instruction, request, answer,
     verdict, error, guarded and sign.
     """
-    todo = J.pending(items, done, key) if done is not None else items
+    todo = suite.prepared(J.pending(items, done, key) if done is not None else items)
     text = suite.response(todo) if suite.response else F.col("response")
-    rows = todo.withColumns({"_kind": suite.judge_kind(todo), "_text": text, "_answer": suite.answer(todo),
+    rows = todo.withColumns({"_kind": suite.judge_kind(todo), "_text": text,
                              "_choices": suite.choices(todo) if suite.choices else F.lit("")})
+    rows = X.bind(rows, _answer=suite.answer(todo))
     composed = P.fill(P.JUDGE_TEMPLATES["free_answer"], answer="_answer", response="_text")
+    guard = F.when(F.col("_kind") == "free_answer", P.repetition_guard(composed)).otherwise(F.lit(False))
     rows = rows.withColumns({
         "instruction": P.judge_instruction("_kind", {**P.JUDGE_INSTRUCTIONS, **(suite.instructions or {})}),
-        "request": P.judge_text("_kind", "_text", F.col("_answer"), F.col("_choices")),
-        "guarded": F.when(F.col("_kind") == "free_answer", P.repetition_guard(composed)).otherwise(F.lit(False))})
-    if callable(verdicts):
-        asked = rows.where(~F.col("guarded")).select(
-            F.col(key).alias("request_id"), F.concat_ws("\n", "instruction", "request").alias("query"))
-        verdicts = verdicts(asked).withColumnRenamed("request_id", key)
-    if "error" not in verdicts.columns:
-        verdicts = verdicts.withColumn("error", F.lit(None).cast("string"))
-    got = J.attach_responses(rows.drop("verdict", "error"), verdicts, key, out="verdict", order=order).drop("missing")
-    failed = ~F.col("guarded") & (F.col("error").isNotNull() | F.col("verdict").isNull())
+        "request": P.judge_text("_kind", "_text", F.col("_answer"), F.col("_choices"))})
+    free = "kind" in items.columns or "free_answer" in suite.own_kinds()
+    rows = X.bind(rows, guarded=guard) if free else rows.withColumn("guarded", F.lit(False))
+    if isinstance(verdicts, str):
+        got = rows.withColumn("verdict", F.col(verdicts))
+        got = got if "error" in rows.columns else got.withColumn("error", F.lit(None).cast("string"))
+    else:
+        if isinstance(verdicts, Call) or callable(verdicts):
+            table = answers or AnswerTable(items.sparkSession)
+            asked = rows.where(~F.col("guarded") & F.col("request").isNotNull()).select(
+                F.col(key).alias(table.key), F.concat_ws("\n", "instruction", "request").alias("query"))
+            verdicts = table.ask(asked, getattr(verdicts, "model", verdicts)).withColumnRenamed(table.key, key)
+        if "error" not in verdicts.columns:
+            verdicts = verdicts.withColumn("error", F.lit(None).cast("string"))
+        got = J.attach_responses(rows.drop("verdict", "error"), verdicts, key, out="verdict", order=order).drop("missing")
+    known = F.coalesce(F.col("_kind").isin(*P.JUDGE_TEMPLATES), F.lit(False))
     got = got.withColumns({"verdict": F.when(F.col("guarded"), F.lit("unclear")).otherwise(F.col("verdict")),
-                           "error": F.when(~F.col("guarded"), F.col("error")), "answer": F.col("_answer")})
-    signed = suite.sign(got.drop("sign"), "verdict", "answer")
-    return (signed.withColumn("sign", F.when(failed, F.lit(0)).otherwise(F.col("sign")))
+                           "error": F.when(~known, F.lit("unknown kind")).when(~F.col("guarded"), F.col("error")),
+                           "answer": F.col("_answer")})
+    failed = ~known | (~F.col("guarded") & (F.col("error").isNotNull() | F.col("verdict").isNull()))
+    got = got.drop("sign")
+    signed = (suite.sign_by_kind(got, "verdict", "answer", "_kind") if "kind" in items.columns
+              else suite.sign(got, "verdict", "answer"))
+    return (signed.withColumn("sign", F.when(failed, F.lit(0)).otherwise(F.coalesce("sign", F.lit(0))))
                   .withColumn("kind", F.col("_kind")).drop("_kind", "_text", "_answer", "_choices"))
 
 

@@ -10,12 +10,16 @@ is collected to the driver.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.sources import shared
+
 # pandas' default NA words, which its CSV reader turns into NaN.
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
             "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -50,33 +54,46 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if low.endswith(".jsonl"):
         return reader.json(path)
     if low.endswith(".json"):
-        df = reader.option("multiLine", "true").json(path)
-        if _is_column_oriented(df):
-            return columns_to_rows(spark, path)
-        return df
+        if column_oriented(spark, path):
+            return columns_to_rows(spark, path, schema)
+        return reader.option("multiLine", "true").json(path)
     if low.endswith(".parquet"):
         return reader.parquet(path)
     raise ValueError(f"unsupported file type: {path}")
 
 
-def _is_column_oriented(df: DataFrame) -> bool:
-    fields = df.schema.fields
-    return bool(fields) and all(isinstance(f.dataType, T.StructType) and f.dataType.fields
-                                and all(x.name.isdigit() for x in f.dataType.fields) for f in fields)
+def column_oriented(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file holds one object of columns, each an object by row index."""
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
+    cells = doc.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select(
+        "key", F.schema_of_variant("value").alias("kind"))
+    # a list has elements without a key
+    odd = F.col("key").isNull() | ~F.col("kind").rlike("^OBJECT<(`?[0-9]+`?: .*)?>$")
+    return cells.agg(F.count("*") > 0, F.coalesce(F.bool_or(odd), F.lit(False))).first() == (True, False)
 
 
-def columns_to_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``{"col": {"0": v, ...}, ...}`` JSON -> one row per index.
+def columns_to_rows(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """``{"col": {"0": v, ...}, ...}`` JSON -> one row per index, by index.
 
-    One JSON document cannot be split, so its parse is one task; the
-    explode and pivot after it are distributed.
+    The document is read as a VARIANT and exploded, so no schema is inferred from
+    its cells. With a ``schema`` the rows have its columns and types (null where
+    a cell is absent, or not of the type) and nothing is collected; without one the columns are
+    the document's, as text, and their names are read first. One JSON document
+    cannot be split, so its parse is one task; what follows is distributed.
     """
-    doc = spark.read.text(path, wholetext=True)
-    cells = (doc.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("col", "m"))
-                .select("col", F.explode("m").alias("idx", "val")))
-    names = [r[0] for r in cells.select("col").distinct().collect()]  # column names only
-    wide = cells.groupBy("idx").pivot("col", sorted(names)).agg(F.first("val"))
-    return wide.withColumn("idx", F.col("idx").cast("long")).withColumnRenamed("idx", "row_index")
+    doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
+    columns = doc.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select(
+        F.col("key").alias("col"), F.col("value").alias("column"))
+    cells = columns.lateralJoin(spark.tvf.variant_explode(F.col("column").outer())).select(
+        "col", F.col("key").cast("long").alias("row_index"), F.col("value").alias("cell"))
+    if schema is None:
+        fields = [T.StructField(r[0], T.StringType()) for r in columns.select("col").distinct().orderBy("col").collect()]
+    else:
+        given = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        fields = [f for f in given.fields if f.name != "row_index"]
+    return cells.where(F.col("col").isin(*(f.name for f in fields))).groupBy("row_index").agg(*(
+        F.max(F.when(F.col("col") == f.name, F.try_variant_get("cell", "$", f.dataType.simpleString()))).alias(f.name)
+        for f in fields))
 
 
 def scan_results(spark: SparkSession, folder: str, schema: T.StructType | str,
@@ -91,33 +108,72 @@ def scan_results(spark: SparkSession, folder: str, schema: T.StructType | str,
     return null_na_words(df.withColumn("file_name", F.col("_metadata.file_name")))
 
 
+def _first_record(sep: str, open_file=shared.file_system):
+    """A function of batches of paths that reads the first record of each file.
+    It is shipped by value, so it imports what it uses."""
+
+    def run(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for path in batch["path"].to_pylist():
+                store, place = open_file(path)
+                with store.open_input_file(place) as file:
+                    size, take, record = file.size(), 1 << 14, []
+                    while True:
+                        text = file.read_at(min(take, size), 0).decode("utf-8-sig", "ignore")
+                        rows = csv.reader(io.StringIO(text, newline=""), delimiter=sep)
+                        record = next(rows, [])
+                        # whole if something follows it, or nothing is left to read
+                        if next(rows, None) is not None or take >= size:
+                            break
+                        take *= 4
+                found.append(record)
+            yield pa.RecordBatch.from_arrays(
+                [batch["file_path"], pa.array(found, pa.list_(pa.string()))], ["file_path", "header"])
+
+    return run
+
+
+def file_headers(spark: SparkSession, folder: str, glob: str = "*.tsv", sep: str = "\t") -> DataFrame:
+    """R2: file_path and header of every file, read by tasks: the first record of
+    each file and no more."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+             .load(folder).select("path", F.col("_metadata.file_path").alias("file_path")))
+    return files.mapInArrow(_first_record(sep), "file_path string, header array<string>")
+
+
 def scan_runs(spark: SparkSession, folder: str, columns: Sequence[str], glob: str = "*.tsv",
               sep: str = "\t") -> DataFrame:
     """R2 + R7: result files by their own headers, ``columns`` and ``response`` as text.
 
     Files may order their columns differently and name the response column
-    after the model. Only the header line of each file is read up front;
-    files with one header are then one scan.
+    after the model. Tasks read the headers, one job checks them, and all files
+    are one scan by position, whose values are taken by name from the header of
+    their file: any number of files and headers needs the same number of jobs.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-             .load(folder).select("path"))
-    reader = spark.read.options(**{**_CSV_OPTS, "header": "true"}, sep=sep)
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for row in files.toLocalIterator():                   # one path per result file
-        by_header.setdefault(tuple(reader.csv(row.path).columns), []).append(row.path)
-    parts = []
-    for header, paths in sorted(by_header.items()):
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        df = spark.read.schema(schema).options(**{**_CSV_OPTS, "header": "true"}, sep=sep).csv(paths)
-        parts.append(df.select(
-            *(F.col(c) if c in header else F.lit(None).cast("string").alias(c) for c in columns),
-            F.col(find_response_column(header)).alias("response"), F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_name").alias("file_name")))
-    if not parts:
+    headers = shared.stored(file_headers(spark, folder, glob, sep), "headers")
+    named = F.filter("header", lambda c: F.contains(c, F.lit("response")) & ~F.contains(c, F.lit("intermediate")))
+    width, bad, example, found = headers.agg(
+        F.max(F.size("header")), F.count_if((F.size("header") > 0) & (F.size(named) != 1)),
+        F.min(F.when((F.size("header") > 0) & (F.size(named) != 1), F.col("file_path"))), F.count("*")).first()
+    if not found:
         raise ValueError(f"no result file in {folder}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if bad:
+        raise ValueError(f"expected exactly one response column; {bad} files differ, such as {example}")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(width or 0, 1))])
+    rows = (spark.read.schema(schema).options(**_CSV_OPTS, sep=sep, pathGlobFilter=glob, recursiveFileLookup="true")
+            .csv(folder).withColumns({"file_path": F.col("_metadata.file_path"), "file_name": F.col("_metadata.file_name")}))
+    place = headers.select("file_path", *(F.array_position("header", F.lit(c)).alias(f"p{i}") for i, c in enumerate(columns)),
+                           F.array_position("header", F.element_at(named, 1)).alias("pr"))
+    values = F.array(*(F.col(f.name) for f in schema.fields))
+    out = rows.join(place, "file_path").select(
+        *(F.get(values, F.col(f"p{i}").cast("int") - 1).alias(c) for i, c in enumerate(columns)),
+        F.get(values, F.col("pr").cast("int") - 1).alias("response"), "file_path", "file_name")
     return null_na_words(out, [*columns, "response"])
 
 
@@ -201,3 +257,8 @@ def write_sheet(wide: DataFrame, path: str, fmt: str = "csv") -> None:
         w.option("header", "true").csv(path)
     else:
         w.format(fmt).save(path)
+
+
+# Ship the functions of this module and of the file helper by value: executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(shared)

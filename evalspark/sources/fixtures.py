@@ -92,8 +92,14 @@ def d3_options(t: Tables) -> DataFrame:
             ))
 
 
+#: The digits 0 to 9 of the Arabic script.
+ARABIC_DIGITS = "".join(chr(0x660 + i) for i in range(10))
+
+
 def d4_numeric(t: Tables) -> DataFrame:
-    """Numeric, list, text and letter answers with near-miss verdicts."""
+    """Numeric, list, text and letter answers with near-miss verdicts; some numbers
+    are longer than any number type, some verdicts repeat a number thousands of
+    times or write it in other digits."""
     e = t.events.select("event_id", "user_id", "event_type", "value")
     et = F.col("event_type")
     eid = F.col("event_id")
@@ -103,10 +109,15 @@ def d4_numeric(t: Tables) -> DataFrame:
         (et == "click", F.lit("B")),
         (et == "view", money),
         (et == "error", F.concat(F.lit("["), uid, F.lit(", "), (eid % 7).cast("string"), F.lit("]"))),
+        ((et == "signup") & (eid % 24 == 5), F.repeat(uid, 20)),
         (et == "signup", uid),
         otherwise="about ten")
     verdict = _case(
         (eid % 5 == 0, F.lit("unclear")),
+        ((et == "signup") & (eid % 48 == 5), F.concat(F.lit(" +00"), F.repeat(uid, 20))),
+        ((et == "signup") & (eid % 48 == 29), F.concat(F.repeat(uid, 20), F.lit("1"))),
+        ((et == "signup") & (eid % 24 == 7), F.repeat(uid, 2000)),
+        ((et == "signup") & (eid % 24 == 11), F.translate(uid, "0123456789", ARABIC_DIGITS)),
         (et == "click", F.when(eid % 2 == 0, F.lit("B.")).otherwise(F.lit("a"))),
         (et == "view", F.concat(money, _case((eid % 3 == 0, "0"), (eid % 3 == 1, ""), otherwise="d"))),
         (et == "error", F.concat(F.lit("["), uid, F.lit(","), (eid % 7).cast("string"),
@@ -122,6 +133,59 @@ def d4_numeric(t: Tables) -> DataFrame:
     )
 
 
+def d4_math(t: Tables) -> DataFrame:
+    """D4 with options and metadata as stored literal text: choice rows have an answer
+    that is close to one of their options (some a quoted one, some without options),
+    every row has a skills list (some as a tuple)."""
+    e = t.events.select("event_id", "user_id", "event_type", "value")
+    et, eid = F.col("event_type"), F.col("event_id")
+    uid, money = F.col("user_id").cast("string"), F.col("value").cast("decimal(10,2)").cast("string")
+    text = F.concat
+    plain = text(F.lit("['user "), uid, F.lit("', \"event "), (eid % 7).cast("string"), F.lit("\", 'value "),
+                 F.coalesce(money, F.lit("none")), F.lit("']"))
+    quoted = text(F.lit("['it\\'s "), uid, F.lit("', 'user "), uid, F.lit("']"))
+    extra = e.select(
+        eid.alias("item_no"),
+        F.when(et == "click", _case((eid % 11 == 0, F.lit(None).cast("string")), (eid % 13 == 0, quoted),
+                                    otherwise=plain)).alias("choices"),
+        F.when(et == "click", _case((eid % 3 == 0, text(F.lit("User "), uid)), (eid % 3 == 1, "event"),
+                                    otherwise=text(F.lit("value: "), F.coalesce(money, F.lit("none"))))).alias("option_answer"),
+        F.when(et == "click", _case((eid % 5 == 0, "unclear"), (eid % 4 == 0, "A."), (eid % 4 == 1, "(b)"),
+                                    (eid % 4 == 2, "c"), otherwise="B")).alias("option_verdict"),
+        F.when(eid % 17 == 0, text(F.lit("{'skills': ('"), et, F.lit("',), 'grade': 1}"))).otherwise(
+            text(F.lit("{'skills': ['"), et, F.lit("', 'parity "), (eid % 2).cast("string"), F.lit("'], 'grade': "),
+                 (eid % 12).cast("string"), F.lit("}"))).alias("metadata"))
+    return d4_numeric(t).join(extra, "item_no").select(
+        "item_no", "question_type", "choices", "metadata",
+        F.coalesce("option_answer", "answer").alias("answer"), F.coalesce("option_verdict", "verdict").alias("verdict"))
+
+
+def d4_literals(t: Tables) -> DataFrame:
+    """Verdicts and answers that are Python literals over the columns of a row, in
+    eight spellings; every third verdict holds the next user's number."""
+    e = t.events.select("event_id", "user_id", "event_type", "value")
+    eid, et = F.col("event_id"), F.col("event_type")
+    uid, money = F.col("user_id").cast("string"), F.col("value").cast("decimal(10,2)").cast("string")
+    other = (F.col("user_id") + F.when(eid % 3 == 0, 1).otherwise(0)).cast("string")
+
+    def text(*parts) -> Column:
+        return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+
+    spellings = [  # verdict, answer
+        (text("(", other, ",", money, ")"), text("(", uid, ", ", money, ")")),
+        (text("(", other, ", ", money, ")"), text("[", uid, ", ", money, "]")),
+        (text("[\"", et, "\",", other, "]"), text("['", et, "', ", uid, "]")),
+        (text("{'k': ", other, ".0}"), text("{'k': ", uid, "}")),
+        (text("[", other, "]"), text("[", uid, ",]")),
+        (et, text("'", et, "'")),
+        (text("[", other, "], [", other, "]"), text("[", uid, "]")),
+        (text("[", other, ", [", money, "0, '", et, "']]"), text("[", uid, ", [", money, ", '", et, "']]")),
+    ]
+    k = (eid % len(spellings)).cast("int") + 1
+    return e.select(eid.alias("item_no"), F.element_at(F.array(*(v for v, _ in spellings)), k).alias("verdict"),
+                    F.element_at(F.array(*(a for _, a in spellings)), k).alias("answer"))
+
+
 def d5_skills(t: Tables) -> DataFrame:
     """Dict-literal metadata text with a skills list (quotes are single)."""
     d = t.documents.select("doc_id", "lang", "source", "n_chars")
@@ -167,13 +231,29 @@ def d7_steps(t: Tables) -> DataFrame:
     )
 
 
+def d7_generations(t: Tables) -> DataFrame:
+    """Three chain generations per conversation, one step for each of its turns; some
+    do not parse, some refuse."""
+    turns = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    cid, k = F.col("conv_id"), F.col("attempt")
+    lines = F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")),
+                        lambda i: F.concat(F.lit("Look at turn "), i.cast("string"), F.lit(": who speaks")))
+    return turns.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(
+        cid.alias("item_id"), "attempt",
+        _case((((k == 1) & (cid % 4 == 0)) | ((k == 2) & (cid % 8 == 0)) | (cid % 16 == 0), F.lit(" \n ")),
+              ((k == 1) & (cid % 5 == 0), F.lit("I cannot answer this.")),
+              otherwise=F.concat(F.lit("Reasoning steps:\n"), F.array_join(lines, "\n"))).alias("generation"))
+
+
 def d8_judge(t: Tables) -> DataFrame:
     """Judge inputs: whole document texts as responses, repetitive rows."""
-    d = t.documents.select("doc_id", "text", "lang", "n_chars")
+    d = t.documents.select("doc_id", "text", "lang", "source", "n_chars")
     did = F.col("doc_id")
     return d.select(
         did.alias("item_no"),
         F.col("lang").alias("answer"),
+        F.concat(F.lit("A. "), F.coalesce("lang", F.lit("")), F.lit("\nB. "), F.coalesce("source", F.lit("")),
+                 F.lit("\n")).alias("options"),
         _case((did % 4 == 0, "free_answer"), (did % 4 == 1, "yes_no"), (did % 4 == 2, "choice"),
               otherwise="number").alias("kind"),
         F.when(did % 10 == 0, F.repeat(F.lit("go "), 12)).otherwise(F.col("text")).alias("response"),

@@ -45,6 +45,12 @@ NUMERIC_CASES = [
     # decided by the Python literal fallback
     ("[1, 2,]", "[1, 2]", 1), ("(1, 2)", "(1, 2)", 1), ("['a', 'b']", "['a', 'b']", 1),
     ("True", "True", 1),
+    ("[1], [2]", "[1]", 0), ("[1] and also [2]", "[1]", 0), ("[1]]", "[1]", 0), ("[1] [2]", "[1] [2]", 0),
+    ("[Infinity]", "[Infinity]", 0), ("[9007199254740992]", "[9007199254740993]", 0),
+    ("[9007199254740993]", "[9007199254740993]", 1), ("(1, 2)", "(1,2)", 1), ("(1, 2)", "[1, 2]", 0),
+    ("['a', 'b']", "['a','b']", 1), ("['a'] junk", "['a']", 0), ("[1, 2.0]", "[1.0, 2]", 1), ("[01]", "[1]", 0),
+    ("'x'", "'x'", 1), ("{'k': 1}", "{'k': 1.0}", 1), ("[1,]", "[1]", 1), ("7 ", "+7", 1), ("7.0", "7", 0),
+    ("1e1", "10.0", 1), ("[\u0663]", "[3]", 0), ("\u0663", "3", 1), ("\u0663.5", "3.5", 1),
 ]
 
 

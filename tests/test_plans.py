@@ -32,7 +32,8 @@ def test_scoring_scan_is_pruned(spark):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"numeric_sign", "numeric_sign_literals", "mixed_router", "suite_math_mixed",
-                                                                "judge_pass", "skill_accuracy", "distinct_skills",
+                                                                "judge_pass", "judge_all_kinds", "math_judge_requests",
+                                                                "skill_accuracy", "distinct_skills",
                                                                 "extract_skills", "incremental_scoring",
                                                                 "response_collection"}))
 def test_no_python_in_jvm_queries(spark, name):

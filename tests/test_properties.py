@@ -71,3 +71,26 @@ def test_decided_rows_reach_python_as_nulls(spark):
     assert meta.where(~L.skills_decided("m")).count() == 0
     plan = L.parse_skills(meta, "m").select(F.explode_outer("skills").alias("s")).where("s is not null").distinct()
     assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+DIGITS = st.sampled_from(["0", "7", "12", "\u0663", "\u096a\u096b", "\U0001d7d8", "_", "__", ".", "+", "-", "e", "E5", " ", "\u2003", "x", "\u00b2", "000", "1" * 50])
+LONG = st.lists(DIGITS, min_size=1, max_size=8).flatmap(
+    lambda parts: st.sampled_from([1, 1, 1, 40, 3000, 100_000]).map(lambda n: "".join(p * (n if i == 0 else 1) for i, p in enumerate(parts))))
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(LONG, LONG, st.booleans()), min_size=1, max_size=8))
+def test_numbers_of_any_length_and_script_as_in_python(spark, pairs):
+    pairs = [(v, v if same else a) for v, a, same in pairs]
+    df = spark.createDataFrame([(i, v, a) for i, (v, a) in enumerate(pairs)], "i int, v string, a string")
+    got = {r.i: r.sign for r in L.score_numeric(df, "v", "a").select("i", "sign").collect()}
+    assert [got[i] for i in range(len(pairs))] == [L.python_numeric_sign(v, a) for v, a in pairs]
+
+
+def test_a_million_digits(spark):
+    big = "7" * 1_000_000
+    pairs = [(big, "12"), (big, big), (big[:-1] + "8", big), (f" +00{big}\n", big), (f"-{big}", big), (f"{big}.0", "1.5"),
+             (f"{big}x", "12"), (f"_{big}", "12"), ("0" * 1_000_000, "-0"), ("_".join(big[:300_000]), big[:300_000])]
+    df = spark.createDataFrame([(i, v, a) for i, (v, a) in enumerate(pairs)], "i int, v string, a string")
+    got = {r.i: r.sign for r in L.score_numeric(df, "v", "a").select("i", "sign").collect()}
+    assert [got[i] for i in range(len(pairs))] == [L.python_numeric_sign(v, a) for v, a in pairs] == [0, 1, 0, 1, 0, 0, 0, 0, 1, 1]
