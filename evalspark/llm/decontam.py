@@ -4,28 +4,33 @@ Words are lower-cased runs of letters and digits; a shingle is five words.
 A document matches an item if one of its windows, as many words long as the
 item, has a weighted-shingle similarity of at least ``threshold`` to it: the
 sum of the smaller counts of each shingle over the sum of the larger ones.
+Words and shingles are compared by 64-bit hashes.
 
 1. A window that similar shares shingles with the item, wherever they lie in
    it: of n and m shingles at least threshold * (n + m) / (1 + threshold).
-   One scan finds the places of each document that hold a shingle of an item
-   of a size, and every window of that size with that many such places is
-   taken, at whatever offset. No other window can reach the threshold, so
-   this leaves none out. Equal windows are one row from here on, whatever
-   number of documents holds them.
-2. Windows and items get 64-bit SimHash fingerprints of their shingles.
-   Fingerprints are cut into ``radius + 1`` blocks, and a window meets an
-   item of its size in an index of (size, block, value): any two within the
-   radius agree on a block, so all of them are found. The radius of 23 is
-   over four standard deviations above the distance that a similarity of 0.8
-   leads to.
-3. The exact similarity of the pairs within the radius is computed from the
-   shingles themselves.
+   One scan finds the places of each text that hold a shingle of an item of a
+   size, and every window of that size with that many such places is taken, at
+   whatever offset. No other window can reach the threshold, so this leaves
+   none out. Only places (integers) are gathered, in ranges of ``RANGE`` words that
+   overlap by an item, so a text of any length makes rows of a bounded size.
+2. The texts with such windows, each distinct one once, are cut into the same
+   ranges of shingle hashes. Equal windows are one row from here on, whatever number
+   of places and documents holds them.
+3. Windows and items get 64-bit SimHash fingerprints: bits are counted 64 at a
+   time in vertical counters. Fingerprints are cut into ``radius + 1`` blocks, and a
+   window meets an item of its size in an index of (size, block, value): any two
+   within the radius agree on a block, so all of them are found. The index holds
+   ids and fingerprints; pairs within the radius are made distinct before shingles
+   join them. A similarity of 0.8 means an angle whose mean distance is 9.7 bits with
+   a standard deviation of 2.9, whatever the item's size; 23 is four and a half of these above.
+4. The exact similarity of these pairs is computed from the shingles.
 
 Defined results: null and empty texts have no shingle and match nothing, as
 have items of fewer than five words; a document shorter than the item is one
-window; rows with a null doc_id or item_id are left out, repeated ids count
-as one; of several windows the best similarity is given; other columns are
-not carried.
+window; ``matches`` names no rows with a null doc_id (``clean`` judges them like any
+other) and leaves out items with a null id; repeated ids count as one; of several windows the
+best similarity is given; other columns are not carried by ``matches``. A text longer
+than ``PIECE_CHARS`` is split into words piece by piece, cut between words.
 """
 
 from __future__ import annotations
@@ -33,34 +38,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.graph import without
+from evalspark.llm.graph import drop_written, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 23
-#: Item shingles (16 bytes each) sent to every task; more are joined by a shuffle.
+#: Words of a range of a text, and characters of a piece that is split into words at once.
+RANGE = 1 << 14
+PIECE_CHARS = 1 << 19
+#: Item shingles (16 bytes each) and text keys (16 bytes each) sent to every task; more
+#: are joined by a shuffle.
 BROADCAST_SHINGLES = 2_000_000
+BROADCAST_KEYS = 1_000_000
+KEY = ["k1", "k2"]
+_SEPARATOR = r"[^\\p{L}\\p{N}]"
 
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+def text_key(text: str = "text") -> list[Column]:
+    """A text's identity: two 64-bit hashes."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), F.col(text)).alias("k2")]
 
 
-def shingles(tokens: Column) -> Column:
-    """Shingles of a word array, in order, as strings."""
-    last = F.size(tokens) - (SHINGLE - 1)
-    return F.when(last >= 1, F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, SHINGLE), " "))).otherwise(F.array().cast("array<string>"))
+def word_hashes(text: str) -> Column:
+    """Hashes of a text's words, in order. A long text is cut at the first separator
+    after every ``PIECE_CHARS`` characters, and only hashes of its words are held together."""
+    def of_piece(piece: str) -> str:
+        return f"transform(array_remove(split({piece}, '{_SEPARATOR}+'), ''), w -> xxhash64(w))"
 
+    p = PIECE_CHARS
+    cut = (f"filter(transform(sequence(1, length(low) div {p}), i -> struct(i * {p} as base, "
+           f"regexp_instr(substring(low, i * {p} + 1, {p}), '{_SEPARATOR}') as place)), c -> c.place > 0)")
+    cuts = f"concat(array(0), transform({cut}, c -> cast(c.base + c.place as int)), array(length(low) + 1))"
+    pieces = (f"transform(array({cuts}), at -> flatten(transform(sequence(0, size(at) - 2), "
+              f"j -> {of_piece('substring(low, at[j] + 1, at[j + 1] - at[j] - 1)')})))[0]")
+    return F.expr(f"transform(array(lower({text})), low -> if(length(low) <= {p}, {of_piece('low')}, {pieces}))[0]")
 
-def fingerprint(parts: str) -> Column:
-    """SimHash of a column of shingle arrays: the bits set in over half of the hashes."""
-    return F.expr(f"""
-      aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(
-        2 * aggregate(transform({parts}, s -> xxhash64(s)), 0,
-                      (n, h) -> n + cast(shiftright(h, b) & 1 as int)) > size({parts}),
-        shiftleft(1L, b), 0L))""")
+
+def shingle_hash(words: Column, at: Column) -> Column:
+    """Hash of the shingle that begins at a place of a word-hash array."""
+    return F.xxhash64(*(F.get(words, at + k) for k in range(SHINGLE)))
+
+
+def shingle_hashes(words: str) -> Column:
+    """All shingle hashes of a word-hash array of at least a shingle."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: shingle_hash(F.col(words), i))
+
+
+def fingerprint(parts: str, most: int) -> Column:
+    """SimHash of an array of at most ``most`` hashes: the bits set in over half of them.
+
+    Field p_j of the state holds bit j of the 64 counts side by side. Adding a hash
+    carries into p_j where it and all lower fields are set; the counts are then
+    compared with half the number of hashes, again for all 64 at once.
+    """
+    bits = range(max(1, most.bit_length()))
+    zero = "named_struct(" + ", ".join(f"'p{j}', 0L" for j in bits) + ")"
+    add = "named_struct(" + ", ".join(
+        f"'p{j}', acc.p{j} ^ (" + " & ".join(["h", *(f"acc.p{i}" for i in range(j))]) + ")" for j in bits) + ")"
+    half = {j: f"(if(((size({parts}) div 2) >> {j}) & 1 = 1, -1L, 0L))" for j in bits}
+    same = {j: f"~(acc.p{j} ^ {half[j]})" for j in bits}
+    above = " | ".join("(" + " & ".join([f"acc.p{j}", f"~{half[j]}", *(same[i] for i in bits if i > j)]) + ")" for j in bits)
+    return F.expr(f"aggregate({parts}, {zero}, (acc, h) -> {add}, acc -> {above})")
 
 
 def blocks(fp: Column, radius: int) -> Column:
@@ -72,84 +110,122 @@ def blocks(fp: Column, radius: int) -> Column:
         for i, (lo, hi) in enumerate(zip(edges, edges[1:]))))
 
 
-def positions(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, at (0, 1, ...) and hash of every shingle of the column ``words``."""
-    n = F.size("words")
-    moved = F.arrays_zip(*(F.slice("words", k + 1, F.greatest(n, F.lit(1))).alias(f"w{k}")
-                           for k in range(SHINGLE)))
-    flat = rows.where(n >= SHINGLE).select(*keep, F.posexplode(moved).alias("at", "w"))
-    names = flat.schema["w"].dataType.names
-    return flat.where(F.col("w")[names[-1]].isNotNull()).select(
-        *keep, "at", F.xxhash64(*(F.col("w")[c] for c in names)).alias("hash"))
+def shared_count(a: str, b: str) -> Column:
+    """Sum of the smaller counts of two arrays; where neither has repeats, their common elements."""
+    return F.expr(f"""
+      if(size(array_distinct({a})) = size({a}) and size(array_distinct({b})) = size({b}),
+         size(array_intersect({a}, {b})),
+         aggregate(array_intersect({a}, {b}), 0, (n, s) -> n + least(
+           size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s)))))""")
 
 
-def weighted_similarity(a: str, b: str) -> Column:
-    """Sum of smaller counts over sum of larger counts of two shingle arrays."""
-    return F.expr(f"""
-      aggregate(array_intersect({a}, {b}), 0, (n, s) -> n + least(
-        size(filter({a}, x -> x = s)), size(filter({b}, x -> x = s))))""").alias("shared")
-
-
-def candidates(texts: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, size, words of every window with as many places of shared
-    shingles as the threshold takes. A window belongs to its first such place,
-    whose row brings the words around it; a row of the result is one begin."""
-    start = F.greatest(F.lit(0), F.col("at") - F.col("size") + SHINGLE)
-    hits = positions(texts, "doc_id", "words", "key").join(seeds, "hash").select(
-        "doc_id", "key", "size", F.size("words").alias("n"), F.struct(
-            "at", start.alias("start"),
-            F.slice("words", start + 1, F.col("at") + F.col("size") - start).alias("around")).alias("hit"))
-    most = F.least("n", "size") + F.col("size") - 2 * (SHINGLE - 1)
-    held = hits.groupBy("doc_id", "key", "size", "n").agg(F.array_sort(F.collect_set("hit")).alias("hits")).withColumn(
-        "least", F.greatest(F.lit(1), F.ceil(most * (threshold / (1 + threshold)) - 1e-9).cast("int"))).where(
-        F.size("hits") >= F.col("least"))
-    spans = held.select("doc_id", "size", F.explode(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("hits") - F.col("least"))),
+def least_hits(n: Column, size: Column, threshold: float) -> Column:
+    """Places that a window of ``size`` words in a text of ``n`` must share with an item of its size."""
+    most = F.least(n, size) + size - 2 * (SHINGLE - 1)
+    return F.greatest(F.lit(1), F.ceil(most * (threshold / (1 + threshold)) - 1e-9).cast("int"))
+
+
+def spans(texts: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
+    """k1, k2, size, block, spans (first, last): where windows of ``size`` words with enough
+    shared places begin. A window belongs to the range of its first such place."""
+    places = texts.select(*KEY, word_hashes("text").alias("words")).where(F.size("words") >= SHINGLE).select(
+        *KEY, "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("at"))
+    hits = places.select(*KEY, F.size("words").alias("n"), "at", shingle_hash(F.col("words"), F.col("at")).alias("hash")).join(
+        seeds, "hash").select(*KEY, "n", "size", "at")
+    # a range also holds the places of the next one that its own windows reach
+    block = F.expr(f"at div {RANGE}").cast("int")
+    ranged = hits.withColumn("block", F.explode(F.when(
+        (F.col("at") >= RANGE) & (F.col("at") % RANGE < F.col("size")), F.array(block, block - 1)).otherwise(F.array(block))))
+    held = ranged.groupBy(*KEY, "n", "size", "block").agg(F.sort_array(F.collect_set("at")).alias("hits")).withColumn(
+        "least", least_hits(F.col("n"), F.col("size"), threshold)).where(F.size("hits") >= F.col("least"))
+    found = F.filter(F.transform(
+        F.sequence(F.lit(0), F.size("hits") - F.col("least")),
         lambda i: F.struct(
-            F.get("hits", i).alias("hit"),
-            F.greatest(F.lit(0), F.coalesce(F.get("hits", i - 1)["at"] + 1, F.lit(0)),
-                       F.get("hits", i + F.col("least") - 1)["at"] - F.col("size") + SHINGLE).alias("first"),
-            F.least(F.get("hits", i)["at"], F.greatest(F.lit(0), F.col("n") - F.col("size"))).alias("last"))
-        )).alias("s")).where("s.first <= s.last")
-    return spans.select("doc_id", "size", "s", F.explode(F.sequence("s.first", "s.last")).alias("begin")).select(
-        "doc_id", "size", F.slice("s.hit.around", F.col("begin") - F.col("s.hit.start") + 1, F.col("size")).alias("words"))
+            F.get("hits", i).alias("at"),
+            F.greatest(F.lit(0), F.coalesce(F.get("hits", i - 1) + 1, F.lit(0)),
+                       F.get("hits", i + F.col("least") - 1) - F.col("size") + SHINGLE).alias("first"),
+            F.least(F.get("hits", i), F.greatest(F.lit(0), F.col("n") - F.col("size"))).alias("last"))),
+        lambda s: (s["first"] <= s["last"]) & (s["at"] < (F.col("block") + 1) * RANGE))
+    return held.select(*KEY, "size", "block", F.transform(
+        found, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))).alias("spans")).where(F.size("spans") > 0)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
-            radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, similarity of every document that holds a benchmark item."""
-    items = benchmark.where("item_id is not null").select(
-        "item_id", words(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE).distinct()
-    seeds = positions(items.withColumn("size", F.size("words")), "size").select("hash", "size").distinct()
+def windows(texts: DataFrame, places: DataFrame, most: int) -> DataFrame:
+    """k1, k2, size, h1, h2, parts: the distinct windows of every range, with their shingle hashes."""
+    keys, path = written(places.select(*KEY).distinct(), "texts-with-windows")
+    near = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    one = texts.join(near, KEY).groupBy(*KEY).agg(F.first("text").alias("text"))
+    hashed = one.select(*KEY, word_hashes("text").alias("words")).select(*KEY, shingle_hashes("words").alias("parts"))
+    # a range begins an item before its first place
+    ranges, _ = written(hashed.select(*KEY, "parts", F.explode(F.sequence(
+        F.lit(0), F.expr(f"(size(parts) - 1) div {RANGE}").cast("int"))).alias("block")).select(
+        *KEY, "block", F.greatest(F.lit(0), F.col("block") * RANGE - most).alias("low"), "parts").select(
+        *KEY, "block", "low", F.slice("parts", F.col("low") + 1, F.lit(RANGE + 2 * most)).alias("parts")), "text-ranges")
+    drop_written(texts.sparkSession, path)
+    joined = places.join(ranges, [*KEY, "block"])
+    part = "slice(parts, b - low + 1, size - 4)".replace("4", str(SHINGLE - 1))
+    begins = "flatten(transform(spans, s -> sequence(s.first, s.last)))"
+    marked = joined.withColumn("w", F.expr(
+        f"array_sort(transform({begins}, b -> struct(xxhash64({part}) as h1, xxhash64(1, {part}) as h2, b as b)))"))
+    first = F.expr("filter(w, (x, i) -> i = 0 or x.h1 <> w[i - 1].h1 or x.h2 <> w[i - 1].h2)")
+    return marked.select(*KEY, "size", "low", "parts", F.explode(first).alias("w")).select(
+        *KEY, "size", "w.h1", "w.h2", F.expr(part.replace("b -", "w.b -")).alias("parts"))
+
+
+def text_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
+                 radius: int = RADIUS) -> DataFrame:
+    """k1, k2, item_id, similarity of every distinct text that holds a benchmark item."""
+    items, path = written(benchmark.where("item_id is not null").select(
+        "item_id", word_hashes("text").alias("words")).where(F.size("words") >= SHINGLE).distinct().select(
+        "item_id", F.size("words").alias("size"), shingle_hashes("words").alias("item_parts")), "items")
+    seeds = items.select(F.explode("item_parts").alias("hash"), "size").distinct()
+    most = items.agg(F.max("size")).first()[0] or SHINGLE
     if seeds.count() <= BROADCAST_SHINGLES:
         seeds = F.broadcast(seeds)
 
-    texts = docs.where("doc_id is not null").select(
-        "doc_id", words(F.col("text")).alias("words"), F.xxhash64("text").alias("key"))
-    windows = candidates(texts, seeds, threshold)
-    held = windows.withColumn("window", F.sha2(F.concat_ws(" ", "size", F.array_join("words", " ")), 256))
-    held = held.groupBy("doc_id", "window").agg(F.first("size").alias("size"), F.first("words").alias("words"))
-
-    distinct = held.groupBy("window").agg(F.first("size").alias("size"), F.first("words").alias("words"))
-    marked = distinct.withColumn("parts", shingles(F.col("words"))).select(
-        "window", "size", "parts", fingerprint("parts").alias("fp"))
-    wanted = items.withColumn("item_parts", shingles(F.col("words"))).select(
-        "item_id", F.size("words").alias("size"), "item_parts", fingerprint("item_parts").alias("item_fp"))
-    near = marked.withColumn("b", F.explode(blocks(F.col("fp"), radius))).join(
-        wanted.withColumn("b", F.explode(blocks(F.col("item_fp"), radius))), ["size", "b"]).where(
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    pairs = near.groupBy("window", "item_id").agg(
-        F.first("parts").alias("parts"), F.first("item_parts").alias("item_parts"))
-    scored = pairs.select("window", "item_id", F.size("parts").alias("n"), F.size("item_parts").alias("m"),
-                          weighted_similarity("parts", "item_parts")).select(
-        "window", "item_id", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity"))
-    return held.select("doc_id", "window").join(scored.where(F.col("similarity") >= threshold), "window").groupBy(
+    texts = docs.where("text is not null").select(*text_key(), "text")
+    places, _ = written(spans(texts, seeds, threshold), "window-places")
+    held, _ = written(windows(texts, places, most), "windows")
+    window = ["size", "h1", "h2"]
+    distinct, _ = written(held.groupBy(*window).agg(F.first("parts").alias("parts")).withColumn(
+        "fp", fingerprint("parts", most)), "distinct-windows")
+    wanted, _ = written(items.withColumn("item_fp", fingerprint("item_parts", most)), "item-prints")
+    index = wanted.select("item_id", "size", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b"))
+    pairs = distinct.select(*window, "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).join(index, ["size", "b"]).where(
+        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*window, "item_id", "item_fp").distinct()
+    near = pairs.join(distinct.select(*window, "parts"), window).join(
+        wanted.select("item_id", "size", "item_fp", "item_parts"), ["item_id", "size", "item_fp"])
+    counted = near.select(*window, "item_id", F.size("parts").alias("n"), F.size("item_parts").alias("m"),
+                          shared_count("parts", "item_parts").alias("shared"))
+    scored = counted.select(*window, "item_id", (
+        F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity")).where(
+        F.col("similarity") >= threshold).groupBy(*window, "item_id").agg(F.max("similarity").alias("similarity"))
+    return held.select(*KEY, *window).join(scored, window).groupBy(*KEY, "item_id").agg(
+        F.max("similarity").alias("similarity"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
+            radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity of every document that holds a benchmark item."""
+    found, _ = written(text_matches(docs, benchmark, threshold, radius), "matched-texts")
+    if found.count() <= BROADCAST_KEYS:
+        found = F.broadcast(found)
+    return docs.where("doc_id is not null").select("doc_id", *text_key()).join(found, KEY).groupBy(
         "doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of the documents that match no item."""
-    return without(docs, matches(docs, benchmark).select("doc_id").distinct())
+    """All columns of the documents that match no item: rows whose text matches go,
+    and with them all rows of their doc_id."""
+    found, _ = written(text_matches(docs, benchmark).select(*KEY).distinct(), "matched-texts")
+    known = docs.where("doc_id is not null").select("doc_id", *text_key()).join(_small(found), KEY, "left_semi")
+    gone, _ = written(known.select("doc_id").distinct(), "dropped-ids")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", *text_key()).join(_small(found), KEY, "left_anti")
+    return marked.join(_small(gone), "doc_id", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 #: Every window of every pair that shares a shingle, without fingerprints.

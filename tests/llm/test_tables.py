@@ -98,7 +98,8 @@ def test_decontamination(spark):
     assert got == {(1, 10): 1.0, (2, 10): pytest.approx(35 / 37), (7, 10): 1.0}
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns
-    assert rows_of(kept) == rows_of(docs.where("doc_id is null or doc_id not in (1, 2, 7)"))
+    # the row without an id is judged too: its text is the item
+    assert rows_of(kept) == rows_of(docs.where("doc_id not in (1, 2, 7)"))
     assert decontam.matches(docs.limit(0), bench).count() == decontam.matches(docs, bench.limit(0)).count() == 0
 
 
@@ -121,6 +122,35 @@ def test_decontamination_judges_windows_at_every_offset(spark):
     assert {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(docs, bench).collect()} == pytest.approx(want)
 
 
+def test_decontamination_of_long_and_repetitive_texts(spark, monkeypatch):
+    item, other = prose(70, 60), prose(71, 60)
+    rows = [(1, f"{item} " * 1500), (2, " ".join(prose(80 + i, 2000) for i in range(30)) + f" {other} " + prose(99, 500)),
+            (3, "x" * 300_000 + " " + item), (4, "Σ" * 1000 + " ΑΣ'Α " + prose(5, 20_000))]
+    docs = spark.createDataFrame([(i, t) for i, t in rows] + [(10 + i, rows[0][1]) for i in range(5)],
+                                 "doc_id long, text string")
+    docs = docs.withColumns({c: docs.doc_id for c in ("k1", "h1", "size", "key", "words", "item_id")})
+    bench = spark.createDataFrame([(10, item), (11, other), (12, prose(72, 25))], "item_id long, text string")
+    want = {(i, 10) for i in (1, 3, 10, 11, 12, 13, 14)} | {(2, 11)}
+    for size, pieces in ((1 << 14, 1 << 19), (700, 20_000)):
+        monkeypatch.setattr(decontam, "RANGE", size)
+        monkeypatch.setattr(decontam, "PIECE_CHARS", pieces)
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(docs, bench).collect()}
+        assert got == dict.fromkeys(want, 1.0)
+        kept = decontam.clean(docs, bench)
+        assert kept.columns == docs.columns and [r.doc_id for r in kept.select("doc_id").collect()] == [4]
+
+
+def test_fingerprints_are_majorities(spark):
+    import numpy as np
+    r = np.random.default_rng(3)
+    sets = [r.integers(-2 ** 63, 2 ** 63, n).tolist() for n in (1, 2, 3, 7, 8, 31, 64, 100)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "i int, parts array<long>")
+    got = {r.i: r.fp for r in df.select("i", decontam.fingerprint("parts", 104).alias("fp")).collect()}
+    for i, x in enumerate(sets):
+        bits = np.unpackbits(np.array(x, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        assert got[i] == int(np.packbits(2 * bits.sum(0) > len(x), bitorder="little").view("<i8")[0])
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_graph_finds_every_neighbour(seed):
     rng = np.random.default_rng(seed)
