@@ -17,9 +17,9 @@ returns a spanning forest of the links it finds, never all pairs.
 
 Defined results: a null or empty text, or one of white space alone, has
 fingerprint zero and is linked like any other; a row with a null doc_id
-names no component of its own but takes that of its fingerprint; repeated
-rows each come back; other columns are not carried; an empty table gives an
-empty result.
+links others and takes the component of its fingerprint, which is null only if
+no row of it has an id; repeated rows each come back; other columns are not
+carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.llm.graph import Forest, components, without, written
 
@@ -81,7 +82,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fingerprint (as bigint) of every whole text."""
+    """doc_id (of any type) and fingerprint (as bigint) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,8 +90,8 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view("<i8"))],
                                              ["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def tables(n: int, radius: int) -> list[int]:
@@ -180,8 +181,8 @@ def _exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int)
 
 
 def _forest(rows: list[np.ndarray], radius: int) -> pa.RecordBatch:
-    """Links between representatives inside a slab of whole groups."""
-    table, key, low, high, fp, rep = rows
+    """Links between fingerprints inside a slab of whole groups."""
+    table, key, low, high, fp = rows
     new = np.ones(len(fp), bool)
     new[1:] = False
     for col in (table, key, low, high):
@@ -191,7 +192,7 @@ def _forest(rows: list[np.ndarray], radius: int) -> pa.RecordBatch:
         forest.join(i, j)
     linked = np.flatnonzero(forest.label != np.arange(len(fp)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(rep[linked]), pa.array(rep[forest.label[linked]])], ["a", "b"])
+        [pa.array(fp[linked]), pa.array(fp[forest.label[linked]])], ["a", "b"])
 
 
 def _links(radius: int):
@@ -217,15 +218,15 @@ def _links(radius: int):
 
 
 def links(uniq: DataFrame, n: int, radius: int) -> DataFrame:
-    """Spanning links ``a``, ``b`` between the ``rep`` of near fingerprints.
+    """Spanning links ``a``, ``b`` between near fingerprints.
 
-    ``uniq``: fp, rep, one row per fingerprint; ``n``: their number.
+    ``uniq``: fp, one row per fingerprint, whoever carries it; ``n``: their number.
     """
     masks = tables(n, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = uniq.where("rep is not null").select("fp", "rep", F.explode(F.array(*(
+    rows = uniq.select("fp", F.explode(F.array(*(
         F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
-        for t, m in enumerate(signed)))).alias("k")).select("k.t", "k.key", "fp", "rep")
+        for t, m in enumerate(signed)))).alias("k")).select("k.t", "k.key", "fp")
     hot = rows.groupBy("t", "key").count().where(F.col("count") > BLOCK_ROWS).select(
         "t", "key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
     rows = rows.join(hot, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -233,25 +234,42 @@ def links(uniq: DataFrame, n: int, radius: int) -> DataFrame:
     rows = rows.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("t", "key", F.least("own", "other").alias("low"),
-                       F.greatest("own", "other").alias("high"), "fp", "rep")
+                       F.greatest("own", "other").alias("high"), "fp")
     parts = max(int(uniq.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 ceil(n * len(masks) / (16 * SLAB_ROWS)))
     return rows.repartition(parts, "t", "key", "low", "high").sortWithinPartitions(
         "t", "key", "low", "high").mapInArrow(_links(radius), "a long, b long")
 
 
+def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """fp, component_id of every fingerprint of ``prints`` (doc_id, fp)."""
+    uniq, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    # A component is named by a fingerprint first; its smallest doc_id is sought
+    # afterwards, so that fingerprints of rows without an id link others too.
+    linked = components(links(uniq.select("fp"), uniq.count(), radius))
+    named, _ = written(uniq.join(linked, F.col("fp") == F.col("node"), "left").select(
+        "fp", "rep", F.coalesce("component", "fp").alias("component")), "classes")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return named.join(smallest, "component").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, one row per document."""
     prints, _ = written(fingerprints(docs, width, seed), "fingerprints")
-    uniq, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    linked = components(links(uniq, uniq.count(), radius))
-    classes = uniq.join(linked, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select(
+    return prints.join(classes(prints, radius), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """All columns of one document of each component, that with the smallest
-    doc_id. Rows without a doc_id stay, and so do all rows of an id that stays."""
-    return without(docs, near_duplicates(docs, width, seed, radius).where("doc_id <> component_id").select("doc_id"))
+    doc_id, and all rows of an id that stays. Rows without an id go where a
+    document with one is in their component, and stay where none is."""
+    prints, _ = written(fingerprints(docs, width, seed), "fingerprints")
+    groups, _ = written(classes(prints, radius), "component-of-fingerprint")
+    gone = prints.join(groups, "fp").where("doc_id <> component_id").select("doc_id")
+    kept = without(docs.where("doc_id is not null"), gone)
+    unnamed = docs.where("doc_id is null")
+    row = unnamed.select(F.struct(*docs.columns).alias("doc_id"), F.col("text"))
+    alone = groups.where("component_id is null").select("fp")
+    lone = fingerprints(row, width, seed).join(alone, "fp", "left_semi")
+    return kept.unionByName(lone.select(*(F.col("doc_id")[c].alias(c) for c in docs.columns)))

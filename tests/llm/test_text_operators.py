@@ -119,7 +119,8 @@ def test_simhash_components(spark, monkeypatch):
     base = prose(3, 400)
     texts = [(i, f"{base} tail{i}" if i % 3 else prose(i, 40), "en") for i in range(30)]
     texts += [(40, None, "en"), (41, "", None), (42, " \n", "en"), (7, texts[7][1], "en"), (None, "lonely text", "en")]
-    docs = documents(spark, texts)
+    texts += [(None, texts[3][1], "en")]
+    docs = documents(spark, texts).withColumnsRenamed({"score": "fp"}).withColumn("component_id", F.lit("x"))
     got = [tuple(r) for r in simhash.near_duplicates(docs).collect()]
     prints = {i: plain_fingerprint(t) for i, t, _ in texts if i is not None}
     label = {i: i for i in prints}
@@ -127,14 +128,23 @@ def test_simhash_components(spark, monkeypatch):
         for a, b in combinations(prints, 2):
             if (prints[a] ^ prints[b]).bit_count() <= 4:
                 label[a] = label[b] = min(label[a], label[b])
-    want = [(i, f"{plain_fingerprint(t):016x}", None if i is None else label[i]) for i, t, _ in texts]
+    of_print = {p: label[i] for i, p in prints.items()}
+    want = [(i, f"{plain_fingerprint(t):016x}", of_print.get(plain_fingerprint(t))) for i, t, _ in texts]
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
+    # of the rows without an id only the one that is like no other stays
+    assert sorted(((r.doc_id, r.text) for r in kept.collect() if r.doc_id is None)) == [(None, "lonely text")]
     assert {r.doc_id for r in kept.collect()} == {None, *label.values()}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark):
+    rows = [(5, 0x0), (None, 0xF), (3, 0xFF), (None, 0xFFFF0000), (None, 0xFFFF0001), (8, -1), (9, -8), (None, -1)]
+    got = dict(map(tuple, simhash.classes(spark.createDataFrame(rows, "doc_id long, fp long"), 4).collect()))
+    assert got == {0x0: 3, 0xF: 3, 0xFF: 3, 0xFFFF0000: None, 0xFFFF0001: None, -1: 8, -8: 8}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(6, 40)] + [(1, None), (70, 70)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
