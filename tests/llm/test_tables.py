@@ -1,6 +1,5 @@
 """WARC, chat, URL filter, decontamination, embeddings, the pipeline, SQL."""
 
-
 import random
 
 import duckdb
@@ -47,13 +46,35 @@ def test_chat_snapshots(spark):
             *say(6, "b"), *say(None, "q", None), *say(7, "q", "", "z"), *say(6, "b")]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("place", F.lit(1))
     got = {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in chat.chat_texts(turns).collect()}
-    assert {k: v[:2] for k, v in got.items()} == {3: (3, 2), 5: (2, 1), 6: (1, 1), 7: (3, 1)}
+    # rows without an id are by themselves: "q" begins 7, the empty answer is a conversation
+    assert {k: v[:2] for k, v in got.items()} == {3: (3, 2), 5: (2, 1), 6: (1, 1), 7: (3, 1), None: (1, 1)}
+    assert got[None][2] == "<|im_start|>assistant\n<|im_end|>\n"
     assert got[5][2] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n"
     equal = spark.createDataFrame([*say(None, "k"), *say(8, "k")], turns.drop("place").schema)
     assert [tuple(r)[:3] for r in chat.chat_texts(equal).collect()] == [(None, 1, 2)]
     assert chat.chat_texts(turns.limit(0)).count() == 0
 
 
+def test_chat_as_lists_of_turns(spark, monkeypatch):
+    """Snapshots, copies, nulls and long conversations against the SQL that compares whole lists."""
+    r = random.Random(7)
+    base = [[("user", r.choice("abc")) if i % 2 == 0 else ("assistant", r.choice("ab")) for i in range(r.randrange(1, 40))]
+            for _ in range(12)]
+    rows = []
+    for c in range(80):
+        b = base[c % 12]
+        rows += [(c, i, role, text) for i, (role, text) in enumerate(b[:r.randrange(1, len(b) + 1)])]
+    rows += [(None, r.choice([0, None]), r.choice(["user", None]), r.choice("abq")) for _ in range(30)] + rows[:9]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    con = duckdb.connect()
+    frame = turns.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", frame)
+    want = sorted(map(str, con.sql(chat.ORACLE).fetchall()))
+    for size in (50_000, 5):
+        monkeypatch.setattr(chat, "RANGE_TURNS", size)
+        assert sorted(str(tuple(r)) for r in chat.chat_texts(turns).collect()) == want
+
+
 def test_url_filter(spark):
     entries = spark.createDataFrame([*queries.URL_RULES, ("net", "/es/", "allow"), (None, None, "block")][:6],
                                     "host string, path string, verdict string")
