@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.llm.graph import light
+
 #: Fixed value: the split pattern of the byte-level vocabularies, with white
 #: space as Unicode defines it.
 SPLIT = regex.compile(
@@ -41,7 +43,7 @@ SPLIT = regex.compile(
 
 #: Distinct words remembered per worker; when there are more, the cache is
 #: emptied before the next chunk.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Bytes of text (or of ids) handled together: their new words form one trie.
 CHUNK_BYTES = 1 << 22
 
@@ -270,7 +272,7 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", keep_text: bool =
                                    "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64())}, drop)
 
     new = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    return df.mapInArrow(run, _schema(df, new, drop))
+    return df.mapInArrow(light(run), _schema(df, new, drop))
 
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -282,7 +284,7 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", into: str = "decode
             packed = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             yield _replace(batch, {into: pa.array([bpe.decode(p) for p in packed], pa.string())}, ())
 
-    return df.mapInArrow(run, _schema(df, [T.StructField(into, T.StringType())], ()))
+    return df.mapInArrow(light(run), _schema(df, [T.StructField(into, T.StringType())], ()))
 
 
 def round_trip(docs: DataFrame, vocab_path: str, key: str = "doc_id") -> DataFrame:
@@ -299,7 +301,7 @@ def round_trip(docs: DataFrame, vocab_path: str, key: str = "doc_id") -> DataFra
                  pa.array([bpe.decode(p) for p in packed], pa.string())], [key, "ids", "n_tokens", "decoded"])
 
     rows = docs.select(key, "text")
-    return rows.mapInArrow(run, _schema(rows, [
+    return rows.mapInArrow(light(run), _schema(rows, [
         T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("decoded", T.StringType())], ("text",)))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,46 @@ from evalspark.session import scratch_path
 _MADE: list[str] = []
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed but still holds to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def light(run):
+    """A function of batches whose worker gives its memory back at the end of each
+    task: workers wait for further tasks, beside those of other stages."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return task
+
+
+def light_group(run):
+    """The same for a function of a key and its group."""
+    def group(key, rows):
+        out = run(key, rows)
+        give_back()
+        return out
+    return group
+
+
+#: Rows of an Arrow batch. Batches hold whole texts, on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless somebody has set their size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000" and not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared checkpoint folder."""
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
@@ -38,6 +80,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     Cuts the lineage: a lost executor costs a read, not a new computation.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

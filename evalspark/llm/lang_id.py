@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.graph import drop_written, written
+from evalspark.llm.graph import drop_written, light, written
 
 DIMS = 1 << 13
 CLUSTERS = 4
@@ -137,7 +137,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, margin: float = M
                 yield pa.RecordBatch.from_pydict(
                     {"lang": pa.array([lang]), "tf": pa.array([counts(text).astype("<f4").tobytes()])})
 
-    sample, path = written(picked.mapInArrow(count, "lang string, tf binary"), "language-sample")
+    sample, path = written(picked.mapInArrow(light(count), "lang string, tf binary"), "language-sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(DIMS, np.int64)
@@ -183,7 +183,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     rows = docs.select(*kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(light(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm import (
     bpe, centroids, chat, decontam, hnsw, lang_id, simhash, spelling, suffix_dedup, token_count, token_ids, url_filter, warc)
+from evalspark.llm.graph import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.graph import Forest, components, without, written
+from evalspark.llm.graph import Forest, components, light, without, written
 
 BLOCK_ROWS = 8192
 SLAB_ROWS = 1 << 16
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
                                              ["doc_id", "fp"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(light(run), T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def tables(n: int, radius: int) -> list[int]:
@@ -238,7 +238,7 @@ def links(uniq: DataFrame, n: int, radius: int) -> DataFrame:
     parts = max(int(uniq.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 ceil(n * len(masks) / (16 * SLAB_ROWS)))
     return rows.repartition(parts, "t", "key", "low", "high").sortWithinPartitions(
-        "t", "key", "low", "high").mapInArrow(_links(radius), "a long, b long")
+        "t", "key", "low", "high").mapInArrow(light(_links(radius)), "a long, b long")
 
 
 def classes(prints: DataFrame, radius: int = 4) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from evalspark.llm.graph import written
+from evalspark.llm.graph import light, written
 
 SHORTEST, LONGEST = 2, 4
 ENDS = 2
@@ -118,7 +118,7 @@ def word_counts(docs: DataFrame, least: int = 7, every: int = 31) -> DataFrame:
         yield out()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
-    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(light(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
                     held.clear()
         yield out()
 
-    return words.select("word").mapInArrow(run, "gram string, places long").groupBy("gram").agg(
+    return words.select("word").mapInArrow(light(run), "gram string, places long").groupBy("gram").agg(
         F.sum("places").alias("places"))
 
 
@@ -210,7 +210,7 @@ def near_words(words: DataFrame) -> DataFrame:
                 owners += [word] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(owners, pa.string())], ["list", "word"])
 
-    index, _ = written(words.select("word").mapInArrow(run, "list long, word string"), "gram-lists")
+    index, _ = written(words.select("word").mapInArrow(light(run), "list long, word string"), "gram-lists")
     longer = index.groupBy("list").count().where("count > 1").select("list")
     index = index.join(longer, "list", "left_semi")
     other = index.select("list", F.col("word").alias("b"))

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.graph import new_folder, written
+from evalspark.llm.graph import light, light_group, new_folder, written
 from evalspark.llm.warc import _at
 
 WIDTH = 50
@@ -292,7 +292,7 @@ def write_packs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
         if parts:
             yield save(parts, size)
 
-    return written(docs.mapInArrow(run, "path string, n_bytes long"), "pack-list")[0]
+    return written(docs.mapInArrow(light(run), "path string, n_bytes long"), "pack-list")[0]
 
 
 def shared_triggers(packs: DataFrame, buckets: int, width: int, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -329,9 +329,9 @@ def shared_triggers(packs: DataFrame, buckets: int, width: int, hot_runs: int =
                 out.append((path, key[0], _sorted_out(low), np.packbits(hot[own[several[own]][once]]).tobytes()))
         return pd.DataFrame(out, columns=["path", "bucket", "low", "hot"])
 
-    rows = packs.select("path").mapInArrow(sent, "path string, bucket int, low binary, about binary")
+    rows = packs.select("path").mapInArrow(light(sent), "path string, bucket int, low binary, about binary")
     return written(rows.groupBy("bucket").applyInPandas(
-        answered, "path string, bucket int, low binary, hot binary"), "shared-triggers")[0]
+        light_group(answered), "path string, bucket int, low binary, hot binary"), "shared-triggers")[0]
 
 
 def _shared(rows: pd.DataFrame, buckets: int, pack: Pack) -> tuple[np.ndarray, np.ndarray]:
@@ -421,8 +421,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
                              for path, own in zip(rows["path"], parse)], columns=["path", "bucket", "least"])
 
     answers = found.groupBy("path").applyInPandas(
-        sent, "path string, bucket int, trigger binary, size binary, first binary, body binary").groupBy(
-        "bucket").applyInPandas(ranked, "path string, bucket int, least binary")
+        light_group(sent), "path string, bucket int, trigger binary, size binary, first binary, body binary").groupBy(
+        "bucket").applyInPandas(light_group(ranked), "path string, bucket int, least binary")
 
     def covered(pack: Pack, begin: np.ndarray, shared: pd.DataFrame, least: pd.DataFrame) -> np.ndarray:
         """Whether each byte goes, over the pack's texts laid end to end."""
@@ -484,7 +484,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,
         found.select("path", F.lit(1).alias("kind"), "bucket", F.col("low").alias("a"), F.col("hot").alias("b"))
     ).unionByName(answers.select("path", F.lit(2).alias("kind"), "bucket", F.col("least").alias("a"),
                                  F.lit(None).cast("binary").alias("b")))
-    return parts.groupBy("path").applyInArrow(finished, schema)
+    return parts.groupBy("path").applyInArrow(light_group(finished), schema)
 
 
 def digests(docs: DataFrame, width: int = WIDTH, pack_bytes: int = PACK_BYTES,

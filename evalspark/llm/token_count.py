@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.llm.graph import light
+
 #: Characters after which a long text is cut at the next safe boundary,
 #: and characters handed to the library in one call.
 PIECE_CHARS = 4096
@@ -102,4 +104,4 @@ def token_counts(df: DataFrame, model_path: str, text: str = "text", limit: int
             yield pa.RecordBatch.from_pydict(cols | {"n_tokens": pa.array(counts, pa.int64())})
 
     schema = T.StructType(rows.schema.fields[:-1] + new)
-    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(light(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.graph import new_folder, written
+from evalspark.llm.graph import light, new_folder, written
 from evalspark.llm.warc import _at
 
 #: Characters of text handled together; pieces remembered in a worker, twice at
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, vocab_path: str, end_id: int | None = None, bits: in
                     [*others, *made, "ids"])
 
     rows = docs.select(text, *others)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL(kinds or "x int").fields[:len(made)],
+    return rows.mapInArrow(light(run), T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL(kinds or "x int").fields[:len(made)],
                                               T.StructField("ids", T.BinaryType())]))
 
 
@@ -418,7 +418,7 @@ def write_ids(docs: DataFrame, vocab_path: str, end_id: int | None = None, key:
     coded = encode(rows, vocab_path, end_id, bits, text, {
         "bucket": lambda batch: bucket(shared.value, batch.column(1), batch.column(2))}, "bucket int")
     dealt = coded.repartition("bucket").sortWithinPartitions(*order)
-    files, _ = written(dealt.select("bucket", "key", "ids").mapInArrow(run, MANIFEST), "token-manifest")
+    files, _ = written(dealt.select("bucket", "key", "ids").mapInArrow(light(run), MANIFEST), "token-manifest")
     sizes = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
     base = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "part int, base long")
