@@ -162,14 +162,15 @@ def windows(texts: DataFrame, places: DataFrame, most: int) -> DataFrame:
         *KEY, "block", F.greatest(F.lit(0), F.col("block") * RANGE - most).alias("low"), "parts").select(
         *KEY, "block", "low", F.slice("parts", F.col("low") + 1, F.lit(RANGE + 2 * most)).alias("parts")), "text-ranges")
     drop_written(texts.sparkSession, path)
-    joined = places.join(ranges, [*KEY, "block"])
-    part = "slice(parts, b - low + 1, size - 4)".replace("4", str(SHINGLE - 1))
-    begins = "flatten(transform(spans, s -> sequence(s.first, s.last)))"
-    marked = joined.withColumn("w", F.expr(
-        f"array_sort(transform({begins}, b -> struct(xxhash64({part}) as h1, xxhash64(1, {part}) as h2, b as b)))"))
-    first = F.expr("filter(w, (x, i) -> i = 0 or x.h1 <> w[i - 1].h1 or x.h2 <> w[i - 1].h2)")
-    return marked.select(*KEY, "size", "low", "parts", F.explode(first).alias("w")).select(
-        *KEY, "size", "w.h1", "w.h2", F.expr(part.replace("b -", "w.b -")).alias("parts"))
+    # One row a window, outside of any lambda function: there a slice would turn
+    # the whole range into objects first.
+    begins = "explode(flatten(transform(spans, s -> sequence(s.first, s.last))))"
+    part = f"slice(parts, b - low + 1, size - {SHINGLE - 1})"
+    placed = places.join(ranges, [*KEY, "block"]).select(*KEY, "size", "block", "low", "parts", F.expr(begins).alias("b"))
+    marked = placed.select(*KEY, "size", "block", "b", F.expr(part).alias("parts")).select(
+        *KEY, "size", "block", "b", F.xxhash64("parts").alias("h1"), F.xxhash64(F.lit(1), "parts").alias("h2"))
+    first = marked.groupBy(*KEY, "size", "block", "h1", "h2").agg(F.min("b").alias("b"))
+    return first.join(ranges, [*KEY, "block"]).select(*KEY, "size", "h1", "h2", F.expr(part).alias("parts"))
 
 
 def text_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
