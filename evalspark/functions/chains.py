@@ -29,6 +29,8 @@ CONTEXT_HEADER = ("Look at the picture and carry out each numbered step below, "
                   "reporting what you find for every step.\n")
 CONTEXT_STEP_LABEL = "Steps:\n"
 LAST_STEP_PREFIX = "Give the final answer as follows: "
+STRUCTURE_INSTRUCTION = ("Give the steps of the following text, in order, as JSON with the one field "
+                         "inference_instruction, a list of strings.")
 CHAIN_INSTRUCTION = ("Write the steps needed to answer the question from a picture, one step per "
                      "line, after the words 'Reasoning steps:'.")
 

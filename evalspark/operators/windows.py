@@ -2,9 +2,8 @@
 
 Windows here are partitioned by an item key whose groups are bounded by
 chain length or attempt count. Dense numbering inside large groups (N3)
-never puts a whole group into one task: it range-partitions on
-(group, order) so a hot group spans many tasks, numbers rows locally and
-adds per-segment offsets computed on a table of one row per segment.
+never puts a whole group into one task: a group is numbered in segments of
+its order key, and per-segment offsets come from a table of one row per segment.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def running_transcript(df: DataFrame, item: str, step: str, response: str,
@@ -57,12 +57,52 @@ def number_steps(df: DataFrame, chain: str, keep: Sequence[str],
               .drop("_p"))
 
 
+#: Bits of an integer order key below a segment and below a segment of segments.
+SEGMENT_BITS, SUPER_BITS = 20, 40
+
+
 def dense_positions(df: DataFrame, order: str, by: Sequence[str] = (),
-                    out: str = "position", num_partitions: int | None = None,
-                    materialize: bool = True) -> DataFrame:
+                    out: str = "position", num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row inside its group, ordered by ``order``.
 
-    ``order`` must be unique inside a group. Steps: range-partition on
+    ``order`` must be unique inside a group. With an integer key this is one plan,
+    without a job of its own: rows fall into segments by the key's upper bits, so a
+    segment has 2**20 rows at most whatever the group's size, and likewise a segment
+    of segments; rows are numbered inside their segment and offsets are added up
+    over the segments' counts. Any other key is numbered in sampled ranges
+    (``ranged_positions``).
+    """
+    if not isinstance(df.schema[order].dataType, T.IntegralType):
+        return ranged_positions(df, order, by, out, num_partitions)
+    keys, value = list(by), F.col(order).cast("long")
+    rows = df.withColumns({"_seg": F.shiftright(value, SEGMENT_BITS), "_sup": F.shiftright(value, SUPER_BITS)})
+    local = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(order)) - 1
+    counts = rows.groupBy(*keys, "_seg", "_sup").agg(F.count(F.lit(1)).alias("_n"))
+
+    def before(count: str, *group: str, upto: str) -> Column:
+        w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(upto).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(count).over(w), F.lit(0))
+
+    inner = counts.withColumn("_inner", before("_n", *keys, "_sup", upto="_seg"))
+    outer = counts.groupBy(*keys, "_sup").agg(F.sum("_n").alias("_m")).withColumn("_outer", before("_m", *keys, upto="_sup"))
+    offsets = _join_by(inner, outer, [*keys, "_sup"], ["_outer"]).withColumn("_offset", F.col("_inner") + F.col("_outer"))
+    numbered = rows.withColumn("_local", local)
+    return _join_by(numbered, offsets, [*keys, "_seg"], ["_offset"]).withColumn(
+        out, F.col("_offset") + F.col("_local")).select(*df.columns, out)
+
+
+def _join_by(left: DataFrame, right: DataFrame, keys: Sequence[str], take: Sequence[str]) -> DataFrame:
+    """Columns of ``right`` at the rows of ``left`` with the same keys, null keys included."""
+    named = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *take)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return left.join(named, same, "inner").drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def ranged_positions(df: DataFrame, order: str, by: Sequence[str] = (), out: str = "position",
+                     num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
+    """N3 for order keys of any type, in ranges of (group, order).
+
+    Steps: range-partition on
     (by, order) and sort inside partitions; number rows locally from
     ``monotonically_increasing_id``; count rows per (partition, group)
     segment; prefix-sum segment counts per group (a table of at most

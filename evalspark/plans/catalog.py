@@ -626,6 +626,7 @@ from evalspark.operators import joins as J  # noqa: E402
 from evalspark.plans import answers as ANS  # noqa: E402
 from evalspark.plans import modes as MO  # noqa: E402
 from evalspark.plans import responder as RS  # noqa: E402
+from evalspark.sources import files as FI  # noqa: E402
 from evalspark.sources import keyed as KT  # noqa: E402
 from evalspark.sources import runs as RN  # noqa: E402
 from evalspark.streaming import incremental as INC  # noqa: E402
@@ -745,11 +746,11 @@ _MODE_CHAIN_SQL = f""", {_D7_BASE}, {_PARSED},
 
 @register("mode_chain", FX.with_fixtures(_MODE_CHAIN_SQL, d7=FX.D7, d6=FX.D6))
 def mode_chain(spark, sf_dir):
-    """M3 (+M7 stage): generated chains -> extract stage -> final stage, joined by key."""
+    """M3 (+M7 stage): generated chains -> extract stage -> final stage, joined once by key."""
     t = _t(spark, sf_dir)
-    d7 = _d7(spark, sf_dir)
     chains = MO.parse_generations(D.d6_generations(t))
-    out = MO.answer_with_chain(_items(d7), chains, _step_responses(d7, 1), _last_responses(d7))
+    recorded = _one_pass(_d7(spark, sf_dir)).withColumnRenamed("step1", "intermediate_response").drop("chain")
+    out = MO.answer_recorded(recorded, chains)
     return out.select("item_id", F.size("chain").alias("n_steps"), "intermediate_response",
                       "final_prompt", "response", "missing")
 
@@ -906,6 +907,36 @@ def enrich_chain(spark, sf_dir):
     return out.select("item_id", "chain_source", F.size("chain").alias("n_steps"))
 
 
+_VISUAL_OLD = "CASE WHEN i.already_done = 1 THEN rd.chain END"
+
+
+@register("enrich_chain_visual", FX.with_fixtures(f""", {_D7_BASE},
+    g AS (SELECT item_id, generation, {Q.parse_steps(Q.refusal('generation', CH.REFUSAL_PHRASES, CH.FALLBACK_CHAIN))} AS rules
+          FROM d7g WHERE attempt = 1),
+    base AS (SELECT i.item_id, {_VISUAL_OLD} AS old, CASE WHEN g.rules IS NOT NULL THEN g.rules
+                    WHEN i.item_id % 12 <> 0 THEN [concat('step for ', i.item_id::VARCHAR), 'answer'] END AS new
+             FROM items i LEFT JOIN ready rd ON i.item_id = rd.item_id JOIN g ON i.item_id = g.item_id)
+    SELECT item_id,
+           CASE WHEN {_REUSABLE.format('old')} THEN 'existing' WHEN new IS NOT NULL THEN 'generated' ELSE 'none' END AS chain_source,
+           array_to_string(CASE WHEN {_REUSABLE.format('old')} THEN old ELSE new END, chr(10)) AS chain
+    FROM base""", d7=FX.D7, d7g=FX.D7_GENERATIONS))
+def enrich_chain_visual(spark, sf_dir):
+    """M9 with the image (+J4, S24, S26, W2): stored chains stay, the others come from question
+    and image; texts that do not parse are asked for again as structured output."""
+    t = _t(spark, sf_dir)
+    d7 = _d7(spark, sf_dir)
+    items = _items(d7).join(_ready_chains(d7), "item_id", "left").withColumn(
+        "old_chain", F.when(F.col("already_done") == 1, F.col("chain"))).drop("chain")
+    first = D.d7_generations(t).where("attempt = 1").select(
+        MO.request_id("item_id", "v1").alias("request_id"), F.col("generation").alias("response"))
+    steps = F.array(F.concat(F.lit("step for "), F.col("item_id").cast("string")), F.lit("answer"))
+    second = items.select(MO.request_id("item_id", "v2").alias("request_id"), F.when(
+        F.col("item_id") % 12 != 0, CH.encode_structured(steps)).otherwise(F.lit("no json")).alias("response"))
+    table = ANS.AnswerTable(spark, INC.new_run_folder(spark, "answers"))
+    out = MO.enrich(items, RS.recorded(first), table, visual=True, structured=RS.recorded(second))
+    return out.select("item_id", "chain_source", F.array_join("chain", "\n").alias("chain"))
+
+
 @register("missing_chain", FX.with_fixtures(f"""{_FILL_SQL}
     SELECT item_id FROM fvc WHERE chain IS NULL OR len(chain) = 0""", d7=FX.D7, d6=FX.D6))
 def missing_chain(spark, sf_dir):
@@ -964,6 +995,19 @@ def slice_from(spark, sf_dir):
     return J.slice_after_done(_positions(spark, sf_dir), "position", items.filter(F.col("already_done") == 1))
 
 
+@register("stored_positions", FX.with_fixtures(f"""{_POS_SQL}
+    SELECT item_id, position, CAST(floor(position / 16) AS BIGINT) AS batch_id FROM pos
+    WHERE position >= (SELECT count(*) FROM d7 WHERE step = 1 AND already_done = 1)""", d7=FX.D7))
+def stored_positions(spark, sf_dir):
+    """P2 + P4 on a stored item table: places from the files themselves, no numbering at all."""
+    path = f"{INC.new_run_folder(spark, 'items')}/items"
+    items = _items(_d7(spark, sf_dir)).select("item_id", "already_done")
+    items.repartitionByRange("item_id").sortWithinPartitions("item_id").write.parquet(path)
+    placed = FI.positioned(spark, path)
+    tail = J.slice_after_done(placed, "position", items.where("already_done = 1"))
+    return J.batch_ids(tail, "position", 16).select("item_id", "position", "batch_id")
+
+
 @register("point_lookup", FX.with_fixtures("""
     SELECT item_id, prompt, image FROM d7 WHERE step = 1 AND item_id = 7""", d7=FX.D7))
 def point_lookup(spark, sf_dir):
@@ -1174,8 +1218,6 @@ def base64_canonical(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Run metadata from result file names (D1 rows spread over files)
 
-from evalspark.sources import files as FI  # noqa: E402
-
 _MODE_ALT = "|".join(FI.MODE_NAMES)
 _MODE_CASE_SQL = ("(CASE CAST(item_no % 6 AS INTEGER) "
                   + " ".join(f"WHEN {i} THEN {Q.q(m)}" for i, m in enumerate(FI.MODE_NAMES)) + " END)")
@@ -1237,19 +1279,27 @@ def incremental_scoring(spark, sf_dir):
     SELECT concat(CAST(i.item_id AS VARCHAR), '-', CAST(i.step AS VARCHAR)) AS request_id, i.prompt, c.text AS response
     FROM d7 i JOIN conversations c ON c.conv_id = i.item_id AND c.turn + 1 = i.step""", d7=FX.D7))
 def response_collection(spark, sf_dir):
-    """Response files streamed in and attached to the request table by key, every turn."""
+    """Response and request files streamed in and attached by key, every turn; the
+    responses come first and wait in the stream's state for their requests."""
     run = INC.new_run_folder(spark, "response-collection")
 
     def request_id(item: str, step) -> "F.Column":
         return F.concat(F.col(item).cast("string"), F.lit("-"), step.cast("string")).alias("request_id")
 
-    requests = _d7(spark, sf_dir).select(request_id("item_id", F.col("step")), "prompt")
-    stream = _table_stream(spark, sf_dir, "conversations").select(
-        request_id("conv_id", F.col("turn") + 1), F.col("text").alias("response"))
-    INC.collect_responses(stream, requests, f"{run}/responses", f"{run}/checkpoint")
+    turns = _table_stream(spark, sf_dir, "conversations")
+    responses = turns.select(request_id("conv_id", F.col("turn") + 1), F.col("text").alias("response"))
+    made = D.d7_steps(_Turns(_table_stream(spark, sf_dir, "conversations")))
+    requests = made.select(request_id("item_id", F.col("step")), "prompt")
+    INC.collect_responses(responses, requests, f"{run}/responses", f"{run}/checkpoint")
     return spark.read.parquet(f"{run}/responses").select("request_id", "prompt", "response")
 
 
+@dataclasses.dataclass
+class _Turns:
+    """The conversations as a stream, for the derivation of requests."""
+    conversations: DataFrame
+
+
 # ---------------------------------------------------------------------------
 # Operators on harder rows: many options, null groups, the judge pass, real result files
 
@@ -1381,12 +1431,22 @@ def chain_requests(spark, sf_dir):
     FROM st LEFT JOIN lastr r ON st.item_id = r.item_id""", d7=FX.D7, d6=FX.D6))
 def mode_visual(spark, sf_dir):
     """M8: a chain from the image (with the structured fallback), then the answer stages."""
-    d6, d7 = D.d6_generations(_t(spark, sf_dir)), _d7(spark, sf_dir)
-    first = d6.filter(F.col("attempt") == 1).select("item_id", "generation")
-    structured = d6.filter(F.col("attempt") == 2).select(
-        "item_id", CH.encode_structured(F.split("generation", "\n", -1)).alias("structured"))
-    out = MO.answer_with_visual_chain(_items(d7), first, structured, _step_responses(d7, 1), _last_responses(d7))
-    return out.select("item_id", F.size("chain").alias("n_steps"), "final_prompt", "response")
+    recorded = _one_pass(_d7(spark, sf_dir)).withColumnRenamed("step1", "intermediate_response").drop("chain")
+    chains = _visual_chains(spark, sf_dir).where(F.col("chain").isNotNull())
+    return MO.answer_recorded(recorded, chains).select("item_id", F.size("chain").alias("n_steps"), "final_prompt", "response")
+
+
+def _visual_chains(spark, sf_dir) -> DataFrame:
+    """Both recorded tries of an item in one aggregate: the first by the rules, the second as structured output."""
+    d6 = D.d6_generations(_t(spark, sf_dir))
+    tries = d6.where("attempt in (1, 2)").groupBy("item_id").agg(
+        F.max(F.when(F.col("attempt") == 1, F.col("generation"))).alias("generation"),
+        F.max(F.when(F.col("attempt") == 2, F.col("generation"))).alias("second"),
+        F.bool_or(F.col("attempt") == 1).alias("tried")).where("tried")
+    structured = CH.encode_structured(F.split("second", "\n", -1))
+    rows = tries.select("item_id", CH.parse_steps(CH.refusal_fallback("generation")).alias("rules"),
+                        CH.decode_structured(F.when(F.col("second").isNotNull(), structured)).alias("decoded"))
+    return rows.select("item_id", F.coalesce("rules", "decoded").alias("chain"))
 
 
 @register("visual_chain", FX.with_fixtures(f""",

@@ -119,6 +119,15 @@ def answer_with_chain(items: DataFrame, chains: DataFrame, extract_responses: Da
     return J.attach_responses(final, final_responses, key)
 
 
+def answer_recorded(recorded: DataFrame, chains: DataFrame, key: str = "item_id") -> DataFrame:
+    """M3/M4/M8 from the merge on, for rows that carry their recorded answers (prompt,
+    intermediate_response, response): one join with the chains, no other."""
+    staged = recorded.join(chains.select(key, "chain"), key, "inner")
+    return staged.withColumns({
+        "final_prompt": PR.final_prompt(F.col("prompt"), F.col("intermediate_response"), CH.last_instruction("chain")),
+        "missing": F.col("response").isNull().cast("int")})
+
+
 def answer_with_visual_chain(items: DataFrame, first_generations: DataFrame, structured_responses: DataFrame,
                              extract_responses: DataFrame, final_responses: DataFrame,
                              key: str = "item_id") -> DataFrame:
@@ -165,10 +174,10 @@ def request_id(key: str, stage: str | Column) -> Column:
 
 
 def request_parts(request: str = "request_id") -> tuple[Column, Column, Column]:
-    """Item key (as text), kind of call (c chain, s step, f final) and number of a call's key."""
-    at = F.regexp_extract(F.col(request), "^(?s)(.*)/([csf])([0-9]*)$", 1)
-    number = F.regexp_extract(F.col(request), "/[csf]([0-9]*)$", 1).try_cast("int")
-    return at, F.regexp_extract(F.col(request), "/([csf])[0-9]*$", 1), number
+    """Item key (as text), kind of call (c chain, v visual chain, s step, f final) and number of a call's key."""
+    at = F.regexp_extract(F.col(request), "^(?s)(.*)/([cvsf])([0-9]*)$", 1)
+    number = F.regexp_extract(F.col(request), "/[cvsf]([0-9]*)$", 1).try_cast("int")
+    return at, F.regexp_extract(F.col(request), "/([cvsf])[0-9]*$", 1), number
 
 
 def generate_chains(items: DataFrame, model: Responder | Call, answers: AnswerTable, key: str = "item_id",
@@ -179,18 +188,63 @@ def generate_chains(items: DataFrame, model: Responder | Call, answers: AnswerTa
     Every attempt is one distributed job over the items still without a chain.
     Returns key, chain, chosen_attempt, attempts, status.
     """
-    def tried(upto: int) -> DataFrame:
-        calls = items.select(key, F.explode(F.array(*(F.lit(k) for k in range(1, upto + 1)))).alias("attempt"))
-        got = calls.withColumn("request_id", request_id(key, F.concat(F.lit("c"), F.col("attempt").cast("string")))).join(
-            answers.latest("string"), "request_id", "left")
-        parsed = got.withColumn("chain", CH.parse_steps(CH.refusal_fallback("response")))
-        return W.first_valid_attempt(parsed, key, "attempt", "chain", upto, "chain")
-
     for k in range(1, max_attempts + 1):
-        todo = items if k == 1 else J.pending(items, tried(k - 1).where(F.col("chain").isNotNull()), key)
+        todo = items if k == 1 else J.pending(items, finished_chains(items, answers, key, k - 1), key)
         answers.ask(todo.select(request_id(key, f"c{k}").alias("request_id"),
                                 F.concat_ws("\n", F.lit(instruction), F.col("prompt")).alias("query")), model_of(model))
-    return tried(max_attempts)
+    return _tried(items, answers, key, max_attempts)
+
+
+def _tried(items: DataFrame, answers: AnswerTable, key: str, upto: int) -> DataFrame:
+    """The first valid of the generations stored for each item."""
+    calls = items.select(key, F.explode(F.array(*(F.lit(k) for k in range(1, upto + 1)))).alias("attempt"))
+    got = calls.withColumn("request_id", request_id(key, F.concat(F.lit("c"), F.col("attempt").cast("string")))).join(
+        answers.latest("string"), "request_id", "left")
+    parsed = got.withColumn("chain", CH.parse_steps(CH.refusal_fallback("response")))
+    return W.first_valid_attempt(parsed, key, "attempt", "chain", upto, "chain")
+
+
+def generate_visual_chains(items: DataFrame, model: Responder | Call, answers: AnswerTable,
+                           structured: Responder | Call | None = None, key: str = "item_id",
+                           instruction: str = CH.CHAIN_INSTRUCTION) -> DataFrame:
+    """M8/M9 with a model and the image: one generation an item; where its text does not
+    parse, a second call asks for that text as structured output (S26).
+
+    Returns key, chain, chain_form ('rules', 'structured' or 'none').
+    """
+    first = items.select(request_id(key, "v1").alias("request_id"), PR.payload_parts(
+        F.lit(instruction), F.col("prompt"), F.col("image")).alias("query"))
+    got = answers.ask(first, model_of(model)).withColumn("rules", CH.parse_steps(CH.refusal_fallback("response")))
+    rows = items.select(key, request_id(key, "v1").alias("request_id")).join(got, "request_id", "left")
+    again = rows.where(F.col("rules").isNull() & F.col("response").isNotNull()).select(
+        request_id(key, "v2").alias("request_id"),
+        F.concat_ws("\n", F.lit(CH.STRUCTURE_INSTRUCTION), F.col("response")).alias("query"))
+    decoded = answers.ask(again, model_of(structured or model)).select(
+        F.col("request_id").alias("_second"), CH.decode_structured("response").alias("decoded"))
+    both = rows.join(decoded, request_id(key, "v2") == F.col("_second"), "left")
+    return both.select(key, F.coalesce("rules", "decoded").alias("chain"),
+                       F.when(F.col("rules").isNotNull(), F.lit("rules")).when(F.col("decoded").isNotNull(), F.lit("structured"))
+                       .otherwise(F.lit("none")).alias("chain_form"))
+
+
+def enrich(items: DataFrame, model: Responder | Call, answers: AnswerTable, key: str = "item_id", old: str = "old_chain",
+           visual: bool = False, structured: Responder | Call | None = None) -> DataFrame:
+    """M9 (J4, S28, W2): the items with a chain each: a reusable stored one is kept, the
+    others are generated, from the question or (``visual``) from question and image.
+
+    Only items without a reusable chain are asked for. The finished generations of a
+    run that stops are in the answer table: ``finished_chains`` reads them, and the
+    next run asks for the rest.
+    """
+    todo = items.where(~CH.reusable(F.col(old)))
+    chains = (generate_visual_chains(todo, model, answers, structured, key) if visual
+              else generate_chains(todo, model, answers, key))
+    return J.fill_missing(items, chains.select(key, "chain"), key, old, "chain", "chain")
+
+
+def finished_chains(items: DataFrame, answers: AnswerTable, key: str = "item_id", max_attempts: int = 3) -> DataFrame:
+    """Key and chain of the items whose generation is stored, whatever became of the run."""
+    return _tried(items, answers, key, max_attempts).where(F.col("chain").isNotNull()).select(key, "chain")
 
 
 def transcripts(items: DataFrame, answers: AnswerTable, upto: int | None = None, key: str = "item_id",

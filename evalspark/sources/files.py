@@ -14,7 +14,7 @@ import sys
 from collections.abc import Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +96,22 @@ def columns_to_rows(spark: SparkSession, path: str, schema: T.StructType | str |
         for f in fields))
 
 
+def positioned(spark: SparkSession, path: str, out: str = "position") -> DataFrame:
+    """P2 + P4: a stored Parquet table with each row's 0-based place in it, in the order
+    of its files' names and of the rows in them.
+
+    A row's place in its file comes from the reader, and the number of rows before a
+    file from the counts of the files, so nothing is sorted, shuffled or written: the order
+    is the one that was fixed when the table was written.
+    """
+    rows = spark.read.parquet(path)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))   # one row a file
+    return placed.join(offsets, "_file").select(*rows.columns, (F.col("_offset") + F.col("_row")).alias(out))
+
+
 def scan_results(spark: SparkSession, folder: str, schema: T.StructType | str,
                  glob: str = "*.tsv", sep: str = "\t") -> DataFrame:
     """R2: every result file of a folder in one DataFrame, ``file_name`` per row.

@@ -10,6 +10,7 @@ Checkpoint and output folders live under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from evalspark.operators.joins import one_per_key
 from evalspark.session import scratch_path
+from evalspark.sources.shared import exists
 
 
 def new_run_folder(spark: SparkSession, name: str) -> str:
@@ -45,14 +47,9 @@ def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out
     return _rows(spark, out_path) - before
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def _rows(spark: SparkSession, path: str) -> int:
     """Rows of a parquet folder (from its footers), 0 if there is none yet."""
-    return spark.read.parquet(path).count() if _exists(spark, path) else 0
+    return spark.read.parquet(path).count() if exists(spark, path) else 0
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
@@ -66,28 +63,55 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
     return r.options(**options).load(path)
 
 
+#: State of streams in RocksDB: on local disk, with changes uploaded to the checkpoint.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def collect_responses(responses: DataFrame, requests: DataFrame, target: str, checkpoint: str,
-                      key: str = "request_id") -> int:
-    """Attach newly arriving response files to the static request table.
-
-    Each micro-batch keeps one row per key (``one_per_key``), leaves out the
-    keys that earlier batches wrote (an anti-join on the target's key
-    column), and writes its own ``epoch=<id>`` folder with overwrite: a
-    batch replayed after a failure rewrites the same folder, so nothing is
-    written twice. The stream keeps no state of its own. Returns the
-    number of rows that this run wrote.
+                      key: str = "request_id", keep: str = "30 days") -> int:
+    """Attach newly arriving responses to their requests by key; appends to ``target``.
+
+    Keyed stream state replaces a look at what was written before, so a batch costs
+    what it brings, whatever the target holds. The state remembers which requests
+    have been answered (the first response of a request counts) and, if the requests
+    are a stream too, parks responses that come before their request and requests that
+    wait for their response. State is kept for ``keep`` after its arrival; a response
+    without a request by then, or without one in a static request table, is written
+    with nulls in the request's columns. Replayed batches write nothing twice,
+    and a new checkpoint with an old target adds to it and loses nothing.
+    Rows with a null key are left out. Returns the number of rows that this run wrote.
     """
     spark = responses.sparkSession
-    before = _rows(spark, target)
-
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        new = one_per_key(batch, key)
-        session = batch.sparkSession
-        if epoch_id and _exists(session, target):
-            done = session.read.parquet(target).where(F.col("epoch") < epoch_id)
-            new = new.join(done.select(key), key, "left_anti")
-        new.join(requests, key, "inner").write.mode("overwrite").parquet(f"{target}/epoch={epoch_id}")
-
-    (responses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
-    return _rows(spark, target) - before
+    others = [c for c in requests.columns if c != key]
+    arrived = responses.where(F.col(key).isNotNull()).withColumn("_answered", F.current_timestamp())
+    once = arrived.withWatermark("_answered", keep).dropDuplicatesWithinWatermark([key])
+    if requests.isStreaming:
+        asked = requests.where(F.col(key).isNotNull()).withColumnRenamed(key, "_key").withColumn(
+            "_asked", F.current_timestamp()).withWatermark("_asked", keep).dropDuplicatesWithinWatermark(["_key"])
+        near = F.expr(f"_asked between _answered - interval {keep} and _answered + interval {keep}")
+        joined = once.join(asked, (F.col(key) == F.col("_key")) & near, "left_outer")
+    else:
+        joined = once.join(one_per_key(requests, key), key, "left")
+    rows = joined.select(*responses.columns, *others)
+    # A batch has a folder of its own, by its checkpoint and number: replayed it is
+    # written over, and no other checkpoint's batches are touched.
+    run = f"{target}/run={hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
+    written = 0
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        nonlocal written
+        folder = f"{run}/epoch={epoch}"
+        batch.write.mode("overwrite").parquet(folder)
+        written += batch.sparkSession.read.schema(batch.schema).parquet(folder).count()      # from the footers
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+         .trigger(availableNow=True).start().awaitTermination())
+        return written
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

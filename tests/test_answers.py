@@ -139,3 +139,55 @@ def test_sign_goes_by_kind(spark, kind, verdict, answer, sign):
     got = SU.judge(df, suite, "v").first()
     assert got.sign == sign
     assert (got.error == "unknown kind") == (kind in ("other", None))
+
+
+def test_a_stopped_enrichment_keeps_its_finished_chains(spark):
+    folder = new_run_folder(spark, "answers")
+    mark = os.path.join(local_path(new_run_folder(spark, "mark")), "gone")
+    os.makedirs(os.path.dirname(mark))
+    items = spark.createDataFrame([(i, f"Q{i}", ["kept"] if i % 4 == 0 else [None] if i % 4 == 1 else None) for i in range(30)],
+                                  "item_id long, prompt string, old_chain array<string>").coalesce(1)
+
+    def model(query):
+        name = query.rsplit("Q", 1)[1]
+        with open(mark + name, "a") as f:
+            f.write("x")
+        if name == "21" and not os.path.exists(mark):
+            open(mark, "w").close()
+            os._exit(1)
+        return f"look {name}\nanswer"
+    with pytest.raises(Exception):
+        MO.enrich(items, Call(model, 1), AnswerTable(spark, folder, file_answers=4))
+    table = AnswerTable(spark, folder, file_answers=4)
+    early = {r.item_id: r.chain for r in MO.finished_chains(items, table).collect()}
+    assert len(early) >= 8 and all(c == [f"look {i}", "answer"] and i % 4 for i, c in early.items())
+    out = {r.item_id: (r.chain, r.chain_source) for r in MO.enrich(items, Call(model, 1), table).collect()}
+    assert out == {i: (["kept"], "existing") if i % 4 == 0 else ([f"look {i}", "answer"], "generated") for i in range(30)}
+    asked = [os.path.getsize(mark + str(i)) for i in range(30) if i % 4]
+    assert sum(n > 1 for n in asked) <= 4 and not os.path.exists(mark + "4")
+
+
+def test_visual_chains_fall_back_to_structured_output(spark):
+    items = spark.createDataFrame([(1, "good", "AAAA"), (2, "blank", None), (3, "never", "BBBB")],
+                                  "item_id long, prompt string, image string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(query):
+        seen.add(query.count("data:image"))
+        return "one\ntwo" if "good" in query else " \n"
+    structured = Call(lambda q: '{"inference_instruction": ["s"]}')
+    got = {r.item_id: (r.chain, r.chain_form) for r in MO.generate_visual_chains(
+        items, Call(model), AnswerTable(spark), structured).collect()}
+    assert got == {1: (["one", "two"], "rules"), 2: (["s"], "structured"), 3: (["s"], "structured")}
+    assert seen.value == 2
+
+
+def test_recorded_answers_in_one_join_or_in_stages(spark):
+    items = spark.createDataFrame([(1, "q1"), (2, "q2"), (3, "q3")], "item_id long, prompt string")
+    chains = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (4, ["d"])], "item_id long, chain array<string>")
+    first = spark.createDataFrame([(1, "i1")], "item_id long, response string")
+    last = spark.createDataFrame([(1, "r1"), (2, "r2")], "item_id long, response string")
+    cols = ["item_id", "final_prompt", "intermediate_response", "response", "missing"]
+    staged = MO.answer_with_chain(items, chains, first, last).select(*cols)
+    recorded = items.join(first.withColumnRenamed("response", "intermediate_response"), "item_id", "left").join(last, "item_id", "left")
+    assert sorted(map(str, staged.collect())) == sorted(map(str, MO.answer_recorded(recorded, chains).select(*cols).collect()))

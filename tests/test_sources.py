@@ -129,3 +129,30 @@ def test_one_per_key_keeps_null_keys(spark):
     for order in ("o", None):
         got = {r.k: (r.v, r.n) for r in J.one_per_key(df, "k", order, count="n").collect()}
         assert got == {None: ("b" if order else "a", 2), 1: ("c", 1)}
+
+
+def test_positions_of_a_stored_table(spark):
+    path = new_run_folder(spark, "items") + "/t"
+    spark.range(1000).select((999 - F.col("id")).alias("item_id"), F.lit("p").alias("prompt")).repartitionByRange(
+        7, "item_id").sortWithinPartitions("item_id").write.parquet(path)
+    n, df = jobs_of(spark, lambda: FI.positioned(spark, path))
+    assert n <= 1                        # the schema, read from a footer
+    assert df.where("position <> item_id").count() == 0 and df.count() == 1000
+    assert [r.item_id for r in J.slice_from(df, "position", 997).orderBy("position").collect()] == [997, 998, 999]
+
+
+def test_dense_positions_without_a_job(spark):
+    from evalspark.operators import windows as W
+    keys = [None, "a", "b"]
+    rows = [(keys[i % 3], v) for i, v in enumerate(
+        [*range(0, 50), *range(2**20 - 5, 2**20 + 5), *range(2**40 - 3, 2**40 + 3), -1, -(2**50), 2**62, -(2**63)])]
+    df = spark.createDataFrame(rows, "g string, o long").repartition(5)
+    n, out = jobs_of(spark, lambda: W.dense_positions(df, "o", ["g"]))
+    assert n == 0
+    want = {(g, v): sorted(x for k, x in rows if k == g).index(v) for g, v in rows}
+    assert {(r.g, r.o): r.position for r in out.collect()} == want
+    whole = {r.o: r.position for r in W.dense_positions(df, "o").collect()}
+    assert whole == {v: i for i, v in enumerate(sorted(x for _, x in rows))}
+    text = df.select("g", F.col("o").cast("string").alias("o"))
+    got = {(r.g, r.o): r.position for r in W.dense_positions(text, "o", ["g"], num_partitions=4).collect()}
+    assert got == {(g, str(v)): sorted(str(x) for k, x in rows if k == g).index(str(v)) for g, v in rows}

@@ -59,3 +59,41 @@ def test_response_collection_is_idempotent(spark):
     got = spark.read.parquet(os.path.join(run, "t")).orderBy("request_id").collect()
     assert [(r.request_id, r.response) for r in got] == [(1, "a"), (2, "b"), (3, "c")]
     assert spark.read.parquet(os.path.join(run, "t")).filter(F.col("request_id") == 2).count() == 1
+
+
+def test_early_responses_wait_for_their_requests(spark):
+    run = local_path(INC.new_run_folder(spark, "test-i2"))
+    answers, asked, target = (os.path.join(run, n) for n in ("answers", "asked", "t"))
+    a, q = "request_id long, response string", "request_id long, prompt string"
+
+    def add(folder, name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(folder, name))
+
+    def run_once():
+        read = spark.readStream.option("recursiveFileLookup", "true")
+        return INC.collect_responses(read.schema(a).parquet(answers), read.schema(q).parquet(asked), target,
+                                     os.path.join(run, "c"))
+
+    def rows():
+        return sorted(tuple(r) for r in spark.read.parquet(target).select("request_id", "prompt", "response").collect())
+
+    add(answers, "1", [(1, "a"), (2, "b"), (None, "n")], a)
+    add(asked, "1", [(1, "q1"), (5, "q5")], q)
+    assert run_once() == 1 and rows() == [(1, "q1", "a")]
+    assert run_once() == 0
+    add(asked, "2", [(2, "q2"), (1, "again")], q)        # the request of an early answer
+    add(answers, "2", [(1, "late"), (5, "e")], a)        # a second answer, and one to a waiting request
+    assert run_once() == 2 and rows() == [(1, "q1", "a"), (2, "q2", "b"), (5, "q5", "e")]
+
+
+def test_an_old_target_keeps_its_rows_under_a_new_checkpoint(spark):
+    run = local_path(INC.new_run_folder(spark, "test-i2"))
+    src, target = os.path.join(run, "src"), os.path.join(run, "t")
+    requests = spark.createDataFrame([(1, "q1"), (2, "q2")], "request_id long, prompt string")
+    for i, (folder, checkpoint) in enumerate((("x", "c1"), ("y", "c2"))):
+        spark.createDataFrame([(i + 1, "a"), (9 + i, "none")], "request_id long, response string").write.parquet(
+            os.path.join(src, folder))
+        stream = spark.readStream.schema("request_id long, response string").parquet(os.path.join(src, folder))
+        assert INC.collect_responses(stream, requests, target, os.path.join(run, checkpoint)) == 2
+    got = sorted(tuple(r) for r in spark.read.parquet(target).select("request_id", "prompt").collect())
+    assert got == [(1, "q1"), (2, "q2"), (9, None), (10, None)]
