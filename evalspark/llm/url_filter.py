@@ -99,6 +99,11 @@ def maybe_listed(table: np.ndarray, df: DataFrame):
     return test
 
 
+def _labels(host: str) -> Column:
+    """Number of a host's labels: one more than its dots."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
 def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
@@ -109,15 +114,17 @@ def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
         F.coalesce("path", F.lit("")).alias("e_path"), "verdict").groupBy("e_host", "e_path").agg(
         F.max("verdict").alias("rule_verdict"))
     key = lambda host, path: F.xxhash64(host, path)
+    # few numbers, however many entries: path lengths, and labels of hosts
     lengths = [r.n for r in listed.select(F.length("e_path").alias("n")).distinct().collect()]
+    labels = [r.n for r in listed.select(_labels("e_host").alias("n")).distinct().collect()]
     table = build_filter(listed.select(key("e_host", "e_path").alias("h")), listed.count())
     test = maybe_listed(table, pages)
 
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
-        F.slice(labels, i, F.size(labels)), "."))
+    # only suffixes with as many labels as some listed host, so that a long host costs no more
+    suffixes = F.array_compact(F.array(*(F.when(_labels("host") >= n, F.substring_index("host", ".", -n))
+                                         for n in sorted(labels))).cast("array<string>"))
     heads = F.transform(F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"),
                                  lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     urls = rows.select("host", "path").distinct()
