@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from evalspark.llm.graph import light
 
 #: Characters after which a long text is cut at the next safe boundary,
-#: and characters handed to the library in one call.
+#: and bytes (UTF-8) handed to the library in one call.
 PIECE_CHARS = 4096
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 20
 #: A single space between characters that are neither space nor space mark.
 BOUNDARY = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
 
@@ -79,8 +79,8 @@ def _lengths(model, splits: bool, texts: list[str | None]) -> list[int]:
         for piece in (pieces(text) if splits else [text]) if text else ():
             owner.append(i)
             batch.append(piece)
-            held += len(piece)
-            if held >= BATCH_CHARS:
+            held += len(piece) if piece.isascii() else len(piece.encode())
+            if held >= BATCH_BYTES:
                 flush()
                 owner.clear(), batch.clear()
                 held = 0
