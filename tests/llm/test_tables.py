@@ -254,3 +254,50 @@ def test_pipeline(spark, tmp_path):
     whole = queries.bpe.digests(spark.createDataFrame([(36, rows[-1][1])], "doc_id long, text string"),
                                 queries.public_tokenizers.path("byte_bpe_50k.json")).first()
     assert got[36].n_tokens < whole.n_tokens
+
+
+def sql_rows(oracle, **tables):
+    con = duckdb.connect()
+    for name, table in tables.items():
+        con.register(name, pa.Table.from_pylist(table))
+    found = con.sql(oracle)
+    order = sorted(range(len(found.columns)), key=found.columns.__getitem__)
+    return sorted(str(tuple(row[i] for i in order)) for row in found.fetchall())
+
+
+def frame_rows(df):
+    return sorted(str(tuple(r[c] for c in sorted(df.columns))) for r in df.collect())
+
+
+def test_warc_as_sql_with_equal_payloads(spark):
+    r = random.Random(2)
+    bodies = ["x" * n for n in (0, 99, 100, 101)] + [f"<p>{i}</p>" * 40 for i in range(5)]
+    pages = [{"page_id": i, "url": f"http://h/{i}", "html": r.choice([*bodies, None, f"own {i}" * 30])} for i in range(300)]
+    r.shuffle(pages)
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4))
+    assert got.where("record_type = 'revisit'").count() > 150
+    assert frame_rows(got) == sql_rows(warc.ORACLE, pages=pages)
+
+
+def test_url_filter_as_sql_with_odd_and_long_hosts(spark):
+    r = random.Random(4)
+    hosts = ["com", "example.com", "www.example.com", "a.www.example.com", "net", "x.net", "notnet", "a..net", ".net", "net.", "",
+             "b." * 20_000 + "net", "c" * 5000 + ".com", "EXAMPLE.com", "org"]
+    urls = [f"{s}{h}{p}" for h in hosts for s in ("http://", "https://", "") for p in ("", "/", "/en/", "/es/a?b", "/fr/#c", "?/es/", "/EN/")]
+    pages = [{"page_id": i, "url": u} for i, u in enumerate([*urls, None, r.choice(urls)])]
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), rules)
+    assert got.where("verdict = 'block'").count() > 10
+    assert frame_rows(got) == sql_rows(url_filter.ORACLE, pages=pages)
+
+
+def test_embedding_links_as_sql_with_near_copies(spark):
+    r = np.random.default_rng(6)
+    base = r.normal(size=(40, 16))
+    rows = [{"vec_id": i, "embedding": v.tolist()} for i, v in enumerate(
+        np.concatenate([base, base[:25] + r.normal(size=(25, 16)) * 0.2, base[:25] + r.normal(size=(25, 16)) * 0.45, base[:6], 3 * base[:6]]))]
+    rows += [{"vec_id": 500, "embedding": None}, {"vec_id": 501, "embedding": [0.0] * 16}, {"vec_id": 502, "embedding": []},
+             {"vec_id": 503, "embedding": [1.0, None] * 8}, {"vec_id": 504, "embedding": [float("nan")] * 16}]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9)
+    assert got.where("n_links > 0").count() > 50 and got.where("component_id <> vec_id").count() > 30
+    assert frame_rows(got) == sql_rows(hnsw.ORACLE, embeddings=rows)

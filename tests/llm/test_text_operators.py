@@ -236,3 +236,54 @@ def test_language_id_held_out_accuracy(spark):
     judged = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert judged.where("lang = lang_pred").count() > 0.97 * judged.count()
     assert judged.where("rejected").count() == 0
+
+
+def plain_language(text, model):
+    """Nearest centroid by dictionaries of n-grams, one text at a time."""
+    if not text or not lang_id.LETTER.search(text):
+        return "und", 0.0, True
+    shown = []
+    for b in (" " + text.lower()).encode():
+        b = b if b >= 128 or chr(b).isalpha() else 32
+        if not (b == 32 and shown and shown[-1] == 32):
+            shown.append(b)
+    tf = {}
+    for n, base in ((2, 0), (3, 1 << 24)):
+        for i in range(len(shown) - n + 1):
+            gram = base + sum(b << 8 * (n - 1 - k) for k, b in enumerate(shown[i:i + n]))
+            place = (gram * 2654435761 & 0xFFFFFFFF) >> 19
+            tf[place] = tf.get(place, 0) + 1
+    weight = {p: (1 + np.log(c)) * float(model.idf[p]) for p, c in tf.items()}
+    norm = sum(w * w for w in weight.values()) ** 0.5
+    cos = [sum(w * float(c[p]) for p, w in weight.items()) / norm for c in model.centroids]
+    best = max(range(len(cos)), key=lambda k: (cos[k], -k))
+    return model.langs[best], cos[best], cos[best] < model.floors[best]
+
+
+def test_language_predictions_as_plain_nearest_centroids(spark):
+    words = {"aa": "kala mina sato rupi élan été", "bb": "thorn wedge blick frust straße", "cc": "над том река поле"}
+    rows = [(i, prose(i, 5 + i % 60, words["abc"[i % 3] * 2]), "abc"[i % 3] * 2) for i in range(150)]
+    rows += [(200, None, "aa"), (201, "7 !?", "bb"), (202, "zzz qqq xxx " * 20, None), (203, "A", None), (204, "kala\n\n--mina", "cc")]
+    docs = documents(spark, rows)
+    model = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))))
+    got = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in lang_id.identify(docs).collect()}
+    for i, text, _ in rows:
+        lang, score, rejected = plain_language(text, model)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(min(max(score, 0), 1), abs=1e-4) and got[i][2] == rejected
+
+
+def test_clusters_as_plain_spherical_means():
+    r = np.random.default_rng(9)
+    v = r.normal(size=(60, 12)) + np.repeat(r.normal(size=(4, 12)) * 3, 15, axis=0)
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    start = [int((v @ v.mean(axis=0)).argmax())]
+    while len(start) < 4:
+        start.append(min(range(60), key=lambda i: max(float(v[i] @ v[j]) for j in start)))
+    centers = [v[i] for i in start]
+    for _ in range(12):
+        own = [max(range(4), key=lambda j: (float(x @ centers[j]), -j)) for x in v]
+        sums = [sum((x for x, o in zip(v, own) if o == j), np.zeros(12)) if j in own else centers[j] for j in range(4)]
+        centers = [s / np.linalg.norm(s) for s in sums]
+    found, cos = lang_id.cluster(v, 4)
+    assert np.allclose(found, centers, atol=1e-4)
+    assert np.allclose(cos, [max(float(x @ c) for c in centers) for x in v], atol=1e-4)
