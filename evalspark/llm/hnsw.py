@@ -14,7 +14,7 @@ components are united from those.
 
 Graphs are files in the shared folder, named by a table that Spark commits;
 a query task reads those of the shards it has rows for. ``SHARDS`` does not
-grow with the input until a shard exceeds ``SHARD_ROWS``.
+grow with the input until a shard exceeds ``SHARD_BYTES`` of vectors, whatever their dimension.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components link with nothing; vectors of different lengths never link;
@@ -39,7 +39,9 @@ from evalspark.llm.graph import Forest, components, new_folder, written
 from evalspark.llm.warc import _at
 
 SHARDS = 6
-SHARD_ROWS = 200_000
+SHARD_BYTES = 100 << 20
+#: Query tasks for each task slot, at most; a task then takes several blocks of a shard.
+TASKS_A_SLOT = 64
 LINKS = 12
 BUILD_BEAM = 40
 BEAM = 24
@@ -239,7 +241,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
         & F.exists("embedding", lambda x: x != 0), F.lit(False))
     nodes, _ = written(rows.where(sound).groupBy("embedding").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    shards = max(SHARDS, -(-nodes.count() // SHARD_ROWS))
+    n_nodes, n_bytes = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))).first()
+    shards = max(SHARDS, -(-n_bytes // SHARD_BYTES))
     dim = F.size("embedding").cast("long")
     nodes = nodes.withColumn("node", F.xxhash64("embedding")).withColumn(
         "shard", dim * shards + F.pmod("node", F.lit(shards)))
@@ -260,11 +263,12 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
         return pd.DataFrame({"shard": [key[0]], "path": [f"{folder}/{name}"]})
 
     graphs, _ = written(nodes.groupBy("shard").applyInPandas(build, "shard long, path string"), "graphs")
-    blocks = max(1, -(-nodes.count() // QUERY_ROWS))
+    blocks = max(1, -(-n_nodes // QUERY_ROWS))
+    tasks = min(blocks * shards, TASKS_A_SLOT * spark.sparkContext.defaultParallelism)
     asked = nodes.select("node", "embedding", F.explode(F.sequence(
         dim * shards, dim * shards + shards - 1)).alias("shard")).join(graphs, "shard")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks))).repartition(
-        max(blocks * shards, 1), "shard", "block").sortWithinPartitions("shard").select("path", "node", "embedding")
+        max(tasks, 1), "shard", "block").sortWithinPartitions("shard").select("path", "node", "embedding")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, graph, held = None, None, None
