@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from evalspark.operators import joins as J
 from evalspark.plans import catalog
+from evalspark.plans import modes as MO
+from evalspark.streaming.incremental import new_run_folder
 from tests.conftest import SF_SMALL
 
 
@@ -12,12 +15,23 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["mode_direct", "resume_pending", "project_no_image", "mode_ready"])
-def test_image_not_read_where_unused(spark, name):
-    # D7 image is a literal, so no scan should ever read an image column
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
-    assert "image" not in [c for line in plan.splitlines() if "ReadSchema" in line
-                           for c in line.split("ReadSchema:")[1].replace("<", ",").replace(":", ",").split(",")]
+def _read_columns(df) -> set[str]:
+    """Columns of all scans of the plan."""
+    schemas = [line.split("ReadSchema:")[1].split(">")[0] for line in _plan(df).splitlines() if "ReadSchema" in line]
+    assert schemas
+    return {part.split(":")[0].split("<")[-1].strip() for schema in schemas for part in schema.split(",")}
+
+
+def test_image_not_read_where_unused(spark):
+    path = new_run_folder(spark, "items") + "/items"
+    spark.createDataFrame([(1, "p", "AAAA", 0)], "item_id long, prompt string, image string, already_done int").write.parquet(path)
+    items = spark.read.parquet(path)
+    responses = spark.createDataFrame([(1, "r")], "item_id long, response string")
+    done = items.where("already_done = 1")
+    assert "image" in _read_columns(MO.direct(items, responses, done))          # the payload holds it
+    for df in (MO.direct(items, responses, done).select("item_id", "prompt", "response"), J.drop_heavy(items),
+               J.pending(items, done).select("item_id", "prompt"), J.slice_from(items, "item_id", 1).drop("image")):
+        assert "image" not in _read_columns(df)
 
 
 def test_point_lookup_pushes_filter(spark):
