@@ -1113,13 +1113,6 @@ def judge_all_kinds(spark, sf_dir):
         "item_no", "kind", "request", "verdict", "error", "sign")
 
 
-def _length_judge(query: str) -> str:
-    """A stand-in for a judge model: its verdict follows from the length of the request."""
-    if len(query) % 3 == 0:
-        raise TimeoutError("no answer")
-    return "Yes." if len(query) % 3 == 1 else "no"
-
-
 @register("judge_live", FX.with_fixtures(f""",
     r AS (SELECT item_no, CASE WHEN gt_answer = 1 THEN 'yes' ELSE 'no' END AS answer,
                  length(concat({Q.q(PR.JUDGE_INSTRUCTIONS['yes_no'])}, chr(10), {Q.fill(PR.JUDGE_TEMPLATES['yes_no'], response='verdict')})) % 3 AS k
@@ -1133,7 +1126,14 @@ def judge_live(spark, sf_dir):
     rows and stops, the next one asks for the others only and reads the rest."""
     rows = D.d1_yes_no(_t(spark, sf_dir)).withColumnRenamed("verdict", "response").select("item_no", "gt_answer", "response")
     folder = INC.new_run_folder(spark, "answers")
-    judge = ANS.Call(_length_judge, parallelism=spark.sparkContext.defaultParallelism)
+
+    def by_length(query: str) -> str:
+        """A stand-in for a judge model: its verdict follows from the length of the request."""
+        if len(query) % 3 == 0:
+            raise TimeoutError("no answer")
+        return "Yes." if len(query) % 3 == 1 else "no"
+
+    judge = ANS.Call(by_length, parallelism=spark.sparkContext.defaultParallelism)
     SU.judge(rows.where("item_no % 3 = 0"), SU.HALLUCINATION, judge, answers=ANS.AnswerTable(spark, folder))
     return SU.judge(rows, SU.HALLUCINATION, judge, answers=ANS.AnswerTable(spark, folder)).select(
         "item_no", "verdict", "error", "sign")
