@@ -43,7 +43,7 @@ SPLIT = regex.compile(
 
 #: Distinct words remembered per worker; when there are more, the cache is
 #: emptied before the next chunk.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 #: Bytes of text (or of ids) handled together: their new words form one trie.
 CHUNK_BYTES = 1 << 22
 
@@ -77,6 +77,7 @@ class Bpe:
         self.apart: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.cache_words = CACHE_WORDS
 
     @classmethod
     def load(cls, path: str) -> "Bpe":
@@ -133,7 +134,7 @@ class Bpe:
         key = (left, right)
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > CACHE_WORDS:
+            if len(self.apart) > self.cache_words:
                 self.apart.clear()
             known, rank = True, self.rank
             for a, made_a, taken_a in self.spine(left, 0):
@@ -216,7 +217,7 @@ class Bpe:
 
     def _learn(self, texts: list[str | None]) -> None:
         """Encodes the words of the texts that the cache does not hold."""
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.cache_words:
             self.cache.clear()
         known = self.cache
         new = {w for text in texts if text for w in self.words(text) if w not in known}
@@ -287,12 +288,14 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", into: str = "decode
     return df.mapInArrow(light(run), _schema(df, [T.StructField(into, T.StringType())], ()))
 
 
-def round_trip(docs: DataFrame, vocab_path: str, key: str = "doc_id") -> DataFrame:
+def round_trip(docs: DataFrame, vocab_path: str, key: str = "doc_id", cache_words: int = CACHE_WORDS) -> DataFrame:
     """key, ids, n_tokens, decoded: each whole text encoded, then decoded from
-    its ids, in one pass, so that a task needs one worker and one vocabulary."""
+    its ids, in one pass, so that a task needs one worker and one vocabulary.
+    A smaller cache takes less memory and more time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocab_path)
+        bpe.cache_words = cache_words
         for batch in _chunks(batches, "text", CHUNK_BYTES):
             packed = bpe.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
