@@ -1251,8 +1251,9 @@ def run_metadata(spark, sf_dir):
 
 
 def _table_stream(spark, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream; like the batch reader's, a table may be a file or a folder of files."""
     schema = _t(spark, sf_dir).table(name).schema
-    return INC.read_stream(spark, sf_dir, schema, "parquet", pathGlobFilter=f"{name}.parquet")
+    return INC.read_stream(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", schema, "parquet")
 
 
 @register("incremental_scoring", FX.with_fixtures(f""", {_D1_SIGN}

@@ -5,9 +5,10 @@ import os
 import pandas as pd
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from evalspark.plans import suites as SU
 from evalspark.streaming import incremental as INC
-from tests.conftest import local_path
+from tests.conftest import SF_SMALL, local_path
 
 
 def _write_parts(spark, folder, pdfs):
@@ -97,3 +98,28 @@ def test_an_old_target_keeps_its_rows_under_a_new_checkpoint(spark):
         assert INC.collect_responses(stream, requests, target, os.path.join(run, checkpoint)) == 2
     got = sorted(tuple(r) for r in spark.read.parquet(target).select("request_id", "prompt").collect())
     assert got == [(1, "q1"), (2, "q2"), (9, None), (10, None)]
+
+
+def _as_folders(spark, folder, tables):
+    """The small tables, each dealt over a folder of files."""
+    for name in E.catalog._t(spark, SF_SMALL).names:
+        rows = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        if name in tables:
+            rows.repartition(3).write.parquet(f"{folder}/{name}.parquet")
+        else:
+            os.symlink(f"{SF_SMALL}/{name}.parquet", f"{folder}/{name}.parquet")
+
+
+def test_scoring_reads_tables_that_are_folders(spark, tmp_path):
+    _as_folders(spark, tmp_path, {"documents", "labels"})
+    query = E.queries()["incremental_scoring"]
+    one, many = (sorted(map(tuple, query(spark, str(d)).collect())) for d in (SF_SMALL, tmp_path))
+    assert many == one and one
+
+
+def test_a_stream_of_one_file_leaves_its_neighbours_alone(spark, tmp_path):
+    for name in ("a[1].parquet", "a1.parquet"):
+        pd.DataFrame({"x": [name]}).to_parquet(tmp_path / name)
+    stream = INC.read_stream(spark, str(tmp_path / "a1.parquet"), "x string")
+    assert INC.score_stream(stream, lambda s: s, str(tmp_path / "out"), str(tmp_path / "c")) == 1
+    assert [r.x for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a1.parquet"]
