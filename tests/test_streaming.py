@@ -1,6 +1,9 @@
 """Restartable incremental scoring (I1) and response collection."""
 
+import contextlib
+import glob
 import os
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -123,3 +126,28 @@ def test_a_stream_of_one_file_leaves_its_neighbours_alone(spark, tmp_path):
     stream = INC.read_stream(spark, str(tmp_path / "a1.parquet"), "x string")
     assert INC.score_stream(stream, lambda s: s, str(tmp_path / "out"), str(tmp_path / "c")) == 1
     assert [r.x for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a1.parquet"]
+
+
+def test_responses_are_read_from_tables_that_are_folders(spark, tmp_path):
+    _as_folders(spark, tmp_path, {"conversations"})
+    query = E.queries()["response_collection"]
+    one, many = (sorted(map(tuple, query(spark, str(d)).collect())) for d in (SF_SMALL, tmp_path))
+    assert many == one and one
+
+
+def test_small_state_reserves_no_disk(spark):
+    run = local_path(INC.new_run_folder(spark, "test-i2"))
+    src, began = os.path.join(run, "src"), time.time()
+    spark.createDataFrame([(i, "a") for i in range(100)], "request_id long, response string").write.parquet(src)
+    requests = spark.createDataFrame([(1, "q")], "request_id long, prompt string")
+    stream = INC.read_stream(spark, src, "request_id long, response string")
+    assert INC.collect_responses(stream, requests, os.path.join(run, "t"), os.path.join(run, "c")) == 100
+    local = spark.sparkContext.getConf().get("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", "/tmp")).split(",")[0]
+    ahead = []                  # disk that files of the stores hold beyond their length
+    for folder in glob.glob(f"{local}/spark-*/StateStoreId*/workingDir-*"):
+        for name in os.listdir(folder):
+            with contextlib.suppress(OSError):
+                at = os.stat(os.path.join(folder, name))
+                if at.st_mtime >= began - 1:
+                    ahead.append(at.st_blocks * 512 - at.st_size)
+    assert ahead and max(ahead) < 1 << 20
