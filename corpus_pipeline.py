@@ -42,8 +42,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit), decoded_sha256."""
     small_batches(spark)
-    # beside what earlier stages leave in an executor a small cache is the better one
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_words=100_000).select(
+    # beside what earlier stages leave in an executor a small cache and small chunks are the better ones
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_words=100_000,
+                          chunk_bytes=1 << 20).select(
         "doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

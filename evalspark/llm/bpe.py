@@ -288,15 +288,16 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", into: str = "decode
     return df.mapInArrow(light(run), _schema(df, [T.StructField(into, T.StringType())], ()))
 
 
-def round_trip(docs: DataFrame, vocab_path: str, key: str = "doc_id", cache_words: int = CACHE_WORDS) -> DataFrame:
+def round_trip(docs: DataFrame, vocab_path: str, key: str = "doc_id", cache_words: int = CACHE_WORDS,
+               chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """key, ids, n_tokens, decoded: each whole text encoded, then decoded from
     its ids, in one pass, so that a task needs one worker and one vocabulary.
-    A smaller cache takes less memory and more time."""
+    A smaller cache takes less memory and more time, smaller chunks less memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocab_path)
         bpe.cache_words = cache_words
-        for batch in _chunks(batches, "text", CHUNK_BYTES):
+        for batch in _chunks(batches, "text", chunk_bytes):
             packed = bpe.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(packed, pa.binary()),

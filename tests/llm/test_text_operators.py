@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evalspark.llm import bpe, lang_id, simhash, suffix_dedup, token_count
 from evalspark.llm.graph import components
 from tests.llm.helpers import documents, prose, rows_of, tokenizer_path
@@ -59,6 +60,21 @@ def test_bpe_query_on_odd_texts(spark, library):
     assert carried.schema["ids"].dataType.simpleString() == "binary" and carried.count() == docs.count()
 
 
+def test_bpe_chunk_size_changes_no_row(spark):
+    docs = documents(spark, [(i, t, "en") for i, t in enumerate(ODD_TEXTS * 3)]).coalesce(1)
+    one, some, all_ = (rows_of(bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"), cache_words=20, chunk_bytes=n))
+                       for n in (1, 5000, 1 << 22))
+    assert one == some == all_ and len(one) == 3 * len(ODD_TEXTS)
+
+
+def test_pipeline_tokens_take_small_chunks(spark, monkeypatch):
+    asked = {}
+    real = bpe.round_trip
+    monkeypatch.setattr(bpe, "round_trip", lambda *a, **k: asked.update(k) or real(*a, **k))
+    corpus_pipeline.tokens(spark, documents(spark, [(1, "a b", "en")]), "")
+    assert asked["chunk_bytes"] <= 1 << 20
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "▁", "é", "x y", "東", ". "]), max_size=60))
 def test_cut_texts_count_as_whole(parts):
